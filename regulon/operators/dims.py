@@ -1,0 +1,29 @@
+"""Joins against dimension tables with a checked broadcast.
+
+A side is broadcast only after its row count is checked against a bound; above
+the bound the join is left to the planner (sort-merge or AQE's runtime
+conversion, which measures the real size after the shuffle).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_broadcast(dim: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(dim)`` if it has at most ``max_rows`` rows, else ``dim``.
+
+    The check is one count over ``dim`` (a scalar to the driver); the result
+    decides the hint, never the data.
+    """
+    n = dim.limit(max_rows + 1).count()
+    return F.broadcast(dim) if n <= max_rows else dim
+
+
+def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
+             max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join ``fact`` with a dimension table, broadcasting it when small."""
+    return fact.join(bounded_broadcast(dim, max_rows), on, how)
