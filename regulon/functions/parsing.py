@@ -70,6 +70,9 @@ def _alternation(patterns: list[str]) -> str:
 CLASS_REGEX = {name: _alternation(pats) for name, pats in _CLASSES}
 TAG_REGEX = portable(ANSWER_TAG)
 SPLIT_REGEX = portable(ANSWER_SPLIT)
+# "is there a split point" and "text after the last one" (greedy, dot-all)
+HAS_SPLIT = "(?iu)" + SPLIT_REGEX
+AFTER_LAST_SPLIT = "(?isu)\\A.*" + SPLIT_REGEX + "(.*)\\z"
 
 
 # ── Spark columns ─────────────────────────────────────────────────────────
@@ -80,11 +83,15 @@ def answer_tag(text: Column) -> Column:
 
 
 def answer_portion(text: Column) -> Column:
-    """PRS-4: text after the last ``[Final ]Answer:``; else last non-blank line."""
-    parts = F.split(text, "(?iu)" + SPLIT_REGEX, -1)
+    """PRS-4: text after the last ``[Final ]Answer:``; else last non-blank line.
+
+    The last split point is found by one greedy ``regexp_extract`` (its
+    pattern is compiled once per task); ``split`` with a regex would compile
+    its pattern on every row.
+    """
     lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != F.lit(""))
     return (
-        F.when(F.size(parts) > 1, strip(F.element_at(parts, -1)))
+        F.when(text.rlike(HAS_SPLIT), strip(F.regexp_extract(text, AFTER_LAST_SPLIT, 1)))
         .when(F.size(lines) > 0, F.element_at(lines, -1))
         .otherwise(text)
     )
@@ -95,9 +102,11 @@ def pattern_flags(text: Column) -> dict[str, Column]:
     return {name: text.rlike(JAVA_FLAGS_IM + rx) for name, rx in CLASS_REGEX.items()}
 
 
-def _one_class(text: Column) -> Column:
-    f = pattern_flags(text)
-    n = sum(F.when(c, 1).otherwise(0) for c in f.values())
+def _count(f: dict[str, Column]) -> Column:
+    return sum(F.when(c, 1).otherwise(0) for c in f.values())
+
+
+def _one_class(f: dict[str, Column], n: Column) -> Column:
     return (
         F.when((n == 1) & f["up"], F.lit("up"))
         .when((n == 1) & f["down"], F.lit("down"))
@@ -106,8 +115,14 @@ def _one_class(text: Column) -> Column:
 
 
 def classify(text: Column) -> Column:
-    """PRS-6: the single class found in the answer portion, else in the text."""
-    return F.coalesce(_one_class(answer_portion(text)), _one_class(text))
+    """PRS-6: the single class found in the answer portion, else in the text.
+
+    Expression form (for single use); :func:`parse_answers` stages the same
+    logic so each regex runs once per row.
+    """
+    fp = pattern_flags(answer_portion(text))
+    ft = pattern_flags(text)
+    return F.coalesce(_one_class(fp, _count(fp)), _one_class(ft, _count(ft)))
 
 
 def parse_label(text: Column) -> Column:
@@ -133,16 +148,29 @@ def parse_answer(text: Column, default=(DEFAULT_UP, DEFAULT_DOWN)) -> Column:
 def parse_answers(df, text_col: str = "text", default=(DEFAULT_UP, DEFAULT_DOWN)):
     """PRS-8: batch form, adds ``parsed_label``, ``prediction_up``, ``prediction_down``.
 
-    The label is materialised in its own projection so the regex work runs
-    once per row and both prediction columns reuse it.
+    Staged projections: the answer portion, then its three class flags, then
+    (only where the portion is not decisive) the full text's flags. Each stage
+    references the previous one's columns more than once, so the optimizer
+    keeps the stages apart and every regex runs at most once per row.
     """
-    return (
-        df.withColumn("parsed_label", parse_label(F.col(text_col)))
-        .withColumn("_pred", label_to_pred(F.col("parsed_label"), default))
-        .withColumn("prediction_up", F.col("_pred.prediction_up"))
-        .withColumn("prediction_down", F.col("_pred.prediction_down"))
-        .drop("_pred")
+    t = F.col(text_col)
+    out = df.withColumn("_blank", is_blank(t)).withColumn(
+        "_portion", F.when(~F.col("_blank"), answer_portion(t))
+    )
+    fp = pattern_flags(F.col("_portion"))
+    out = out.select("*", *[c.alias(f"_p_{k}") for k, c in fp.items()])
+    fpc = {k: F.col(f"_p_{k}") for k in fp}
+    out = out.withColumn("_np", _count(fpc))
+    ft = {k: F.when(F.col("_np") != 1, c) for k, c in pattern_flags(t).items()}
+    out = out.select("*", *[c.alias(f"_t_{k}") for k, c in ft.items()])
+    ftc = {k: F.coalesce(F.col(f"_t_{k}"), F.lit(False)) for k in ft}
+    label = F.when(~F.col("_blank"), F.coalesce(_one_class(fpc, F.col("_np")), _one_class(ftc, _count(ftc))))
+    out = out.withColumn("parsed_label", label)
+    pred = label_to_pred(F.col("parsed_label"), default)
+    out = out.withColumn("prediction_up", pred["prediction_up"]).withColumn(
+        "prediction_down", pred["prediction_down"]
     )
+    return out.drop("_blank", "_portion", "_np", *[f"_p_{k}" for k in fp], *[f"_t_{k}" for k in ft])
 
 
 def answer_source(text: Column, submitted: Column | None = None) -> Column:

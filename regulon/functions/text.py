@@ -83,4 +83,4 @@ def sql_literal(text: str) -> str:
 
 def is_blank(c: Column) -> Column:
     """Python ``not text or not text.strip()``."""
-    return c.isNull() | (strip(c) == F.lit(""))
+    return c.isNull() | c.rlike(rf"\A{WS}*\z")

@@ -54,6 +54,7 @@ def auroc(
     keys: list[str] | None = None,
     num_buckets: int = 256,
     accuracy: int = 10000,
+    materialize: bool = True,
 ) -> DataFrame:
     """Exact tie-aware ROC area per group of ``keys``.
 
@@ -67,6 +68,11 @@ def auroc(
     g = df.groupBy(*keys, F.col(score_col).alias("score")).agg(
         F.sum(y).alias("p"), F.sum(F.lit(1) - y).alias("n")
     )
+    if materialize:
+        # One row per distinct score: small next to the input, and read by
+        # three branches below. A reliable checkpoint (shared folder) runs
+        # the upstream plan once and cuts its lineage.
+        g = g.checkpoint(eager=True)
     qs = [i / num_buckets for i in range(1, num_buckets)]
     bounds = g.groupBy(*keys).agg(
         F.percentile_approx("score", qs, accuracy).alias("bounds")
