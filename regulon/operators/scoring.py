@@ -275,7 +275,7 @@ def check_limits(merged: DataFrame, on: str = "id", track: str = "b", first_n: i
     )
     first_ids = (
         base.where(F.col("tc") > MAX_TOOL_CALLS_PER_ROW).select("rid").orderBy("rid").limit(first_n)
-        .agg(F.array_join(F.array_sort(F.collect_list("rid")), ", "))
+        .agg(F.nullif(F.array_join(F.array_sort(F.collect_list("rid")), ", "), F.lit("")))
     )
     agg = agg.withColumn("first_ids", first_ids.scalar())
     err = (

@@ -177,7 +177,7 @@ def validate_submission(spark: SparkSession, sf: str) -> DataFrame:
 
 
 S.register("track_b_rows", None, """SELECT s.id,
-  CAST(length(s.id) * 20 AS VARCHAR) AS num_tool_calls,
+  CAST(length(s.id) * 30 AS VARCHAR) AS num_tool_calls,
   CASE WHEN s.gene_key % 7 = 0 THEN 'n/a' ELSE CAST(s.pert_key * 50 AS VARCHAR) END AS prompt_tokens,
   CAST(s.pert_key % 120 AS VARCHAR) AS num_distinct_tools
 FROM solution s""", ["solution"])
@@ -188,7 +188,7 @@ def track_b_rows(spark: SparkSession, sf: str) -> DataFrame:
     sol = S.solution(spark, sf)
     return sol.select(
         "id",
-        (F.char_length("id") * 20).cast("string").alias("num_tool_calls"),
+        (F.char_length("id") * 30).cast("string").alias("num_tool_calls"),
         F.when(F.pmod("gene_key", F.lit(7)) == 0, F.lit("n/a"))
         .otherwise((F.col("pert_key") * 50).cast("string")).alias("prompt_tokens"),
         F.pmod("pert_key", F.lit(120)).cast("string").alias("num_distinct_tools"),
