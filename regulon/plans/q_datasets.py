@@ -1 +1,111 @@
-"""Queries (filled in below)."""
+"""Queries: dataset construction (DSC-1..6, WIN-3, AGG-14, LIM-1/2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import datasets as D
+from . import standins as S
+from .registry import query
+
+HEAD_N = 10
+SAMPLE_N = 10
+SAMPLE_SEED = 7
+
+_PS = D.sql_split_of(D.sql_hash_pct("pert"), D.PERT_SPLIT)
+_GS = D.sql_split_of(D.sql_hash_pct("gene"), D.GENE_SPLIT)
+S.register("assigned", None, f"SELECT * FROM (SELECT *, {_PS} AS split, {_GS} AS gsplit FROM pairs) WHERE split = gsplit",
+           ["pairs"])
+S.register("eligible", None, f"""SELECT pert, count(*) FILTER (WHERE label IN ('up', 'down')) AS n_degs
+FROM pairs GROUP BY pert HAVING count(*) FILTER (WHERE label IN ('up', 'down')) >= {D.MIN_DEGS}""", ["pairs"])
+S.register("positives", None, f"""SELECT * FROM (
+  SELECT a.*, row_number() OVER (PARTITION BY a.pert ORDER BY a.fdr, abs(a.lfc) DESC, a.gene) AS rank
+  FROM assigned a SEMI JOIN eligible e ON a.pert = e.pert WHERE a.label IN ('up', 'down'))
+WHERE rank <= {D.TOP_DEGS}""", ["assigned", "eligible"])
+S.register("neg_cand", None, f"""SELECT a.*, md5(a.id) AS h FROM assigned a SEMI JOIN eligible e ON a.pert = e.pert
+WHERE a.label = 'none' AND abs(a.lfc) < {S.dbl(D.NEG_ABS_LFC_MAX)}""", ["assigned", "eligible"])
+S.register("neg_pass1", None, """SELECT * FROM (
+  SELECT c.*, k.k, row_number() OVER (PARTITION BY c.gene ORDER BY c.h, c.id) AS r
+  FROM neg_cand c JOIN (SELECT gene, count(*) AS k FROM positives GROUP BY gene) k USING (gene))
+WHERE r <= k""", ["neg_cand", "positives"])
+S.register("neg_pass2", None, """SELECT * FROM (
+  SELECT c.*, d.k, row_number() OVER (PARTITION BY c.pert ORDER BY c.h, c.id) AS r
+  FROM (SELECT * FROM neg_cand WHERE id NOT IN (SELECT id FROM neg_pass1)) c
+  JOIN (SELECT p.pert, p.np - coalesce(g.ng, 0) AS k FROM (SELECT pert, count(*) AS np FROM positives GROUP BY pert) p
+        LEFT JOIN (SELECT pert, count(*) AS ng FROM neg_pass1 GROUP BY pert) g USING (pert)
+        WHERE p.np - coalesce(g.ng, 0) > 0) d USING (pert))
+WHERE r <= k""", ["neg_cand", "neg_pass1", "positives"])
+
+
+def _pairs(spark, sf):
+    return S.pairs(spark, sf)
+
+
+@query("ternary_labels", S.with_ctes("SELECT id, label FROM pairs", "pairs"))
+def ternary_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-1: up / down / none from fold change and FDR."""
+    return _pairs(spark, sf).select("id", "label")
+
+
+@query("two_axis_split", S.with_ctes("SELECT id, split FROM assigned", "assigned"))
+def two_axis_split(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-2: hash splits on both axes; only split-consistent pairs kept."""
+    return D.two_axis_split(_pairs(spark, sf)).select("id", "split")
+
+
+@query("eligible_perts", S.with_ctes("SELECT pert, n_degs FROM eligible", "eligible"))
+def eligible_perts(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-3: perturbations with at least 9 DEGs."""
+    return D.eligible_perts(_pairs(spark, sf))
+
+
+@query("top_degs_per_pert", S.with_ctes(f"""SELECT pert, gene, rank FROM (
+  SELECT pert, gene, row_number() OVER (PARTITION BY pert ORDER BY fdr, abs(lfc) DESC, gene) AS rank
+  FROM pairs WHERE label IN ('up', 'down')) WHERE rank <= {D.TOP_DEGS}""", "pairs"))
+def top_degs_per_pert(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN-3: up to 9 most significant genes per perturbation (partial top-k before the shuffle)."""
+    return D.top_degs_per_pert(_pairs(spark, sf)).select("pert", "gene", "rank")
+
+
+@query("positive_pairs", S.with_ctes("SELECT pert, gene, split, label, rank FROM positives", "positives"))
+def positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-4: eligible, split-consistent pairs; top DEGs per perturbation."""
+    return D.positive_pairs(_pairs(spark, sf)).select("pert", "gene", "split", "label", "rank")
+
+
+@query("negative_pairs", S.with_ctes("""SELECT pert, gene, split, 1 AS pass FROM neg_pass1
+UNION ALL SELECT pert, gene, split, 2 AS pass FROM neg_pass2""", "neg_pass1", "neg_pass2"))
+def negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-5: negatives matched per gene, then topped up per perturbation."""
+    return D.negative_pairs(_pairs(spark, sf)).select("pert", "gene", "split", "pass")
+
+
+@query("split_leakage", S.with_ctes("""SELECT 'pert' AS kind, pert AS key, count(DISTINCT split) AS n_splits FROM assigned
+GROUP BY pert HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'gene', gene, count(DISTINCT split) FROM assigned GROUP BY gene HAVING count(DISTINCT split) > 1""",
+    "assigned"))
+def split_leakage(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-6 / SET-3: keys present in more than one split (must be empty)."""
+    return D.split_leakage(D.two_axis_split(_pairs(spark, sf)))
+
+
+@query("dataset_profile", S.with_ctes("""SELECT split, count(DISTINCT pert) AS n_perts, count(DISTINCT gene) AS n_genes,
+  count(*) AS n_rows, count(*) FILTER (WHERE label = 'up') AS n_up, count(*) FILTER (WHERE label = 'down') AS n_down,
+  count(*) FILTER (WHERE label = 'none') AS n_none FROM assigned GROUP BY split""", "assigned"))
+def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-14: per split: perturbations, genes, rows, label counts."""
+    return D.dataset_profile(D.two_axis_split(_pairs(spark, sf)))
+
+
+@query("head_rows", S.with_ctes(f"SELECT id, pert, gene, label FROM pairs ORDER BY id LIMIT {HEAD_N}", "pairs"))
+def head_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """LIM-1: the first rows by id (an explicit order; tables have none)."""
+    return D.head_rows(_pairs(spark, sf).select("id", "pert", "gene", "label"), HEAD_N)
+
+
+@query("sample_rows", S.with_ctes(
+    f"SELECT id, pert, gene, label FROM pairs ORDER BY md5('{SAMPLE_SEED}' || '_' || id), id LIMIT {SAMPLE_N}", "pairs"))
+def sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """LIM-2: a seeded sample, repeatable across partitionings (hash order)."""
+    return D.sample_rows(_pairs(spark, sf).select("id", "pert", "gene", "label"), SAMPLE_N, SAMPLE_SEED)

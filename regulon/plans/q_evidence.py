@@ -1 +1,169 @@
-"""Queries (filled in below)."""
+"""Queries: evidence lookups (JOI-9, AGG-7..9, ANN-1/2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evidence as EV
+from . import standins as S
+from .registry import query
+
+N_PERT_QUERY = 100
+
+
+def _train(spark, sf):
+    return S.pairs(spark, sf).select("pert", "gene", "label")
+
+
+def pert_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """One lower-case lookup per supplier (the perturbation universe)."""
+    return S.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("q"))
+
+
+def gene_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """One lower-case lookup per part (some parts have no pairs)."""
+    return S.table(spark, sf, "part").select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("q"))
+
+
+def pair_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups by gene (even part keys) or by pert and gene (odd part keys)."""
+    p = S.table(spark, sf, "part")
+    odd = F.pmod("p_partkey", F.lit(2)) == 1
+    return p.select(
+        F.col("p_partkey").cast("string").alias("qid"),
+        F.when(odd, F.concat(F.lit("S"), (F.pmod("p_partkey", F.lit(N_PERT_QUERY)) + 1).cast("string"))).alias("pert"),
+        F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene"),
+    )
+
+
+S.register("pert_q", None, "SELECT 's' || CAST(s_suppkey AS VARCHAR) AS q FROM supplier", [])
+S.register("gene_q", None, "SELECT 'g' || CAST(p_partkey AS VARCHAR) AS q FROM part", [])
+S.register("pert_hits", None, """SELECT q.q, t.gene, lower(t.label) AS lab FROM (SELECT DISTINCT q FROM pert_q) q
+JOIN pairs t ON lower(t.pert) = lower(q.q)""", ["pert_q", "pairs"])
+_HEAD = {"up": "    Up-regulated: ", "down": "    Down-regulated: ", "none": "    Not differentially expressed: "}
+
+
+@query("pert_evidence", S.with_ctes(f"""SELECT q.q, coalesce(c.n, 0) AS n_examples,
+  CASE WHEN c.n IS NULL THEN 'No training examples found for perturbation ''' || q.q || '''.'
+  ELSE 'Training data for perturbation ''' || q.q || ''' (' || CAST(c.n AS VARCHAR) || ' examples):' || chr(10)
+    || '  Summary: ' || CAST(c.n_up AS VARCHAR) || ' up-regulated, ' || CAST(c.n_down AS VARCHAR) || ' down-regulated, '
+    || CAST(c.n_none AS VARCHAR) || ' not differentially expressed'
+    {"".join(f"|| CASE WHEN c.n_{k} > 0 THEN chr(10) || '{h}' || l_{k}.genes ELSE '' END " for k, h in _HEAD.items())}
+  END AS text
+FROM (SELECT DISTINCT q FROM pert_q) q
+LEFT JOIN (SELECT q, count(*) AS n, count(*) FILTER (WHERE lab = 'up') AS n_up, count(*) FILTER (WHERE lab = 'down') AS n_down,
+                  count(*) FILTER (WHERE lab = 'none') AS n_none FROM pert_hits GROUP BY q) c ON c.q = q.q
+{"".join(f'''LEFT JOIN (SELECT q, string_agg(gene, ', ' ORDER BY gene) AS genes FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY gene) AS rn FROM pert_hits WHERE lab = '{k}') WHERE rn <= {EV.MAX_GENES_LISTED}
+  GROUP BY q) l_{k} ON l_{k}.q = q.q
+''' for k in _HEAD)}""", "pert_hits"))
+def pert_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-7: per perturbation lookup: counts per label and first 30 genes each."""
+    return EV.pert_evidence(_train(spark, sf), pert_queries(spark, sf))
+
+
+_LS = "CASE lower(t.label) WHEN 'up' THEN 'up-regulated' WHEN 'down' THEN 'down-regulated' WHEN 'none' THEN 'not differentially expressed' ELSE t.label END"
+
+
+@query("gene_evidence", S.with_ctes(f"""SELECT q.q, coalesce(g.n, 0) AS n_examples,
+  CASE WHEN g.n IS NULL THEN 'No training examples found for target gene ''' || q.q || '''.'
+  ELSE 'Training data for target gene ''' || q.q || ''' (' || CAST(g.n AS VARCHAR) || ' examples):' || chr(10) || g.lines END AS text
+FROM (SELECT DISTINCT q FROM gene_q) q LEFT JOIN (
+  SELECT q.q, count(*) AS n, string_agg('  - pert=' || t.pert || ': ' || {_LS}, chr(10) ORDER BY t.pert) AS lines
+  FROM (SELECT DISTINCT q FROM gene_q) q JOIN pairs t ON lower(t.gene) = lower(q.q) GROUP BY q.q) g ON g.q = q.q""",
+    "gene_q", "pairs"))
+def gene_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-8: per target gene lookup: every perturbation and its effect."""
+    return EV.gene_evidence(_train(spark, sf), gene_queries(spark, sf))
+
+
+S.register("pair_q", None, f"""SELECT CAST(p_partkey AS VARCHAR) AS qid,
+  CASE WHEN p_partkey % 2 = 1 THEN 'S' || CAST(p_partkey % {N_PERT_QUERY} + 1 AS VARCHAR) END AS pert,
+  'g' || CAST(p_partkey AS VARCHAR) AS gene FROM part""", [])
+_LD = "CASE lower(t.label) WHEN 'up' THEN 'up-regulated' WHEN 'down' THEN 'down-regulated' WHEN 'none' THEN 'no significant effect' ELSE lower(t.label) END"
+
+
+@query("pair_evidence", S.with_ctes(f"""SELECT q.qid, coalesce(h.n, 0) AS n_examples,
+  CASE WHEN h.n IS NULL THEN 'No training examples found for ' || concat_ws(', ', CASE WHEN q.pert IS NOT NULL THEN 'pert=' || q.pert END,
+       CASE WHEN q.gene IS NOT NULL THEN 'gene=' || q.gene END) || '.'
+  ELSE 'Found ' || CAST(h.n AS VARCHAR) || ' training example(s):' || chr(10) || h.lines END AS text
+FROM pair_q q LEFT JOIN (
+  SELECT q.qid, count(*) AS n, string_agg('  - pert=' || t.pert || ', gene=' || t.gene || ', label=' || t.label || ' (' || {_LD} || ')',
+         chr(10) ORDER BY t.pert, t.gene) AS lines
+  FROM pair_q q JOIN pairs t ON (q.pert IS NULL OR lower(t.pert) = lower(q.pert)) AND lower(t.gene) = lower(q.gene)
+  GROUP BY q.qid) h ON h.qid = q.qid""", "pair_q", "pairs"))
+def pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """JOI-9 + AGG-9: lookups by pert and/or gene, case-insensitive, one job."""
+    return EV.pair_evidence(_train(spark, sf), pair_queries(spark, sf))
+
+
+# ── ANN-1: annotation table derived from part ────────────────────────────
+
+def annotation(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation rows per gene symbol from ``part``: name, summary (absent
+    for some), GO terms from the type words (with repeats), KEGG entries
+    (name, id only, or neither)."""
+    p = S.table(spark, sf, "part")
+    words = F.split("p_type", " ")
+    go = F.transform(F.concat(words, words), lambda w: F.struct(F.lower(w).alias("term")))
+    kegg = F.array(
+        F.struct(F.col("p_brand").alias("id"),
+                 F.when(F.pmod("p_size", F.lit(3)) != 0, F.concat(F.lit("Pathway of "), F.col("p_brand"))).alias("name")),
+        F.struct(F.when(F.pmod("p_size", F.lit(4)) != 0, F.concat(F.lit("k"), F.col("p_size").cast("string"))).alias("id"),
+                 F.lit(None).cast("string").alias("name")),
+    )
+    return p.select(
+        F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("symbol"),
+        F.col("p_name").alias("name"),
+        F.when(F.pmod("p_size", F.lit(5)) != 0, F.concat(F.lit("Brand "), F.col("p_brand"), F.lit(", size "),
+                                                          F.col("p_size").cast("string"))).alias("summary"),
+        go.alias("go_bp"), kegg.alias("kegg"))
+
+
+S.register("annotation", None, """SELECT 'G' || CAST(p_partkey AS VARCHAR) AS symbol, p_name AS name,
+  CASE WHEN p_size % 5 <> 0 THEN 'Brand ' || p_brand || ', size ' || CAST(p_size AS VARCHAR) END AS summary,
+  list_transform(list_concat(string_split(p_type, ' '), string_split(p_type, ' ')), lambda w: lower(w)) AS terms,
+  [coalesce(CASE WHEN p_size % 3 <> 0 THEN 'Pathway of ' || p_brand END, p_brand, '?'),
+   coalesce(CASE WHEN p_size % 4 <> 0 THEN 'k' || CAST(p_size AS VARCHAR) END, '?')] AS paths
+FROM part""", [])
+
+
+@query("gene_annotation", S.with_ctes(f"""SELECT g.gene AS q, CASE WHEN a.symbol IS NULL THEN 'No results found for gene symbol ''' || g.gene || ''' in mouse.'
+  ELSE concat_ws(chr(10), 'Gene: ' || a.symbol, CASE WHEN a.name <> '' THEN 'Full name: ' || a.name END,
+    CASE WHEN a.summary <> '' THEN 'Summary: ' || a.summary END,
+    CASE WHEN len(list_slice(list_sort(list_distinct(a.terms)), 1, {EV.MAX_GO_TERMS})) > 0 THEN 'GO Biological Process ('
+      || CAST(len(list_slice(list_sort(list_distinct(a.terms)), 1, {EV.MAX_GO_TERMS})) AS VARCHAR) || ' shown): '
+      || array_to_string(list_slice(list_sort(list_distinct(a.terms)), 1, {EV.MAX_GO_TERMS}), '; ') END,
+    'KEGG Pathways: ' || array_to_string(list_slice(a.paths, 1, {EV.MAX_PATHWAYS}), '; ')) END AS text
+FROM (SELECT DISTINCT gene FROM pairs) g LEFT JOIN annotation a ON a.symbol = g.gene""", "pairs", "annotation"))
+def gene_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    """ANN-1: annotation summary for every gene in the pairs table."""
+    q = S.pairs(spark, sf).select(F.col("gene").alias("q"))
+    return EV.gene_annotation(annotation(spark, sf), q)
+
+
+# ── ANN-2: interaction edges derived from lineitem ───────────────────────
+
+def interactions(spark: SparkSession, sf: str) -> DataFrame:
+    li = S.table(spark, sf, "lineitem")
+    return li.groupBy("l_partkey", "l_suppkey").agg(F.max("l_discount").alias("score")).select(
+        F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("gene"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("partner"), "score")
+
+
+S.register("edges", None, """SELECT 'G' || CAST(l_partkey AS VARCHAR) AS gene, 'S' || CAST(l_suppkey AS VARCHAR) AS partner,
+  max(l_discount) AS score FROM lineitem GROUP BY l_partkey, l_suppkey""", [])
+
+
+@query("top_interactions", S.with_ctes(f"""SELECT q.q, CASE WHEN t.lines IS NULL
+  THEN 'No protein interactions found for ''' || q.q || ''' in mouse (STRING DB).'
+  ELSE 'Protein interactions for ' || q.q || ' (mouse, STRING DB):' || chr(10) || t.lines END AS text
+FROM (SELECT DISTINCT 'G' || CAST(p_partkey AS VARCHAR) AS q FROM part) q LEFT JOIN (
+  SELECT gene, string_agg('  - ' || partner || ' (combined score: ' || printf('%.3f', score) || ')', chr(10) ORDER BY rk) AS lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY score DESC, partner) AS rk FROM edges)
+  WHERE rk <= {EV.DEFAULT_PARTNERS} GROUP BY gene) t ON t.gene = q.q""", "edges"))
+def top_interactions(spark: SparkSession, sf: str) -> DataFrame:
+    """ANN-2: the 10 strongest partners for every part's gene symbol."""
+    q = S.table(spark, sf, "part").select(F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("q"))
+    return EV.top_interactions(interactions(spark, sf), q)

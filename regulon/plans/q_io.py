@@ -1 +1,60 @@
-"""Queries (filled in below)."""
+"""Queries: sources and sinks round-trips (SRC-1/2, SNK-1/2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import prompts as PR
+from ..session import scratch_path
+from ..sources import readers as RD
+from ..sources import sinks as SK
+from . import q_prompts as QPR
+from . import q_runs as QR
+from . import standins as S
+from .registry import ORACLE, query
+
+
+@query("read_pairs_csv", S.with_ctes("SELECT id, pert, gene, label FROM pairs", "pairs"))
+def read_pairs_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-1: pairs written as CSV (header, quoted fields) and read back with a fixed schema."""
+    path = scratch_path(spark, "pairs-csv")
+    S.pairs(spark, sf).select("id", "pert", "gene", "label").write.option("header", True).option("escape", '"').csv(path)
+    return RD.read_pairs(spark, path)
+
+
+@query("read_prompts_jsonl", S.with_ctes(f"""SELECT p.id, coalesce(o.prompt, {PR.sql_zero_shot_prompt('p.pert', 'p.gene')}) AS prompt
+FROM pairs p LEFT JOIN (SELECT id, 'Custom question about ' || id AS prompt FROM pairs WHERE fdr < {S.dbl(QPR.OVERRIDE_FDR)}) o
+USING (id)""", "pairs"))
+def read_prompts_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-2: prompts as JSONL in two batches; a later batch overrides some
+    ids (last wins by the batch order column)."""
+    path = scratch_path(spark, "prompts-jsonl") + ".jsonl"
+    p = S.pairs(spark, sf)
+    first = p.select("id", PR.zero_shot_prompt(F.col("pert"), F.col("gene")).alias("prompt"), F.lit(1).alias("ord"))
+    second = QPR.overrides(spark, sf).withColumn("ord", F.lit(2))
+    first.write.json(path)
+    second.write.mode("append").json(path)
+    return RD.read_prompts(spark, path, fmt="json", order_col="ord")
+
+
+@query("write_submission_csv", ORACLE.get("submission_track_a"))
+def write_submission_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1: the track-A submission written as CSV and read back unchanged."""
+    sub = QR.submission_track_a(spark, sf)
+    path = scratch_path(spark, "submission-csv")
+    SK.write_submission(sub, path)
+    return (spark.read.schema(sub.schema).option("header", True).option("multiLine", True)
+            .option("escape", '"').csv(path))
+
+
+@query("append_responses", S.with_ctes(
+    "SELECT id, seed, text, prediction_up, prediction_down FROM stored", "stored"))
+def append_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-2: scored rows appended to a Parquet store one batch per seed, then
+    read back as one table (latest batch per key)."""
+    path = scratch_path(spark, "responses-store")
+    st = QR.stored(spark, sf).select("id", "seed", "text", "prediction_up", "prediction_down")
+    for i, seed in enumerate(S.SEEDS):
+        SK.append_responses(st.where(F.col("seed") == seed).withColumn("batch", F.lit(i)), path)
+    return SK.latest_responses(spark.read.parquet(path)).select("id", "seed", "text", "prediction_up", "prediction_down")

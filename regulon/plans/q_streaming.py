@@ -1 +1,64 @@
-"""Queries (filled in below)."""
+"""Queries: streaming jobs (STR-1..3) run to completion with ``availableNow``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parsing as P
+from ..session import scratch_path
+from ..streaming import jobs as J
+from . import q_cells as QC
+from . import standins as S
+from .registry import query
+
+N_CHUNKS = 4
+
+
+def _stage(df: DataFrame, path: str, key: str) -> None:
+    """Write the input as several files so the stream sees several batches."""
+    df.repartition(N_CHUNKS, key).write.parquet(path)
+
+
+@query("stream_cells", S.with_ctes(f"""SELECT cell_id, rank, token, expr FROM (
+  SELECT cell_id, token, expr, row_number() OVER (PARTITION BY cell_id ORDER BY expr DESC, token) AS rank
+  FROM entries WHERE token >= {QC.TOKEN_OFFSET + 1}) WHERE rank <= 10""", "entries"))
+def stream_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-1: cells arrive as a file stream; each batch yields every cell's
+    top-10 known tokens (stateless, within the row)."""
+    src, out, ck = (scratch_path(spark, n) for n in ("cells-in", "cells-out", "cells-ck"))
+    cells = QC.cells(spark, sf).select("cell_id", "genes", "expressions")
+    _stage(cells, src, "cell_id")
+    s = J.stream_parquet(spark, src, cells.schema)
+    J.run_to_parquet(J.top_genes_in_row(s, 10, QC.TOKEN_OFFSET + 1), out, ck)
+    return spark.read.parquet(out)
+
+
+S.register("conv_parsed", None, f"""SELECT conv_id, turn, {P.sql_parse_label(P.sql_answer_source('text'))} AS parsed_label
+FROM conversations""", [])
+
+
+@query("ingest_responses", S.with_ctes(f"""SELECT conv_id, turn, parsed_label,
+  {P.sql_label_to_pred('parsed_label', 'up')} AS prediction_up,
+  {P.sql_label_to_pred('parsed_label', 'down')} AS prediction_down FROM conv_parsed""", "conv_parsed"))
+def ingest_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-2: conversation turns streamed twice (a replayed file) are parsed
+    and stored once per (conv_id, turn)."""
+    src, out, ck = (scratch_path(spark, n) for n in ("conv-in", "conv-out", "conv-ck"))
+    conv = S.table(spark, sf, "conversations")
+    _stage(conv, src, "conv_id")
+    conv.where(F.col("role") == "assistant").write.mode("append").parquet(src)  # replayed rows
+    s = J.stream_parquet(spark, src, conv.schema)
+    J.run_to_parquet(J.ingest_responses(s), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_progress", "SELECT role, count(*) AS n FROM conversations GROUP BY role")
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-3: running counts over the stream (complete mode, final state)."""
+    src, out, ck = (scratch_path(spark, n) for n in ("prog-in", "prog-out", "prog-ck"))
+    conv = S.table(spark, sf, "conversations")
+    _stage(conv, src, "conv_id")
+    s = J.stream_parquet(spark, src, conv.schema)
+    J.run_to_parquet(J.progress_counts(s), out, ck, mode="complete")
+    return spark.read.parquet(out)
