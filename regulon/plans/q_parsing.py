@@ -271,7 +271,7 @@ FROM lp_rows r LEFT JOIN lp_hit h USING (rk)""", ["lp_rows", "lp_hit"])
 
 def lp_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = logprob_rows(spark, sf)
-    return rows.select("id", "text", L.logprob_prediction(F.col("logprobs")).alias("p")).select("id", "text", "p.*")
+    return L.logprob_predictions(rows).select("id", "text", "lp_up", "lp_down")
 
 
 @query("logprob_predictions", S.with_ctes(
