@@ -67,7 +67,7 @@ def read_response_cache(spark: SparkSession, path: str, seeds=(42, 43, 44)) -> D
     """
     schema = f"id string, seed int, prediction_up double, prediction_down double, reasoning_trace string, effect string"
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
     except Exception:  # noqa: BLE001 - missing path -> empty cache
         return spark.createDataFrame([], schema)
     doc = raw.select(F.from_json("value", f"struct<rows:map<string,{RESPONSE_ROW}>>").alias("d"))
