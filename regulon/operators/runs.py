@@ -31,18 +31,33 @@ def pending_work(expected: DataFrame, stored: DataFrame, keys: list[str] = ["id"
     return expected.join(stored.select(*keys), keys, "left_anti")
 
 
-def _pivot(long: DataFrame, keys: list[str], values: dict[str, str], seeds: list[int]) -> DataFrame:
+def _pivot(long: DataFrame, keys: list[str], values: dict[str, str], seeds: list[int],
+           extra_aggs: list | None = None) -> DataFrame:
     """One column per (value, seed) via conditional aggregation.
 
     ``first(when(seed = s, v), ignorenulls)`` is ``pivot(seed, seeds)`` written
     out, so it needs no distinct-values pass and keeps a missing seed null.
+    Numeric values aggregate in a hash aggregate; string values are gathered
+    as one bounded list per key (at most one entry per seed) so the aggregate
+    stays hash-based instead of falling back to a sort.
     """
+    types = dict(long.dtypes)
+    num = {d: c for d, c in values.items() if types[c] != "string"}
+    txt = {d: c for d, c in values.items() if types[c] == "string"}
     aggs = [
         F.first(F.when(F.col("seed") == s, F.col(src)), ignorenulls=True).alias(f"{dst}_seed{s}")
-        for dst, src in values.items()
+        for dst, src in num.items()
         for s in seeds
     ]
-    return long.groupBy(*keys).agg(*aggs)
+    if txt:
+        aggs.append(F.collect_list(F.struct(F.col("seed").alias("s"), *[F.col(c).alias(d) for d, c in txt.items()])).alias("_txt"))
+    out = long.groupBy(*keys).agg(*aggs, *(extra_aggs or []))
+    if txt:
+        for d in txt:
+            for s in seeds:
+                out = out.withColumn(f"{d}_seed{s}", F.get(F.filter("_txt", lambda x: x["s"] == s), 0)[d])
+        out = out.drop("_txt")
+    return out
 
 
 def seed_ensemble(
@@ -96,10 +111,10 @@ def assemble_track_a(test: DataFrame, results: DataFrame, model_name: str, seeds
     ``test`` holds ``on`` + ``prompt_tokens``; ``results`` is the long table
     ``on + [seed, prediction_up, prediction_down, text, total_tokens]``.
     """
+    tokens = F.coalesce(F.sum(F.col("total_tokens").cast("long")), F.lit(0)).alias("tokens_used")
     wide = _pivot(results, on, {"prediction_up": "prediction_up", "prediction_down": "prediction_down",
-                                "reasoning_trace": "text"}, seeds)
-    tok = row_tokens(results, on)
-    j = test.join(wide, on, "left").join(tok, on, "left")
+                                "reasoning_trace": "text"}, seeds, extra_aggs=[tokens])
+    j = test.join(wide, on, "left")
     cols = [*on]
     for side, d in (("up", DEFAULT_UP), ("down", DEFAULT_DOWN)):
         for s in seeds:
