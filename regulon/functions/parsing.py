@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import JAVA_FLAGS_IM, RE2_FLAGS_IM, WS, is_blank, portable, sql_strip, strip
+from .text import JAVA_FLAGS_IM, RE2_FLAGS_IM, WS, is_blank, portable, rstrip, sql_strip, strip
 
 # ── Fixed values (must equal the reference for equal results) ─────────────
 # Pattern classes, searched case-insensitively and per line.
@@ -86,13 +86,14 @@ def answer_portion(text: Column) -> Column:
     """PRS-4: text after the last ``[Final ]Answer:``; else last non-blank line.
 
     The last split point is found by one greedy ``regexp_extract`` (its
-    pattern is compiled once per task); ``split`` with a regex would compile
-    its pattern on every row.
+    pattern is compiled once per task; ``split`` with a regex would compile it
+    on every row). The last non-blank line is the last line of the
+    right-stripped text, stripped: no per-line array work.
     """
-    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != F.lit(""))
+    last_line = strip(F.substring_index(rstrip(text), "\n", -1))
     return (
         F.when(text.rlike(HAS_SPLIT), strip(F.regexp_extract(text, AFTER_LAST_SPLIT, 1)))
-        .when(F.size(lines) > 0, F.element_at(lines, -1))
+        .when(last_line != F.lit(""), last_line)
         .otherwise(text)
     )
 

@@ -12,7 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The code points for which Python's str.isspace() is true.
-WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_RANGES = [(0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+             (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+WS = "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b != a else "") for a, b in WS_RANGES) + "]"
+WS_CHARS = "".join(chr(c) for a, b in WS_RANGES for c in range(a, b + 1))
 # Python's \w on str: letters, numbers, underscore.
 NOT_WORD = r"[^\pL\pN_]"
 
@@ -56,13 +59,13 @@ def portable(pattern: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    """Python ``str.strip()`` (native trim of the whitespace set, no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
     """Python ``str.rstrip()``."""
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def sql_strip(expr: str) -> str:
