@@ -107,6 +107,10 @@ def negative_pairs(pairs: DataFrame, positives: DataFrame | None = None, salts:
     """
     if positives is None:
         positives = positive_pairs(pairs)
+    # positives and the first-pass negatives are read by several branches and
+    # hold at most TOP_DEGS rows per perturbation: checkpoint them once
+    # (reliable, shared folder) instead of re-deriving them per branch.
+    positives = positives.select("pert", "gene").checkpoint(eager=True)
     kept = two_axis_split(pairs).join(eligible_perts(pairs).select("pert"), "pert", "left_semi")
     cand = kept.where((F.col("label") == "none") & (F.abs(F.col("lfc")) < NEG_ABS_LFC_MAX)).withColumn(
         "_h", F.md5(F.col("id"))
@@ -115,6 +119,7 @@ def negative_pairs(pairs: DataFrame, positives: DataFrame | None = None, salts:
     salt = F.xxhash64("id")
     pos_gene = positives.groupBy("gene").agg(F.count(F.lit(1)).alias("_k"))
     pass1 = top_k_by_column(cand.join(pos_gene, "gene"), ["gene"], order, "_k", salt, salts).drop("_k", "rank")
+    pass1 = pass1.checkpoint(eager=True)
     pos_pert = positives.groupBy("pert").agg(F.count(F.lit(1)).alias("_np"))
     got_pert = pass1.groupBy("pert").agg(F.count(F.lit(1)).alias("_ng"))
     deficit = (
