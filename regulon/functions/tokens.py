@@ -1,0 +1,48 @@
+"""UDF-2: pluggable token counting.
+
+The default is native (``char_length // 4``, code points as in Python). A
+tokenizer, when one can be loaded on the executors, runs as an Arrow-batched
+``pandas_udf`` (one encoder per worker process, reused across batches).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .prompts import prompt_tokens
+
+
+def _load_encoder(name: str) -> Callable[[str], int] | None:
+    try:
+        import tiktoken
+
+        enc = tiktoken.get_encoding(name)
+        return lambda s: len(enc.encode(s))
+    except Exception:  # noqa: BLE001 - no encoder files available offline
+        return None
+
+
+def tokenizer_available(name: str = "cl100k_base") -> bool:
+    return _load_encoder(name) is not None
+
+
+def token_counter(name: str = "cl100k_base") -> Callable[[Column], Column]:
+    """A column function counting tokens with ``name`` if it loads on the
+    driver, else the native fallback (same rule as the reference)."""
+    if not tokenizer_available(name):
+        return prompt_tokens
+    cache: dict[str, Callable[[str], int]] = {}
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        fn = cache.get(name)
+        if fn is None:
+            fn = _load_encoder(name) or (lambda s: len(s) // 4)
+            cache[name] = fn
+        return texts.map(lambda s: None if s is None else fn(s)).astype("Int32")
+
+    return count
