@@ -65,15 +65,18 @@ def seed_ensemble(
     keys: list[str] = ["id"],
     seeds: list[int] = SEEDS,
     extra: dict[str, str] | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """AGG-1: per-seed predictions and their mean over ``seeds``.
 
     A missing seed counts as the default 0.333; the mean adds the seed columns
-    left to right in seed order (exact float ties matter to AUROC).
+    left to right in seed order (exact float ties matter to AUROC). ``carry``
+    columns depend on ``keys`` alone and ride along (``any_value``), so the
+    output stays hash-partitioned on exactly ``keys`` for a following join.
     """
     values = {"prediction_up": "prediction_up", "prediction_down": "prediction_down"}
     values.update(extra or {})
-    wide = _pivot(parsed, keys, values, seeds)
+    wide = _pivot(parsed, keys, values, seeds, extra_aggs=[F.any_value(c).alias(c) for c in (carry or [])])
     for side, default in (("up", DEFAULT_UP), ("down", DEFAULT_DOWN)):
         cols = [F.coalesce(F.col(f"prediction_{side}_seed{s}"), F.lit(default)) for s in seeds]
         total = cols[0]
