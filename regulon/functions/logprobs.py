@@ -44,7 +44,9 @@ def normalize_candidates(top: Column) -> Column:
 def letter_position(lp: Column) -> Column:
     """0-based code-point offset of the first answer-tag letter in the
     concatenated token texts, or null when there is no tag."""
-    joined = F.array_join(F.transform(lp, lambda x: F.coalesce(x["token"], F.lit(""))), "")
+    # the token field of every element (a codegen'd extraction, no lambda);
+    # array_join skips null tokens, i.e. treats them as empty
+    joined = F.array_join(lp["token"], "")
     return F.when(joined.rlike(TAG_REGEX), F.char_length(F.regexp_extract(joined, PREFIX_REGEX, 1)))
 
 
@@ -67,6 +69,37 @@ def token_at(lp: Column, pos: Column) -> Column:
     return F.when(pos.isNotNull() & (idx >= 0), idx)
 
 
+SEP = "\u0001"
+_S = r"\x{1}*"
+_SW = r"(?:\x{1}|" + WS + r")*"
+
+
+def _spaced(literal: str) -> str:
+    """``literal`` with token separators allowed between its characters."""
+    return _S.join(literal)
+
+
+# the answer tag in the separator-joined tokens: prefix up to the letter
+PREFIX_SEP_REGEX = (r"(?s)\A(.*?" + _spaced("<answer>") + _SW + r")[ABCabc]" + _SW + _spaced("</answer>"))
+
+
+def answer_token_index_sep(lp: Column) -> Column:
+    """Token index of the answer letter with string functions only.
+
+    Tokens are joined with a separator; the tag is matched with separators
+    allowed anywhere, and the separators before the letter count the tokens
+    before it (empty tokens included). Exact when no token contains the
+    separator; rows where one does use :func:`answer_token_index`.
+    """
+    toks = lp["token"]
+    j2 = F.array_join(toks, SEP, "")
+    prefix = F.regexp_extract(j2, PREFIX_SEP_REGEX, 1)
+    clean = F.instr(F.array_join(toks, ""), SEP) == 0
+    found = j2.rlike(PREFIX_SEP_REGEX)
+    idx = F.char_length(prefix) - F.char_length(F.replace(prefix, F.lit(SEP), F.lit("")))
+    return F.when(~clean, answer_token_index(lp)).when(found, idx)
+
+
 def answer_token_index(lp: Column) -> Column:
     """0-based index of the token holding the answer letter, or null."""
     return token_at(lp, letter_position(lp))
@@ -103,8 +136,7 @@ def logprob_predictions(df, lp_col: str = "logprobs"):
     apart and the per-row ``aggregate`` runs exactly once.
     """
     lp = F.col(lp_col)
-    out = df.withColumn("_pos", letter_position(lp))
-    out = out.withColumn("_idx", token_at(lp, F.col("_pos")))
+    out = df.withColumn("_idx", answer_token_index_sep(lp))
     out = out.withColumn("_top", normalize_candidates(F.coalesce(
         F.get(lp, F.col("_idx"))["top_logprobs"], F.array().cast("array<struct<token:string,logprob:double>>"))))
     out = out.select("*", *[_letter_lp(F.col("_top"), x, normalized=True).alias(f"_l{x}") for x in "ABC"])
@@ -118,7 +150,7 @@ def logprob_predictions(df, lp_col: str = "logprobs"):
     out = out.withColumn("_ok", ok).withColumn("_tot", total)
     out = out.withColumn("lp_up", F.when(F.col("_ok"), F.col("_eA") / F.col("_tot"))).withColumn(
         "lp_down", F.when(F.col("_ok"), F.col("_eB") / F.col("_tot")))
-    return out.drop("_pos", "_idx", "_top", "_lA", "_lB", "_lC", "_min", "_mA", "_mB", "_mC", "_max",
+    return out.drop("_idx", "_top", "_lA", "_lB", "_lC", "_min", "_mA", "_mB", "_mC", "_max",
                     "_eA", "_eB", "_eC", "_ok", "_tot")
 
 

@@ -59,3 +59,27 @@ def test_completion_fields_and_think(spark):
     assert got[1]["text"] == "r\n\n<think> plan </think>  <answer>B</answer>"
     assert got[1]["s"]["reasoning_trace"] == "plan" and got[1]["s"]["response_trace"] == "<answer>B</answer>"
     assert got[2]["text"] == "" and got[2]["total_tokens"] == 0.0
+
+
+def test_separator_index_equals_aggregate_index(spark):
+    import random
+
+    rnd = random.Random(11)
+
+    def stream():
+        text = rnd.choice(["", "Let me think. ", "é\n", "\u0001x "])
+        if rnd.random() < 0.8:
+            text += "<answer>" + rnd.choice(["", " ", "\n"]) + rnd.choice("ABCabcx") + rnd.choice(["", " "]) + "</answer>"
+        text += rnd.choice(["", " done", "<answer>C</answer>"])
+        cuts = sorted(rnd.sample(range(len(text) + 1), min(len(text) + 1, rnd.randint(0, 6))))
+        parts = [text[a:b] for a, b in zip([0] + cuts, cuts + [len(text)])]
+        if rnd.random() < 0.3:
+            parts.insert(rnd.randint(0, len(parts)), "")
+        return [tok(p) for p in parts]
+
+    streams = [stream() for _ in range(400)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(streams)], f"i int, logprobs {L.LOGPROBS}")
+    rows = df.select("i", L.answer_token_index_sep(F.col("logprobs")).alias("a"),
+                     L.answer_token_index(F.col("logprobs")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+    assert sum(r["a"] is not None for r in rows) > 100
