@@ -145,7 +145,8 @@ def score_components(merged: DataFrame, keys: list[str] | None = None) -> DataFr
     return merged.select(*keys, F.inline(comps))
 
 
-def de_dir_score(merged: DataFrame, keys: list[str] | None = None, num_buckets: int = 256) -> DataFrame:
+def de_dir_score(merged: DataFrame, keys: list[str] | None = None, num_buckets: int = 256,
+                 track: str = "generic") -> DataFrame:
     """AGG-4: DE and DIR AUROC and their mean, per group of ``keys``.
 
     ``merged`` holds ``label, prediction_up, prediction_down`` (after JOI-1).
@@ -160,10 +161,10 @@ def de_dir_score(merged: DataFrame, keys: list[str] | None = None, num_buckets:
         F.min(F.when(F.col("component") == "dir", F.least("n_pos", "n_neg"))).alias("_dir_min"),
     )
     de = F.when(F.coalesce(F.col("_de_min"), F.lit(0)) == 0,
-                F.raise_error(F.lit("All rows have the same DE label. Cannot compute DE AUROC."))
+                F.raise_error(F.lit(ONE_CLASS_DE["generic" if track == "generic" else "track"]))
                 ).otherwise(F.col("de_auroc"))
     dr = F.when(F.coalesce(F.col("_dir_min"), F.lit(0)) == 0,
-                F.raise_error(F.lit("All DE-positive rows have the same direction label. Cannot compute DIR AUROC."))
+                F.raise_error(F.lit(ONE_CLASS_DIR["generic" if track == "generic" else "track"]))
                 ).otherwise(F.col("dir_auroc"))
     return r.select(*keys, de.cast("double").alias("de_auroc"), dr.cast("double").alias("dir_auroc")).withColumn(
         "score", (F.col("de_auroc") + F.col("dir_auroc")) / F.lit(2.0)
@@ -186,14 +187,15 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in present]
 
 
-def validation_counts(merged: DataFrame, submission: DataFrame | None = None, on: str = "id") -> DataFrame:
+def validation_counts(merged: DataFrame, submission: DataFrame | None = None, on: str = "id",
+                      cols: tuple[str, ...] | list[str] = ("prediction_up", "prediction_down")) -> DataFrame:
     """AGG-10: one row of counts (one action) for the prediction checks.
 
     ``merged`` is the solution LEFT JOIN submission. Duplicate submission ids
     (ours) are counted with a separate aggregate on ``submission``.
     """
     aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for c in ("prediction_up", "prediction_down"):
+    for c in cols:
         x = F.col(c)
         aggs += [
             F.count_if(x.isNull()).alias(f"n_null_{c}"),
@@ -206,38 +208,59 @@ def validation_counts(merged: DataFrame, submission: DataFrame | None = None, on
     return out
 
 
+# Messages whose wording differs between the generic metric
+# and the three track metrics.
+NAN_MSG = {"generic": "Submission contains NaN or Inf in '{col}'.",
+           "track": "Submission contains NaN or Inf in {col}."}
+ONE_CLASS_DE = {"generic": "All rows have the same DE label. Cannot compute DE AUROC.",
+                "track": "All rows have the same DE label."}
+ONE_CLASS_DIR = {"generic": "All DE-positive rows have the same direction label. Cannot compute DIR AUROC.",
+                 "track": "All DE-positive rows have the same direction."}
+TRACK_REQUIRED = {"generic": [], "a": REQUIRED_TRACK_A, "b": REQUIRED_TRACK_B, "c": REQUIRED_TRACK_C}
+
+
 def check_submission(
     solution: DataFrame,
     submission: DataFrame,
     on: str = "id",
+    track: str = "generic",
     required: list[str] | None = None,
-    limits: bool | str = False,
 ) -> DataFrame:
     """Run the metric's checks in the metric's order; return the merged table.
 
-    Order: required columns, per-row caps, nulls, NaN/inf. Class checks happen
-    lazily inside :func:`de_dir_score`.
+    generic: left join, then per prediction column: present, no nulls, no
+    NaN/inf. Tracks a/b/c: required columns before the join, then the track's
+    per-row caps (a: prompt tokens; b: tool calls, prompt tokens, distinct
+    tools), then presence and nulls per column, then NaN/inf per column.
+    One action for the caps and one for the counts; class checks happen
+    lazily in :func:`de_dir_score`.
     """
-    miss = missing_columns(submission, required or [])
+    req = list(required) if required is not None else TRACK_REQUIRED[track]
+    miss = missing_columns(submission, req)
     if miss:
         raise SubmissionError(
             f"Submission is missing required column(s): {', '.join(miss)}. "
             "See the sample submission file for the expected format."
         )
     merged = score_join(solution, submission, on)
-    if limits:
-        row = check_limits(merged, on=on, track=limits if isinstance(limits, str) else "b").first()
+    if track in ("a", "b"):
+        row = check_limits(merged, on=on, track=track).first()
         if row["error"]:
             raise SubmissionError(row["error"])
-    for c in ("prediction_up", "prediction_down"):
+    cols = ("prediction_up", "prediction_down")
+    present = [c for c in cols if c in merged.columns]
+    v = validation_counts(merged, cols=present).first() if present else None
+    style = "generic" if track == "generic" else "track"
+    for c in cols:
         if c not in merged.columns:
             raise SubmissionError(f"Submission is missing required column '{c}'.")
-    v = validation_counts(merged).first()
-    for c in ("prediction_up", "prediction_down"):
         if v[f"n_null_{c}"]:
             raise SubmissionError(f"Submission is missing {c} values for {v[f'n_null_{c}']} rows.")
+        if style == "generic" and v[f"n_nan_inf_{c}"]:
+            raise SubmissionError(NAN_MSG[style].format(col=c))
+    for c in cols if style == "track" else ():
         if v[f"n_nan_inf_{c}"]:
-            raise SubmissionError(f"Submission contains NaN or Inf in '{c}'.")
+            raise SubmissionError(NAN_MSG[style].format(col=c))
     return merged
 
 
@@ -260,8 +283,8 @@ def check_limits(merged: DataFrame, on: str = "id", track: str = "b", first_n: i
         agg = base.agg(F.max("pt").alias("max_prompt_tokens"),
                        F.count_if(F.col("pt") > MAX_PROMPT_TOKENS_A).alias("n_prompt_violations"))
         err = F.when(F.col("max_prompt_tokens") > MAX_PROMPT_TOKENS_A, F.format_string(
-            "Prompt-token limit exceeded: max %d, but found %d.", F.lit(MAX_PROMPT_TOKENS_A),
-            F.col("max_prompt_tokens").cast("long")))
+            "Prompt-token limit exceeded: max %,d, but submission reports %,d. Shorten your prompt template.",
+            F.lit(MAX_PROMPT_TOKENS_A), F.col("max_prompt_tokens").cast("long")))
         return agg.withColumn("error", err)
     tc = numeric_or_zero(F.col("num_tool_calls"))
     pt = numeric_or_zero(F.col("prompt_tokens"))

@@ -24,7 +24,7 @@ def test_metric_golden(spark):
     sub = spark.createDataFrame(list(zip(["A_X", "A_Y", "B_X", "B_Y", "C_X", "C_Y"],
                                          [0.9, 0.1, 0.1, 0.0, 0.8, 0.1], [0.0, 0.0, 0.8, 0.1, 0.1, 0.9])),
                                 "id string, prediction_up double, prediction_down double")
-    merged = SC.check_submission(sol, sub, required=SC.REQUIRED_MINIMAL)
+    merged = SC.check_submission(sol, sub)
     assert SC.de_dir_score(merged).first()["score"] == 1.0
 
 
@@ -60,8 +60,14 @@ def test_one_class_raises(spark):
 def test_missing_columns_and_nulls(spark):
     sol = spark.createDataFrame([("a", "up"), ("b", "none")], "id string, label string")
     sub = spark.createDataFrame([("a", 0.5, 0.1)], "id string, prediction_up double, prediction_down double")
-    with pytest.raises(SC.SubmissionError, match="missing required column"):
-        SC.check_submission(sol, sub.drop("prediction_down"), required=SC.REQUIRED_MINIMAL)
+    full = spark.createDataFrame([("a", 0.5, 0.1), ("b", 0.2, 0.1)], "id string, prediction_up double, prediction_down double")
+    with pytest.raises(SC.SubmissionError, match="missing required column 'prediction_down'"):
+        SC.check_submission(sol, full.drop("prediction_down"))
+    # per-column order: prediction_up's null count fails before prediction_down is looked for
+    with pytest.raises(SC.SubmissionError, match="missing prediction_up values for 1 rows"):
+        SC.check_submission(sol, sub.drop("prediction_down"))
+    with pytest.raises(SC.SubmissionError, match="missing required column\\(s\\): reasoning_trace, tokens_used, model_name"):
+        SC.check_submission(sol, sub, track="c")
     with pytest.raises(SC.SubmissionError, match="missing prediction_up values for 1 rows"):
         SC.check_submission(sol, sub)
 
@@ -69,8 +75,21 @@ def test_missing_columns_and_nulls(spark):
 def test_nan_rejected(spark):
     sol = spark.createDataFrame([("a", "up")], "id string, label string")
     sub = spark.createDataFrame([("a", float("nan"), 0.1)], "id string, prediction_up double, prediction_down double")
-    with pytest.raises(SC.SubmissionError, match="NaN or Inf"):
+    with pytest.raises(SC.SubmissionError, match="NaN or Inf in 'prediction_up'"):
         SC.check_submission(sol, sub)
+    sub_c = sub.withColumn("reasoning_trace", F.lit("")).withColumn("tokens_used", F.lit(0)).withColumn("model_name", F.lit("m"))
+    with pytest.raises(SC.SubmissionError, match=r"NaN or Inf in prediction_up\.$"):
+        SC.check_submission(sol, sub_c, track="c")
+
+
+def test_track_a_prompt_limit(spark):
+    sol = spark.createDataFrame([("a", "up")], "id string, label string")
+    cols = {c: F.lit("x") for c in SC.REQUIRED_TRACK_A if c not in ("id", "prompt_tokens")}
+    sub = spark.createDataFrame([("a", "5000")], "id string, prompt_tokens string")
+    for c, v in cols.items():
+        sub = sub.withColumn(c, v)
+    with pytest.raises(SC.SubmissionError, match="max 4,096, but submission reports 5,000"):
+        SC.check_submission(sol, sub, track="a")
 
 
 def test_tool_call_limit_names_rows(spark):
