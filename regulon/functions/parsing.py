@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import JAVA_FLAGS_IM, RE2_FLAGS_IM, WS, is_blank, portable, rstrip, sql_strip, strip
+from .text import JAVA_FLAGS_IM, RE2_FLAGS_IM, is_blank, portable, rstrip, sql_strip, strip
 
 # ── Fixed values (must equal the reference for equal results) ─────────────
 # Pattern classes, searched case-insensitively and per line.
@@ -256,7 +256,6 @@ def sql_argmax_label(up: str, down: str) -> str:
 
 
 __all__ = [
-    "WS",
     "answer_tag",
     "answer_portion",
     "pattern_flags",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import completions as C
 from ..functions import logprobs as L
 from ..functions import parsing as P
 from ..functions import traces as T
-from ..functions.text import WS, sql_strip
+from ..functions.text import sql_strip
 from . import standins as S
 from .registry import query
 
