@@ -91,7 +91,7 @@ def resolved_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("tagged_prompt_tokens", S.with_ctes(f"""SELECT id, CAST(floor(length(t) / 4) AS INTEGER) AS prompt_tokens,
-  length(t) AS n_chars, right(t, 40) AS tail
+  length(t) AS n_chars, t AS tagged_prompt
 FROM (SELECT id, {PR.sql_append_answer_tag(_ZERO)} AS t FROM pairs)""", "pairs"))
 def tagged_prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """PRJ-6 + PRJ-7: answer-format instruction appended; token count = chars // 4."""
@@ -99,7 +99,7 @@ def tagged_prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
     t = PR.append_answer_tag(PR.zero_shot_prompt(F.col("pert"), F.col("gene")))
     x = p.select("id", t.alias("t"))
     return x.select("id", PR.prompt_tokens(F.col("t")).alias("prompt_tokens"),
-                    F.char_length("t").alias("n_chars"), F.right("t", F.lit(40)).alias("tail"))
+                    F.char_length("t").alias("n_chars"), F.col("t").alias("tagged_prompt"))
 
 
 @query("chat_examples", S.with_ctes(f"""SELECT id, 3 AS n_messages, {sql_literal(PR.CHAT_SYSTEM)} AS system,

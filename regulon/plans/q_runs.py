@@ -188,15 +188,16 @@ _C_SRC = f"coalesce({P.sql_answer_tag('text')}, response_trace)"
 
 
 @query("submission_track_c", S.with_ctes(f"""SELECT c.id,
-  CASE WHEN c.conv_id % 5 <> 0 THEN {P.sql_label_to_pred(P.sql_parse_label(_C_SRC), 'up')} ELSE CAST(0.333 AS DOUBLE) END AS prediction_up,
-  CASE WHEN c.conv_id % 5 <> 0 THEN {P.sql_label_to_pred(P.sql_parse_label(_C_SRC), 'down')} ELSE CAST(0.333 AS DOUBLE) END AS prediction_down,
-  CASE WHEN c.conv_id % 5 <> 0 THEN coalesce(nullif(CASE WHEN reasoning_trace <> '' THEN '<think>' || chr(10) || reasoning_trace
+  CASE WHEN c.tokens_used > 0 THEN {P.sql_label_to_pred(P.sql_parse_label(_C_SRC), 'up')} ELSE CAST(0.333 AS DOUBLE) END AS prediction_up,
+  CASE WHEN c.tokens_used > 0 THEN {P.sql_label_to_pred(P.sql_parse_label(_C_SRC), 'down')} ELSE CAST(0.333 AS DOUBLE) END AS prediction_down,
+  CASE WHEN c.tokens_used > 0 THEN coalesce(nullif(CASE WHEN reasoning_trace <> '' THEN '<think>' || chr(10) || reasoning_trace
        || chr(10) || '</think>' || chr(10) || response_trace ELSE response_trace END, ''), '{C.MISSING_TRACE_C}')
        ELSE '{C.MISSING_TRACE_C}' END AS reasoning_trace,
-  CASE WHEN c.conv_id % 5 <> 0 THEN CAST(tokens_used AS INTEGER) ELSE 0 END AS tokens_used, '{MODEL}' AS model_name
+  CASE WHEN c.tokens_used > 0 THEN CAST(tokens_used AS INTEGER) ELSE 0 END AS tokens_used, '{MODEL}' AS model_name
 FROM c_rows c""", "c_rows"))
 def submission_track_c(spark: SparkSession, sf: str) -> DataFrame:
-    """JOI-6 (C): one completion per row (rows whose call failed get defaults)."""
+    """JOI-6 (C): one completion per row; a completion that reported no token
+    usage counts as a failed call, so its row gets the defaults."""
     comp = QP.completions(spark, sf)
     f = C.completion_fields(F.col("json"))
     rows = comp.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
@@ -205,7 +206,7 @@ def submission_track_c(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.select("id", "conv_id", F.col("f.text").alias("text"), sp.alias("s"),
                        F.col("f.total_tokens").alias("tokens_used"))
     rows = rows.withColumn("source", F.coalesce(P.answer_tag(F.col("text")), F.col("s.response_trace")))
-    res = P.parse_answers(rows, "source").where(F.pmod("conv_id", F.lit(5)) != 0).select(
+    res = P.parse_answers(rows, "source").where(F.col("tokens_used") > 0).select(
         "id", "prediction_up", "prediction_down",
         C.assemble_trace(F.col("s.reasoning_trace"), F.col("s.response_trace")).alias("reasoning_trace"),
         "tokens_used", F.lit(None).cast("string").alias("model_name"))

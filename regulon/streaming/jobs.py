@@ -28,14 +28,21 @@ def top_genes_in_row(cells: DataFrame, k: int = 10, min_token: int = 3) -> DataF
         "cell_id", (F.col("pos") + 1).alias("rank"), F.col("e.token").alias("token"), F.col("e.expr").alias("expr"))
 
 
-def ingest_responses(stream: DataFrame, keys=("conv_id", "turn"), text: str = "text") -> DataFrame:
+def ingest_responses(stream: DataFrame, keys=("conv_id", "turn"), text: str = "text",
+                     event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """STR-2: parse each arriving response and drop replays of a key.
 
-    ``dropDuplicates`` keeps one row per key in state (grows with keys); with
-    an arrival-time column, ``dropDuplicatesWithinWatermark`` bounds it.
+    Without ``event_time`` the dedup state holds every key seen (exact, grows
+    with keys). With an arrival-time column the state is bounded by the
+    watermark (``dropDuplicatesWithinWatermark``): replays later than
+    ``delay`` are no longer recognised.
     """
     parsed = P.parse_answers(stream.withColumn("source", P.answer_source(F.col(text))), "source")
-    return parsed.dropDuplicates(list(keys)).select(*keys, "parsed_label", "prediction_up", "prediction_down")
+    if event_time is None:
+        deduped = parsed.dropDuplicates(list(keys))
+    else:
+        deduped = parsed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return deduped.select(*keys, "parsed_label", "prediction_up", "prediction_down")
 
 
 def progress_counts(stream: DataFrame, by=("role",)) -> DataFrame:
