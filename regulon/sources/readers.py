@@ -37,13 +37,12 @@ def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, order_c
     missing = [c for c in PROMPTS_REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"{path} is missing required column(s): {set(missing)}. Expected columns: id, prompt")
+    has_order = bool(order_col) and order_col in df.columns
+    order = F.col(order_col).cast("string").try_cast("long") if has_order else None
     df = df.select(F.col("id").cast("string").alias("id"), F.col("prompt").cast("string").alias("prompt"),
-                   *([F.col(order_col)] if order_col and order_col in df.columns else []),
-                   F.input_file_name().alias("_file"))
-    if order_col and order_col in df.columns:
-        key = F.struct(F.col("_file"), F.col(order_col))
-    else:
-        key = F.col("_file")
+                   *([order.alias("_ord")] if has_order else []), F.input_file_name().alias("_file"))
+    # the explicit order decides; the file name only breaks ties
+    key = F.struct(F.col("_ord"), F.col("_file")) if has_order else F.col("_file")
     return df.groupBy("id").agg(F.max_by("prompt", key).alias("prompt"))
 
 

@@ -43,3 +43,13 @@ def test_append_store_latest(spark):
     SK.append_responses(spark.createDataFrame([("a", 42, "y", 1)], "id string, seed int, text string, batch int"), path)
     r = SK.latest_responses(spark.read.parquet(path)).collect()
     assert len(r) == 1 and r[0]["text"] == "y"
+
+
+def test_read_prompts_order_beats_file_name(spark, tmp_path):
+    d = tmp_path / "prompts"
+    d.mkdir()
+    (d / "z-first.csv").write_text('id,prompt,ord\n1,old,1\n')
+    (d / "a-second.csv").write_text('id,prompt,ord\n1,new,10\n')
+    (d / "m-third.csv").write_text('id,prompt,ord\n1,mid,9\n')
+    got = {r["id"]: r["prompt"] for r in RD.read_prompts(spark, str(d), fmt="csv").collect()}
+    assert got == {"1": "new"}
