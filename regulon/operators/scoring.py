@@ -55,12 +55,15 @@ def auroc(
     num_buckets: int = 256,
     accuracy: int = 10000,
     materialize: bool = True,
+    single_window_max: int = 200_000,
 ) -> DataFrame:
     """Exact tie-aware ROC area per group of ``keys``.
 
     ``label_col`` is 1 for positives and 0 for negatives. ``keys`` must be of
-    low cardinality (components, splits); the per-key boundary table is
-    broadcast and holds ``len(keys) * num_buckets`` values.
+    low cardinality (components, splits). When the distinct-score table has
+    at most ``single_window_max`` rows in total, one window per key group
+    computes the prefix sums; above that, the bucketed plan runs (boundaries
+    table of ``len(keys) * num_buckets`` values).
     Returns ``keys + [auroc, n_pos, n_neg]``.
     """
     keys = list(keys or [])
@@ -73,6 +76,11 @@ def auroc(
         # three branches below. A reliable checkpoint (shared folder) runs
         # the upstream plan once and cuts its lineage.
         g = g.checkpoint(eager=True)
+        if g.count() <= single_window_max:
+            # few distinct scores (counted exactly): one window per key group
+            # holds them all; no quantiles, buckets or joins needed
+            w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+            return _u_statistic(g.withColumn("_nb", F.coalesce(F.sum("n").over(w), F.lit(0))), keys, F.col("_nb"))
     qs = [i / num_buckets for i in range(1, num_buckets)]
     bounds = g.groupBy(*keys).agg(
         F.percentile_approx("score", qs, accuracy).alias("bounds")
@@ -93,9 +101,13 @@ def auroc(
     gw = gb.withColumn("neg_in_bucket", F.coalesce(F.sum("n").over(w_in), F.lit(0)))
     # at most num_buckets rows per key group: broadcast at runtime by AQE
     joined = gw.join(bt, keys + ["b"], "inner")
-    neg_below = F.col("neg_before_bucket") + F.col("neg_in_bucket")
+    return _u_statistic(joined, keys, F.col("neg_before_bucket") + F.col("neg_in_bucket"))
+
+
+def _u_statistic(scored: DataFrame, keys: list[str], neg_below: Column) -> DataFrame:
+    """Exact ``U2 = sum(p * (2 * neg_below + n))`` and ``AUROC = U2 / (2 P N)``."""
     u2 = F.col("p").cast(DEC) * (F.lit(2).cast(DEC) * neg_below.cast(DEC) + F.col("n").cast(DEC))
-    agg = joined.groupBy(*keys).agg(
+    agg = scored.groupBy(*keys).agg(
         F.sum(u2).alias("u2"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg")
     )
     denom = F.lit(2).cast(DEC) * F.col("n_pos").cast(DEC) * F.col("n_neg").cast(DEC)
