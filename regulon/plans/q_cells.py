@@ -57,7 +57,7 @@ def zip_sparse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("cell_summary", S.with_ctes(
-    "SELECT cell_id, cell_line_id, drug, len(genes) AS n_genes, list_max(expressions) AS max_expr FROM cells", "cells"))
+    "SELECT cell_id, cell_line_id, drug, CAST(len(genes) AS INTEGER) AS n_genes, list_max(expressions) AS max_expr FROM cells", "cells"))
 def cell_summary(spark: SparkSession, sf: str) -> DataFrame:
     """ARR-2: per-cell metadata and array sizes."""
     return CE.cell_summary(cells(spark, sf), ["cell_id", "cell_line_id", "drug"])
@@ -69,7 +69,7 @@ def decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return decoded(spark, sf).select("cell_id", "token", "expr", "symbol")
 
 
-@query("top_genes_per_cell", S.with_ctes(f"""SELECT cell_id, rank, token, symbol, expr FROM (
+@query("top_genes_per_cell", S.with_ctes(f"""SELECT cell_id, CAST(rank AS INTEGER) AS rank, token, symbol, expr FROM (
   SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY expr DESC, token) AS rank FROM decoded)
 WHERE rank <= {CE.TOP_GENES}""", "decoded"))
 def top_genes_per_cell(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ def de_table(spark: SparkSession, sf: str) -> DataFrame:
                                   F.col("fdr").alias("padj"))
 
 
-@query("top_de_genes", S.with_ctes(f"""SELECT drug, direction, rank, gene, log2FoldChange FROM (
+@query("top_de_genes", S.with_ctes(f"""SELECT drug, direction, CAST(rank AS INTEGER) AS rank, gene, log2FoldChange FROM (
   SELECT drug, 'up' AS direction, gene, log2FoldChange,
     row_number() OVER (PARTITION BY drug ORDER BY log2FoldChange DESC NULLS LAST, gene) AS rank FROM de_table
   UNION ALL
@@ -119,7 +119,7 @@ def scan_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return vocab(spark, sf)
 
 
-@query("scan_cells", S.with_ctes(f"SELECT cell_id, cell_line_id, len(genes) AS n_genes FROM cells ORDER BY cell_id LIMIT {SCAN_N}", "cells"))
+@query("scan_cells", S.with_ctes(f"SELECT cell_id, cell_line_id, CAST(len(genes) AS INTEGER) AS n_genes FROM cells ORDER BY cell_id LIMIT {SCAN_N}", "cells"))
 def scan_cells(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-7: the first cells (explicit order, then limit)."""
     c = cells(spark, sf).orderBy("cell_id").limit(SCAN_N)

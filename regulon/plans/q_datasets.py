@@ -60,7 +60,7 @@ def eligible_perts(spark: SparkSession, sf: str) -> DataFrame:
     return D.eligible_perts(_pairs(spark, sf))
 
 
-@query("top_degs_per_pert", S.with_ctes(f"""SELECT pert, gene, rank FROM (
+@query("top_degs_per_pert", S.with_ctes(f"""SELECT pert, gene, CAST(rank AS INTEGER) AS rank FROM (
   SELECT pert, gene, row_number() OVER (PARTITION BY pert ORDER BY fdr, abs(lfc) DESC, gene) AS rank
   FROM pairs WHERE label IN ('up', 'down')) WHERE rank <= {D.TOP_DEGS}""", "pairs"))
 def top_degs_per_pert(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +68,7 @@ def top_degs_per_pert(spark: SparkSession, sf: str) -> DataFrame:
     return D.top_degs_per_pert(_pairs(spark, sf)).select("pert", "gene", "rank")
 
 
-@query("positive_pairs", S.with_ctes("SELECT pert, gene, split, label, rank FROM positives", "positives"))
+@query("positive_pairs", S.with_ctes("SELECT pert, gene, split, label, CAST(rank AS INTEGER) AS rank FROM positives", "positives"))
 def positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """DSC-4: eligible, split-consistent pairs; top DEGs per perturbation."""
     return D.positive_pairs(_pairs(spark, sf)).select("pert", "gene", "split", "label", "rank")

@@ -312,8 +312,8 @@ def logprob_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("sanitize_logprobs", S.with_ctes("""SELECT id,
-  len(list_filter(flatten(list_transform(logprobs, lambda t: list_transform(t.top_logprobs, lambda e: e.logprob))),
-      lambda x: isnan(x) OR isinf(x))) AS n_replaced,
+  CAST(len(list_filter(flatten(list_transform(logprobs, lambda t: list_transform(t.top_logprobs, lambda e: e.logprob))),
+      lambda x: isnan(x) OR isinf(x))) AS INTEGER) AS n_replaced,
   list_min(list_transform(flatten(list_transform(logprobs, lambda t: list_transform(t.top_logprobs, lambda e: e.logprob))),
       lambda x: CASE WHEN isnan(x) OR isinf(x) THEN CAST(-9999.0 AS DOUBLE) ELSE x END)) AS min_top_logprob
 FROM lp_rows_nf""", "lp_rows_nf"))
@@ -405,9 +405,9 @@ def agent_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("multi_agent_usage", S.with_ctes("""SELECT conv_id,
-  count(*) FILTER (WHERE role = 'system') + sum(CASE WHEN role <> 'system' THEN turn % 3 + 1 ELSE 0 END) AS total_tool_calls,
+  CAST(count(*) FILTER (WHERE role = 'system') + sum(CASE WHEN role <> 'system' THEN turn % 3 + 1 ELSE 0 END) AS BIGINT) AS total_tool_calls,
   count(*) FILTER (WHERE role <> 'system') AS n_sub_agents,
-  sum(CASE WHEN role <> 'system' THEN length(text) ELSE 0 END) AS sub_agent_tokens
+  CAST(sum(CASE WHEN role <> 'system' THEN length(text) ELSE 0 END) AS BIGINT) AS sub_agent_tokens
 FROM conversations GROUP BY conv_id""", ))
 def multi_agent_usage(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-13 (multi-agent): coordinator tool calls + sum over sub-agents."""

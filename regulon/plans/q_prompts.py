@@ -91,7 +91,7 @@ def resolved_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("tagged_prompt_tokens", S.with_ctes(f"""SELECT id, CAST(floor(length(t) / 4) AS INTEGER) AS prompt_tokens,
-  length(t) AS n_chars, t AS tagged_prompt
+  CAST(length(t) AS INTEGER) AS n_chars, t AS tagged_prompt
 FROM (SELECT id, {PR.sql_append_answer_tag(_ZERO)} AS t FROM pairs)""", "pairs"))
 def tagged_prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """PRJ-6 + PRJ-7: answer-format instruction appended; token count = chars // 4."""

@@ -20,7 +20,7 @@ def _stage(df: DataFrame, path: str, key: str) -> None:
     df.repartition(N_CHUNKS, key).write.parquet(path)
 
 
-@query("stream_cells", S.with_ctes(f"""SELECT cell_id, rank, token, expr FROM (
+@query("stream_cells", S.with_ctes(f"""SELECT cell_id, CAST(rank AS INTEGER) AS rank, token, expr FROM (
   SELECT cell_id, token, expr, row_number() OVER (PARTITION BY cell_id ORDER BY expr DESC, token) AS rank
   FROM entries WHERE token >= {QC.TOKEN_OFFSET + 1}) WHERE rank <= 10""", "entries"))
 def stream_cells(spark: SparkSession, sf: str) -> DataFrame:
