@@ -122,7 +122,8 @@ def gene_annotation(annotation: DataFrame, queries: DataFrame, q: str = "q") ->
     """ANN-1: first annotation per symbol; name, summary, up to 8 distinct GO
     terms (sorted; the reference's set order is arbitrary) and up to 5 KEGG
     pathways (name, else id, else ``?``)."""
-    first = annotation.groupBy("symbol").agg(F.min_by(F.struct("name", "summary", "go_bp", "kegg"), "name").alias("a"))
+    first = top_k(annotation, ["symbol"], [F.col("name").asc_nulls_last()], 1).select(
+        "symbol", F.struct("name", "summary", "go_bp", "kegg").alias("a"))
     j = queries.select(q).distinct().join(first, F.col(q) == F.col("symbol"), "left")
     terms = F.slice(F.array_sort(F.array_distinct(F.filter(F.transform("a.go_bp", lambda t: t["term"]),
                                                            lambda x: x.isNotNull()))), 1, MAX_GO_TERMS)

@@ -76,7 +76,12 @@ def seed_ensemble(
     """
     values = {"prediction_up": "prediction_up", "prediction_down": "prediction_down"}
     values.update(extra or {})
-    wide = _pivot(parsed, keys, values, seeds, extra_aggs=[F.any_value(c).alias(c) for c in (carry or [])])
+    # carried columns as a bounded list (one entry per seed): a typed
+    # aggregate keeps the whole aggregation hash-based for string columns
+    carried = [F.collect_list(c).alias(f"_carry_{c}") for c in (carry or [])]
+    wide = _pivot(parsed, keys, values, seeds, extra_aggs=carried)
+    for c in carry or []:
+        wide = wide.withColumn(c, F.get(F.col(f"_carry_{c}"), 0)).drop(f"_carry_{c}")
     for side, default in (("up", DEFAULT_UP), ("down", DEFAULT_DOWN)):
         cols = [F.coalesce(F.col(f"prediction_{side}_seed{s}"), F.lit(default)) for s in seeds]
         total = cols[0]

@@ -38,14 +38,19 @@ def ensure_checkpoint_dir(spark: SparkSession, default_root: str | None = None)
     scratch folder is created and registered.
     """
     conf = spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        sc = None
     if conf:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf)
         return conf.rstrip("/")
     root = default_root or os.environ.get("REGULON_SCRATCH") or "/tmp"
     path = os.path.join(root, f"regulon-ckpt-{uuid.uuid4().hex[:12]}")
     spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 

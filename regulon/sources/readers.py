@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.topk import top_k
+
 PAIRS = StructType([StructField(c, StringType()) for c in ("id", "pert", "gene", "label")])
 PROMPTS_REQUIRED = ("id", "prompt")
 DE_BUCKETS = 16
@@ -41,9 +43,10 @@ def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, order_c
     order = F.col(order_col).cast("string").try_cast("long") if has_order else None
     df = df.select(F.col("id").cast("string").alias("id"), F.col("prompt").cast("string").alias("prompt"),
                    *([order.alias("_ord")] if has_order else []), F.input_file_name().alias("_file"))
-    # the explicit order decides; the file name only breaks ties
-    key = F.struct(F.col("_ord"), F.col("_file")) if has_order else F.col("_file")
-    return df.groupBy("id").agg(F.max_by("prompt", key).alias("prompt"))
+    # the explicit order decides; the file name only breaks ties. A one-row
+    # top-k per id is limited map-side before the shuffle (no sort aggregate).
+    order = [F.col("_ord").desc_nulls_last(), F.col("_file").desc()] if has_order else [F.col("_file").desc()]
+    return top_k(df, ["id"], order, 1).select("id", "prompt")
 
 
 RESPONSE_ROW = (

@@ -23,7 +23,8 @@ def append_responses(batch: DataFrame, path: str) -> None:
 
 
 def latest_responses(store: DataFrame, keys=("id", "seed"), order: str = "batch") -> DataFrame:
-    """Read side of SNK-2: one row per key, the latest batch winning."""
-    return store.groupBy(*keys).agg(*[
-        F.max_by(c, order).alias(c) for c in store.columns if c not in keys and c != order
-    ], F.max(order).alias(order))
+    """Read side of SNK-2: one row per key, the latest batch winning (a
+    one-row top-k per key, limited map-side before the shuffle)."""
+    from ..operators.topk import top_k
+
+    return top_k(store, list(keys), [F.col(order).desc()], 1).drop("rank")
