@@ -185,6 +185,13 @@ def think_traces(spark: SparkSession, sf: str) -> DataFrame:
 # ── PRS-10 / PRS-11 / AGG-15 / PRJ-10: token log-probabilities ───────────
 
 def logprob_rows(spark: SparkSession, sf: str, non_finite: bool = False) -> DataFrame:
+    """Token streams derived from ``lineitem``, written once to the shared
+    folder (stored responses, as a scoring run would keep them)."""
+    name = "logprobs-nf" if non_finite else "logprobs"
+    return S.materialized(spark, sf, name, lambda: derive_logprob_rows(spark, sf, non_finite))
+
+
+def derive_logprob_rows(spark: SparkSession, sf: str, non_finite: bool = False) -> DataFrame:
     """One token stream per lineitem row: prefix tokens, a (sometimes split or
     unclosed) answer tag, an optional empty token, and top-3 candidates at the
     letter built from the row's numbers."""
