@@ -23,7 +23,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "regul
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("REGULON_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("REGULON_DRIVER_MEMORY", "6g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
