@@ -42,3 +42,12 @@ def test_stream_ingest_equals_batch(spark):
     batch = P.parse_answers(conv.withColumn("source", P.answer_source(F.col("text"))), "source").select(
         "conv_id", "turn", "parsed_label", "prediction_up", "prediction_down")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_cluster_settings_sizes_partitions():
+    from regulon.session import cluster_settings
+
+    s = cluster_settings(100 << 40, executors=1000, cores_per_executor=4)
+    parts = int(s["spark.sql.shuffle.partitions"])
+    assert parts % 4000 == 0 and parts * (256 << 20) >= (100 << 40)
+    assert cluster_settings(1 << 20, 2, 4)["spark.sql.shuffle.partitions"] == "16"
