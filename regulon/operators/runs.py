@@ -116,14 +116,16 @@ def assemble_track_a(test: DataFrame, results: DataFrame, model_name: str, seeds
                      on: list[str] = ["id"]) -> DataFrame:
     """JOI-6 (A): every test row, per-seed columns with defaults, mean, usage.
 
-    ``test`` holds ``on`` + ``prompt_tokens``; ``results`` is the long table
-    ``on + [seed, prediction_up, prediction_down, text, total_tokens]``.
+    ``test`` holds ``on`` + ``prompt_tokens`` (+ any columns to keep, such as
+    the row id); ``results`` is the long table ``on + [seed, prediction_up,
+    prediction_down, text, total_tokens]``. Joining on keys the inputs are
+    bucketed by keeps the pivot and the join free of shuffles.
     """
     tokens = F.coalesce(F.sum(F.col("total_tokens").cast("long")), F.lit(0)).alias("tokens_used")
     wide = _pivot(results, on, {"prediction_up": "prediction_up", "prediction_down": "prediction_down",
                                 "reasoning_trace": "text"}, seeds, extra_aggs=[tokens])
     j = test.join(wide, on, "left")
-    cols = [*on]
+    cols = [c for c in test.columns if c != "prompt_tokens"]
     for side, d in (("up", DEFAULT_UP), ("down", DEFAULT_DOWN)):
         for s in seeds:
             j = j.withColumn(f"prediction_{side}_seed{s}", F.coalesce(F.col(f"prediction_{side}_seed{s}"), F.lit(d)))
@@ -179,7 +181,7 @@ def assemble_enum(test: DataFrame, results: DataFrame, model_name: str, seeds: l
     wide = _pivot(results, on, {"prediction_up": "prediction_up", "prediction_down": "prediction_down",
                                 "effect": "effect"}, seeds)
     j = test.join(wide, on, "left")
-    sel = [*on]
+    sel = list(test.columns)
     for side, d in (("up", DEFAULT_UP), ("down", DEFAULT_DOWN)):
         parts = [F.coalesce(F.col(f"prediction_{side}_seed{s}"), F.lit(d)) for s in seeds]
         total = parts[0]

@@ -117,8 +117,10 @@ def _sql_mean(side: str) -> str:
 FROM pairs p LEFT JOIN stored_wide_a w USING (id)""", "pairs", "stored_wide_a"))
 def submission_track_a(spark: SparkSession, sf: str) -> DataFrame:
     """JOI-6 (A): every test row, per-seed columns with defaults, traces, usage."""
-    test = S.pairs(spark, sf).select("id", _tagged_tokens_col().alias("prompt_tokens"))
-    return R.assemble_track_a(test, stored(spark, sf), MODEL)
+    keys = S.PAIR_KEYS
+    test = S.pairs(spark, sf).select(*keys, "id", _tagged_tokens_col().alias("prompt_tokens"))
+    out = R.assemble_track_a(test, stored(spark, sf).drop("id"), MODEL, on=keys)
+    return out.drop(*keys)
 
 
 S.register("stored_enum", None, f"""SELECT id, seed, effect,
@@ -138,9 +140,10 @@ def submission_enum(spark: SparkSession, sf: str) -> DataFrame:
     """JOI-6 (enum): typed effects per seed; missing -> default and 'unknown'."""
     r = S.responses(spark, sf).where(~is_blank(F.col("text")))
     pred = P.label_to_pred(P.enum_label(F.col("effect")))
-    r = r.select("id", "seed", "effect", pred["prediction_up"].alias("prediction_up"),
+    keys = S.PAIR_KEYS
+    r = r.select(*keys, "seed", "effect", pred["prediction_up"].alias("prediction_up"),
                  pred["prediction_down"].alias("prediction_down"))
-    return R.assemble_enum(S.pairs(spark, sf).select("id"), r, MODEL)
+    return R.assemble_enum(S.pairs(spark, sf).select(*keys, "id"), r, MODEL, on=keys).drop(*keys)
 
 
 S.register("agent_rows", None, f"""SELECT 'conv' || CAST(t.conv_id AS VARCHAR) AS id,
