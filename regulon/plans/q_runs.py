@@ -36,7 +36,7 @@ FROM responses r JOIN parsed_catalogue pc USING (k) WHERE {sql_strip('r.text')}
 
 
 def expected(spark: SparkSession, sf: str) -> DataFrame:
-    return R.expand_seeds(S.pairs(spark, sf).select("id", "pert", "gene"))
+    return R.expand_seeds(S.pairs(spark, sf).select(*S.PAIR_KEYS, "id", "pert", "gene"))
 
 
 @query("expand_seeds", S.with_ctes(
@@ -53,7 +53,7 @@ WHERE NOT EXISTS (SELECT 1 FROM stored t WHERE t.id = p.id AND t.seed = s.seed)"
 @query("pending_work", S.with_ctes("SELECT id, seed FROM pending", "pending"))
 def pending_work(spark: SparkSession, sf: str) -> DataFrame:
     """JOI-4: (id, seed) with no stored result (left anti join)."""
-    return R.pending_work(expected(spark, sf), stored(spark, sf)).select("id", "seed")
+    return R.pending_work(expected(spark, sf), stored(spark, sf), keys=S.PAIR_KEYS + ["seed"]).select("id", "seed")
 
 
 _WIDE = ",\n  ".join(f"max(CASE WHEN seed = {s} THEN prediction_{side} END) AS prediction_{side}_seed{s}"
@@ -66,13 +66,15 @@ S.register("stored_wide", None, f"SELECT id, {_WIDE} FROM stored GROUP BY id", [
 FROM stored_wide""", "stored_wide"))
 def seed_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-1: per-seed predictions and their mean (missing seed = 0.333)."""
-    return R.seed_ensemble(stored(spark, sf), keys=["id"])
+    out = R.seed_ensemble(stored(spark, sf), keys=S.PAIR_KEYS, carry=["id"])
+    return out.drop(*S.PAIR_KEYS)
 
 
 @query("row_tokens", S.with_ctes("SELECT id, CAST(sum(total_tokens) AS BIGINT) AS tokens_used FROM stored GROUP BY id", "stored"))
 def row_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-2: tokens summed over a row's seeds."""
-    return R.row_tokens(stored(spark, sf), ["id"])
+    t = R.row_tokens(stored(spark, sf), S.PAIR_KEYS + ["id"])
+    return t.drop(*S.PAIR_KEYS)
 
 
 def _tagged_tokens_col():
@@ -226,7 +228,7 @@ FROM (SELECT id, seed, {PR.sql_append_answer_tag(PR.sql_zero_shot_prompt('pert',
 def batch_complete(spark: SparkSession, sf: str) -> DataFrame:
     """UDF-1: pending (id, seed) rows scored on executors through ``mapInPandas``
     with a deterministic stub scorer, retries and a status column."""
-    pend = R.pending_work(expected(spark, sf), stored(spark, sf))
+    pend = R.pending_work(expected(spark, sf), stored(spark, sf), keys=S.PAIR_KEYS + ["seed"])
     pend = pend.select("id", "seed", PR.append_answer_tag(PR.zero_shot_prompt(F.col("pert"), F.col("gene"))).alias("prompt"))
     out = R.batch_complete(pend, R.stub_scorer, max_retries=1, backoff=lambda a: 0.0)
     return out.select("id", "seed", "text", "status", "attempts")
