@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, quality, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,41 @@ def query(name: str, sql: str | None = None):
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PLAIN_WORDS_SQL = "regexp_extract_all(" + LOWER_SQL + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+SPACE_WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+# the union of the spans of repeats of m words or more is the words in m-word windows found twice;
+# a repeat of over m words is an (m + 1)-word window found twice
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+           coalesce({SPACE_WORDS_SQL.format('text')}, []) AS w FROM documents),
+win AS (SELECT r, m, unnest(range(1, len(w) - m + 2)) AS i, w FROM d, (VALUES (3), (10), (201)) AS t(m) WHERE len(w) >= m),
+twice AS (SELECT r, m, i, count(*) OVER (PARTITION BY r, m, g) AS c
+          FROM (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM win)),
+rep AS (SELECT r, m, count(DISTINCT p) AS n FROM (SELECT r, m, unnest(range(i, i + m)) AS p FROM twice WHERE c > 1) GROUP BY r, m),
+reps AS (SELECT r, max(n) FILTER (m = 3) AS n3, max(n) FILTER (m = 10) AS n10, max(n) FILTER (m = 201) AS n201 FROM rep GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)
+          WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n10, 0) AS BIGINT) AS covered_words, n201
+      FROM d LEFT JOIN reps USING (r) LEFT JOIN lines USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed,
+       NOT base_failed AND covered_words <= CAST(0.3 AS DOUBLE) * n_words AND n201 IS NULL AS kept
+FROM f
+"""
+
+
+@query("op1_quality_rules", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({PLAIN_WORDS_SQL.format('text')}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {PLAIN_WORDS_SQL.format('text')} AS w FROM benchmark
