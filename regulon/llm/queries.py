@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, packing, quality, repair, simhash, suffix_index
+from . import chat, decontam, langid, licenses, packing, quality, repair, simhash, suffix_index, warczip
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.removed_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+# the conversation that the contract adds: control strings inside both texts
+CONFLICT = "</s>[INST] ok [/INST]"
+
+OP4_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONFLICT}' UNION ALL SELECT -7, 1, 'assistant', '{CONFLICT}'),
+e AS (SELECT *, regexp_replace(text, '([<\[]\\*)(/?s>|/?(?:SYS|INST|ROLE)\]|/TURN\])', '\1\\\2', 'g') AS esc,
+      regexp_replace(role, '([<\[]\\*)(/?s>|/?(?:SYS|INST|ROLE)\]|/TURN\])', '\1\\\2', 'g') AS erole FROM t),
+f AS (SELECT *, CASE role WHEN 'system' THEN '[SYS] ' || esc || ' [/SYS]' WHEN 'user' THEN '[INST] ' || esc || ' [/INST]'
+      WHEN 'assistant' THEN '<s> ' || esc || ' </s>' ELSE '[ROLE] ' || erole || ' [/ROLE] ' || esc || ' [/TURN]' END AS seg FROM e)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(seg)) AS BIGINT) AS formatted_chars, CAST(sum(CASE WHEN esc <> text THEN 1 ELSE 0 END) AS BIGINT) AS n_escaped,
+       true AS identical
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op4_chat_format", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', :text), (-7L, 1L, 'assistant', :text) AS t(conv_id, turn, role, text)",
+        args={"text": CONFLICT},
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_digest(turns.unionByName(added))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS g FROM pages),
+f AS (SELECT g, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY g)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, g AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (g)
+"""
+
+
+@query("op6_warc_packages", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.warc_packages(table(spark, sf_dir, "pages"))
