@@ -38,14 +38,18 @@ def position(df: DataFrame, name: str) -> int:
     return hits[0]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """The same columns under the names ``_c0``, ``_c1``, ...: unambiguous whatever they were called."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """Select columns by name, cast them, and drop the rest.
 
     Columns are addressed by position, so extra columns whose names repeat or
     differ only in case cannot make a reference ambiguous.
     """
-    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return plain.select(*(F.col(f"_c{position(df, n)}").cast(kind).alias(n) for n, kind in types.items()))
+    return plain(df).select(*(F.col(f"_c{position(df, n)}").cast(kind).alias(n) for n, kind in types.items()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

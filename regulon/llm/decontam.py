@@ -181,7 +181,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
 
         return run
 
-    out = docs
+    out = common.plain(docs)
     for items in item_blocks(benchmark, block_words):
-        out = out.mapInArrow(keep(items), docs.schema)
-    return out
+        out = out.mapInArrow(keep(items), out.schema)
+    return out.toDF(*docs.columns)

@@ -187,4 +187,5 @@ def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             verdicts = [row[-1] for row in judge(batch.column(at).to_pylist(), rules)]
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = common.plain(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -232,4 +232,5 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """
     kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[common.position(docs, "doc_id")].eqNullSafe(kept["_kept"]), "left_semi")
+    ident = F.col(f"_c{common.position(docs, 'doc_id')}").cast("long")
+    return common.plain(docs).join(kept, ident.eqNullSafe(F.col("_kept")), "left_semi").toDF(*docs.columns)

@@ -47,6 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .hashing import Prefix, mixed
 
 WINDOW = 100
 ANCHOR = 32
@@ -68,47 +69,6 @@ SENT_DDL = "bucket int, kind int, data binary"
 FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("d", pa.int64()), ("sub", pa.int64()), ("spans", pa.binary())])
 FOUND_DDL = "kind int, d long, sub long, spans binary"
 
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_STEP = (_rng.integers(0, 1 << 61, 2, dtype=np.uint64) << np.uint64(3)) | np.uint64(5)
-_MIX = np.uint64(0x9FB21C651E98DF25)
-
-
-class Prefix:
-    """Polynomial hashes of all substrings of an array of bytes, modulo 2**64."""
-
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, data: np.ndarray, which: int = 0):
-        n = len(data)
-        up, down = self._powers.get(which, (np.ones(1, np.uint64),) * 2)
-        if len(up) <= n:
-            step = int(_STEP[which])
-            size = max(n + 1, CHUNK + (CHUNK >> 1))
-            up, down = (np.full(size, x, np.uint64) for x in (step, pow(step, -1, 1 << 64)))
-            up[0] = down[0] = 1
-            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            self._powers[which] = up, down
-        self.down = down
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[which][data] * up[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def all(self, width: int) -> np.ndarray:
-        x = self.sums[width:] - self.sums[:-width]
-        x *= self.down[: len(x)]
-        return mixed(x)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x *= _MIX
-    x ^= x >> np.uint64(32)
-    return x
-
-
 def anchors(data: np.ndarray, starts: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Anchors of the texts that start at ``starts`` in ``data`` and fill it.
 
@@ -144,7 +104,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int, anchor: int) -> t
     pos = at[first]
     key = hashes[pos]
     text = np.searchsorted(starts, first, side="right") - 1
-    context = prefix.of(first, edges + window) ^ mixed((edges - first + 256 * (pos - first)).astype(np.uint64) * _STEP[0])
+    context = prefix.of(first, edges + window) ^ mixed((edges - first + 256 * (pos - first) + 1).astype(np.uint64) << np.uint64(40))
     return text, pos, first, edges, key, context
 
 
@@ -581,23 +541,20 @@ def cut_text(text: str | None, parts: list[bytes] | None) -> str | None:
 def cut(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; all columns, all rows."""
     spans, _ = duplicate_spans(docs, **options)
-    names = docs.columns
-    at, ident = common.position(docs, "text"), common.position(docs, "doc_id")
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    place = plain.withColumns(
-        {"d": F.coalesce(F.col(f"_c{ident}").cast("long"), F.lit(LAST)), "sub": F.crc32(F.coalesce(F.col(f"_c{at}").cast("string"), F.lit("")))}
-    )
-    joined = place.join(spans, ["d", "sub"], "left").select(*(f"_c{i}" for i in range(len(names))), "spans")
+    at, ident, width = common.position(docs, "text"), common.position(docs, "doc_id"), len(docs.columns)
+    plain = common.plain(docs)
+    text = F.coalesce(F.col(f"_c{at}").cast("string"), F.lit(""))
+    placed = plain.withColumns({"d": F.coalesce(F.col(f"_c{ident}").cast("long"), F.lit(LAST)), "sub": F.crc32(text)})
+    joined = placed.join(spans, ["d", "sub"], "left").select(*plain.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut_text(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
-            columns = [batch.column(i) for i in range(len(names))]
+            texts = [cut_text(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist())]
+            columns = batch.columns[:width]
             columns[at] = pa.array(texts, type=columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=[f"_c{i}" for i in range(len(names))])
+            yield pa.RecordBatch.from_arrays(columns, names=[f"_c{i}" for i in range(width)])
 
-    out = joined.mapInArrow(run, plain.schema)
-    return out.toDF(*names)
+    return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 class SuffixIndex:
