@@ -50,7 +50,7 @@ mit-0 | mit | mit 0 | mit(?: no attribution| 0 ) | opensource org licenses mit 0
 x11 | x11 | x11 | x11 | x consortium
 apache-1.0 | apache | apache 1 0 | apache(?: software)?(?: L)?(?: version| v)? ?1 0 | apache org licenses license 1 0
 apache-1.1 | apache | apache 1 1 | apache(?: software)?(?: L)?(?: version| v)? ?1 1 | apache org licenses license 1 1
-apache-2.0 | apache | apache 2 0 | (?:apache|asl|al)(?: software)?(?: L)?(?: version| v)? ?2(?: 0)? | apache org licenses license 2 0; opensource org licenses apache 2 0
+apache-2.0 | apache | apache 2 0 | (?:apache|asl)(?: software)?(?: L)?(?: version| v)? ?2(?: 0)? | apache org licenses license 2 0; opensource org licenses apache 2 0
 gpl-1.0 | gpl | gpl 1 0(?: only| or later)? | gpl ?v?1(?: 0)? | gnu org licenses(?: old licenses)? gpl 1 0
 gpl-2.0 | gpl | gpl 2 0(?: only| or later)? | gpl ?v?2(?: 0)? | gnu org licenses(?: old licenses)? gpl 2 0
 gpl-3.0 | gpl | gpl 3 0(?: only| or later)? | gpl ?v?3(?: 0)? | gnu org licenses gpl(?: 3 0)?(?: html)?
@@ -214,7 +214,8 @@ def rules() -> dict[tuple[bytes, ...], list[tuple[int, Rule]]]:
             add(label, 90, (literal(phrase),), phrase)
         if names != "-":
             add(label, 80, (keyword,), f"{GRANT}(?:{names})(?: L| software L)?")
-            add(label, 65, (keyword, "licen"), f"(?:the )?(?:{names}) L")
+            title = names if re.search(r"\bL\b", names) else f"(?:{names}) L"  # some names hold the word
+            add(label, 65, (keyword, "licen"), f"(?:the )?(?:{title})")
             add(label, 60, (keyword, "licen"), f"{FIELD}(?:{names})")
     add("unknown", 20, ("licen",), f"{GRANT}(?:following )?L")
     add("unknown", 15, ("licen",), "(?:see|read) (?:the )?(?:L|copying)(?: file| txt| md)?(?: for (?:more )?(?:details|information|terms))")
