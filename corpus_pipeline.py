@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from regulon.llm import common, decontam, packing, quality, simhash, suffix_index
 
@@ -30,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_index.cut(docs)
-    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    return suffix_index.cut(docs, length_column="n_chars")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -538,10 +538,14 @@ def cut_text(text: str | None, parts: list[bytes] | None) -> str | None:
     return without(raw, spans).decode()
 
 
-def cut(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``; all columns, all rows."""
+def cut(docs: DataFrame, length_column: str | None = None, **options) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; all columns, all rows.
+
+    ``length_column``: a column that holds the text's length in characters and follows it.
+    """
     spans, _ = duplicate_spans(docs, **options)
     at, ident, width = common.position(docs, "text"), common.position(docs, "doc_id"), len(docs.columns)
+    length = None if length_column is None else common.position(docs, length_column)
     plain = common.plain(docs)
     text = F.coalesce(F.col(f"_c{at}").cast("string"), F.lit(""))
     placed = plain.withColumns({"d": F.coalesce(F.col(f"_c{ident}").cast("long"), F.lit(LAST)), "sub": F.crc32(text)})
@@ -552,6 +556,9 @@ def cut(docs: DataFrame, **options) -> DataFrame:
             texts = [cut_text(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist())]
             columns = batch.columns[:width]
             columns[at] = pa.array(texts, type=columns[at].type)
+            if length is not None:
+                old = columns[length].to_pylist()
+                columns[length] = pa.array([n if t is None else len(t) for t, n in zip(texts, old)], type=columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, names=[f"_c{i}" for i in range(width)])
 
     return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
