@@ -21,16 +21,21 @@ def _get(v: Column, path: str, typ: str) -> Column:
     return F.try_variant_get(v, path, typ)
 
 
-def completion_fields(json_text: Column) -> Column:
+def completion_fields(json_text: Column, reasoning_content: bool = False) -> Column:
     """PRS-1: struct(reasoning, content, text, prompt_tokens, completion_tokens, total_tokens).
 
-    First choice only; list content is the parts' ``text`` (else ``content``)
+    ``reasoning_content`` also reads that older key (fine-tuned models). First
+    choice only; list content is the parts' ``text`` (else ``content``)
     joined by newlines; ``text`` is the non-empty stripped reasoning and
     content joined by a blank line; missing usage counts are 0; no choices ->
     empty text.
     """
     v = F.try_parse_json(json_text)
-    reasoning = F.coalesce(_get(v, f"{MSG}.reasoning", "string"), _get(v, f"{MSG}.reasoning_content", "string"))
+    reasoning = _get(v, f"{MSG}.reasoning", "string")
+    if reasoning_content:
+        # only where the key itself is absent: a null or empty ``reasoning`` stays
+        has_key = F.array_contains(F.coalesce(F.map_keys(_get(v, MSG, "map<string,variant>")), F.array().cast("array<string>")), "reasoning")
+        reasoning = F.when(has_key, reasoning).otherwise(_get(v, f"{MSG}.reasoning_content", "string"))
     parts = _get(v, f"{MSG}.content", PARTS)
     content = F.when(
         parts.isNotNull(),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 # The code points for which Python's str.isspace() is true.
 WS_RANGES = [(0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
              (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-WS = "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b != a else "") for a, b in WS_RANGES) + "]"
+WS_INNER = "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b != a else "") for a, b in WS_RANGES)
+WS = f"[{WS_INNER}]"
 WS_CHARS = "".join(chr(c) for a, b in WS_RANGES for c in range(a, b + 1))
 # Python's \w on str: letters, numbers, underscore.
 NOT_WORD = r"[^\pL\pN_]"
@@ -35,9 +36,11 @@ def portable(pattern: str) -> str:
     out = []
     i = 0
     n = len(pattern)
+    in_class = False
     while i < n:
         if pattern.startswith(r"\s", i):
-            out.append(WS)
+            # inside a class the bare ranges: Java reads a nested class as a union, RE2 does not
+            out.append(WS_INNER if in_class else WS)
             i += 2
         elif pattern.startswith(r"\b", i):
             before = pattern[i - 1] if i > 0 else ""
@@ -53,6 +56,7 @@ def portable(pattern: str) -> str:
             out.append(pattern[i : i + 2])
             i += 2
         else:
+            in_class = pattern[i] == "[" or in_class and pattern[i] != "]"
             out.append(pattern[i])
             i += 1
     return "".join(out)

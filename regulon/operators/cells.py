@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dims import bounded_broadcast
 from .topk import top_k
 
 TOP_GENES = 10
@@ -25,10 +24,10 @@ def cell_summary(cells: DataFrame, meta: list[str]) -> DataFrame:
     return cells.select(*meta, F.size("genes").alias("n_genes"), F.array_max("expressions").alias("max_expr"))
 
 
-def decode_tokens(entries: DataFrame, vocab: DataFrame, max_vocab_rows: int = 2_000_000) -> DataFrame:
+def decode_tokens(entries: DataFrame, vocab: DataFrame) -> DataFrame:
     """JOI-7 + JOI-8: keep entries whose token is in the vocabulary and name
-    them. One inner join; the vocabulary is broadcast after a size check."""
-    return entries.join(bounded_broadcast(vocab, max_vocab_rows), entries["token"] == vocab["token_id"], "inner").drop("token_id")
+    them. One inner join; the planner and AQE pick its kind from measured sizes."""
+    return entries.join(vocab, entries["token"] == vocab["token_id"], "inner").drop("token_id")
 
 
 def top_genes_per_cell(decoded: DataFrame, cell: str = "cell_id", k: int = TOP_GENES) -> DataFrame:

@@ -67,6 +67,12 @@ def two_axis_split(pairs: DataFrame) -> DataFrame:
     )
 
 
+def pair_hash_split(pairs: DataFrame) -> DataFrame:
+    """A split by pair (the hash of the id), which does leak both axes: the
+    baseline that :func:`split_leakage` is for."""
+    return pairs.withColumn("split", _split_of(hash_pct(F.col("id")), PERT_SPLIT))
+
+
 def is_deg(label: Column) -> Column:
     return label.isin("up", "down")
 
@@ -90,36 +96,36 @@ def top_degs_per_pert(pairs: DataFrame, k: int = TOP_DEGS) -> DataFrame:
     return top_k(pairs.where(is_deg(F.col("label"))), ["pert"], deg_order(), k)
 
 
+def eligible_pairs(pairs: DataFrame) -> DataFrame:
+    """Split-consistent pairs of eligible perturbations."""
+    return two_axis_split(pairs).join(eligible_perts(pairs).select("pert"), "pert", "left_semi")
+
+
 def positive_pairs(pairs: DataFrame) -> DataFrame:
     """DSC-4: split-consistent pairs of eligible perturbations, top DEGs each."""
-    kept = two_axis_split(pairs).join(eligible_perts(pairs).select("pert"), "pert", "left_semi")
-    return top_degs_per_pert(kept)
+    return top_degs_per_pert(eligible_pairs(pairs))
 
 
-def negative_pairs(pairs: DataFrame, positives: DataFrame | None = None, salts: int = 16) -> DataFrame:
+def negative_pairs(pairs: DataFrame) -> DataFrame:
     """DSC-5: negatives matched to positives per gene, then topped up per pert.
 
     Candidates: split-consistent, none-labelled pairs of eligible perts with
     |lfc| < 0.25. Pass 1 takes, per gene, as many candidates as the gene has
     positives. Pass 2 gives every perturbation at least as many negatives as
     positives, from the candidates pass 1 left unused. Both passes rank by an
-    md5 hash of the id (then id), exactly and skew-safely (salted top-k).
+    md5 hash of the id (then id).
+
+    Positives and candidates come from one stored table of the eligible pairs,
+    and what pass 1 took is stored too (reliable checkpoints, shared folder), so
+    the pair table is read only to build the first.
     """
-    if positives is None:
-        positives = positive_pairs(pairs)
-    # positives and the first-pass negatives are read by several branches and
-    # hold at most TOP_DEGS rows per perturbation: checkpoint them once
-    # (reliable, shared folder) instead of re-deriving them per branch.
-    positives = positives.select("pert", "gene").checkpoint(eager=True)
-    kept = two_axis_split(pairs).join(eligible_perts(pairs).select("pert"), "pert", "left_semi")
-    cand = kept.where((F.col("label") == "none") & (F.abs(F.col("lfc")) < NEG_ABS_LFC_MAX)).withColumn(
-        "_h", F.md5(F.col("id"))
-    )
+    is_cand = (F.col("label") == "none") & (F.abs(F.col("lfc")) < NEG_ABS_LFC_MAX)
+    kept = eligible_pairs(pairs).where(is_deg(F.col("label")) | is_cand).checkpoint(eager=True)
+    positives = top_degs_per_pert(kept).select("pert", "gene")
+    cand = kept.where(is_cand).withColumn("_h", F.md5(F.col("id")))
     order = [F.col("_h").asc(), F.col("id").asc()]
-    salt = F.xxhash64("id")
     pos_gene = positives.groupBy("gene").agg(F.count(F.lit(1)).alias("_k"))
-    pass1 = top_k_by_column(cand.join(pos_gene, "gene"), ["gene"], order, "_k", salt, salts).drop("_k", "rank")
-    pass1 = pass1.checkpoint(eager=True)
+    pass1 = top_k_by_column(cand, pos_gene, ["gene"], order, "_k").drop("_k", "rank").checkpoint(eager=True)
     pos_pert = positives.groupBy("pert").agg(F.count(F.lit(1)).alias("_np"))
     got_pert = pass1.groupBy("pert").agg(F.count(F.lit(1)).alias("_ng"))
     deficit = (
@@ -127,8 +133,8 @@ def negative_pairs(pairs: DataFrame, positives: DataFrame | None = None, salts:
         .select("pert", (F.col("_np") - F.coalesce(F.col("_ng"), F.lit(0))).alias("_k"))
         .where(F.col("_k") > 0)
     )
-    unused = cand.join(pass1.select("id"), "id", "left_anti")
-    pass2 = top_k_by_column(unused.join(deficit, "pert"), ["pert"], order, "_k", salt, salts).drop("_k", "rank")
+    unused = cand.join(pass1.select("pert", "gene"), ["pert", "gene"], "left_anti")
+    pass2 = top_k_by_column(unused, deficit, ["pert"], order, "_k").drop("_k", "rank")
     return pass1.withColumn("pass", F.lit(1)).unionByName(pass2.withColumn("pass", F.lit(2))).drop("_h")
 
 

@@ -8,7 +8,7 @@ text assembled with native string functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .topk import top_k
@@ -18,6 +18,22 @@ LABEL_STR = {"up": "up-regulated", "down": "down-regulated", "none": "not differ
 LOOKUP_DESC = {"up": "up-regulated", "down": "down-regulated", "none": "no significant effect"}
 PERT_LIST_HEAD = {"up": "    Up-regulated: ", "down": "    Down-regulated: ",
                   "none": "    Not differentially expressed: "}
+PERT_NONE = "No training examples found for perturbation '%s'."
+PERT_HEAD = "Training data for perturbation '%s' (%d examples):"
+PERT_SUMMARY = "  Summary: %d up-regulated, %d down-regulated, %d not differentially expressed"
+GENE_NONE = "No training examples found for target gene '%s'."
+GENE_HEAD = "Training data for target gene '%s' (%d examples):"
+GENE_LINE = "  - pert=%s: %s"
+LOOKUP_ERROR = "Error: provide at least one of 'pert' or 'gene'."
+LOOKUP_NONE = "No training examples found for %s."
+LOOKUP_HEAD = "Found %d training example(s):"
+LOOKUP_LINE = "  - pert=%s, gene=%s, label=%s (%s)"
+ANNOTATION_NONE = "No results found for gene symbol '%s' in mouse."
+ANNOTATION = {"symbol": "Gene: %s", "name": "Full name: %s", "summary": "Summary: %s",
+              "go": "GO Biological Process (%d shown): %s", "kegg": "KEGG Pathways: %s"}
+PARTNERS_NONE = "No protein interactions found for '%s' in mouse (STRING DB)."
+PARTNERS_HEAD = "Protein interactions for %s (mouse, STRING DB):"
+PARTNERS_LINE = "  - %s (combined score: %.3f)"
 MAX_GENES_LISTED = 30
 MAX_GO_TERMS = 8
 MAX_PATHWAYS = 5
@@ -25,97 +41,116 @@ DEFAULT_PARTNERS = 10
 MAX_PARTNERS = 50
 # ──────────────────────────────────────────────────────────────────────────
 
+PART_LINES = 1000  # lines of one text part
 
-def _map_label(label: Column, table: dict[str, str]) -> Column:
-    lab = F.lower(label.cast("string"))
-    out = label.cast("string")
+
+def _say(wording: str, *values: Column) -> Column:
+    return F.format_string(wording, *values)
+
+
+def _map_label(label: Column, table: dict[str, str], other: Column) -> Column:
+    out = other
     for k, v in table.items():
-        out = F.when(lab == k, F.lit(v)).otherwise(out)
+        out = F.when(F.lower(label) == k, F.lit(v)).otherwise(out)
     return out
 
 
 def pert_evidence(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFrame:
     """AGG-7: per queried perturbation (any case): totals, per-label counts,
-    the first 30 genes per label (gene order) and the summary text."""
+    the first 30 genes per label (gene order) and the summary text.
+
+    One join. One window pass gives each row its label's count and its rank, and
+    one aggregate over the first ranks gives counts and listed genes.
+    """
     hits = queries.select(q).distinct().join(
         train.select(F.lower("pert").alias("_k"), "gene", F.lower(F.col("label").cast("string")).alias("lab")),
         F.lower(F.col(q)) == F.col("_k"), "inner").drop("_k")
-    counts = hits.groupBy(q).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("lab") == k).alias(f"n_{k}") for k in ("up", "down", "none")])
-    listed = top_k(hits.where(F.col("lab").isin("up", "down", "none")), [q, "lab"],
-                   [F.col("gene").asc()], MAX_GENES_LISTED)
-    lists = listed.groupBy(q).agg(F.array_sort(F.collect_list(F.struct("lab", "rank", "gene"))).alias("l"))
-    j = queries.select(q).distinct().join(counts, q, "left").join(lists, q, "left")
+    by_label = Window.partitionBy(q, "lab")
+    ranked = hits.withColumns({"n_lab": F.count(F.lit(1)).over(by_label), "rank": F.row_number().over(by_label.orderBy("gene"))})
+    known = F.col("lab").isin(*PERT_LIST_HEAD)
+    g = ranked.where(F.col("rank") <= MAX_GENES_LISTED).groupBy(q).agg(
+        F.sum(F.when(F.col("rank") == 1, F.col("n_lab"))).alias("n"),
+        *[F.coalesce(F.max(F.when(F.col("lab") == k, F.col("n_lab"))), F.lit(0)).alias(f"n_{k}") for k in PERT_LIST_HEAD],
+        F.array_sort(F.collect_list(F.when(known, F.struct("lab", "rank", "gene")))).alias("l"))
+    j = queries.select(q).distinct().join(g, q, "left")
 
     def genes(k: str) -> Column:
         return F.array_join(F.transform(F.filter("l", lambda x: x["lab"] == k), lambda x: x["gene"]), ", ")
 
     lines = [
-        F.concat(F.lit("Training data for perturbation '"), F.col(q), F.lit("' ("), F.col("n").cast("string"),
-                 F.lit(" examples):")),
-        F.concat(F.lit("  Summary: "), F.col("n_up").cast("string"), F.lit(" up-regulated, "),
-                 F.col("n_down").cast("string"), F.lit(" down-regulated, "), F.col("n_none").cast("string"),
-                 F.lit(" not differentially expressed")),
-        *[F.when(F.col(f"n_{k}") > 0, F.concat(F.lit(PERT_LIST_HEAD[k]), genes(k))) for k in ("up", "down", "none")],
+        _say(PERT_HEAD, F.col(q), F.col("n")),
+        _say(PERT_SUMMARY, *[F.col(f"n_{k}") for k in PERT_LIST_HEAD]),
+        *[F.when(F.col(f"n_{k}") > 0, F.concat(F.lit(h), genes(k))) for k, h in PERT_LIST_HEAD.items()],
     ]
-    text = F.when(F.col("n").isNull(), F.concat(F.lit("No training examples found for perturbation '"), F.col(q), F.lit("'.")))\
-        .otherwise(F.concat_ws("\n", *lines))
+    text = F.when(F.col("n").isNull(), _say(PERT_NONE, F.col(q))).otherwise(F.concat_ws("\n", *lines))
     return j.select(q, F.coalesce("n", F.lit(0)).alias("n_examples"), text.alias("text"))
 
 
-def gene_evidence(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFrame:
-    """AGG-8: per queried target gene, every perturbation and its wording.
+def _answers(queries: DataFrame, key: str, hits: DataFrame, order: list[str], head: Column, none: Column) -> DataFrame:
+    """``queries`` + matching lines -> (key, n_examples, part, text).
 
-    A gene's group holds at most one row per perturbation, so the collected
-    list is bounded by the number of perturbations; it is built by partial
-    aggregation before the shuffle.
+    Lines are ranked by a window, which spills, and gathered ``PART_LINES`` at a
+    time, so a key with any number of matches gives bounded rows and no line is
+    dropped. The head stands in the first part.
     """
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    part = F.floor((F.col("rank") - 1) / PART_LINES).cast("int")
+    parts = ranked.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    j = queries.join(counts, key, "left").join(parts, key, "left")
+    lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    text = F.when(F.col("n").isNull(), none).when(F.col("part") == 0, F.concat_ws("\n", head, lines)).otherwise(lines)
+    return j.select(key, F.coalesce("n", F.lit(0)).alias("n_examples"), F.coalesce("part", F.lit(0)).alias("part"), text.alias("text"))
+
+
+def gene_lines(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFrame:
+    """AGG-8, long form: (q, pert, line) for every perturbation of a queried gene."""
     hits = queries.select(q).distinct().join(
         train.select(F.lower("gene").alias("_k"), "pert", "label"), F.lower(F.col(q)) == F.col("_k"), "inner")
-    line = F.concat(F.lit("  - pert="), F.col("pert"), F.lit(": "), _map_label(F.col("label"), LABEL_STR))
-    g = hits.groupBy(q).agg(F.count(F.lit(1)).alias("n"),
-                            F.array_sort(F.collect_list(F.struct("pert", line.alias("line")))).alias("l"))
-    j = queries.select(q).distinct().join(g, q, "left")
-    text = F.when(F.col("n").isNull(), F.concat(F.lit("No training examples found for target gene '"), F.col(q), F.lit("'.")))\
-        .otherwise(F.concat(F.lit("Training data for target gene '"), F.col(q), F.lit("' ("), F.col("n").cast("string"),
-                            F.lit(" examples):\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")))
-    return j.select(q, F.coalesce("n", F.lit(0)).alias("n_examples"), text.alias("text"))
+    return hits.select(q, "pert", _say(GENE_LINE, F.col("pert"), _map_label(F.col("label"), LABEL_STR, F.col("label"))).alias("line"))
+
+
+def gene_evidence(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFrame:
+    """AGG-8: per queried target gene, every perturbation and its wording, in parts."""
+    asked = queries.select(q).distinct()
+    return _answers(asked, q, gene_lines(train, asked, q), ["pert"], _say(GENE_HEAD, F.col(q), F.col("n")), _say(GENE_NONE, F.col(q)))
+
+
+def _given(c: Column) -> Column:
+    """An empty key counts as none."""
+    return F.nullif(c, F.lit(""))
 
 
 def lookup_ci(train: DataFrame, queries: DataFrame) -> DataFrame:
     """JOI-9: case-insensitive lookup by pert and/or gene for a whole query
-    table ``(qid, pert, gene)``; each query kind is one equi-join (no
-    nested-loop join on an OR condition). Queries with neither key match nothing."""
-    t = train.select(F.lower("pert").alias("_p"), F.lower("gene").alias("_g"), F.col("pert").alias("t_pert"),
-                     F.col("gene").alias("t_gene"), F.col("label").alias("t_label"))
-    both = queries.where(F.col("pert").isNotNull() & F.col("gene").isNotNull())
-    only_p = queries.where(F.col("pert").isNotNull() & F.col("gene").isNull())
-    only_g = queries.where(F.col("pert").isNull() & F.col("gene").isNotNull())
-    j1 = both.join(t, (F.lower(both["pert"]) == t["_p"]) & (F.lower(both["gene"]) == t["_g"]))
-    j2 = only_p.join(t, F.lower(only_p["pert"]) == t["_p"])
-    j3 = only_g.join(t, F.lower(only_g["gene"]) == t["_g"])
-    cols = ["qid", "t_pert", "t_gene", "t_label"]
-    return j1.select(*cols).unionByName(j2.select(*cols)).unionByName(j3.select(*cols))
+    table ``(qid, pert, gene)``.
+
+    Each training row stands under its pert, its gene and both, each query under
+    what it gives (null marks the absent key), so all kinds are one null-safe
+    equi-join and the training table is read once. A query with neither key
+    matches nothing.
+    """
+    p, g, absent = F.lower("pert"), F.lower("gene"), F.lit(None).cast("string")
+    t = train.select(
+        F.inline(F.array(*[F.struct(x.alias("kp"), y.alias("kg")) for x, y in ((p, g), (p, absent), (absent, g))])),
+        F.col("pert").alias("t_pert"), F.col("gene").alias("t_gene"), F.col("label").alias("t_label"))
+    asked = queries.select("qid", F.lower(_given(F.col("pert"))).alias("qp"), F.lower(_given(F.col("gene"))).alias("qg"))
+    asked = asked.where(F.col("qp").isNotNull() | F.col("qg").isNotNull())
+    return asked.join(t, F.col("qp").eqNullSafe(F.col("kp")) & F.col("qg").eqNullSafe(F.col("kg"))).select(
+        "qid", "t_pert", "t_gene", "t_label")
 
 
 def pair_evidence(train: DataFrame, queries: DataFrame) -> DataFrame:
-    """AGG-9: count and listing of matching rows per query; "none" worded
-    "no significant effect"; rows listed by (pert, gene)."""
-    hits = lookup_ci(train, queries)
-    line = F.concat(F.lit("  - pert="), F.col("t_pert"), F.lit(", gene="), F.col("t_gene"), F.lit(", label="),
-                    F.col("t_label"), F.lit(" ("), _map_label(F.col("t_label"), LOOKUP_DESC), F.lit(")"))
-    g = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n"),
-                                F.array_sort(F.collect_list(F.struct("t_pert", "t_gene", line.alias("line")))).alias("l"))
-    j = queries.join(g, "qid", "left")
-    parts = F.concat_ws(", ", F.when(F.col("pert").isNotNull(), F.concat(F.lit("pert="), F.col("pert"))),
-                        F.when(F.col("gene").isNotNull(), F.concat(F.lit("gene="), F.col("gene"))))
-    text = F.when(F.col("pert").isNull() & F.col("gene").isNull(),
-                  F.raise_error(F.lit("Error: provide at least one of 'pert' or 'gene'.")))\
-        .when(F.col("n").isNull(), F.concat(F.lit("No training examples found for "), parts, F.lit(".")))\
-        .otherwise(F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" training example(s):\n"),
-                            F.array_join(F.transform("l", lambda x: x["line"]), "\n")))
-    return j.select("qid", F.coalesce("n", F.lit(0)).alias("n_examples"), text.alias("text"))
+    """AGG-9: count and listing of matching rows per query, in parts; "none" is
+    worded "no significant effect", any other label lower-cased; rows by (pert,
+    gene). A lookup without a key is answered with the error sentence."""
+    desc = _map_label(F.col("t_label"), LOOKUP_DESC, F.lower("t_label"))
+    hits = lookup_ci(train, queries).withColumn(
+        "line", _say(LOOKUP_LINE, F.col("t_pert"), F.col("t_gene"), F.col("t_label"), desc))
+    pert, gene = _given(F.col("pert")), _given(F.col("gene"))
+    keys = F.concat_ws(", ", F.concat(F.lit("pert="), pert), F.concat(F.lit("gene="), gene))
+    none = F.when(pert.isNull() & gene.isNull(), F.lit(LOOKUP_ERROR)).otherwise(_say(LOOKUP_NONE, keys))
+    return _answers(queries, "qid", hits, ["t_pert", "t_gene"], _say(LOOKUP_HEAD, F.col("n")), none)
 
 
 def gene_annotation(annotation: DataFrame, queries: DataFrame, q: str = "q") -> DataFrame:
@@ -131,15 +166,13 @@ def gene_annotation(annotation: DataFrame, queries: DataFrame, q: str = "q") ->
     nz = lambda c: c.isNotNull() & (c != "")
     lines = F.concat_ws(
         "\n",
-        F.concat(F.lit("Gene: "), F.col("symbol")),
-        F.when(nz(F.col("a.name")), F.concat(F.lit("Full name: "), F.col("a.name"))),
-        F.when(nz(F.col("a.summary")), F.concat(F.lit("Summary: "), F.col("a.summary"))),
-        F.when(F.size(terms) > 0, F.concat(F.lit("GO Biological Process ("), F.size(terms).cast("string"),
-                                           F.lit(" shown): "), F.array_join(terms, "; "))),
-        F.when(F.size(paths) > 0, F.concat(F.lit("KEGG Pathways: "), F.array_join(paths, "; "))),
+        _say(ANNOTATION["symbol"], F.col("symbol")),
+        F.when(nz(F.col("a.name")), _say(ANNOTATION["name"], F.col("a.name"))),
+        F.when(nz(F.col("a.summary")), _say(ANNOTATION["summary"], F.col("a.summary"))),
+        F.when(F.size(terms) > 0, _say(ANNOTATION["go"], F.size(terms), F.array_join(terms, "; "))),
+        F.when(F.size(paths) > 0, _say(ANNOTATION["kegg"], F.array_join(paths, "; "))),
     )
-    text = F.when(F.col("symbol").isNull(),
-                  F.concat(F.lit("No results found for gene symbol '"), F.col(q), F.lit("' in mouse."))).otherwise(lines)
+    text = F.when(F.col("symbol").isNull(), _say(ANNOTATION_NONE, F.col(q))).otherwise(lines)
     return j.select(q, text.alias("text"))
 
 
@@ -149,12 +182,10 @@ def top_interactions(edges: DataFrame, queries: DataFrame, limit: int = DEFAULT_
     k = min(max(1, limit), MAX_PARTNERS)
     e = edges.join(queries.select(q).distinct(), F.col("gene") == F.col(q), "left_semi")
     top = top_k(e, ["gene"], [F.col("score").desc(), F.col("partner").asc()], k)
-    line = F.concat(F.lit("  - "), F.col("partner"), F.lit(" (combined score: "),
-                    F.format_string("%.3f", F.col("score")), F.lit(")"))
+    line = _say(PARTNERS_LINE, F.col("partner"), F.col("score"))
     g = top.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
     j = queries.select(q).distinct().join(g, F.col(q) == F.col("gene"), "left")
-    text = F.when(F.col("l").isNull(), F.concat(F.lit("No protein interactions found for '"), F.col(q),
-                                                F.lit("' in mouse (STRING DB).")))\
-        .otherwise(F.concat(F.lit("Protein interactions for "), F.col(q), F.lit(" (mouse, STRING DB):\n"),
-                            F.array_join(F.transform("l", lambda x: x["line"]), "\n")))
+    lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    text = F.when(F.col("l").isNull(), _say(PARTNERS_NONE, F.col(q))).otherwise(
+        F.concat_ws("\n", _say(PARTNERS_HEAD, F.col(q)), lines))
     return j.select(q, text.alias("text"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,29 +36,17 @@ def _pivot(long: DataFrame, keys: list[str], values: dict[str, str], seeds: list
            extra_aggs: list | None = None) -> DataFrame:
     """One column per (value, seed) via conditional aggregation.
 
-    ``first(when(seed = s, v), ignorenulls)`` is ``pivot(seed, seeds)`` written
-    out, so it needs no distinct-values pass and keeps a missing seed null.
-    Numeric values aggregate in a hash aggregate; string values are gathered
-    as one bounded list per key (at most one entry per seed) so the aggregate
-    stays hash-based instead of falling back to a sort.
+    ``max(when(seed = s, v))`` is ``pivot(seed, seeds)`` written out, so it needs
+    no distinct-values pass and keeps a missing seed null. (key, seed) is unique
+    in a response store read with ``latest_responses``; if it is not, ``max``
+    still gives the same value in every run.
     """
-    types = dict(long.dtypes)
-    num = {d: c for d, c in values.items() if types[c] != "string"}
-    txt = {d: c for d, c in values.items() if types[c] == "string"}
     aggs = [
-        F.first(F.when(F.col("seed") == s, F.col(src)), ignorenulls=True).alias(f"{dst}_seed{s}")
-        for dst, src in num.items()
+        F.max(F.when(F.col("seed") == s, F.col(src))).alias(f"{dst}_seed{s}")
+        for dst, src in values.items()
         for s in seeds
     ]
-    if txt:
-        aggs.append(F.collect_list(F.struct(F.col("seed").alias("s"), *[F.col(c).alias(d) for d, c in txt.items()])).alias("_txt"))
-    out = long.groupBy(*keys).agg(*aggs, *(extra_aggs or []))
-    if txt:
-        for d in txt:
-            for s in seeds:
-                out = out.withColumn(f"{d}_seed{s}", F.get(F.filter("_txt", lambda x: x["s"] == s), 0)[d])
-        out = out.drop("_txt")
-    return out
+    return long.groupBy(*keys).agg(*aggs, *(extra_aggs or []))
 
 
 def seed_ensemble(
@@ -65,23 +54,17 @@ def seed_ensemble(
     keys: list[str] = ["id"],
     seeds: list[int] = SEEDS,
     extra: dict[str, str] | None = None,
-    carry: list[str] | None = None,
 ) -> DataFrame:
     """AGG-1: per-seed predictions and their mean over ``seeds``.
 
     A missing seed counts as the default 0.333; the mean adds the seed columns
-    left to right in seed order (exact float ties matter to AUROC). ``carry``
-    columns depend on ``keys`` alone and ride along (``any_value``), so the
-    output stays hash-partitioned on exactly ``keys`` for a following join.
+    left to right in seed order (exact float ties matter to AUROC). The values
+    are numbers, so this is a hash aggregate; its output stays partitioned on
+    exactly ``keys`` for a following join.
     """
     values = {"prediction_up": "prediction_up", "prediction_down": "prediction_down"}
     values.update(extra or {})
-    # carried columns as a bounded list (one entry per seed): a typed
-    # aggregate keeps the whole aggregation hash-based for string columns
-    carried = [F.collect_list(c).alias(f"_carry_{c}") for c in (carry or [])]
-    wide = _pivot(parsed, keys, values, seeds, extra_aggs=carried)
-    for c in carry or []:
-        wide = wide.withColumn(c, F.get(F.col(f"_carry_{c}"), 0)).drop(f"_carry_{c}")
+    wide = _pivot(parsed, keys, values, seeds)
     for side, default in (("up", DEFAULT_UP), ("down", DEFAULT_DOWN)):
         cols = [F.coalesce(F.col(f"prediction_{side}_seed{s}"), F.lit(default)) for s in seeds]
         total = cols[0]
@@ -118,8 +101,8 @@ def assemble_track_a(test: DataFrame, results: DataFrame, model_name: str, seeds
 
     ``test`` holds ``on`` + ``prompt_tokens`` (+ any columns to keep, such as
     the row id); ``results`` is the long table ``on + [seed, prediction_up,
-    prediction_down, text, total_tokens]``. Joining on keys the inputs are
-    bucketed by keeps the pivot and the join free of shuffles.
+    prediction_down, text, total_tokens]``. The pivot and the join share one
+    partitioning on the keys.
     """
     tokens = F.coalesce(F.sum(F.col("total_tokens").cast("long")), F.lit(0)).alias("tokens_used")
     wide = _pivot(results, on, {"prediction_up": "prediction_up", "prediction_down": "prediction_down",
@@ -204,36 +187,48 @@ def batch_complete(
     scorer: Callable[[str, int], str],
     max_retries: int = 2,
     backoff: Callable[[int], float] = lambda attempt: 2.0 ** attempt,
+    concurrency: int = 8,
+    tasks: int | None = None,
 ) -> DataFrame:
     """UDF-1: call ``scorer(prompt, seed)`` for every pending row.
 
-    Runs on executors through ``mapInPandas`` (Arrow batches); each call is
-    tried ``1 + max_retries`` times with back-off. After the last failure the
-    row is kept with empty text and ``status='failed'`` so a later run can
-    retry it (the default prediction applies meanwhile).
-    Input: ``id, seed, prompt``; output adds ``text, status, attempts``.
+    Runs on executors through ``mapInPandas`` (Arrow batches). A task keeps at
+    most ``concurrency`` calls in flight (a bounded thread pool: the calls wait
+    for a server), and ``tasks`` spreads the rows over so many tasks, so
+    ``tasks * concurrency`` calls run at once whatever partitions the rows came
+    in. Each call is tried ``1 + max_retries`` times; only the call that failed
+    waits. After the last failure the row is kept with empty text and
+    ``status='failed'`` so a later run can retry it (the default prediction
+    applies meanwhile). Input: ``id, seed, prompt``; output adds ``text, status,
+    attempts``.
     """
     schema = pending.schema.simpleString()[len("struct<"):-1] + ",text:string,status:string,attempts:int"
 
+    def call(prompt: str, seed: int) -> tuple[str, str, int]:
+        for attempt in range(max_retries + 1):
+            try:
+                return scorer(prompt, seed), "ok", attempt + 1
+            except Exception:  # noqa: BLE001 - any scorer failure is retried
+                if attempt < max_retries:
+                    time.sleep(backoff(attempt))
+        return "", "failed", max_retries + 1
+
     def run(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            texts, status, attempts = [], [], []
-            for prompt, seed in zip(pdf["prompt"], pdf["seed"]):
-                out, st, n = "", "failed", 0
-                for attempt in range(max_retries + 1):
-                    n = attempt + 1
-                    try:
-                        out, st = scorer(prompt, int(seed)), "ok"
-                        break
-                    except Exception:  # noqa: BLE001 - any scorer failure is retried
-                        if attempt < max_retries:
-                            time.sleep(backoff(attempt))
-                texts.append(out)
-                status.append(st)
-                attempts.append(n)
-            yield pdf.assign(text=texts, status=status, attempts=attempts)
-
-    return pending.mapInPandas(run, schema)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                out = list(pool.map(call, pdf["prompt"], map(int, pdf["seed"])))
+                texts, status, attempts = zip(*out) if out else ((), (), ())
+                yield pdf.assign(text=list(texts), status=list(status), attempts=list(attempts))
+
+    spread = pending.repartition(tasks) if tasks else pending
+    return spread.mapInPandas(run, schema)
+
+
+def failing_scorer(prompt: str, seed: int) -> str:
+    """A stand-in that fails for good on every fifth prompt length, and else answers."""
+    if (len(prompt) + seed) % 5 == 0:
+        raise RuntimeError("no answer")
+    return stub_scorer(prompt, seed)
 
 
 def stub_scorer(prompt: str, seed: int) -> str:

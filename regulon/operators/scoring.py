@@ -55,16 +55,12 @@ def auroc(
     num_buckets: int = 256,
     accuracy: int = 10000,
     materialize: bool = True,
-    single_window_max: int = 200_000,
 ) -> DataFrame:
     """Exact tie-aware ROC area per group of ``keys``.
 
     ``label_col`` is 1 for positives and 0 for negatives. ``keys`` must be of
-    low cardinality (components, splits). When the distinct-score table has
-    at most ``single_window_max`` rows in total, one window per key group
-    computes the prefix sums; above that, the bucketed plan runs (boundaries
-    table of ``len(keys) * num_buckets`` values).
-    Returns ``keys + [auroc, n_pos, n_neg]``.
+    low cardinality (components, splits): the boundaries table holds
+    ``num_buckets`` values a key group. Returns ``keys + [auroc, n_pos, n_neg]``.
     """
     keys = list(keys or [])
     y = F.col(label_col).cast("long")
@@ -76,11 +72,6 @@ def auroc(
         # three branches below. A reliable checkpoint (shared folder) runs
         # the upstream plan once and cuts its lineage.
         g = g.checkpoint(eager=True)
-        if g.count() <= single_window_max:
-            # few distinct scores (counted exactly): one window per key group
-            # holds them all; no quantiles, buckets or joins needed
-            w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-            return _u_statistic(g.withColumn("_nb", F.coalesce(F.sum("n").over(w), F.lit(0))), keys, F.col("_nb"))
     qs = [i / num_buckets for i in range(1, num_buckets)]
     bounds = g.groupBy(*keys).agg(
         F.percentile_approx("score", qs, accuracy).alias("bounds")
@@ -199,23 +190,24 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in present]
 
 
-def validation_counts(merged: DataFrame, submission: DataFrame | None = None, on: str = "id",
+def validation_counts(merged: DataFrame, submission: DataFrame | None = None, on: str | list[str] = "id",
                       cols: tuple[str, ...] | list[str] = ("prediction_up", "prediction_down")) -> DataFrame:
     """AGG-10: one row of counts (one action) for the prediction checks.
 
-    ``merged`` is the solution LEFT JOIN submission. Duplicate submission ids
+    ``merged`` is the solution LEFT JOIN submission. NaN counts as missing, so
+    only infinities are left for the second check. Duplicate submission ids
     (ours) are counted with a separate aggregate on ``submission``.
     """
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for c in cols:
         x = F.col(c)
         aggs += [
-            F.count_if(x.isNull()).alias(f"n_null_{c}"),
-            F.count_if(F.isnan(x) | (F.abs(x) == F.lit(float("inf")))).alias(f"n_nan_inf_{c}"),
+            F.count_if(x.isNull() | F.isnan(x)).alias(f"n_missing_{c}"),
+            F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"n_inf_{c}"),
         ]
     out = merged.agg(*aggs)
     if submission is not None:
-        dups = submission.groupBy(on).count().where(F.col("count") > 1).agg(F.count(F.lit(1)))
+        dups = submission.groupBy(*([on] if isinstance(on, str) else on)).count().where(F.col("count") > 1).agg(F.count(F.lit(1)))
         out = out.withColumn("n_duplicate_ids", dups.scalar())
     return out
 
@@ -266,12 +258,12 @@ def check_submission(
     for c in cols:
         if c not in merged.columns:
             raise SubmissionError(f"Submission is missing required column '{c}'.")
-        if v[f"n_null_{c}"]:
-            raise SubmissionError(f"Submission is missing {c} values for {v[f'n_null_{c}']} rows.")
-        if style == "generic" and v[f"n_nan_inf_{c}"]:
+        if v[f"n_missing_{c}"]:
+            raise SubmissionError(f"Submission is missing {c} values for {v[f'n_missing_{c}']} rows.")
+        if style == "generic" and v[f"n_inf_{c}"]:
             raise SubmissionError(NAN_MSG[style].format(col=c))
     for c in cols if style == "track" else ():
-        if v[f"n_nan_inf_{c}"]:
+        if v[f"n_inf_{c}"]:
             raise SubmissionError(NAN_MSG[style].format(col=c))
     return merged
 

@@ -1,13 +1,12 @@
 """Skew-safe top-k per group.
 
-A constant ``k`` uses ``row_number() <= k``: Spark plans a partial
+``row_number() <= k`` with a constant ``k`` lets Spark plan a partial
 ``WindowGroupLimit`` before the shuffle, so each map task sends at most ``k``
 rows per group and a hot group cannot flood one reducer.
 
-A per-group limit (a column) cannot use that rule, so :func:`top_k_by_column`
-runs two exact phases: rank inside ``(group, salt)`` sub-groups and keep the
-sub-group's first ``k``; then rank the survivors inside the group. The top
-``k`` of a group is always among the union of its sub-groups' top ``k``.
+A per-group limit (a column) cannot use that rule by itself.
+:func:`top_k_by_column` adds the largest limit as a constant: what a task sends
+of a group is then bounded by a limit that some group really has.
 """
 
 from __future__ import annotations
@@ -23,25 +22,13 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col:
 
 
 def top_k_by_column(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    k_col: str,
-    salt_col: Column,
-    salts: int = 16,
-    rank_col: str = "rank",
+    df: DataFrame, limits: DataFrame, keys: list[str], order: list[Column], k_col: str, rank_col: str = "rank"
 ) -> DataFrame:
-    """Rows ranked 1..``k_col`` per ``keys``; ``salt_col`` spreads hot groups.
+    """Rows ranked 1..``k_col`` per ``keys``, where ``limits`` holds ``keys + [k_col]``.
 
-    ``salt_col`` must be a deterministic function of the row (a hash), so a
-    re-run task recomputes the same sub-groups.
+    Groups without a limit are dropped. One number, the largest limit, is
+    collected to bound the partial limit before the shuffle.
     """
-    salted = df.withColumn("_salt", F.pmod(salt_col, F.lit(salts)))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.col(k_col))
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        first.drop("_r1", "_salt")
-        .withColumn(rank_col, F.row_number().over(w2))
-        .where(F.col(rank_col) <= F.col(k_col))
-    )
+    most = limits.agg(F.max(k_col)).first()[0] or 0
+    ranked = top_k(df.join(limits, keys), keys, order, int(most), rank_col)
+    return ranked.where(F.col(rank_col) <= F.col(k_col))

@@ -81,15 +81,27 @@ def negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return D.negative_pairs(_pairs(spark, sf)).select("pert", "gene", "split", "pass")
 
 
-@query("split_leakage", S.with_ctes("""SELECT 'pert' AS kind, pert AS key, count(DISTINCT split) AS n_splits FROM assigned
+def _leak_sql(src: str) -> str:
+    return f"""SELECT 'pert' AS kind, pert AS key, count(DISTINCT split) AS n_splits FROM {src}
 GROUP BY pert HAVING count(DISTINCT split) > 1
-UNION ALL SELECT 'gene', gene, count(DISTINCT split) FROM assigned GROUP BY gene HAVING count(DISTINCT split) > 1""",
-    "assigned"))
+UNION ALL SELECT 'gene', gene, count(DISTINCT split) FROM {src} GROUP BY gene HAVING count(DISTINCT split) > 1"""
+
+
+S.register("pair_split", None, f"SELECT *, {D.sql_split_of(D.sql_hash_pct('id'), D.PERT_SPLIT)} AS split FROM pairs", ["pairs"])
+
+
+@query("split_leakage", S.with_ctes(_leak_sql("assigned"), "assigned"))
 def split_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """DSC-6 / SET-3: keys present in more than one split (must be empty)."""
+    """DSC-6 / SET-3: keys of the two-axis split in more than one split (must be empty)."""
     return D.split_leakage(D.two_axis_split(_pairs(spark, sf)))
 
 
+@query("split_leakage_by_pair", S.with_ctes(_leak_sql("pair_split"), "pair_split"))
+def split_leakage_by_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-6 / SET-3: the same check of a split by pair, which leaks."""
+    return D.split_leakage(D.pair_hash_split(_pairs(spark, sf)))
+
+
 @query("dataset_profile", S.with_ctes("""SELECT split, count(DISTINCT pert) AS n_perts, count(DISTINCT gene) AS n_genes,
   count(*) AS n_rows, count(*) FILTER (WHERE label = 'up') AS n_up, count(*) FILTER (WHERE label = 'down') AS n_down,
   count(*) FILTER (WHERE label = 'none') AS n_none FROM assigned GROUP BY split""", "assigned"))

@@ -27,21 +27,33 @@ def gene_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pair_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Lookups by gene (even part keys) or by pert and gene (odd part keys)."""
-    p = S.table(spark, sf, "part")
-    odd = F.pmod("p_partkey", F.lit(2)) == 1
+    """Lookups of six kinds by part key: gene only, both, pert only (the other
+    key null or empty), an unknown gene, and neither."""
+    p = S.table(spark, sf, "part").withColumn("kind", F.pmod("p_partkey", F.lit(6)))
+    pert = F.concat(F.lit("S"), (F.pmod("p_partkey", F.lit(N_PERT_QUERY)) + 1).cast("string"))
+    gene = F.concat(F.lit("g"), F.col("p_partkey").cast("string"))
+    kind = F.col("kind")
     return p.select(
         F.col("p_partkey").cast("string").alias("qid"),
-        F.when(odd, F.concat(F.lit("S"), (F.pmod("p_partkey", F.lit(N_PERT_QUERY)) + 1).cast("string"))).alias("pert"),
-        F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene"),
+        F.when(kind.isin(1, 2), pert).when(kind.isin(3, 5), F.lit("")).alias("pert"),
+        F.when(kind.isin(0, 1, 3), gene).when(kind == 4, F.concat(F.lit("unknown"), gene)).when(kind == 5, F.lit("")).alias("gene"),
     )
 
 
+def mixed_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows with labels in mixed case and some outside the list."""
+    n = F.pmod("gene_key", F.lit(5))
+    lab = F.when(n == 0, F.upper("label")).when(n == 1, F.lit("Unclear")).otherwise(F.col("label"))
+    return S.pairs(spark, sf).select("pert", "gene", lab.alias("label"))
+
+
 S.register("pert_q", None, "SELECT 's' || CAST(s_suppkey AS VARCHAR) AS q FROM supplier", [])
 S.register("gene_q", None, "SELECT 'g' || CAST(p_partkey AS VARCHAR) AS q FROM part", [])
 S.register("pert_hits", None, """SELECT q.q, t.gene, lower(t.label) AS lab FROM (SELECT DISTINCT q FROM pert_q) q
 JOIN pairs t ON lower(t.pert) = lower(q.q)""", ["pert_q", "pairs"])
-_HEAD = {"up": "    Up-regulated: ", "down": "    Down-regulated: ", "none": "    Not differentially expressed: "}
+_HEAD = EV.PERT_LIST_HEAD
+S.register("mixed_pairs", None, """SELECT pert, gene, CASE gene_key % 5 WHEN 0 THEN upper(label) WHEN 1 THEN 'Unclear' ELSE label END AS label
+FROM pairs""", ["pairs"])
 
 
 @query("pert_evidence", S.with_ctes(f"""SELECT q.q, coalesce(c.n, 0) AS n_examples,
@@ -63,39 +75,49 @@ def pert_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return EV.pert_evidence(_train(spark, sf), pert_queries(spark, sf))
 
 
-_LS = "CASE lower(t.label) WHEN 'up' THEN 'up-regulated' WHEN 'down' THEN 'down-regulated' WHEN 'none' THEN 'not differentially expressed' ELSE t.label END"
+def _cases(table: dict[str, str], other: str) -> str:
+    return "CASE lower(t.label) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {other} END"
 
 
-@query("gene_evidence", S.with_ctes(f"""SELECT q.q, coalesce(g.n, 0) AS n_examples,
-  CASE WHEN g.n IS NULL THEN 'No training examples found for target gene ''' || q.q || '''.'
-  ELSE 'Training data for target gene ''' || q.q || ''' (' || CAST(g.n AS VARCHAR) || ' examples):' || chr(10) || g.lines END AS text
-FROM (SELECT DISTINCT q FROM gene_q) q LEFT JOIN (
-  SELECT q.q, count(*) AS n, string_agg('  - pert=' || t.pert || ': ' || {_LS}, chr(10) ORDER BY t.pert) AS lines
-  FROM (SELECT DISTINCT q FROM gene_q) q JOIN pairs t ON lower(t.gene) = lower(q.q) GROUP BY q.q) g ON g.q = q.q""",
-    "gene_q", "pairs"))
+@query("gene_evidence", S.with_ctes(f"""SELECT q.q, coalesce(n.n, 0) AS n_examples, CAST(coalesce(g.part, 0) AS INTEGER) AS part,
+  CASE WHEN n.n IS NULL THEN 'No training examples found for target gene ''' || q.q || '''.'
+  ELSE CASE WHEN g.part = 0 THEN 'Training data for target gene ''' || q.q || ''' (' || CAST(n.n AS VARCHAR) || ' examples):' || chr(10) ELSE '' END
+       || g.lines END AS text
+FROM (SELECT DISTINCT q FROM gene_q) q
+LEFT JOIN (SELECT q.q, count(*) AS n FROM (SELECT DISTINCT q FROM gene_q) q JOIN mixed_pairs t ON lower(t.gene) = lower(q.q) GROUP BY q.q) n USING (q)
+LEFT JOIN (
+  SELECT q, (rn - 1) // {EV.PART_LINES} AS part, string_agg(line, chr(10) ORDER BY rn) AS lines FROM (
+    SELECT q.q, '  - pert=' || t.pert || ': ' || {_cases(EV.LABEL_STR, 't.label')} AS line, row_number() OVER (PARTITION BY q.q ORDER BY t.pert) AS rn
+    FROM (SELECT DISTINCT q FROM gene_q) q JOIN mixed_pairs t ON lower(t.gene) = lower(q.q)) GROUP BY ALL) g USING (q)""",
+    "gene_q", "mixed_pairs"))
 def gene_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-8: per target gene lookup: every perturbation and its effect."""
-    return EV.gene_evidence(_train(spark, sf), gene_queries(spark, sf))
+    return EV.gene_evidence(mixed_labels(spark, sf), gene_queries(spark, sf))
 
 
 S.register("pair_q", None, f"""SELECT CAST(p_partkey AS VARCHAR) AS qid,
-  CASE WHEN p_partkey % 2 = 1 THEN 'S' || CAST(p_partkey % {N_PERT_QUERY} + 1 AS VARCHAR) END AS pert,
-  'g' || CAST(p_partkey AS VARCHAR) AS gene FROM part""", [])
-_LD = "CASE lower(t.label) WHEN 'up' THEN 'up-regulated' WHEN 'down' THEN 'down-regulated' WHEN 'none' THEN 'no significant effect' ELSE lower(t.label) END"
-
-
-@query("pair_evidence", S.with_ctes(f"""SELECT q.qid, coalesce(h.n, 0) AS n_examples,
-  CASE WHEN h.n IS NULL THEN 'No training examples found for ' || concat_ws(', ', CASE WHEN q.pert IS NOT NULL THEN 'pert=' || q.pert END,
-       CASE WHEN q.gene IS NOT NULL THEN 'gene=' || q.gene END) || '.'
-  ELSE 'Found ' || CAST(h.n AS VARCHAR) || ' training example(s):' || chr(10) || h.lines END AS text
-FROM pair_q q LEFT JOIN (
-  SELECT q.qid, count(*) AS n, string_agg('  - pert=' || t.pert || ', gene=' || t.gene || ', label=' || t.label || ' (' || {_LD} || ')',
-         chr(10) ORDER BY t.pert, t.gene) AS lines
-  FROM pair_q q JOIN pairs t ON (q.pert IS NULL OR lower(t.pert) = lower(q.pert)) AND lower(t.gene) = lower(q.gene)
-  GROUP BY q.qid) h ON h.qid = q.qid""", "pair_q", "pairs"))
+  CASE WHEN p_partkey % 6 IN (1, 2) THEN 'S' || CAST(p_partkey % {N_PERT_QUERY} + 1 AS VARCHAR) WHEN p_partkey % 6 IN (3, 5) THEN '' END AS pert,
+  CASE WHEN p_partkey % 6 IN (0, 1, 3) THEN 'g' || CAST(p_partkey AS VARCHAR) WHEN p_partkey % 6 = 4 THEN 'unknowng' || CAST(p_partkey AS VARCHAR)
+       WHEN p_partkey % 6 = 5 THEN '' END AS gene FROM part""", [])
+S.register("pair_hits", None, f"""SELECT q.qid, t.pert, t.gene,
+  '  - pert=' || t.pert || ', gene=' || t.gene || ', label=' || t.label || ' (' || {_cases(EV.LOOKUP_DESC, 'lower(t.label)')} || ')' AS line,
+  row_number() OVER (PARTITION BY q.qid ORDER BY t.pert, t.gene) AS rn
+FROM (SELECT qid, nullif(pert, '') AS pert, nullif(gene, '') AS gene FROM pair_q) q JOIN mixed_pairs t
+  ON (q.pert IS NULL OR lower(t.pert) = lower(q.pert)) AND (q.gene IS NULL OR lower(t.gene) = lower(q.gene))
+ AND (q.pert IS NOT NULL OR q.gene IS NOT NULL)""", ["pair_q", "mixed_pairs"])
+
+
+@query("pair_evidence", S.with_ctes(f"""SELECT q.qid, coalesce(n.n, 0) AS n_examples, CAST(coalesce(h.part, 0) AS INTEGER) AS part,
+  CASE WHEN coalesce(q.pert, '') = '' AND coalesce(q.gene, '') = '' THEN 'Error: provide at least one of ''pert'' or ''gene''.'
+  WHEN n.n IS NULL THEN 'No training examples found for ' || concat_ws(', ', CASE WHEN q.pert <> '' THEN 'pert=' || q.pert END,
+       CASE WHEN q.gene <> '' THEN 'gene=' || q.gene END) || '.'
+  ELSE CASE WHEN h.part = 0 THEN 'Found ' || CAST(n.n AS VARCHAR) || ' training example(s):' || chr(10) ELSE '' END || h.lines END AS text
+FROM pair_q q LEFT JOIN (SELECT qid, count(*) AS n FROM pair_hits GROUP BY qid) n USING (qid)
+LEFT JOIN (SELECT qid, (rn - 1) // {EV.PART_LINES} AS part, string_agg(line, chr(10) ORDER BY rn) AS lines FROM pair_hits GROUP BY ALL) h USING (qid)""",
+    "pair_q", "pair_hits"))
 def pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """JOI-9 + AGG-9: lookups by pert and/or gene, case-insensitive, one job."""
-    return EV.pair_evidence(_train(spark, sf), pair_queries(spark, sf))
+    """JOI-9 + AGG-9: lookups by pert and/or gene, or neither, case-insensitive, one job."""
+    return EV.pair_evidence(mixed_labels(spark, sf), pair_queries(spark, sf))
 
 
 # ── ANN-1: annotation table derived from part ────────────────────────────

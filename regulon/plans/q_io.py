@@ -38,6 +38,57 @@ def read_prompts_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return RD.read_prompts(spark, path, fmt="json", order_col="ord")
 
 
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every prompt id on three lines, one after the other, then the overrides in a later file."""
+    return S.pairs(spark, sf).select("id", F.explode(F.array(*[
+        F.concat(F.lit(f"draft {k} about "), F.col("id"), F.lit(",\n \"quoted\"")) for k in range(3)])).alias("prompt"))
+
+
+_LAST_SQL = S.with_ctes(f"""SELECT p.id, coalesce(o.prompt, 'draft 2 about ' || p.id || ',' || chr(10) || ' "quoted"') AS prompt
+FROM pairs p LEFT JOIN (SELECT id, 'Custom question about ' || id AS prompt FROM pairs WHERE fdr < {S.dbl(QPR.OVERRIDE_FDR)}) o
+USING (id)""", "pairs")
+
+
+@query("read_prompts_last_jsonl", _LAST_SQL)
+def read_prompts_last_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-2: JSONL without an order column: the last line of an id stays."""
+    path = scratch_path(spark, "prompts-last")
+    _versions(spark, sf).write.json(f"{path}/0")
+    QPR.overrides(spark, sf).select("id", "prompt").write.json(f"{path}/1")
+    return RD.read_prompts(spark, path, fmt="json")
+
+
+@query("read_prompts_last_csv", _LAST_SQL)
+def read_prompts_last_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-2: the same from CSV with quoted commas, quotes and newlines."""
+    path = scratch_path(spark, "prompts-last-csv")
+    for k, df in enumerate((_versions(spark, sf), QPR.overrides(spark, sf).select("id", "prompt"))):
+        df.write.option("header", True).option("escape", '"').csv(f"{path}/{k}")
+    return RD.read_prompts(spark, path, fmt="csv")
+
+
+@query("read_response_cache", S.with_ctes("""SELECT id, seed, prediction_up, prediction_down, text AS reasoning_trace, effect,
+  CAST(total_tokens AS DOUBLE) AS tokens FROM stored WHERE pert_key % 2 = 0
+UNION ALL SELECT id, NULL, prediction_up, prediction_down, text, NULL, CAST(total_tokens AS DOUBLE)
+FROM stored WHERE pert_key % 2 = 1 AND seed = 42""", "stored"))
+def read_response_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-4: cache documents, one a perturbation: even ones with columns per
+    seed, odd ones (agentic runs) without."""
+    st = QR.stored(spark, sf)
+    seeded = F.pmod("pert_key", F.lit(2)) == 0
+    fields = {"prediction_up": "prediction_up", "prediction_down": "prediction_down", "reasoning_trace": "text",
+              "effect": "effect", "tokens": "total_tokens"}
+    per_seed = [F.max(F.when(seeded & (F.col("seed") == s), F.col(c))).alias(f"{d}_seed{s}") for s in S.SEEDS for d, c in fields.items()]
+    plain = F.when(~seeded & (F.col("seed") == 42), F.struct("prediction_up", "prediction_down", F.col("text").alias("reasoning_trace"),
+                                                           F.col("total_tokens").alias("tokens_used")))
+    rows = st.groupBy("pert_key", "id").agg(*per_seed, F.max(plain).alias("_p"))
+    row = F.struct(*[f"{d}_seed{s}" for s in S.SEEDS for d in fields], "_p.*")
+    path = scratch_path(spark, "caches")
+    docs = rows.select("pert_key", "id", row.alias("r")).groupBy("pert_key").agg(F.map_from_entries(F.collect_list(F.struct("id", "r"))).alias("rows"))
+    docs.select(F.to_json(F.struct("rows")).alias("value")).write.text(path)
+    return RD.read_response_cache(spark, path, lines=True)
+
+
 @query("write_submission_csv", ORACLE.get("submission_track_a"))
 def write_submission_csv(spark: SparkSession, sf: str) -> DataFrame:
     """SNK-1: the track-A submission written as CSV and read back unchanged."""
@@ -51,10 +102,13 @@ def write_submission_csv(spark: SparkSession, sf: str) -> DataFrame:
 @query("append_responses", S.with_ctes(
     "SELECT id, seed, text, prediction_up, prediction_down FROM stored", "stored"))
 def append_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-2: scored rows appended to a Parquet store one batch per seed, then
-    read back as one table (latest batch per key)."""
+    """SNK-2: scored rows appended to a Parquet store in one write, a stale batch
+    of the same keys besides, read back as one table (latest batch per key)."""
     path = scratch_path(spark, "responses-store")
     st = QR.stored(spark, sf).select("id", "seed", "text", "prediction_up", "prediction_down")
-    for i, seed in enumerate(S.SEEDS):
-        SK.append_responses(st.where(F.col("seed") == seed).withColumn("batch", F.lit(i)), path)
+    # the run once, then an older batch of the same keys: the latest wins
+    SK.append_responses(st.withColumn("batch", F.col("seed") - S.SEEDS[0] + 1), path)
+    SK.append_responses(S.responses(spark, sf).select("id", "seed", F.lit("stale").alias("text"), F.lit(0.0).alias("prediction_up"),
+                                                      F.lit(0.0).alias("prediction_down"), F.lit(0).alias("batch"))
+                        .join(st.select("id", "seed"), ["id", "seed"], "left_semi"), path)
     return SK.latest_responses(spark.read.parquet(path)).select("id", "seed", "text", "prediction_up", "prediction_down")

@@ -188,14 +188,13 @@ def logprob_rows(spark: SparkSession, sf: str, non_finite: bool = False) -> Data
     """Token streams derived from ``lineitem``, written once to the shared
     folder (stored responses, as a scoring run would keep them)."""
     name = "logprobs-nf" if non_finite else "logprobs"
-    return S.materialized(spark, sf, name, lambda: derive_logprob_rows(spark, sf, non_finite))
+    return S.materialized(spark, sf, name, lambda: derive_logprob_rows(S.table(spark, sf, "lineitem"), non_finite))
 
 
-def derive_logprob_rows(spark: SparkSession, sf: str, non_finite: bool = False) -> DataFrame:
+def derive_logprob_rows(li: DataFrame, non_finite: bool = False) -> DataFrame:
     """One token stream per lineitem row: prefix tokens, a (sometimes split or
     unclosed) answer tag, an optional empty token, and top-3 candidates at the
     letter built from the row's numbers."""
-    li = S.table(spark, sf, "lineitem")
     tok = lambda t, lp, top: F.struct(t.alias("token"), lp.cast("double").alias("logprob"), top.alias("top_logprobs"))
     none_top = F.array().cast("array<struct<token:string,logprob:double>>")
     letter = F.substring(F.lit("ABC"), (F.pmod("l_partkey", F.lit(3)) + 1).cast("int"), 1)

@@ -66,8 +66,9 @@ S.register("stored_wide", None, f"SELECT id, {_WIDE} FROM stored GROUP BY id", [
 FROM stored_wide""", "stored_wide"))
 def seed_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-1: per-seed predictions and their mean (missing seed = 0.333)."""
-    out = R.seed_ensemble(stored(spark, sf), keys=S.PAIR_KEYS, carry=["id"])
-    return out.drop(*S.PAIR_KEYS)
+    out = R.seed_ensemble(stored(spark, sf), keys=S.PAIR_KEYS)
+    ids = S.pairs(spark, sf).select(*S.PAIR_KEYS, "id")
+    return out.join(ids, S.PAIR_KEYS).drop(*S.PAIR_KEYS)
 
 
 @query("row_tokens", S.with_ctes("SELECT id, CAST(sum(total_tokens) AS BIGINT) AS tokens_used FROM stored GROUP BY id", "stored"))
@@ -204,7 +205,7 @@ def submission_track_c(spark: SparkSession, sf: str) -> DataFrame:
     """JOI-6 (C): one completion per row; a completion that reported no token
     usage counts as a failed call, so its row gets the defaults."""
     comp = QP.completions(spark, sf)
-    f = C.completion_fields(F.col("json"))
+    f = C.completion_fields(F.col("json"), reasoning_content=True)
     rows = comp.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
                        "conv_id", f.alias("f"))
     sp = C.split_think(F.col("f.content"), F.col("f.reasoning"))
@@ -230,5 +231,23 @@ def batch_complete(spark: SparkSession, sf: str) -> DataFrame:
     with a deterministic stub scorer, retries and a status column."""
     pend = R.pending_work(expected(spark, sf), stored(spark, sf), keys=S.PAIR_KEYS + ["seed"])
     pend = pend.select("id", "seed", PR.append_answer_tag(PR.zero_shot_prompt(F.col("pert"), F.col("gene"))).alias("prompt"))
-    out = R.batch_complete(pend, R.stub_scorer, max_retries=1, backoff=lambda a: 0.0)
+    out = R.batch_complete(pend, R.stub_scorer, max_retries=1, backoff=lambda a: 0.0, tasks=_tasks(spark))
+    return out.select("id", "seed", "text", "status", "attempts")
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query("batch_complete_failures", S.with_ctes(f"""SELECT id, seed,
+  CASE WHEN (length(prompt) + seed) % 5 = 0 THEN '' ELSE '<answer>' || substr('ABC', CAST((length(prompt) + seed) % 3 AS INTEGER) + 1, 1) || '</answer>' END AS text,
+  CASE WHEN (length(prompt) + seed) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN (length(prompt) + seed) % 5 = 0 THEN 3 ELSE 1 END AS attempts
+FROM (SELECT id, seed, {PR.sql_append_answer_tag(PR.sql_zero_shot_prompt('pert', 'gene'))} AS prompt FROM pending)""",
+    "pending"))
+def batch_complete_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """UDF-1: a scorer that fails for good on some prompts: retries, then ``failed``."""
+    pend = R.pending_work(expected(spark, sf), stored(spark, sf), keys=S.PAIR_KEYS + ["seed"])
+    pend = pend.select("id", "seed", PR.append_answer_tag(PR.zero_shot_prompt(F.col("pert"), F.col("gene"))).alias("prompt"))
+    out = R.batch_complete(pend, R.failing_scorer, max_retries=2, backoff=lambda a: 0.0, tasks=_tasks(spark))
     return out.select("id", "seed", "text", "status", "attempts")

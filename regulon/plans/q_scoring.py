@@ -23,20 +23,19 @@ def parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-1 over the stand-in run, keyed by the pair keys (+ id).
+    """AGG-1 over the stand-in run, keyed by the pair keys.
 
-    Grouping on the pair keys alone (``id`` depends on them and is carried)
-    leaves the result hash-partitioned on the join keys, so the solution join
-    reuses that partitioning: one shuffle of the responses, one of the solution.
+    The result stays hash-partitioned on the join keys, so the solution join
+    reuses that partitioning: one shuffle of the partially aggregated responses,
+    one of the solution, both sized at run time.
     """
-    return R.seed_ensemble(parsed_responses(spark, sf), keys=KEYS, carry=["id"])
+    return R.seed_ensemble(parsed_responses(spark, sf), keys=KEYS)
 
 
 def merged_run(spark: SparkSession, sf: str) -> DataFrame:
     """JOI-1: solution LEFT JOIN the run's predictions."""
     sol = S.solution(spark, sf)
-    pred = run_predictions(spark, sf).drop("id")
-    return SC.score_join(sol, pred, KEYS)
+    return SC.score_join(sol, run_predictions(spark, sf), KEYS)
 
 
 # DuckDB twins: the catalogue is parsed once and joined by key, which gives the
@@ -120,6 +119,14 @@ def auroc_docs(spark: SparkSession, sf: str) -> DataFrame:
     return SC.auroc(scored, "y", "s")
 
 
+@query("auroc_prices", f"SELECT auroc, n_pos, n_neg FROM "
+       f"{SC.sql_auroc('lineitem', """(l_returnflag = 'R')""", 'l_extendedprice')} AS a")
+def auroc_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-3 over many distinct scores: returned items ranked by price, all rows."""
+    li = S.table(spark, sf, "lineitem")
+    return SC.auroc(li.select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_extendedprice").alias("s")), "y", "s")
+
+
 @query("auroc_run_components", S.with_ctes(
     f"SELECT component, auroc, n_pos, n_neg FROM {SC.sql_auroc('components', 'y', 's', ['component'])} AS a", "components"))
 def auroc_run_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,8 +142,7 @@ FROM merged m WHERE prediction_up IS NOT NULL""", ["merged"])
 
 def argmax_table(spark: SparkSession, sf: str) -> DataFrame:
     sol = S.solution(spark, sf)
-    pred = run_predictions(spark, sf).drop("id")
-    j = SC.eval_join(pred, sol, KEYS)
+    j = SC.eval_join(run_predictions(spark, sf), sol, KEYS)
     return j.withColumn("pred", P.argmax_label(F.col("prediction_up"), F.col("prediction_down")))
 
 
@@ -164,16 +170,20 @@ def argmax_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 # ── AGG-10 / AGG-11 / AGG-12 ─────────────────────────────────────────────
 
 @query("validate_submission", S.with_ctes("""SELECT count(*) AS n_rows,
-  count(*) FILTER (WHERE prediction_up IS NULL) AS n_null_prediction_up,
-  count(*) FILTER (WHERE isnan(prediction_up) OR isinf(prediction_up)) AS n_nan_inf_prediction_up,
-  count(*) FILTER (WHERE prediction_down IS NULL) AS n_null_prediction_down,
-  count(*) FILTER (WHERE isnan(prediction_down) OR isinf(prediction_down)) AS n_nan_inf_prediction_down,
+  count(*) FILTER (WHERE prediction_up IS NULL OR isnan(prediction_up)) AS n_missing_prediction_up,
+  count(*) FILTER (WHERE isinf(prediction_up)) AS n_inf_prediction_up,
+  count(*) FILTER (WHERE prediction_down IS NULL OR isnan(prediction_down)) AS n_missing_prediction_down,
+  count(*) FILTER (WHERE isinf(prediction_down)) AS n_inf_prediction_down,
   (SELECT count(*) FROM (SELECT id FROM ensemble GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids
 FROM merged""", "merged"))
 def validate_submission(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-10: null / NaN / inf / duplicate-id counts in one aggregate."""
-    sub = run_predictions(spark, sf)
-    return SC.validation_counts(merged_run(spark, sf), submission=sub, on="id")
+    """AGG-10: missing (null or NaN) / infinite counts and duplicate ids.
+
+    The ensemble is stored once: the merge and the duplicate check both read it.
+    """
+    sub = run_predictions(spark, sf).checkpoint(eager=True)
+    merged = SC.score_join(S.solution(spark, sf), sub, KEYS)
+    return SC.validation_counts(merged, submission=sub, on=KEYS)
 
 
 S.register("track_b_rows", None, """SELECT s.id,

@@ -5,33 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import logprobs as L
 from ..functions import parsing as P
 from ..session import scratch_path
 from ..streaming import jobs as J
 from . import q_cells as QC
+from . import q_parsing as QP
 from . import standins as S
 from .registry import query
 
-N_CHUNKS = 4
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table's own files as a stream: no staging copy. A table may be a folder
+    or one file; only a glob pattern takes either."""
+    return J.stream_parquet(spark, f"{sf}/{name}.parque[t]", S.table(spark, sf, name).schema)
 
 
-def _stage(df: DataFrame, path: str, key: str) -> None:
-    """Write the input as several files so the stream sees several batches."""
-    df.repartition(N_CHUNKS, key).write.parquet(path)
-
-
-@query("stream_cells", S.with_ctes(f"""SELECT cell_id, CAST(rank AS INTEGER) AS rank, token, expr FROM (
-  SELECT cell_id, token, expr, row_number() OVER (PARTITION BY cell_id ORDER BY expr DESC, token) AS rank
-  FROM entries WHERE token >= {QC.TOKEN_OFFSET + 1}) WHERE rank <= 10""", "entries"))
+@query("stream_cells", S.with_ctes(f"""SELECT cell_id, CAST(rank AS INTEGER) AS rank, token, symbol, expr FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY expr DESC, token) AS rank FROM decoded)
+WHERE rank <= {QC.CE.TOP_GENES}""", "decoded"))
 def stream_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-1: cells arrive as a file stream; each batch yields every cell's
-    top-10 known tokens (stateless, within the row)."""
-    src, out, ck = (scratch_path(spark, n) for n in ("cells-in", "cells-out", "cells-ck"))
-    cells = QC.cells(spark, sf).select("cell_id", "genes", "expressions")
-    _stage(cells, src, "cell_id")
-    s = J.stream_parquet(spark, src, cells.schema)
-    J.run_to_parquet(J.top_genes_in_row(s, 10, QC.TOKEN_OFFSET + 1), out, ck)
-    return spark.read.parquet(out)
+    """STR-1: cells arrive as a file stream; each batch keeps the tokens of the
+    vocabulary, names them and takes every cell's top 10."""
+    out, ck = (scratch_path(spark, n) for n in ("cells-out", "cells-ck"))
+    cells = QC.cells_of(_stream(spark, sf, "embeddings"))
+    J.run_batches(cells, J.top_genes_of_batch(QC.vocab(spark, sf), out), ck)
+    return spark.read.parquet(out).select("cell_id", "rank", "token", "symbol", "expr")
 
 
 S.register("conv_parsed", None, f"""SELECT conv_id, turn, {P.sql_parse_label(P.sql_answer_source('text'))} AS parsed_label
@@ -42,23 +40,21 @@ FROM conversations""", [])
   {P.sql_label_to_pred('parsed_label', 'up')} AS prediction_up,
   {P.sql_label_to_pred('parsed_label', 'down')} AS prediction_down FROM conv_parsed""", "conv_parsed"))
 def ingest_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-2: conversation turns streamed twice (a replayed file) are parsed
-    and stored once per (conv_id, turn)."""
-    src, out, ck = (scratch_path(spark, n) for n in ("conv-in", "conv-out", "conv-ck"))
-    conv = S.table(spark, sf, "conversations")
-    _stage(conv, src, "conv_id")
-    conv.where(F.col("role") == "assistant").write.mode("append").parquet(src)  # replayed rows
-    s = J.stream_parquet(spark, src, conv.schema)
-    J.run_to_parquet(J.ingest_responses(s), out, ck)
+    """STR-2: conversation turns that all arrive twice are parsed and stored
+    once per (conv_id, turn)."""
+    out, ck = (scratch_path(spark, n) for n in ("conv-out", "conv-ck"))
+    twice = _stream(spark, sf, "conversations").unionByName(_stream(spark, sf, "conversations"))
+    J.run_to_parquet(J.ingest_responses(twice), out, ck)
     return spark.read.parquet(out)
 
 
-@query("stream_progress", "SELECT role, count(*) AS n FROM conversations GROUP BY role")
+@query("stream_progress", S.with_ctes("""SELECT count(*) AS n_total, count(*) FILTER (WHERE ea IS NOT NULL OR text <> '') AS n_new,
+  count(*) FILTER (WHERE ea IS NOT NULL) AS n_hit, count(*) FILTER (WHERE ea IS NULL) AS n_fallback FROM lp_pred""", "lp_pred"))
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-3: running counts over the stream (complete mode, final state)."""
-    src, out, ck = (scratch_path(spark, n) for n in ("prog-in", "prog-out", "prog-ck"))
-    conv = S.table(spark, sf, "conversations")
-    _stage(conv, src, "conv_id")
-    s = J.stream_parquet(spark, src, conv.schema)
-    J.run_to_parquet(J.progress_counts(s), out, ck, mode="complete")
+    """STR-3: running counters of a log-prob run over the stream (complete mode,
+    final state): rows, rows with a result, hits, text fall-backs."""
+    out, ck = (scratch_path(spark, n) for n in ("prog-out", "prog-ck"))
+    rows = L.logprob_predictions(QP.derive_logprob_rows(_stream(spark, sf, "lineitem")))
+    hit = F.col("lp_up").isNotNull()
+    J.run_to_parquet(J.progress_counts(rows, hit | (F.col("text") != ""), hit, ~hit), out, ck, mode="complete")
     return spark.read.parquet(out)

@@ -39,6 +39,9 @@ CATALOGUE = [
     "Reasoning about the pathway first.\nFinal Answer: B",
     "**A)** up",
     "No.",
+    "No",
+    "No..",
+    "Final Answer : c",
     "Expression will probably decrease.\nAnswer: B) down",
     "<think>\nweighing the evidence\n</think>\n<answer>B</answer>",
     "The knockdown has no significant effect on expression.",
@@ -65,48 +68,27 @@ def dbl(x: float) -> str:
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
 
 
-def materialized(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame],
-                 bucket_by: list[str] | None = None, buckets: int = 16) -> DataFrame:
+def materialized(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write a derived input once per process to the shared folder and read it
     back: the pair table is a stored table in a real pipeline, so queries start
-    from a scan instead of re-deriving it.
-
-    With ``bucket_by`` the data is written bucketed on those keys (an external
-    table of the session catalog, files in the shared folder), so joins and
-    aggregations on the keys read co-partitioned data and need no shuffle.
+    from a scan instead of re-deriving it. Its files and their number follow the
+    data; later shuffles are sized at run time.
     """
-    import uuid
-
     from ..session import ensure_checkpoint_dir, scratch_path
 
     key = (ensure_checkpoint_dir(spark), sf.rstrip("/"), name)
-    hit = _MATERIALIZED.get(key)
-    if hit is not None:
-        kind, where = hit
-        try:
-            return spark.table(where) if kind == "table" else spark.read.parquet(where)
-        except Exception:  # noqa: BLE001 - catalog of an earlier session: write again
-            pass
-    path = scratch_path(spark, f"standin-{name}")
-    if bucket_by:
-        table = f"regulon_{name}_{uuid.uuid4().hex[:10]}"
-        try:
-            (build().write.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
-             .option("path", path).mode("overwrite").saveAsTable(table))
-            _MATERIALIZED[key] = ("table", table)
-            return spark.table(table)
-        except Exception:  # noqa: BLE001 - no writable catalog: plain files
-            path = scratch_path(spark, f"standin-{name}")
-    build().write.parquet(path)
-    _MATERIALIZED[key] = ("path", path)
-    return spark.read.parquet(path)
+    if key not in _MATERIALIZED:
+        path = scratch_path(spark, f"standin-{name}")
+        build().write.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(_MATERIALIZED[key])
 
 
 PAIR_KEYS = ["pert_key", "gene_key"]
 
 
 def de(spark: SparkSession, sf: str) -> DataFrame:
-    return materialized(spark, sf, "de", lambda: derive_de(spark, sf), bucket_by=PAIR_KEYS)
+    return materialized(spark, sf, "de", lambda: derive_de(spark, sf))
 
 
 def derive_de(spark: SparkSession, sf: str) -> DataFrame:

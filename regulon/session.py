@@ -34,8 +34,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "regul
 def ensure_checkpoint_dir(spark: SparkSession, default_root: str | None = None) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting wins; only when it is unset (tests, local bench) a
-    scratch folder is created and registered.
+    The cluster's setting wins. Only when it is unset and the master is local
+    (tests, local bench) a scratch folder is created and registered: on a cluster
+    a machine-local folder would not be shared.
     """
     conf = spark.conf.get(CHECKPOINT_CONF, None)
     try:
@@ -46,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession, default_root: str | None = None)
         if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf)
         return conf.rstrip("/")
+    master = "" if sc is None else sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     root = default_root or os.environ.get("REGULON_SCRATCH") or "/tmp"
     path = os.path.join(root, f"regulon-ckpt-{uuid.uuid4().hex[:12]}")
     spark.conf.set(CHECKPOINT_CONF, path)
@@ -85,4 +89,6 @@ def cluster_settings(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -10,7 +11,6 @@ from ..operators.topk import top_k
 
 PAIRS = StructType([StructField(c, StringType()) for c in ("id", "pert", "gene", "label")])
 PROMPTS_REQUIRED = ("id", "prompt")
-DE_BUCKETS = 16
 
 
 def read_pairs(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
@@ -24,77 +24,95 @@ def read_pairs(spark: SparkSession, path: str, labelled: bool = True) -> DataFra
             .option("escape", '"').option("enforceSchema", False).csv(path))
 
 
-def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, order_col: str | None = "ord") -> DataFrame:
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds ``_place``: file, then the split's start in it, then the row in the split.
+
+    The reader emits a split's rows in order, and the increasing id grows with
+    them; ids of different splits are never compared before their starts.
+    """
+    return df.withColumn("_place", F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")))
+
+
+def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, order_col: str | None = None) -> DataFrame:
     """SRC-2: (id, prompt) from CSV or JSONL; blank lines skipped; both columns
-    cast to string; duplicate ids resolved last-wins by ``order_col``.
+    cast to string; of duplicate ids the last one stays.
 
-    Spark reads files in parallel with no global line order, so "last" needs
-    an explicit order column (file name breaks ties between files).
+    "Last" is the position: file path, then place in the file. With
+    ``order_col`` that column decides first. JSONL has a fixed schema (no
+    inference pass); CSV fields may hold quoted newlines, so a CSV file is one
+    split by format.
     """
     fmt = fmt or ("json" if path.rstrip("/").endswith((".jsonl", ".ndjson")) else "csv")
     if fmt == "json":
-        df = spark.read.json(path)
+        names = [*PROMPTS_REQUIRED, *([order_col] if order_col else [])]
+        lines = _placed(spark.read.option("recursiveFileLookup", True).text(path)).where(F.trim("value") != "")
+        v = F.try_parse_json("value")
+        df = lines.select("_place", *[F.try_variant_get(v, f"$.{c}", "string").alias(c) for c in names])
+        # a line without a required key fails the job when it is read, as a CSV without the column does at once
+        lack = F.raise_error(F.concat(F.lit(f"{path} is missing required column(s): id or prompt in "), F.lit("a line")))
+        df = df.withColumn("id", F.when(F.col("id").isNull() | F.col("prompt").isNull(), lack.cast("string")).otherwise(F.col("id")))
     else:
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    missing = [c for c in PROMPTS_REQUIRED if c not in df.columns]
-    if missing:
-        raise ValueError(f"{path} is missing required column(s): {set(missing)}. Expected columns: id, prompt")
-    has_order = bool(order_col) and order_col in df.columns
-    order = F.col(order_col).cast("string").try_cast("long") if has_order else None
+        raw = (spark.read.option("recursiveFileLookup", True).option("header", True).option("multiLine", True)
+               .option("escape", '"').csv(path))
+        missing = [c for c in PROMPTS_REQUIRED if c not in raw.columns]
+        if missing:
+            raise ValueError(f"{path} is missing required column(s): {set(missing)}. Expected columns: id, prompt")
+        order_col = order_col if order_col in raw.columns else None
+        df = _placed(raw)
+    order = F.col(order_col).try_cast("long") if order_col else F.lit(None).cast("long")
     df = df.select(F.col("id").cast("string").alias("id"), F.col("prompt").cast("string").alias("prompt"),
-                   *([order.alias("_ord")] if has_order else []), F.input_file_name().alias("_file"))
-    # the explicit order decides; the file name only breaks ties. A one-row
-    # top-k per id is limited map-side before the shuffle (no sort aggregate).
-    order = [F.col("_ord").desc_nulls_last(), F.col("_file").desc()] if has_order else [F.col("_file").desc()]
-    return top_k(df, ["id"], order, 1).select("id", "prompt")
-
-
-RESPONSE_ROW = (
-    "struct<prediction_up:double,prediction_down:double,"
-    "prediction_up_seed42:double,prediction_down_seed42:double,"
-    "prediction_up_seed43:double,prediction_down_seed43:double,"
-    "prediction_up_seed44:double,prediction_down_seed44:double,"
-    "reasoning_trace_seed42:string,reasoning_trace_seed43:string,reasoning_trace_seed44:string,"
-    "effect_seed42:string,effect_seed43:string,effect_seed44:string,"
-    "tokens_used:double,prompt_tokens:double,model_name:string>"
-)
-
-
-def read_response_cache(spark: SparkSession, path: str, seeds=(42, 43, 44)) -> DataFrame:
-    """SRC-4: a JSON cache document ``{"rows": {id: {...}}}`` -> long table
-    ``(id, seed, prediction_up, prediction_down, reasoning_trace, effect)``.
-
-    An unreadable or missing document gives an empty table. The document is
-    one record by format; the long Parquet store (SNK-2) is the scalable form.
+                   order.alias("_ord"), "_place")
+    # a one-row top-k per id is limited map-side before the shuffle
+    return top_k(df, ["id"], [F.col("_ord").desc_nulls_last(), F.col("_place").desc()], 1).select("id", "prompt")
+
+
+# The caches' per-seed and seedless fields.
+SEED_FIELDS = ("prediction_up", "prediction_down", "reasoning_trace", "effect", "tokens")
+ROW_FIELDS = ("prediction_up", "prediction_down", "reasoning_trace", "effect", "tokens_used")
+CACHE_SCHEMA = "id string, seed int, prediction_up double, prediction_down double, reasoning_trace string, effect string, tokens double"
+
+
+def read_response_cache(spark: SparkSession, path: str, seeds=(42, 43, 44), lines: bool = False) -> DataFrame:
+    """SRC-4: JSON cache documents ``{"rows": {id: {...}}}`` -> long table
+    ``(id, seed, prediction_up, prediction_down, reasoning_trace, effect, tokens)``.
+
+    A row with columns per seed gives a row per seed that has a prediction; a row
+    without (agentic and fine-tuned runs) gives one with a null seed. A document
+    is one record by format: a file each, or a line each with ``lines``, and a
+    folder of either is read in parallel. An unreadable document or a missing
+    path gives no rows.
     """
-    schema = f"id string, seed int, prediction_up double, prediction_down double, reasoning_trace string, effect string"
     try:
-        raw = spark.read.text(path, wholetext=True)
-    except Exception:  # noqa: BLE001 - missing path -> empty cache
-        return spark.createDataFrame([], schema)
-    doc = raw.select(F.from_json("value", f"struct<rows:map<string,{RESPONSE_ROW}>>").alias("d"))
+        raw = spark.read.text(path, wholetext=not lines)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE_SCHEMA)  # no cache yet
+    fields = ", ".join(["prediction_up double", "prediction_down double", "reasoning_trace string", "effect string", "tokens_used double"]
+                       + [f"{c}_seed{s} {'double' if c in ('prediction_up', 'prediction_down', 'tokens') else 'string'}"
+                          for s in seeds for c in SEED_FIELDS])
+    doc = raw.select(F.from_json("value", f"rows map<string,struct<{fields.replace(' double', ':double').replace(' string', ':string')}>>").alias("d"))
     rows = doc.select(F.explode("d.rows").alias("id", "r"))
-    per_seed = F.array(*[
-        F.struct(F.lit(s).alias("seed"), F.col(f"r.prediction_up_seed{s}").alias("prediction_up"),
-                 F.col(f"r.prediction_down_seed{s}").alias("prediction_down"),
-                 F.col(f"r.reasoning_trace_seed{s}").alias("reasoning_trace"),
-                 F.col(f"r.effect_seed{s}").alias("effect"))
-        for s in seeds])
-    return rows.select("id", F.inline(per_seed)).where(
-        F.col("prediction_up").isNotNull() | F.col("prediction_down").isNotNull())
+    forms = [F.struct(F.lit(s).cast("int").alias("seed"), *[F.col(f"r.{c}_seed{s}").alias(c) for c in SEED_FIELDS]) for s in seeds]
+    forms.append(F.struct(F.lit(None).cast("int").alias("seed"), *[F.col(f"r.{c}").alias(d) for c, d in zip(ROW_FIELDS, SEED_FIELDS)]))
+    per_seed = F.array(*forms[:-1])
+    seeded = F.exists(per_seed, lambda x: x["prediction_up"].isNotNull() | x["prediction_down"].isNotNull())
+    out = rows.select("id", F.inline(F.when(seeded, per_seed).otherwise(F.array(forms[-1]))))
+    return out.where(F.col("prediction_up").isNotNull() | F.col("prediction_down").isNotNull())
 
 
-def write_de_shards(de: DataFrame, path: str, buckets: int = DE_BUCKETS) -> None:
-    """Write a DE table as Parquet partitioned by a drug hash bucket."""
-    (de.withColumn("drug_bucket", F.pmod(F.xxhash64("drug"), F.lit(buckets)).cast("int"))
-       .repartition("drug_bucket").write.mode("overwrite").partitionBy("drug_bucket").parquet(path))
+def write_de_shards(de: DataFrame, path: str) -> None:
+    """Write a DE table as Parquet shards, each with a range of drugs in order.
+
+    The shards need no key column: a drug filter skips all files and row groups
+    whose statistics exclude the drug.
+    """
+    de.repartitionByRange("drug").sortWithinPartitions("drug").write.mode("overwrite").parquet(path)
 
 
-def scan_de(spark: SparkSession, path: str, drug: str | None = None, buckets: int = DE_BUCKETS) -> DataFrame:
-    """SRC-5: scan all DE shards; a drug filter prunes partitions (bucket) and
-    is pushed into the Parquet reader (``PushedFilters``)."""
+def scan_de(spark: SparkSession, path: str, drug: str | None = None) -> DataFrame:
+    """SRC-5: scan all DE shards, whoever wrote them; a drug filter is pushed
+    into the Parquet reader (``PushedFilters``)."""
     df = spark.read.parquet(path)
-    if drug is not None:
-        bucket = F.pmod(F.xxhash64(F.lit(drug)), F.lit(buckets)).cast("int")
-        df = df.where((F.col("drug_bucket") == bucket) & (F.col("drug") == drug))
-    return df.drop("drug_bucket")
+    return df if drug is None else df.where(F.col("drug") == drug)

@@ -7,47 +7,68 @@ shared folder, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..operators import cells as CE
 
 
-def stream_parquet(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+BYTES_PER_TRIGGER = 64 << 30
 
 
-def top_genes_in_row(cells: DataFrame, k: int = 10, min_token: int = 3) -> DataFrame:
-    """STR-1 per micro-batch: top-k of each cell inside its own row (sorted
-    array, no shuffle), so the stream stays stateless."""
-    pairs = F.arrays_zip(F.col("genes").alias("token"), F.col("expressions").alias("expr"))
-    known = F.filter(pairs, lambda x: x["token"] >= min_token)
-    ordered = F.array_sort(known, lambda a, b: F.when(a["expr"] > b["expr"], -1).when(a["expr"] < b["expr"], 1)
-                           .when(a["token"] < b["token"], -1).when(a["token"] > b["token"], 1).otherwise(0))
-    return cells.select("cell_id", F.posexplode(F.slice(ordered, 1, k)).alias("pos", "e")).select(
-        "cell_id", (F.col("pos") + 1).alias("rank"), F.col("e.token").alias("token"), F.col("e.expr").alias("expr"))
+def stream_parquet(spark: SparkSession, path: str, schema, max_bytes: int = BYTES_PER_TRIGGER) -> DataFrame:
+    """A file stream whose micro-batches are sized by bytes, not by files."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(path)
+
+
+def top_genes_of_batch(vocab: DataFrame, out: str, k: int = CE.TOP_GENES):
+    """STR-1: a ``foreachBatch`` function: known tokens of each arriving cell, named,
+    top ``k`` per cell.
+
+    A cell is one row and so lies whole in one batch; the batch operators do the
+    rest. Each batch replaces its own folder, so a batch that runs twice after a
+    failure is stored once.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        decoded = CE.decode_tokens(CE.zip_sparse(batch, keep=["cell_id"]), vocab)
+        CE.top_genes_per_cell(decoded, k=k).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return run
 
 
 def ingest_responses(stream: DataFrame, keys=("conv_id", "turn"), text: str = "text",
                      event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """STR-2: parse each arriving response and drop replays of a key.
+    """STR-2: drop replays of a key, then parse what is new.
 
     Without ``event_time`` the dedup state holds every key seen (exact, grows
-    with keys). With an arrival-time column the state is bounded by the
-    watermark (``dropDuplicatesWithinWatermark``): replays later than
-    ``delay`` are no longer recognised.
+    with keys; keep it in RocksDB, see ``cluster_settings``). With an arrival-time
+    column the state is bounded by the watermark
+    (``dropDuplicatesWithinWatermark``): replays later than ``delay`` are no
+    longer recognised.
     """
-    parsed = P.parse_answers(stream.withColumn("source", P.answer_source(F.col(text))), "source")
     if event_time is None:
-        deduped = parsed.dropDuplicates(list(keys))
+        fresh = stream.dropDuplicates(list(keys))
     else:
-        deduped = parsed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
-    return deduped.select(*keys, "parsed_label", "prediction_up", "prediction_down")
+        fresh = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    parsed = P.parse_answers(fresh.withColumn("source", P.answer_source(F.col(text))), "source")
+    return parsed.select(*keys, "parsed_label", "prediction_up", "prediction_down")
+
+
+def progress_counts(stream: DataFrame, total: Column, hit: Column, fallback: Column, by: list[str] | None = None) -> DataFrame:
+    """STR-3: running counters (complete output mode): rows seen, new ones with a
+    result, log-probability hits and text fall-backs."""
+    return stream.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("n_total"),
+        F.count_if(total).alias("n_new"),
+        F.count_if(hit).alias("n_hit"),
+        F.count_if(fallback).alias("n_fallback"),
+    )
 
 
-def progress_counts(stream: DataFrame, by=("role",)) -> DataFrame:
-    """STR-3: running counts per group (complete output mode)."""
-    return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+def run_batches(df: DataFrame, each, checkpoint: str) -> None:
+    """Run a stream over all available input through a batch function, then stop."""
+    df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:

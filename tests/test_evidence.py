@@ -44,3 +44,18 @@ def test_annotation_and_interactions(spark):
     edges = spark.createDataFrame([("Actb", "P1", 0.9), ("Actb", "P2", 0.95), ("Actb", "P0", 0.9)], "gene string, partner string, score double")
     text = EV.top_interactions(edges, q.where("q = 'Actb'"), limit=2).first()["text"]
     assert text.splitlines()[1:] == ["  - P2 (combined score: 0.950)", "  - P0 (combined score: 0.900)"]
+
+
+def test_lookups_without_keys_and_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(EV, "PART_LINES", 2)
+    q = spark.createDataFrame([("n", None, None), ("e", "", ""), ("p", "IRF1", ""), ("g", None, "zzz")], "qid string, pert string, gene string")
+    train = _train(spark).unionByName(spark.createDataFrame([("Irf1", "Zeb", "Odd")], "pert string, gene string, label string"))
+    rows = sorted((tuple(r) for r in EV.pair_evidence(train, q).collect()))
+    assert rows == [
+        ("e", 0, 0, EV.LOOKUP_ERROR),
+        ("g", 0, 0, "No training examples found for gene=zzz."),
+        ("n", 0, 0, EV.LOOKUP_ERROR),
+        ("p", 4, 0, "Found 4 training example(s):\n  - pert=Irf1, gene=Actb, label=up (up-regulated)\n"
+                    "  - pert=Irf1, gene=Cd14, label=down (down-regulated)"),
+        ("p", 4, 1, "  - pert=Irf1, gene=Zeb, label=Odd (odd)\n  - pert=irf1, gene=Gapdh, label=none (no significant effect)"),
+    ]

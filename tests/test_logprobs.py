@@ -83,3 +83,13 @@ def test_separator_index_equals_aggregate_index(spark):
                      L.answer_token_index(F.col("logprobs")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows)
     assert sum(r["a"] is not None for r in rows) > 100
+
+
+def test_older_reasoning_key_only_where_asked_and_absent(spark):
+    rows = ['{"choices":[{"message":{"reasoning_content":"rc","content":"c"}}]}',
+            '{"choices":[{"message":{"reasoning":"r","reasoning_content":"rc","content":"c"}}]}',
+            '{"choices":[{"message":{"reasoning":null,"reasoning_content":"rc","content":"c"}}]}']
+    df = spark.createDataFrame([(r,) for r in rows], "j string")
+    plain, old = (df.select(C.completion_fields(F.col("j"), k)["text"]).collect() for k in (False, True))
+    assert [r[0] for r in plain] == ["c", "r\n\nc", "c"]
+    assert [r[0] for r in old] == ["rc\n\nc", "r\n\nc", "c"]

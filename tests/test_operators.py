@@ -1,15 +1,14 @@
-"""Skew-safe top-k, token counting fallback, and streaming = batch."""
+"""Skew-safe top-k, bounded model calls, and streaming = batch."""
 
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from regulon.functions import tokens as TK
 from regulon.operators.topk import top_k, top_k_by_column
 
 
-def test_salted_topk_equals_plain_row_number(spark):
+def test_topk_by_column_equals_plain_row_number(spark):
     rnd = random.Random(5)
     # one hot group with a third of the rows, per-group limits of various sizes
     rows = [(("hot" if rnd.random() < 0.34 else f"g{rnd.randint(0, 40)}"), rnd.randint(0, 10**6), i) for i in range(4000)]
@@ -17,7 +16,7 @@ def test_salted_topk_equals_plain_row_number(spark):
     limits = df.select("g").distinct().withColumn("k", (F.abs(F.hash("g")) % 7 + 1).cast("int"))
     base = df.join(limits, "g")
     order = [F.col("v").desc(), F.col("id").asc()]
-    got = top_k_by_column(base, ["g"], order, "k", F.xxhash64("id"), salts=8).select("g", "id", "rank")
+    got = top_k_by_column(df, limits, ["g"], order, "k").select("g", "id", "rank")
     w = Window.partitionBy("g").orderBy(*order)
     want = base.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k")).select("g", "id", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -25,10 +24,24 @@ def test_salted_topk_equals_plain_row_number(spark):
     assert const.groupBy("g").count().where("count > 3").count() == 0
 
 
-def test_token_counter_fallback(spark):
-    df = spark.createDataFrame([("abcdefghij",), ("",)], "t string")
-    fn = TK.token_counter("no-such-encoding")
-    assert [r[0] for r in df.select(fn(F.col("t"))).collect()] == [2, 0]
+def test_model_calls_are_concurrent_retried_and_kept(spark):
+    import threading
+    import time
+
+    from regulon.operators import runs as R
+
+    def scorer(prompt, seed):
+        if prompt == "bad":
+            raise RuntimeError
+        time.sleep(0.2)
+        return f"{prompt}-{seed}-{threading.active_count()}"
+
+    rows = [(f"i{k}", 42, "bad" if k == 3 else f"p{k}") for k in range(8)]
+    df = spark.createDataFrame(rows, "id string, seed int, prompt string")
+    out = R.batch_complete(df, scorer, max_retries=2, backoff=lambda a: 0.0, concurrency=8, tasks=1).collect()
+    assert [r["id"] for r in out if r["status"] == "failed"] == ["i3"]
+    assert {r["attempts"] for r in out if r["status"] == "failed"} == {3} and {r["attempts"] for r in out if r["status"] == "ok"} == {1}
+    assert max(int(r["text"].rsplit("-", 1)[1]) for r in out if r["text"]) > 2
 
 
 def test_stream_ingest_equals_batch(spark):

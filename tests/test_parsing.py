@@ -74,3 +74,9 @@ def test_stringify_trajectory(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("not json",)], "s string")
     got = [r[0] for r in df.select(T.stringify_trajectory(F.col("s"))).collect()]
     assert got[0] == {"a": "1", "b": "x"} and got[1] == {"raw": "not json"}
+
+
+def test_whitespace_inside_a_class_is_bare():
+    from regulon.functions.text import WS_INNER, portable
+
+    assert portable(r"[\.\s]*$") == rf"[\.{WS_INNER}]*$" and "[[" not in portable(r"[\s,]")

@@ -23,10 +23,43 @@ def test_read_prompts_last_wins_and_required(spark, tmp_path):
     assert got == {"1": "second", "2": "5"}
     bad = tmp_path / "bad.jsonl"
     bad.write_text('{"id": 1}\n')
+    with pytest.raises(Exception, match="missing required column"):
+        RD.read_prompts(spark, str(bad)).collect()
+
+
+def test_last_line_wins_by_position(spark, tmp_path):
+    p = tmp_path / "many.jsonl"
+    p.write_text("".join(f'{{"id": {k % 7}, "prompt": "p{k}"}}\n' for k in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several splits of one file
+    try:
+        got = {r["id"]: r["prompt"] for r in RD.read_prompts(spark, str(p)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {str(k % 7): f"p{k}" for k in range(5000)}
+    bad = tmp_path / "bad.csv"
+    bad.write_text("id,text\n1,x\n")
     with pytest.raises(ValueError, match="missing required column"):
         RD.read_prompts(spark, str(bad))
 
 
+def test_seedless_response_cache(spark, tmp_path):
+    p = tmp_path / "b.json"
+    p.write_text(json.dumps({"rows": {"A_B": {"prediction_up": 1.0, "prediction_down": 0.0, "reasoning_trace": "r", "tokens_used": 7},
+                                      "C_D": {"prediction_up_seed42": 0.5, "tokens_seed42": 3}}}))
+    rows = sorted((tuple(r) for r in RD.read_response_cache(spark, str(p)).collect()), key=str)
+    assert rows == [("A_B", None, 1.0, 0.0, "r", None, 7.0), ("C_D", 42, 0.5, None, None, None, 3.0)]
+    (tmp_path / "broken.json").write_text('{"rows": [')
+    assert RD.read_response_cache(spark, str(tmp_path / "broken.json")).count() == 0
+
+
+def test_scan_de_reads_shards_of_any_writer(spark, tmp_path):
+    de = spark.createDataFrame([(f"d{k % 3}", f"g{k}", float(k)) for k in range(30)], "drug string, gene string, log2FoldChange double")
+    de.repartition(7).write.parquet(str(tmp_path / "shards"))
+    assert RD.scan_de(spark, str(tmp_path / "shards")).count() == 30
+    assert RD.scan_de(spark, str(tmp_path / "shards"), drug="d1").count() == 10
+
+
 def test_response_cache(spark, tmp_path):
     doc = {"rows": {"A_B": {"prediction_up_seed42": 1.0, "prediction_down_seed42": 0.0, "effect_seed42": "Up",
                             "prediction_up_seed43": 0.0, "prediction_down_seed43": 0.0, "model_name": "m"}}}
@@ -51,5 +84,5 @@ def test_read_prompts_order_beats_file_name(spark, tmp_path):
     (d / "z-first.csv").write_text('id,prompt,ord\n1,old,1\n')
     (d / "a-second.csv").write_text('id,prompt,ord\n1,new,10\n')
     (d / "m-third.csv").write_text('id,prompt,ord\n1,mid,9\n')
-    got = {r["id"]: r["prompt"] for r in RD.read_prompts(spark, str(d), fmt="csv").collect()}
+    got = {r["id"]: r["prompt"] for r in RD.read_prompts(spark, str(d), fmt="csv", order_col="ord").collect()}
     assert got == {"1": "new"}
