@@ -231,3 +231,18 @@ def sql_chat_assistant(pert: str, gene: str, label: str) -> str:
     )
     unk = sql_template(CHAT_UNKNOWN, {"label": f"coalesce({label}, 'nan')"}, required=("label",))
     return f"(CASE {arms} ELSE '<answer>{CHAT_UNKNOWN_LETTER}</answer>' || chr(10) || {unk} END)"
+
+
+def resolve_prompts(rows: DataFrame, overrides: DataFrame | None = None, template: str | None = None) -> DataFrame:
+    """PRJ-5 / JOI-3: (id, prompt) of ``rows`` (id, pert, gene): the row's own
+    prompt in ``overrides`` (id, prompt; one row an id), else the user's template,
+    else the built-in zero-shot prompt."""
+    pert, gene = F.col("pert"), F.col("gene")
+    prompt = zero_shot_prompt(pert, gene)
+    if template is not None:
+        prompt = compile_template(template, {"pert": pert, "gene": gene, "cell_desc": F.lit(CELL_DESC)})
+    if overrides is None:
+        return rows.select("id", prompt.alias("prompt"))
+    own = overrides.select("id", F.struct("prompt").alias("_own"))
+    return rows.join(own, "id", "left").select(
+        "id", F.when(F.col("_own").isNotNull(), F.col("_own.prompt")).otherwise(prompt).alias("prompt"))

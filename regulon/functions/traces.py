@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -57,3 +57,14 @@ def total_tool_calls(coordinator: Column, sub_agents: Column) -> Column:
     return tool_calls(coordinator) + F.aggregate(
         sub_agents, F.lit(0).cast("long"), lambda acc, s: acc + F.coalesce(s["tool_calls"], F.lit(0)).cast("long")
     )
+
+
+def history_tokens(history: DataFrame, keys: list[str], position: str, start: Column, usage: str = "usage") -> DataFrame:
+    """AGG-13: ``total_tokens`` of the history entries from ``start`` on, per key.
+
+    ``history`` is long, a row an entry, with the entry's usage as JSON text;
+    missing, null or other usage counts 0.
+    """
+    tokens = F.coalesce(F.get_json_object(usage, "$.total_tokens").try_cast("double"), F.lit(0.0)).cast("long")
+    return history.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(F.col(position) >= start, tokens)), F.lit(0)).alias("tokens_used"))

@@ -153,6 +153,25 @@ def pair_evidence(train: DataFrame, queries: DataFrame) -> DataFrame:
     return _answers(queries, "qid", hits, ["t_pert", "t_gene"], _say(LOOKUP_HEAD, F.col("n")), none)
 
 
+def annotation_hits(raw: DataFrame, json: str = "json") -> DataFrame:
+    """Raw annotation JSON -> (symbol, name, summary, go_bp, kegg).
+
+    GO terms and pathways come as a list or, where there is one, as a single
+    object; both become arrays.
+    """
+    v = F.try_parse_json(json)
+
+    def items(path: str, kind: str) -> Column:
+        one = F.try_variant_get(v, path, kind)
+        return F.coalesce(F.try_variant_get(v, path, f"array<{kind}>"), F.when(one.isNotNull(), F.array(one)),
+                          F.array().cast(f"array<{kind}>"))
+
+    return raw.select(
+        *[F.try_variant_get(v, f"$.{c}", "string").alias(c) for c in ("symbol", "name", "summary")],
+        items("$.go.BP", "struct<term:string>").alias("go_bp"),
+        items("$.pathway.kegg", "struct<id:string,name:string>").alias("kegg"))
+
+
 def gene_annotation(annotation: DataFrame, queries: DataFrame, q: str = "q") -> DataFrame:
     """ANN-1: first annotation per symbol; name, summary, up to 8 distinct GO
     terms (sorted; the reference's set order is arbitrary) and up to 5 KEGG

@@ -123,9 +123,9 @@ def pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
 # ── ANN-1: annotation table derived from part ────────────────────────────
 
 def annotation(spark: SparkSession, sf: str) -> DataFrame:
-    """Annotation rows per gene symbol from ``part``: name, summary (absent
-    for some), GO terms from the type words (with repeats), KEGG entries
-    (name, id only, or neither)."""
+    """Annotation hits per gene symbol from ``part``, as raw JSON: name, summary
+    (absent for some), GO terms from the type words (with repeats), KEGG entries
+    (name, id only, or neither); some hold a single object instead of a list."""
     p = S.table(spark, sf, "part")
     words = F.split("p_type", " ")
     go = F.transform(F.concat(words, words), lambda w: F.struct(F.lower(w).alias("term")))
@@ -135,19 +135,27 @@ def annotation(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.when(F.pmod("p_size", F.lit(4)) != 0, F.concat(F.lit("k"), F.col("p_size").cast("string"))).alias("id"),
                  F.lit(None).cast("string").alias("name")),
     )
-    return p.select(
-        F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("symbol"),
-        F.col("p_name").alias("name"),
-        F.when(F.pmod("p_size", F.lit(5)) != 0, F.concat(F.lit("Brand "), F.col("p_brand"), F.lit(", size "),
-                                                          F.col("p_size").cast("string"))).alias("summary"),
-        go.alias("go_bp"), kegg.alias("kegg"))
+    one_term, one_path = F.pmod("p_size", F.lit(7)) == 0, F.pmod("p_size", F.lit(11)) == 0
+
+    def hit(bp, paths):
+        return F.to_json(F.struct(
+            F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("symbol"),
+            F.col("p_name").alias("name"),
+            F.when(F.pmod("p_size", F.lit(5)) != 0, F.concat(F.lit("Brand "), F.col("p_brand"), F.lit(", size "),
+                                                              F.col("p_size").cast("string"))).alias("summary"),
+            F.struct(bp.alias("BP")).alias("go"), F.struct(paths.alias("kegg")).alias("pathway")))
+
+    raw = (F.when(one_term & one_path, hit(go[0], kegg[0])).when(one_term, hit(go[0], kegg))
+           .when(one_path, hit(go, kegg[0])).otherwise(hit(go, kegg)))
+    return EV.annotation_hits(p.select(raw.alias("json")))
 
 
 S.register("annotation", None, """SELECT 'G' || CAST(p_partkey AS VARCHAR) AS symbol, p_name AS name,
   CASE WHEN p_size % 5 <> 0 THEN 'Brand ' || p_brand || ', size ' || CAST(p_size AS VARCHAR) END AS summary,
-  list_transform(list_concat(string_split(p_type, ' '), string_split(p_type, ' ')), lambda w: lower(w)) AS terms,
-  [coalesce(CASE WHEN p_size % 3 <> 0 THEN 'Pathway of ' || p_brand END, p_brand, '?'),
-   coalesce(CASE WHEN p_size % 4 <> 0 THEN 'k' || CAST(p_size AS VARCHAR) END, '?')] AS paths
+  list_slice(list_transform(list_concat(string_split(p_type, ' '), string_split(p_type, ' ')), lambda w: lower(w)),
+             1, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 99 END) AS terms,
+  list_slice([coalesce(CASE WHEN p_size % 3 <> 0 THEN 'Pathway of ' || p_brand END, p_brand, '?'),
+   coalesce(CASE WHEN p_size % 4 <> 0 THEN 'k' || CAST(p_size AS VARCHAR) END, '?')], 1, CASE WHEN p_size % 11 = 0 THEN 1 ELSE 9 END) AS paths
 FROM part""", [])
 
 

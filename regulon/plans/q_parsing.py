@@ -90,8 +90,8 @@ def enum_predictions(spark: SparkSession, sf: str) -> DataFrame:
 # ── whole texts: assistant turns of conversations ────────────────────────
 
 def assistant_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every assistant turn, whole, followed by a catalogue answer line."""
-    conv = S.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    """Every turn, whole, followed by a catalogue answer line."""
+    conv = S.table(spark, sf, "conversations")
     k = F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(N_CAT)).cast("int")
     c = S.catalogue(spark)
     return conv.withColumn("k", k).join(F.broadcast(c), "k").select(
@@ -99,8 +99,7 @@ def assistant_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 S.register("assistant_answers", None, f"""SELECT c.conv_id, c.turn, c.text || chr(10) || k.t AS answer_text
-FROM conversations c JOIN catalogue k ON k.k = (c.conv_id * 3 + c.turn) % {N_CAT}
-WHERE c.role = 'assistant'""", ["catalogue"])
+FROM conversations c JOIN catalogue k ON k.k = (c.conv_id * 3 + c.turn) % {N_CAT}""", ["catalogue"])
 
 
 @query("parse_conversations", S.with_ctes(f"""SELECT conv_id, turn, parsed_label,
@@ -109,11 +108,20 @@ WHERE c.role = 'assistant'""", ["catalogue"])
 FROM (SELECT conv_id, turn, {P.sql_parse_label('answer_text')} AS parsed_label FROM assistant_answers)""",
     "assistant_answers"))
 def parse_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    """PRS-7 over whole multi-paragraph texts (every assistant turn)."""
+    """PRS-7 over whole multi-paragraph texts (every turn)."""
     return P.parse_answers(assistant_answers(spark, sf), "answer_text").select(
         "conv_id", "turn", "parsed_label", "prediction_up", "prediction_down")
 
 
+@query("parse_documents", f"""SELECT doc_id, parsed_label, {P.sql_label_to_pred('parsed_label', 'up')} AS prediction_up,
+  {P.sql_label_to_pred('parsed_label', 'down')} AS prediction_down
+FROM (SELECT doc_id, {P.sql_parse_label('text')} AS parsed_label FROM documents)""")
+def parse_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """PRS-7 over free prose: every whole document."""
+    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    return P.parse_answers(docs, "text").select("doc_id", "parsed_label", "prediction_up", "prediction_down")
+
+
 # ── PRS-1 / PRS-2 / PRS-14: chat completions built from conversations ────
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,6 +418,24 @@ def agent_usage(spark: SparkSession, sf: str) -> DataFrame:
                     T.distinct_tools(F.col("trajectory")).cast("long").alias("num_distinct_tools"), "tokens_used")
 
 
+@query("history_tokens", S.with_ctes("""SELECT conv_id, CAST(coalesce(sum(total_tokens) FILTER (WHERE turn >= 2), 0) AS BIGINT) AS tokens_used
+FROM completion_parts GROUP BY conv_id""", "completion_parts"))
+def history_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-13: tokens of the calls that a usage history gained since its second entry."""
+    calls = completions(spark, sf).select("conv_id", "turn", F.get_json_object("json", "$.usage").alias("usage"))
+    return T.history_tokens(calls, ["conv_id"], "turn", F.lit(2))
+
+
+@query("stringify_trajectories", """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS n_keys,
+  CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) ELSE text END AS value FROM conversations""")
+def stringify_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """PRS-16: JSON objects become maps of text, whole turns that are none become ``raw``."""
+    conv = S.table(spark, sf, "conversations")
+    raw = F.when(F.pmod("turn", F.lit(2)) == 0, F.to_json(F.struct("role", "turn"))).otherwise(F.col("text"))
+    m = conv.select("conv_id", "turn", T.stringify_trajectory(raw).alias("m"))
+    return m.select("conv_id", "turn", F.size("m").alias("n_keys"), F.coalesce(F.col("m")["turn"], F.col("m")["raw"]).alias("value"))
+
+
 @query("multi_agent_usage", S.with_ctes("""SELECT conv_id,
   CAST(count(*) FILTER (WHERE role = 'system') + sum(CASE WHEN role <> 'system' THEN turn % 3 + 1 ELSE 0 END) AS BIGINT) AS total_tool_calls,
   count(*) FILTER (WHERE role <> 'system') AS n_sub_agents,

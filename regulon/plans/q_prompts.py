@@ -82,12 +82,17 @@ _TPL_P = PR.sql_template(TEMPLATE, {"pert": "p.pert", "gene": "p.gene", "cell_de
 FROM pairs p LEFT JOIN (SELECT id, 'Custom question about ' || id AS prompt FROM pairs WHERE fdr < {S.dbl(OVERRIDE_FDR)}) o
 USING (id)""", "pairs"))
 def resolved_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """PRJ-5 / JOI-3: per-id override, else the template, else the default."""
-    p = _pairs(spark, sf)
-    fields = {"pert": F.col("pert"), "gene": F.col("gene"), "cell_desc": F.lit(PR.CELL_DESC)}
-    fallback = PR.compile_template(TEMPLATE, fields)
-    o = overrides(spark, sf).withColumnRenamed("prompt", "override")
-    return p.join(o, "id", "left").select("id", F.coalesce(F.col("override"), fallback).alias("prompt"))
+    """PRJ-5 / JOI-3: per-id override, else the template."""
+    return PR.resolve_prompts(_pairs(spark, sf), overrides(spark, sf), TEMPLATE)
+
+
+@query("resolved_prompts_default", S.with_ctes(f"""SELECT p.id,
+  coalesce(o.prompt, {PR.sql_zero_shot_prompt('p.pert', 'p.gene')}) AS prompt
+FROM pairs p LEFT JOIN (SELECT id, 'Custom question about ' || id AS prompt FROM pairs WHERE fdr < {S.dbl(OVERRIDE_FDR)}) o
+USING (id)""", "pairs"))
+def resolved_prompts_default(spark: SparkSession, sf: str) -> DataFrame:
+    """PRJ-5: without a template the built-in prompt is the last level."""
+    return PR.resolve_prompts(_pairs(spark, sf), overrides(spark, sf))
 
 
 @query("tagged_prompt_tokens", S.with_ctes(f"""SELECT id, CAST(floor(length(t) / 4) AS INTEGER) AS prompt_tokens,

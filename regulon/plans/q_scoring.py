@@ -211,13 +211,75 @@ S.register("limit_values", None, """SELECT id,
   coalesce(TRY_CAST(num_distinct_tools AS DOUBLE), 0) AS dt FROM track_b_rows""", ["track_b_rows"])
 
 
-@query("check_limits", S.with_ctes("""SELECT max(tc) AS max_tool_calls, max(pt) AS max_prompt_tokens,
+@query("check_limits", S.with_ctes("""SELECT *, CASE
+  WHEN max_tool_calls > 250 THEN 'Tool-call limit exceeded: max 250 per row, but found ' || CAST(CAST(max_tool_calls AS BIGINT) AS VARCHAR)
+    || ' (rows: ' || first_ids || '). Reduce the number of tool calls per question.'
+  WHEN max_prompt_tokens > 16384 THEN 'Prompt-token limit exceeded: max 16,384, but submission reports ' || format('{:,}', CAST(max_prompt_tokens AS BIGINT))
+    || '. Shorten your system prompt or tool definitions.'
+  WHEN max_distinct_tools > 100 THEN 'Distinct-tools limit exceeded: max 100, but submission reports ' || CAST(CAST(max_distinct_tools AS BIGINT) AS VARCHAR)
+    || '. Reduce the number of tool definitions.' END AS error
+FROM (SELECT max(tc) AS max_tool_calls, max(pt) AS max_prompt_tokens,
   max(dt) AS max_distinct_tools, count(*) FILTER (WHERE tc > 250) AS n_tool_call_violations,
   (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM limit_values WHERE tc > 250 ORDER BY id LIMIT 5)) AS first_ids
-FROM limit_values""", "limit_values"))
+FROM limit_values)""", "limit_values"))
 def check_limits(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-11: per-row caps (tool calls, prompt tokens, distinct tools)."""
-    return SC.check_limits(track_b_rows(spark, sf), on="id", track="b").drop("error")
+    """AGG-11 (track B): per-row caps (tool calls, prompt tokens, distinct tools) and the message."""
+    return SC.check_limits(track_b_rows(spark, sf), on="id", track="b")
+
+
+@query("check_limits_a", S.with_ctes("""SELECT max(pt) AS max_prompt_tokens, count(*) FILTER (WHERE pt > 4096) AS n_prompt_violations,
+  CASE WHEN max(pt) > 4096 THEN 'Prompt-token limit exceeded: max 4,096, but submission reports ' || format('{:,}', CAST(max(pt) AS BIGINT))
+    || '. Shorten your prompt template.' END AS error FROM limit_values""", "limit_values"))
+def check_limits_a(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-11 (track A): the prompt-token cap and its message."""
+    return SC.check_limits(track_b_rows(spark, sf), on="id", track="a")
+
+
+ODD_GENE = 97  # rows of every so many genes are spoilt
+
+
+def _spoilt(spark: SparkSession, sf: str, value: float | None) -> DataFrame:
+    """The run's predictions with some ``prediction_up`` replaced, and all tracks' other columns."""
+    up = F.when(F.pmod("gene_key", F.lit(ODD_GENE)) == 0, F.lit(value).cast("double")).otherwise(F.col("prediction_up"))
+    sub = run_predictions(spark, sf).withColumn("prediction_up", up)
+    for c in dict.fromkeys([*SC.REQUIRED_TRACK_A, *SC.REQUIRED_TRACK_B, *SC.REQUIRED_TRACK_C]):
+        if c not in sub.columns and c != "id":
+            sub = sub.withColumn(c, F.lit("1"))
+    return sub.join(S.pairs(spark, sf).select(*KEYS, "id"), KEYS)
+
+
+_MISSING = f"(SELECT 'Submission is missing prediction_up values for ' || CAST(count(*) AS VARCHAR) || ' rows.' FROM pairs WHERE gene_key % {ODD_GENE} = 0)"
+
+
+@query("submission_errors", S.with_ctes(f"""SELECT * FROM (VALUES
+  ('a', 'nan', {_MISSING}), ('b', 'nan', {_MISSING}), ('c', 'nan', {_MISSING}), ('a', 'null', {_MISSING}), ('generic', 'nan', {_MISSING}),
+  ('a', 'inf', 'Submission contains NaN or Inf in prediction_up.'), ('b', 'inf', 'Submission contains NaN or Inf in prediction_up.'),
+  ('c', 'inf', 'Submission contains NaN or Inf in prediction_up.'),
+  ('generic', 'inf', 'Submission contains NaN or Inf in ''prediction_up''.'),
+  ('a', 'column', 'Submission is missing required column(s): model_name. See the sample submission file for the expected format.'),
+  ('b', 'column', 'Submission is missing required column(s): model_name. See the sample submission file for the expected format.'),
+  ('c', 'column', 'Submission is missing required column(s): model_name. See the sample submission file for the expected format.')
+) AS t(track, spoilt, error)""", "pairs"))
+def submission_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-10 / AGG-11 / SET-1: what each track's check says of whole spoilt submissions.
+
+    One stored submission for each kind; a check is one aggregate over the merged
+    table, and its message is one row here.
+    """
+    out = []
+    sol = S.solution(spark, sf).select("id", "label")
+    for spoilt, value, tracks in (("nan", float("nan"), ("generic", "a", "b", "c")), ("inf", float("inf"), ("generic", "a", "b", "c")),
+                                  ("null", None, ("a",)), ("column", 0.5, ("a", "b", "c"))):
+        sub = _spoilt(spark, sf, value).drop(*KEYS).checkpoint(eager=True)
+        if spoilt == "column":
+            sub = sub.drop("model_name")
+        for track in tracks:
+            try:
+                SC.check_submission(sol, sub, track=track)
+                out.append((track, spoilt, None))
+            except SC.SubmissionError as e:
+                out.append((track, spoilt, str(e)))
+    return spark.createDataFrame(out, "track string, spoilt string, error string")
 
 
 S.register("usage_events", None, """SELECT event_id, user_id, event_type,
