@@ -80,3 +80,31 @@ def test_whitespace_inside_a_class_is_bare():
     from regulon.functions.text import WS_INNER, portable
 
     assert portable(r"[\.\s]*$") == rf"[\.{WS_INNER}]*$" and "[[" not in portable(r"[\s,]")
+
+
+def test_patterns_equal_plain_re(spark):
+    """Flags, answer portion and tag of generated texts against Python's own ``re``."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from regulon.functions import parsing as P
+
+    bits = ["A", "B", "C", "a)", "B)", "C)", "**A)**", "No", "no", ".", "..", "No.", "Answer:", "Final Answer :", "answer:", "\n", " ", "\t", " ",
+            " ", "up-regulat", "UPREGULATED", "increase", "Increase.", "decrease", "does not significantly", "not x result in differential",
+            "<answer>", "</answer>", "é", "_", "3", "\x1f", "İ", "ſ", "x"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 7))) for _ in range(3000)] + ["", "   \n", "No", "No..", "Final Answer : c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    flags = P.pattern_flags(F.col("t"))
+    rows = df.select("i", *[c.alias(k) for k, c in flags.items()], P.answer_portion(F.col("t")).alias("portion"), P.answer_tag(F.col("t")).alias("tag")).collect()
+    for r in rows:
+        t = texts[r["i"]]
+        for name, patterns in (("up", P.PATTERNS_UP), ("down", P.PATTERNS_DOWN), ("none", P.PATTERNS_NONE)):
+            assert r[name] == any(re.search(p, t, re.I | re.M) for p in patterns), (name, t)
+        cut = re.split(P.ANSWER_SPLIT, t, flags=re.I)
+        lines = [x for x in t.split("\n") if x.strip()]
+        assert r["portion"] == (cut[-1].strip() if len(cut) > 1 else lines[-1].strip() if lines else t), repr(t)
+        tag = re.search(P.ANSWER_TAG, t)
+        assert r["tag"] == (tag[1].upper() if tag else None), repr(t)
