@@ -60,7 +60,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         encode = tokens.encoder(tokens.vocabulary(vocabulary))
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [encode(t) + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in encode(batch.column("text").to_pylist())]
             sizes = [len(x) // 4 for x in ids]
             starts = list(accumulate(sizes, initial=at))
             at = starts.pop()

@@ -182,8 +182,8 @@ def blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
 
         held = 0
         for batch in batches:
-            for doc_id, text in common.rows_of(batch, "doc_id", "text"):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                ids += end
                 if held and held + len(ids) // 4 > block_ids:
                     yield flush()
                     names, sizes, data, held, block = [], [], [], 0, block + 1

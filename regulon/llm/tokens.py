@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the ``tokenizers`` library, word by word.
+"""Token ids of whole texts with the ``tokenizers`` library, piece by piece.
 
 Encoding is by far the dearest step of the token operators. A text is cut where
 the tokenizer's own splitting pattern always cuts, each distinct piece is encoded
@@ -12,6 +12,10 @@ once by the library, and its ids are looked up from then on. Pieces are:
 Both patterns in use (byte-level BPE with letters, numbers, other and white
 space as classes; lower-cased BPE with word ends) cut at those places whatever
 surrounds them, so the ids equal those of the whole text. The tests compare them.
+
+The first kind is cut, hashed and looked up in vectorised steps over many texts:
+pieces are named by two 64-bit hashes, and the ids of all that were met lie in one
+array. The second kind goes through a dictionary.
 """
 
 from __future__ import annotations
@@ -22,35 +26,71 @@ from functools import lru_cache
 
 import numpy as np
 
-LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-PIECES = re.compile(f" ?[{LATIN}]+|[^{LATIN}]+?(?= ?[{LATIN}]|\\Z)", re.DOTALL)
-# other scripts, apostrophes (contractions) and white space of two or more before
-# a letter: the last needs its following character to be split as in the text
-OTHERWISE = re.compile(f"[^\\x00-\\x7f{LATIN}]|'|\\s[^\\S ][{LATIN}]")
-MEMO_PIECES = 700_000
+from .hashing import Prefix
+
+PART_BYTES = 1 << 22  # text handled in one step, and where longer texts are cut
+MEMO_PIECES = 1_500_000  # about 40 bytes each
+MEMO_OTHERS = 100_000
+CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+
+_ALL = np.arange(256)
+LETTER = (_ALL >= 0x80) | ((_ALL | 32) >= 97) & ((_ALL | 32) <= 122)
+SPACE = np.isin(_ALL, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+# bytes that occur only outside ASCII and U+00C0 to U+024F, and the apostrophe (contractions)
+OTHER = (_ALL == 0x27) | (_ALL == 0xC2) | (_ALL >= 0xCA)
+# two-byte characters of that range that are no letters or change when lower-cased: lead, first, last
+BETWEEN = [(0xC3, 0x97, 0x97), (0xC3, 0xB7, 0xB7), (0xC4, 0xB0, 0xB0), (0xC9, 0x90, 0xBF)]
 
 
 def spaced_pieces(text: str) -> list[str]:
     """Cut before each single space that has non-white-space on both sides."""
     parts = text.split(" ")
-    out = [parts[0]]
+    out = [[parts[0]]]
     for before, part in zip(parts, parts[1:]):
         if before and part and not before[-1].isspace() and not part[0].isspace():
-            out.append(" " + part)
+            out.append([" ", part])
         else:
-            out[-1] += " " + part
+            out[-1] += [" ", part]
+    return ["".join(x) for x in out]
+
+
+def otherwise(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which texts of a joined array hold anything but Latin letters and plain signs, or
+    white space of two or more before a letter (it needs the letter to be split as there)."""
+    odd = OTHER[data]
+    for lead, low, high in BETWEEN:
+        at = np.flatnonzero(data[:-1] == lead)
+        odd[at[(data[at + 1] >= low) & (data[at + 1] <= high)]] = True
+    if len(data) > 2:
+        space = SPACE[data]
+        at = np.flatnonzero(space[:-2] & space[1:-1])
+        odd[at[(data[at + 1] != 32) & LETTER[data[at + 2]]]] = True
+    out = np.zeros(len(starts), bool)
+    out[np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1] = True
     return out
 
 
-def pieces(text: str) -> list[str]:
-    return spaced_pieces(text) if OTHERWISE.search(text) else PIECES.findall(text)
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts of the first kind start, and the marks between texts.
+
+    ``starts``: of the texts, each but the last with a zero byte after it.
+    """
+    letter = LETTER[data]
+    first = np.ones(len(data), bool)
+    first[1:] = letter[1:] != letter[:-1]
+    joined = (data[:-1] == 32) & letter[1:]  # a space belongs to the letters after it
+    first[1:] &= ~joined
+    first[:-1] |= joined
+    first[starts] = True
+    first[starts[1:] - 1] = True
+    return np.flatnonzero(first)
 
 
 class Encoder:
-    """Text -> ids as little-endian unsigned 32-bit integers in bytes.
+    """Texts -> ids as little-endian unsigned 32-bit integers in bytes.
 
-    The memo is dropped when it holds ``MEMO_PIECES`` pieces, which bounds a
-    worker's memory and changes no result.
+    The memos are dropped when they are full, which bounds a worker's memory and
+    changes no result.
     """
 
     def __init__(self, path: str):
@@ -59,27 +99,121 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.empty(0, np.uint64)  # first hash, ascending
+        self.slots = np.empty(0, np.int64)  # number of the piece by key
+        self.checks = np.empty(0, np.uint64)  # second hash by number
+        self.ends = np.zeros(1, np.int64)  # end of its ids by number + 1
+        self.ids = np.empty(0, np.uint32)
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
-        """Without the memo: one call of the library for the whole text."""
+        """Without pieces: one call of the library for the whole text."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        cut = pieces(text)
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in cut])
-        except KeyError:
-            new = list({p for p in cut if p not in memo})
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo.clear()
+    def other(self, text: str) -> bytes:
+        """A text of the second kind."""
+        cut = spaced_pieces(text)
+        new = list({p for p in cut if p not in self.others})
+        if len(self.others) + len(new) > MEMO_OTHERS:
+            self.others.clear()
             new = list(set(cut))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([memo[p] for p in cut])
+        for p, ids in zip(new, self.library(new)):
+            self.others[p] = np.array(ids, dtype="<u4").tobytes()
+        return b"".join([self.others[p] for p in cut])
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each piece; new ones are encoded first."""
+        hashes = Prefix(data).of(start, end)
+        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        second = Prefix(data, 1).of(start, end)
+        checks = second[at]
+        if len(self.keys) + len(keys) > MEMO_PIECES:
+            self.forget()
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, b, raw = start[at[new]].tolist(), end[at[new]].tolist(), data.tobytes()
+            ids = self.library([raw[x:y].decode() for x, y in zip(a, b)])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
+            number = len(self.checks) + np.arange(len(new))
+            self.checks = np.concatenate((self.checks, checks[new]))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+            self.ids = np.concatenate((self.ids, flat))
+            self.keys = np.insert(self.keys, place[new], keys[new])
+            self.slots = np.insert(self.slots, place[new], number)
+        slot = self.slots[np.searchsorted(self.keys, keys)][inverse]
+        if (self.checks[slot] != second).any():
+            raise HashClash
+        return slot
+
+    def plain(self, texts: list[bytes]) -> list[bytes]:
+        """Texts of the first kind, not empty."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        data = np.frombuffer(b"\0".join(texts), np.uint8)
+        start = piece_starts(data, starts)
+        end = np.concatenate((start[1:], [len(data)]))
+        mark = np.searchsorted(start, starts[1:] - 1)
+        start, end = np.delete(start, mark), np.delete(end, mark)
+        try:
+            slot = self.numbers(data, start, end)
+        except HashClash:
+            return [self.whole(t.decode()) for t in texts]
+        lens = self.ends[slot + 1] - self.ends[slot]
+        ends = np.cumsum(lens)
+        out = self.ids[np.repeat(self.ends[slot] - ends + lens, lens) + np.arange(int(ends[-1]))].astype("<u4").tobytes()
+        cuts = [*(4 * (ends - lens)[np.searchsorted(start, starts)]).tolist(), len(out)]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def step(self, texts: list[bytes]) -> list[bytes]:
+        """Some texts of either kind, not empty."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        odd = otherwise(np.frombuffer(b"\0".join(texts), np.uint8), np.cumsum(sizes + 1) - sizes - 1).tolist()
+        fast = iter(self.plain([t for t, o in zip(texts, odd) if not o]) if not all(odd) else ())
+        return [self.other(t.decode()) if o else next(fast) for t, o in zip(texts, odd)]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[bytes] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            for k, ids in zip(owner, self.step(held)):
+                out[k].append(ids)
+
+        for k, text in enumerate(texts):
+            for part in parts(text) if text else ():
+                held.append(part), owner.append(k)
+                size += len(part)
+                if size >= PART_BYTES:
+                    flush()
+                    held, owner, size = [], [], 0
+        if held:
+            flush()
+        return [b"".join(x) for x in out]
+
+
+class HashClash(Exception):
+    """Two different pieces have one hash."""
+
+
+def parts(text: str) -> list[bytes]:
+    """A very long text, cut between words."""
+    out, at = [], 0
+    while len(text) - at > PART_BYTES and (m := CUT.search(text, at + PART_BYTES)):
+        out.append(text[at : m.start()].encode())
+        at = m.start()
+    return [*out, text[at:].encode()]
 
 
 @lru_cache(maxsize=4)
