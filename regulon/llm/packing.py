@@ -59,7 +59,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokens.vocabulary(vocabulary))
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = [x + end for x in encode(batch.column("text").to_pylist())]
             sizes = [len(x) // 4 for x in ids]
             starts = list(accumulate(sizes, initial=at))
@@ -77,7 +77,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, en
     offsets = dict(zip((r["part"] for r in totals), accumulate((r["n"] for r in totals), initial=0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             for part, start, doc_id, n, data in common.rows_of(batch, "part", "start", "doc_id", "n_tokens", "ids"):
                 first, at = offsets[part] + start, 0

@@ -181,7 +181,7 @@ def blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
             return common.batch_of(BLOCK_SCHEMA, [[shard], [block], [len(ids)], [names], [sizes], [compress(ids)]])
 
         held = 0
-        for batch in batches:
+        for batch in common.slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 ids += end
                 if held and held + len(ids) // 4 > block_ids:
