@@ -82,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def batch_of(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-KEEP = (1 << 22) + (1 << 20)  # powers that are kept between calls
+KEEP = (1 << 20) + (1 << 18)  # powers that are kept between calls
 
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -19,14 +19,9 @@ class Prefix:
 
     def __init__(self, data: np.ndarray, which: int = 0):
         n, self.which = len(data), which
-        up, down = self._powers.get(which, (np.ones(1, np.uint64),) * 2)
-        if len(up) <= n:
-            step = int(_STEP[which])
-            size = max(n + 1, min(2 * n, KEEP))
-            up, down = (np.full(size, x, np.uint64) for x in (step, pow(step, -1, 1 << 64)))
-            up[0] = down[0] = 1
-            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            self._powers[which] = up, down
+        if which not in self._powers:
+            self._powers[which] = powers(int(_STEP[which]), KEEP)
+        up, down = self._powers[which] if n < KEEP else powers(int(_STEP[which]), n + 1)
         self.down = down
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[which][data] * up[:n], out=self.sums[1:])
@@ -40,6 +35,13 @@ class Prefix:
         return mixed(x)
 
 
+def powers(step: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``step`` and of its inverse modulo 2**64."""
+    up, down = (np.full(size, x, np.uint64) for x in (step, pow(step, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x *= _MIX

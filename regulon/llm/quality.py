@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 SYMBOLS = b"#*$%&|<>"
-PASS_WORDS = 400_000
+PASS_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document: counts, ``base_failed``, repetition figures and ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = list(judge(batch.column("text").to_pylist(), rules))
             columns = [list(c) for c in zip(*out)] or [[]] * (len(SCHEMA) - 1)
             yield common.batch_of(SCHEMA, [batch.column("doc_id"), *columns])
@@ -183,7 +183,7 @@ def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     at = common.position(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             verdicts = [row[-1] for row in judge(batch.column(at).to_pylist(), rules)]
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 

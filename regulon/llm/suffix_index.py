@@ -55,8 +55,8 @@ BATCHES = 4
 CONTEXTS = 32  # 2 at least: a key is known to be in doubt by its second context
 CHUNK = 1 << 20  # bytes hashed at once
 PIECE = 1 << 22  # longer texts are hashed in overlapping pieces
-TASK_ENTRIES = 3_000_000  # entries a task holds before it combines and sends them
-TASK_BYTES = 1 << 26  # doubtful windows a task holds before it sends them
+TASK_ENTRIES = 400_000  # entries a task holds before it combines and sends them
+TASK_BYTES = 1 << 24  # doubtful windows a task holds before it sends them
 LAST = (1 << 63) - 1
 
 # kinds of rows between the steps
@@ -201,7 +201,7 @@ def extract(batches: Iterator[pa.RecordBatch], window: int, anchor: int, buckets
         out += [(int(k % np.uint64(buckets)), KEYS, k.tobytes()) for k in keys]
         return common.batch_of(SENT_SCHEMA, [list(c) for c in zip(*out)] or [[]] * 3)
 
-    for batch in batches:
+    for batch in common.slices(batches):
         for d, sub, text in common.rows_of(batch, "d", "sub", "text"):
             raw = text.encode()
             for at in range(0, max(1, len(raw) - window + 1), PIECE):
@@ -388,7 +388,7 @@ def extract_doubts(batches: Iterator[pa.RecordBatch], window: int, anchor: int,
             out += sent(rest, rest["d"] % buckets, CLAIM)
         return common.batch_of(SENT_SCHEMA, [list(c) for c in zip(*out)] or [[]] * 3)
 
-    for batch in batches:
+    for batch in common.slices(batches):
         for d, sub, text, doubt, hot in common.rows_of(batch, "d", "sub", "text", "doubt", "hot"):
             raw = text.encode()
             data = np.frombuffer(raw, np.uint8)
@@ -511,7 +511,7 @@ def removed_bytes(docs: DataFrame, **options) -> DataFrame:
     spans, _ = duplicate_spans(docs, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             for doc_id, text, parts in common.rows_of(batch, "doc_id", "text", "spans"):
                 raw, cut = text.encode(), merged(parts)
@@ -552,7 +552,7 @@ def cut(docs: DataFrame, length_column: str | None = None, **options) -> DataFra
     joined = placed.join(spans, ["d", "sub"], "left").select(*plain.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [cut_text(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist())]
             columns = batch.columns[:width]
             columns[at] = pa.array(texts, type=columns[at].type)

@@ -28,8 +28,8 @@ import numpy as np
 
 from .hashing import Prefix
 
-PART_BYTES = 1 << 21  # text handled in one step, and where longer texts are cut
-MEMO_PIECES = 1_500_000  # about 40 bytes each
+PART_BYTES = 1 << 20  # text handled in one step, and where longer texts are cut
+MEMO_PIECES = 1_000_000  # about 40 bytes each
 MEMO_OTHERS = 100_000
 CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
