@@ -437,6 +437,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("sub", F.crc32("text"))
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Two buckets a shuffle partition, so that partitions come out more even."""
+    return 2 * common.partitions(spark)
+
+
 def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     """First ``doc_id`` of each batch but the first: ``batches`` even ranges."""
     low, high = common.pick(docs, doc_id="long").agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -460,7 +465,7 @@ def duplicate_spans(
     the documents indexed there, whose texts settle doubtful runs.
     """
     spark = docs.sparkSession
-    buckets = common.partitions(spark)
+    buckets = bucket_count(spark)
     if levels is not None:
         buckets = levels.select(F.max("buckets")).first()[0] or buckets
     rows, bounds = keyed(docs), batch_bounds(docs, batches)
@@ -578,7 +583,7 @@ class SuffixIndex:
         """(d, sub, spans) removed from ``docs``; ``earlier``: all documents added before."""
         levels = self.spark.read.parquet(f"{self.path}/{self.generation}") if self.generation else None
         spans, scan = duplicate_spans(docs, earlier, levels, batches=1, keep_levels=True, **options)
-        buckets = common.partitions(self.spark) if levels is None else levels.select(F.max("buckets")).first()[0]
+        buckets = bucket_count(self.spark) if levels is None else levels.select(F.max("buckets")).first()[0]
         kept = scan.where(F.col("kind") >= LEVEL).select(
             F.col("d").cast("int").alias("bucket"), "kind", F.col("spans").alias("data"), F.lit(buckets).alias("buckets")
         )
