@@ -181,7 +181,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node reachable over undirected edges (u, v).
 
     Alternates large-star and small-star until the edge set stands still; nodes
-    without an edge do not appear. Every round is written to the shared folder.
+    without an edge do not appear. Every step is written to the shared folder; its
+    smallest neighbours too, so that the join with them has a shuffle on both
+    sides and Spark can split a node with very many edges.
     """
     spark = edges.sparkSession
     edges = common.stored(spark, edges, "cc")
@@ -189,9 +191,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = common.stored(spark, low, "cc")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.stored(spark, large.where("u != v").distinct(), "cc")
+        low = common.stored(spark, large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = common.stored(spark, small, "cc")
@@ -213,7 +216,8 @@ def near_duplicates(
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    labelled = common.stored(spark, labelled, "cc")
+    ids = common.stored(spark, labelled.groupBy("root").agg(F.min("first").alias("component_id")), "cc")
     return fps.join(labelled.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
