@@ -13,6 +13,10 @@ Both patterns in use (byte-level BPE with letters, numbers, other and white
 space as classes; lower-cased BPE with word ends) cut at those places whatever
 surrounds them, so the ids equal those of the whole text. The tests compare them.
 
+The strings of the vocabulary's added tokens (``<|endoftext|>``) get that token's id
+wherever they stand, as in the library. It takes them out of a text before anything
+else and encodes what lies between them on its own, and so does ``Encoder``.
+
 The first kind is cut, hashed and looked up in vectorised steps over many texts:
 pieces are named by two 64-bit hashes, and the ids of all that were met lie in one
 array. The second kind goes through a dictionary.
@@ -98,7 +102,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {content: k.to_bytes(4, "little") for content, k in added.items()}
+        longest = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
+        self.between = re.compile(f"({longest})" if added else "(?!)")
         self.others: dict[str, bytes] = {}
         self.forget()
 
@@ -184,20 +191,25 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
         held: list[bytes] = []
-        owner: list[int] = []
+        owner: list[tuple[int, int]] = []
         size = 0
 
         def flush() -> None:
-            for k, ids in zip(owner, self.step(held)):
-                out[k].append(ids)
+            for (k, place), ids in zip(owner, self.step(held)):
+                out[k][place] = ids
 
         for k, text in enumerate(texts):
-            for part in parts(text) if text else ():
-                held.append(part), owner.append(k)
-                size += len(part)
-                if size >= PART_BYTES:
-                    flush()
-                    held, owner, size = [], [], 0
+            for run in self.between.split(text) if text else ():
+                if run in self.added:
+                    out[k].append(self.added[run])
+                    continue
+                for part in parts(run) if run else ():
+                    held.append(part), owner.append((k, len(out[k])))
+                    out[k].append(b"")
+                    size += len(part)
+                    if size >= PART_BYTES:
+                        flush()
+                        held, owner, size = [], [], 0
         if held:
             flush()
         return [b"".join(x) for x in out]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import docs, edge, empty
@@ -27,6 +28,20 @@ def test_pieces_encode_like_the_whole_text(name):
             assert ids == (encode.whole(text) if text else b""), text
 
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_added_tokens_encode_like_a_freshly_loaded_tokenizer(name, monkeypatch):
+    fresh = tokenizers.Tokenizer.from_file(tokens.vocabulary(name))
+    added = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"]
+    bits = [*added, "<", "a", " b", "  ", " ", "\n", "é", "e\u0301", "\u0301", "İ", "日", "'s", " don't", "1", ", "]
+    rng = random.Random(8)
+    texts = ["end of one <|endoftext|> next", *("".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(3000))]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size in (tokens.PART_BYTES, 40):
+        monkeypatch.setattr(tokens, "PART_BYTES", size)
+        encode = tokens.Encoder(tokens.vocabulary(name))
+        assert encode(texts) == want and [encode.whole(t) for t in texts] == want
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(tokens, "PART_BYTES", 50)
     encode = tokens.Encoder(tokens.vocabulary(VOCABULARIES[0]))
