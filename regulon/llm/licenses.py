@@ -5,8 +5,9 @@ and scanned by several hundred regular expressions. The families below are
 written by hand; each gives a rule for every way of naming it that is listed
 (an SPDX tag, a grant notice, a title, a metadata field, its own phrases).
 
-1. Gate: a rule runs only on a text that holds all of its keywords, which plain
-   substring searches find out. Most texts run no rule at all.
+1. Gate: a rule runs only on a text that holds the words every match of it must
+   hold, which plain substring searches find out. They are read off the rule's own
+   pattern, so a gate hides no match. Most texts run no rule at all.
 2. Order: detections rank by priority, then length, then place in the list.
 3. Suppression: a detection whose interval lies inside that of a better one goes.
    So "licensed under the apache license version 2 0" is one detection and the
@@ -28,6 +29,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -41,90 +43,90 @@ BASE = {b"mit license": "mit", b"apache license": "apache", b"general public lic
 BASE_PRIORITY = 50
 CLUE = 20
 
-# Families: label | keywords | SPDX words | names | phrases of its own.
+# Families: label | SPDX words | names | phrases of its own.
 # Names and phrases are regular expressions over lower-case words; "L" stands for
 # licence in either spelling. Several are divided by ";".
 FAMILIES = r"""
-mit | mit | mit | (?:mit|expat)(?: x11)? | permission is hereby granted free of charge to any person obtaining a copy of this software; opensource org licenses mit
-mit-0 | mit | mit 0 | mit(?: no attribution| 0 ) | opensource org licenses mit 0
-x11 | x11 | x11 | x11 | x consortium
-apache-1.0 | apache | apache 1 0 | apache(?: software)?(?: L)?(?: version| v)? ?1 0 | apache org licenses license 1 0
-apache-1.1 | apache | apache 1 1 | apache(?: software)?(?: L)?(?: version| v)? ?1 1 | apache org licenses license 1 1
-apache-2.0 | apache | apache 2 0 | (?:apache|asl)(?: software)?(?: L)?(?: version| v)? ?2(?: 0)? | apache org licenses license 2 0; opensource org licenses apache 2 0
-gpl-1.0 | gpl | gpl 1 0(?: only| or later)? | gpl ?v?1(?: 0)? | gnu org licenses(?: old licenses)? gpl 1 0
-gpl-2.0 | gpl | gpl 2 0(?: only| or later)? | gpl ?v?2(?: 0)? | gnu org licenses(?: old licenses)? gpl 2 0
-gpl-3.0 | gpl | gpl 3 0(?: only| or later)? | gpl ?v?3(?: 0)? | gnu org licenses gpl(?: 3 0)?(?: html)?
-gpl-1.0 | general public | gpl 1 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?1(?: 0)? | -
-gpl-2.0 | general public | gpl 2 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?2(?: 0)? | -
-gpl-3.0 | general public | gpl 3 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?3(?: 0)? | -
-gpl | general public | gpl | gnu(?: gpl| general public(?: L)?) | this program is free software you can redistribute it and or modify it under the terms of the gnu general public L
-lgpl-2.0 | lgpl | lgpl 2 0(?: only| or later)? | lgpl ?v?2(?: 0)? | gnu org licenses(?: old licenses)? lgpl 2 0
-lgpl-2.1 | lgpl | lgpl 2 1(?: only| or later)? | lgpl ?v?2 1 | gnu org licenses(?: old licenses)? lgpl 2 1
-lgpl-3.0 | lgpl | lgpl 3 0(?: only| or later)? | lgpl ?v?3(?: 0)? | gnu org licenses lgpl(?: 3 0)?
-lgpl-2.0 | general public | lgpl 2 | (?:gnu )?library general public L(?: version| v) ?2(?: 0)? | -
-lgpl-2.1 | general public | lgpl 21 | (?:gnu )?lesser general public L(?: version| v) ?2 1 | -
-lgpl-3.0 | general public | lgpl 3 | (?:gnu )?lesser general public L(?: version| v) ?3(?: 0)? | -
-lgpl | general public | lgpl | (?:gnu )?(?:lesser|library) general public(?: L)? | -
-agpl-1.0 | affero | agpl 1 0(?: only| or later)? | affero general public L(?: version| v) ?1(?: 0)? | affero org oagpl
-agpl-3.0 | affero | agpl 3 0(?: only| or later)? | (?:gnu )?affero general public L(?: version| v) ?3(?: 0)? | gnu org licenses agpl 3 0
-agpl-3.0 | agpl | agpl 3 | agpl ?v?3(?: 0)? | gnu org licenses agpl(?: 3 0)?
-agpl | affero | agpl | (?:gnu )?affero general public(?: L)? | -
-gfdl | free documentation | gfdl 1 [123](?: only| or later)? | (?:gnu )?free documentation(?: L)?(?: version 1 [123])? | gnu org (?:copyleft|licenses) fdl
-bsd-1-clause | bsd | bsd 1 clause | (?:bsd 1 clause|1 clause bsd|one clause bsd) | opensource org licenses bsd 1 clause
-bsd-2-clause | bsd | bsd 2 clause | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd) | opensource org licenses bsd 2 clause
-bsd-3-clause | bsd | bsd 3 clause | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd) | opensource org licenses bsd 3 clause
-bsd-4-clause | bsd | bsd 4 clause | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd) | opensource org licenses bsd 4 clause
-0bsd | bsd | 0bsd | (?:0 ?bsd|zero clause bsd) | opensource org licenses 0bsd
-bsd | bsd | bsd | bsd(?: style)? | redistributions of source code must retain the above copyright notice
-isc | isc | isc | isc | opensource org licenses isc; internet systems consortium
-mpl-1.0 | mozilla | mpl 1 0 | mozilla public L(?: version| v)? ?1 0 | mozilla org mpl 1 0
-mpl-1.1 | mozilla | mpl 1 1 | mozilla public L(?: version| v)? ?1 1 | mozilla org mpl 1 1
-mpl-2.0 | mozilla | mpl 2 0 | mozilla public L(?: version| v)? ?2(?: 0)? | mozilla org mpl 2 0
-mpl | mpl | mpl | mpl(?: v?[12](?: [01])?)? | mozilla org mpl
-epl-1.0 | eclipse | epl 1 0 | eclipse public L(?: version| v)? ?1(?: 0)? | eclipse org legal epl v10
-epl-2.0 | eclipse | epl 2 0 | eclipse public L(?: version| v)? ?2(?: 0)? | eclipse org legal epl 2 0
-edl-1.0 | eclipse | edl 1 0 | eclipse distribution L(?: version| v)? ?1(?: 0)? | eclipse org org documents edl v10
-cddl-1.0 | common development | cddl 1 0 | common development and distribution L(?: version| v)? ?1(?: 0)? | opensource org licenses cddl 1 0
-cddl-1.1 | common development | cddl 1 1 | common development and distribution L(?: version| v)? ?1 1 | -
-cpl-1.0 | common public | cpl 1 0 | common public L(?: version| v)? ?1(?: 0)? | opensource org licenses cpl1 0
-ipl-1.0 | ibm public | ipl 1 0 | ibm public L(?: version| v)? ?1(?: 0)? | opensource org licenses ipl 1 0
-eupl-1.1 | european union | eupl 1 1 | european union public L(?: version| v)? ?1 1 | -
-eupl-1.2 | european union | eupl 1 2 | european union public L(?: version| v)? ?1 2 | joinup ec europa eu collection eupl
-artistic-1.0 | artistic | artistic 1 0(?: perl)? | artistic L(?: version| v)? ?1(?: 0)? | opensource org licenses artistic 1 0
-artistic-2.0 | artistic | artistic 2 0 | artistic L(?: version| v)? ?2(?: 0)? | opensource org licenses artistic 2 0
-artistic | artistic | artistic | (?:perl |clarified )?artistic | under the same terms as perl itself
-bsl-1.0 | boost | bsl 1 0 | boost(?: software)? L(?: version| v)? ?1(?: 0)? | boost org license 1 0
-busl-1.1 | business source | busl 1 1 | business source L(?: version| v)? ?1 1 | mariadb com bsl11
-elastic-2.0 | elastic | elastic 2 0 | elastic L(?: version| v)? ?2(?: 0)? | elastic co licensing elastic license
-sspl-1.0 | server side | sspl 1 0 | server side public L(?: version| v)? ?1? | mongodb com licensing server side public license
-zlib | zlib | zlib | zlib(?: libpng)? | this software is provided as is without any express or implied warranty in no event will the authors be held liable
-libpng | libpng | libpng(?: 2 0)? | libpng | png reference library
-openssl | openssl | openssl | openssl | this product includes software developed by the openssl project
-php-3.01 | php | php 3 01 | php L(?: version| v)? ?3 01 | php net license 3 01
-python-2.0 | python | python 2 0 | (?:python software foundation|psf) L(?: version| v)? ?2? | python software foundation
-ruby | ruby | ruby | ruby | ruby lang org en about license
-postgresql | postgresql | postgresql | postgresql | opensource org licenses postgresql
-ncsa | ncsa | ncsa | (?:university of illinois )?ncsa(?: open source)? | opensource org licenses ncsa
-w3c | w3c | w3c | w3c(?: software(?: notice and)?)? | w3 org consortium legal
-ofl-1.1 | open font | ofl 1 1 | (?:sil )?open font L(?: version| v)? ?1 1 | scripts sil org ofl
-wtfpl | wtfpl | wtfpl | wtfpl(?: version 2)? | wtfpl net; do what the fuck you want to public L
-unlicense | unlicense | unlicense | (?:the )?unlicense | unlicense org; this is free and unencumbered software released into the public domain
-upl-1.0 | universal permissive | upl 1 0 | universal permissive L(?: version| v)? ?1? | oss oracle com licenses upl
-mulan-psl-2.0 | mulan | mulanpsl 2 0 | mulan(?: permissive software| psl)(?: L)?(?: version| v)? ?2 | license coscl org cn mulanpsl2
-ms-pl | microsoft public | ms pl | microsoft public(?: L)? | opensource org licenses ms pl
-ms-rl | microsoft reciprocal | ms rl | microsoft reciprocal(?: L)? | opensource org licenses ms rl
-odbl-1.0 | open database | odbl 1 0 | open (?:data commons )?(?:open )?database L(?: version| v)? ?1? | opendatacommons org licenses odbl
-odc-by-1.0 | open data commons | odc by 1 0 | open data commons attribution(?: L)? | opendatacommons org licenses by
-pddl-1.0 | open data commons | pddl 1 0 | open data commons public domain dedication and L | opendatacommons org licenses pddl
-cc0-1.0 | cc0 | cc0 1 0 | cc0(?: 1 0)?(?: universal)? | creativecommons org publicdomain zero 1 0
-cc0-1.0 | creative commons | cc zero | creative commons(?: cc0| zero)(?: 1 0)?(?: universal)? | -
-cc-pdm-1.0 | creativecommons | pdm 1 0 | public domain mark(?: 1 0)? | creativecommons org publicdomain mark 1 0
-openrail | openrail | openrail | (?:creativeml )?(?:big ?science )?open ?rail(?: ?m)? | -
-llama | llama | llama[ 0-9]* | (?:meta )?llama ?[234]?(?: [0-3])? community | -
-proprietary | all rights reserved | - | - | all rights reserved
-proprietary | proprietary and confidential | - | - | proprietary and confidential
-proprietary | eula | - | end user L agreement eula | -
-public-domain | public domain | - | - | (?:dedicated to|released (?:in)?to|placed in|is in|in) the public domain
+mit | mit | (?:mit|expat)(?: x11)? | permission is hereby granted free of charge to any person obtaining a copy of this software; opensource org licenses mit
+mit-0 | mit 0 | mit(?: no attribution| 0) | opensource org licenses mit 0
+x11 | x11 | x11 | x consortium
+apache-1.0 | apache 1 0 | apache(?: software)?(?: L)?(?: version| v)? ?1 0 | apache org licenses license 1 0
+apache-1.1 | apache 1 1 | apache(?: software)?(?: L)?(?: version| v)? ?1 1 | apache org licenses license 1 1
+apache-2.0 | apache 2 0 | (?:apache|asl)(?: software)?(?: L)?(?: version| v)? ?2(?: 0)? | apache org licenses license 2 0; opensource org licenses apache 2 0
+gpl-1.0 | gpl 1 0(?: only| or later)? | (?:gnu )?gpl ?v?1(?: 0)? | gnu org licenses(?: old licenses)? gpl 1 0
+gpl-2.0 | gpl 2 0(?: only| or later)? | (?:gnu )?gpl ?v?2(?: 0)? | gnu org licenses(?: old licenses)? gpl 2 0
+gpl-3.0 | gpl 3 0(?: only| or later)? | (?:gnu )?gpl ?v?3(?: 0)? | gnu org licenses gpl(?: 3 0)?(?: html)?
+gpl-1.0 | gpl 1 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?1(?: 0)? | -
+gpl-2.0 | gpl 2 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?2(?: 0)? | -
+gpl-3.0 | gpl 3 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?3(?: 0)? | -
+gpl | gpl | gnu(?: gpl| general public(?: L)?) | this program is free software you can redistribute it and or modify it under the terms of the gnu general public L
+lgpl-2.0 | lgpl 2 0(?: only| or later)? | (?:gnu )?lgpl ?v?2(?: 0)? | gnu org licenses(?: old licenses)? lgpl 2 0
+lgpl-2.1 | lgpl 2 1(?: only| or later)? | (?:gnu )?lgpl ?v?2 1 | gnu org licenses(?: old licenses)? lgpl 2 1
+lgpl-3.0 | lgpl 3 0(?: only| or later)? | (?:gnu )?lgpl ?v?3(?: 0)? | gnu org licenses lgpl(?: 3 0)?
+lgpl-2.0 | lgpl 2 | (?:gnu )?library general public L(?: version| v) ?2(?: 0)? | -
+lgpl-2.1 | lgpl 21 | (?:gnu )?lesser general public L(?: version| v) ?2 1 | -
+lgpl-3.0 | lgpl 3 | (?:gnu )?lesser general public L(?: version| v) ?3(?: 0)? | -
+lgpl | lgpl | (?:gnu )?(?:lesser|library) general public(?: L)? | -
+agpl-1.0 | agpl 1 0(?: only| or later)? | affero general public L(?: version| v) ?1(?: 0)? | affero org oagpl
+agpl-3.0 | agpl 3 0(?: only| or later)? | (?:gnu )?affero general public L(?: version| v) ?3(?: 0)? | gnu org licenses agpl 3 0
+agpl-3.0 | agpl 3 | (?:gnu )?agpl ?v?3(?: 0)? | gnu org licenses agpl(?: 3 0)?
+agpl | agpl | (?:gnu )?affero general public(?: L)? | -
+gfdl | gfdl 1 [123](?: only| or later)? | (?:gnu )?free documentation(?: L)?(?: version 1 [123])? | gnu org (?:copyleft|licenses) fdl
+bsd-1-clause | bsd 1 clause | (?:bsd 1 clause|1 clause bsd|one clause bsd) | opensource org licenses bsd 1 clause
+bsd-2-clause | bsd 2 clause | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd) | opensource org licenses bsd 2 clause
+bsd-3-clause | bsd 3 clause | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd) | opensource org licenses bsd 3 clause
+bsd-4-clause | bsd 4 clause | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd) | opensource org licenses bsd 4 clause
+0bsd | 0bsd | (?:0 ?bsd|zero clause bsd) | opensource org licenses 0bsd
+bsd | bsd | bsd(?: style)? | redistributions of source code must retain the above copyright notice
+isc | isc | isc | opensource org licenses isc; internet systems consortium
+mpl-1.0 | mpl 1 0 | mozilla public L(?: version| v)? ?1 0 | mozilla org mpl 1 0
+mpl-1.1 | mpl 1 1 | mozilla public L(?: version| v)? ?1 1 | mozilla org mpl 1 1
+mpl-2.0 | mpl 2 0 | mozilla public L(?: version| v)? ?2(?: 0)? | mozilla org mpl 2 0
+mpl | mpl | mpl(?: v?[12](?: [01])?)? | mozilla org mpl
+epl-1.0 | epl 1 0 | eclipse public L(?: version| v)? ?1(?: 0)? | eclipse org legal epl v10
+epl-2.0 | epl 2 0 | eclipse public L(?: version| v)? ?2(?: 0)? | eclipse org legal epl 2 0
+edl-1.0 | edl 1 0 | eclipse distribution L(?: version| v)? ?1(?: 0)? | eclipse org org documents edl v10
+cddl-1.0 | cddl 1 0 | common development and distribution L(?: version| v)? ?1(?: 0)? | opensource org licenses cddl 1 0
+cddl-1.1 | cddl 1 1 | common development and distribution L(?: version| v)? ?1 1 | -
+cpl-1.0 | cpl 1 0 | common public L(?: version| v)? ?1(?: 0)? | opensource org licenses cpl1 0
+ipl-1.0 | ipl 1 0 | ibm public L(?: version| v)? ?1(?: 0)? | opensource org licenses ipl 1 0
+eupl-1.1 | eupl 1 1 | european union public L(?: version| v)? ?1 1 | -
+eupl-1.2 | eupl 1 2 | european union public L(?: version| v)? ?1 2 | joinup ec europa eu collection eupl
+artistic-1.0 | artistic 1 0(?: perl)? | artistic L(?: version| v)? ?1(?: 0)? | opensource org licenses artistic 1 0
+artistic-2.0 | artistic 2 0 | artistic L(?: version| v)? ?2(?: 0)? | opensource org licenses artistic 2 0
+artistic | artistic | (?:perl |clarified )?artistic | under the same terms as perl itself
+bsl-1.0 | bsl 1 0 | boost(?: software)? L(?: version| v)? ?1(?: 0)? | boost org license 1 0
+busl-1.1 | busl 1 1 | business source L(?: version| v)? ?1 1 | mariadb com bsl11
+elastic-2.0 | elastic 2 0 | elastic L(?: version| v)? ?2(?: 0)? | elastic co licensing elastic license
+sspl-1.0 | sspl 1 0 | server side public L(?: version| v)? ?1? | mongodb com licensing server side public license
+zlib | zlib | zlib(?: libpng)? | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+libpng | libpng(?: 2 0)? | libpng | png reference library
+openssl | openssl | openssl | this product includes software developed by the openssl project
+php-3.01 | php 3 01 | php L(?: version| v)? ?3 01 | php net license 3 01
+python-2.0 | python 2 0 | (?:python software foundation|psf) L(?: version| v)? ?2? | python software foundation
+ruby | ruby | ruby | ruby lang org en about license
+postgresql | postgresql | postgresql | opensource org licenses postgresql
+ncsa | ncsa | (?:university of illinois )?ncsa(?: open source)? | opensource org licenses ncsa
+w3c | w3c | w3c(?: software(?: notice and)?)? | w3 org consortium legal
+ofl-1.1 | ofl 1 1 | (?:sil )?open font L(?: version| v)? ?1 1 | scripts sil org ofl
+wtfpl | wtfpl | wtfpl(?: version 2)? | wtfpl net; do what the fuck you want to public L
+unlicense | unlicense | (?:the )?unlicense | unlicense org; this is free and unencumbered software released into the public domain
+upl-1.0 | upl 1 0 | universal permissive L(?: version| v)? ?1? | oss oracle com licenses upl
+mulan-psl-2.0 | mulanpsl 2 0 | mulan(?: permissive software| psl)(?: L)?(?: version| v)? ?2 | license coscl org cn mulanpsl2
+ms-pl | ms pl | microsoft public(?: L)? | opensource org licenses ms pl
+ms-rl | ms rl | microsoft reciprocal(?: L)? | opensource org licenses ms rl
+odbl-1.0 | odbl 1 0 | open (?:data commons )?(?:open )?database L(?: version| v)? ?1? | opendatacommons org licenses odbl
+odc-by-1.0 | odc by 1 0 | open data commons attribution(?: L)? | opendatacommons org licenses by
+pddl-1.0 | pddl 1 0 | open data commons public domain dedication and L | opendatacommons org licenses pddl
+cc0-1.0 | cc0 1 0 | cc0(?: 1 0)?(?: universal)? | creativecommons org publicdomain zero 1 0
+cc0-1.0 | cc zero | creative commons(?: cc0| zero)(?: 1 0)?(?: universal)? | -
+cc-pdm-1.0 | pdm 1 0 | public domain mark(?: 1 0)? | creativecommons org publicdomain mark 1 0
+openrail | openrail | (?:creativeml )?(?:big ?science )?open ?rail(?: ?m)? | -
+llama | llama[ 0-9]* | (?:meta )?llama ?[234]?(?: [0-3])? community | -
+proprietary | - | - | all rights reserved
+proprietary | - | - | proprietary and confidential
+proprietary | - | end user L agreement eula | -
+public-domain | - | - | (?:dedicated to|released (?:in)?to|placed in|is in|in) the public domain
 """
 
 # Creative Commons: attribution terms x versions, written in short and in full.
@@ -147,33 +149,40 @@ GRANT = (
 FIELD = f"(?:{LICENSE}|{LICENSE}s|licensing|copying)(?: (?:is|type|name|classifier osi approved))? "
 
 
+# Names that are ordinary words where their licence word is left out ("free documentation"):
+# a title without it counts only in a text that speaks of licences somewhere.
+ORDINARY = {"apache-1.0", "apache-1.1", "apache-2.0", "gfdl", "ms-pl", "ms-rl"}
+
+Gate = tuple[tuple[bytes, ...], ...]  # of each group a text must hold one
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
     priority: int
-    keywords: tuple[bytes, ...]
+    keywords: Gate
     pattern: re.Pattern
 
 
-def families() -> Iterator[tuple[str, str, str, str, list[str]]]:
-    """(label, keyword, SPDX words, names, own phrases)."""
+def families() -> Iterator[tuple[str, str, str, list[str]]]:
+    """(label, SPDX words, names, own phrases)."""
     for line in FAMILIES.strip().splitlines():
-        label, keyword, spdx, names, phrases = (x.strip() for x in line.split("|", 2)[:2] + _rest(line))
-        yield label, keyword, spdx, names, [p.strip() for p in phrases.split(";") if p.strip() != "-"]
+        label, spdx, names, phrases = (x.strip() for x in line.split("|", 1)[:1] + _rest(line))
+        yield label, spdx, names, [p.strip() for p in phrases.split(";") if p.strip() != "-"]
     for terms, full in CC_TERMS.items():
         for version in CC_VERSIONS:
             number = version.replace(".", " ")
             short = f"cc {terms.replace('-', ' ')} {number}"
-            yield f"cc-{terms}-{version}", "cc by", short, short, []
+            yield f"cc-{terms}-{version}", short, short, []
             place = f"creativecommons org licenses {terms.replace('-', ' ')} {number}"
-            yield f"cc-{terms}-{version}", "creativecommons", "-", "-", [place]
+            yield f"cc-{terms}-{version}", "-", "-", [place]
             long = f"creative commons {full}(?: {number}| version {number}| v {number})(?: international| unported| generic)?"
-            yield f"cc-{terms}-{version}", "creative commons", "-", long, []
+            yield f"cc-{terms}-{version}", "-", long, []
 
 
 def _rest(line: str) -> list[str]:
     """The last three fields; alternatives inside brackets hold "|" of their own."""
-    body = line.split("|", 2)[2]
+    body = line.split("|", 1)[1]
     depth, cuts = 0, []
     for i, c in enumerate(body):
         depth += (c == "(") - (c == ")")
@@ -182,44 +191,74 @@ def _rest(line: str) -> list[str]:
     return [body[: cuts[0]], body[cuts[0] + 1 : cuts[1]], body[cuts[1] + 1 :]]
 
 
-def literal(pattern: str) -> str:
-    """Words that every match of the pattern holds: those before its first special
-    character, or else after its last."""
-    special = r"\bL\b|[\[\](){}?*+|\\^$.]"
-    parts = re.split(special, pattern)
-    if len(parts) == 1:
-        return pattern
-    head = parts[0].rpartition(" ")[0]
-    return head if len(head) > 5 else parts[-1].strip()
+def spelled(pattern: str) -> str:
+    return re.sub(r"\bL\b", LICENSE, pattern)
+
+
+def best(groups: list[set[str]]) -> set[str]:
+    """The group that sorts out most: its shortest word is the longest."""
+    return max(groups, key=lambda g: (min(map(len, g)), -len(g)), default=set())
+
+
+def needed(parsed) -> list[set[str]]:
+    """Groups of words of a parsed pattern: every match holds a word of each group."""
+    groups: list[set[str]] = []
+    run = ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run.strip():
+            groups.append({run.strip()})
+        run = ""
+        if op is _parser.SUBPATTERN:
+            groups += needed(value[-1])
+        elif op is _parser.MAX_REPEAT and value[0] > 0:
+            groups += needed(value[-1])
+        elif op is _parser.BRANCH:
+            each = [best(needed(branch)) for branch in value[1]]
+            if all(each):
+                words = set().union(*each)
+                groups.append({w for w in words if not any(o != w and o in w for o in words)})
+    return groups
+
+
+def gate_of(*parts: str) -> Gate:
+    """The gate of a rule whose matches hold a match of each part."""
+    gate: dict[tuple[bytes, ...], None] = {}
+    for part in parts:
+        groups = needed(_parser.parse(spelled(part)))
+        for group in [g for g in groups if min(map(len, g)) > 2] or [best(groups)]:
+            gate[tuple(sorted(w.encode() for w in group))] = None
+    return tuple(gate)
 
 
 @lru_cache(maxsize=1)
-def rules() -> dict[tuple[bytes, ...], list[tuple[int, Rule]]]:
-    """Keywords -> (number, rule); numbers follow the families."""
-    found: dict[tuple[bytes, ...], list[tuple[int, Rule]]] = {}
+def rules() -> dict[Gate, list[tuple[int, Rule]]]:
+    """Gate -> (number, rule); numbers follow the families."""
+    found: dict[Gate, list[tuple[int, Rule]]] = {}
     number = 0
 
-    def add(label: str, priority: int, keywords: tuple[str, ...], pattern: str) -> None:
+    def add(label: str, priority: int, parts: tuple[str, ...], pattern: str) -> None:
         nonlocal number
-        words = re.sub(r"\bL\b", LICENSE, pattern)
-        gate = tuple(k.encode() for k in keywords)
-        rule = Rule(label, priority, gate, re.compile(f"(?<= )(?:{words})(?= )".encode()))
+        gate = gate_of(*parts)
+        rule = Rule(label, priority, gate, re.compile(f"(?<= )(?:{spelled(pattern)})(?= )".encode()))
         found.setdefault(gate, []).append((number, rule))
         number += 1
 
-    for label, keyword, spdx, names, phrases in families():
+    for label, spdx, names, phrases in families():
         if spdx != "-":
             add(label, 99, ("spdx",), f"spdx licen[sc]e identifier {spdx}")
         for phrase in phrases:
-            add(label, 90, (literal(phrase),), phrase)
+            add(label, 90, (phrase,), phrase)
         if names != "-":
-            add(label, 80, (keyword,), f"{GRANT}(?:{names})(?: L| software L)?")
+            add(label, 80, (names,), f"{GRANT}(?:{names})(?: L| software L)?")
             title = names if re.search(r"\bL\b", names) else f"(?:{names}) L"  # some names hold the word
-            add(label, 65, (keyword, "licen"), f"(?:the )?(?:{title})")
-            add(label, 60, (keyword, "licen"), f"{FIELD}(?:{names})")
-    add("unknown", 20, ("licen",), f"{GRANT}(?:following )?L")
-    add("unknown", 15, ("licen",), "(?:see|read) (?:the )?(?:L|copying)(?: file| txt| md)?(?: for (?:more )?(?:details|information|terms))")
-    add("unknown", 15, ("licen",), "(?:this|the) (?:work|software|file|code|document|text|book|image|program) is (?:free )?licen[sc]ed")
+            add(label, 65, (title, "L") if label in ORDINARY else (title,), f"(?:the )?(?:{title})")
+            add(label, 60, (FIELD, names), f"{FIELD}(?:{names})")
+    add("unknown", 20, ("L",), f"{GRANT}(?:following )?L")
+    add("unknown", 15, ("(?:L|copying)",), "(?:see|read) (?:the )?(?:L|copying)(?: file| txt| md)?(?: for (?:more )?(?:details|information|terms))")
+    add("unknown", 15, ("L",), "(?:this|the) (?:work|software|file|code|document|text|book|image|program) is (?:free )?licen[sc]ed")
     add("copyright", 10, ("copyright",), r"copyright(?: c)?(?: [12][0-9]{3})+")
     return found
 
@@ -242,7 +281,7 @@ def detections(norm: bytes) -> list[tuple[int, int, Rule]]:
     found = [
         (m.start(), -m.end(), -rule.priority, k, rule)
         for gate, group in rules().items()
-        if all(map(holds, gate))
+        if all(any(map(holds, group)) for group in gate)
         for k, rule in group
         for m in rule.pattern.finditer(norm)
     ]

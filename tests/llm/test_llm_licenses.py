@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -30,6 +31,63 @@ def test_rules_are_many_and_gated():
     assert len(rules) > 300 and all(r.keywords and all(r.keywords) for r in rules)
 
 
+NAMED = {
+    "Released under the GNU GPL": "gpl",
+    "released under the GNU GPL v2": "gpl-2.0",
+    "Distributed under the GNU LGPL 2.1, or the GNU AGPLv3": "lgpl-2.1",
+    "License: GNU AGPLv3": "agpl-3.0",
+    "The Expat License": "mit",
+    "Licensed under MIT-0.": "mit-0",
+    "PSF License 2": "python-2.0",
+    "published under ASL 2.0": "apache-2.0",
+    "available under Public Domain Mark 1.0": "cc-pdm-1.0",
+    "BigScience Open RAIL-M license": "openrail",
+    "Copying: zlib": "zlib",
+    "see COPYING for details": "unknown",
+    "The manual is free documentation": "",
+    "Microsoft public relations on Apache 2.4": "",
+}
+
+
+@pytest.mark.parametrize("text", NAMED)
+def test_names_are_found_without_other_words(text):
+    assert licenses.scan(text)[5] == NAMED[text]
+
+
+def sample(parsed, rng):
+    """A text that the parsed pattern matches."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            kind, one = rng.choice(value)
+            out += chr(one if str(kind) == "LITERAL" else rng.randint(*one))
+        elif name == "SUBPATTERN":
+            out += sample(value[-1], rng)
+        elif name == "BRANCH":
+            out += sample(rng.choice(value[1]), rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(sample(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        else:
+            assert name == "ASSERT", name  # the spaces around a rule's words
+    return out
+
+
+def test_every_text_of_a_rule_passes_its_gate():
+    rng = random.Random(4)
+    for group in licenses.rules().values():
+        for _, rule in group:
+            parsed = re._parser.parse(rule.pattern.pattern.decode())
+            for _ in range(60):
+                norm = f" {sample(parsed, rng)} ".encode()
+                assert rule.pattern.search(norm), (rule, norm)
+                if rule.label in licenses.ORDINARY and rule.priority == 65:
+                    norm += b"license "
+                assert all(any(k in norm for k in words) for words in rule.keywords), (rule, norm)
+
+
 def all_detections(norm):
     return [(m.start(), m.end(), r, k) for g in licenses.rules().values() for k, r in g for m in r.pattern.finditer(norm)]
 
