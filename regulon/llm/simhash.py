@@ -67,15 +67,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the SimHash as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): the SimHash as a signed long; on demand a hash of the text as ``digest``."""
+    rows = common.pick(docs, doc_id="long", text="string")
+    schema = FP_SCHEMA
+    if digest:
+        rows, schema = rows.withColumn("digest", F.xxhash64("text")), FP_SCHEMA.append(pa.field("digest", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield common.batch_of(FP_SCHEMA, [batch.column("doc_id"), pa.array(fps.view(np.int64))])
+            rest = [batch.column("digest")] if digest else []
+            yield common.batch_of(schema, [batch.column("doc_id"), pa.array(fps.view(np.int64)), *rest])
 
-    return common.pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest long" * digest)
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -205,12 +210,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """(doc_id, fp, component_id) per document row."""
-    spark = docs.sparkSession
-    fps = common.stored(spark, fingerprints(docs, shingle), "fp")
+def labels(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(fp, root, component_id) per fingerprint of stored ``fingerprints``; ``root`` names the component."""
+    spark = fps.sparkSession
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(candidate_edges(distinct.select("fp"), distance, blocks, bucket_rows))
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
@@ -218,7 +220,13 @@ def near_duplicates(
     )
     labelled = common.stored(spark, labelled, "cc")
     ids = common.stored(spark, labelled.groupBy("root").agg(F.min("first").alias("component_id")), "cc")
-    return fps.join(labelled.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return labelled.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
+    """(doc_id, fp, component_id) per document row."""
+    fps = common.stored(docs.sparkSession, fingerprints(docs, shingle), "fp")
+    return fps.join(labels(fps, **options).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -228,13 +236,23 @@ def simhash_duplicates(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns.
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
+    """One row of each component, the one with the smallest id; all columns.
 
-    Rows with a null id stay only where their component has no id; of rows that
-    share the kept id and are in one component, each stays (they are one document).
+    A null id stays only where the component has no other. Of rows in one component
+    that share the kept id the one whose text has the smallest hash stays, and of
+    rows equal in id and text any one. The rows are found by id and text, since an
+    id may occur in other components too.
     """
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    ident = F.col(f"_c{common.position(docs, 'doc_id')}").cast("long")
-    return common.plain(docs).join(kept, ident.eqNullSafe(F.col("_kept")), "left_semi").toDF(*docs.columns)
+    spark = docs.sparkSession
+    fps = common.stored(spark, fingerprints(docs, shingle, digest=True), "fp")
+    first = fps.join(labels(fps, **options), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = first.groupBy("root", "doc_id").agg(F.min(F.struct("digest", "n")).alias("x"))
+    kept = common.stored(spark, first.select(F.col("doc_id").alias("_kept"), F.col("x.digest").alias("_digest"), F.col("x.n").alias("_n")), "cc")
+    rows, ident, text = common.plain(docs), f"_c{common.position(docs, 'doc_id')}", f"_c{common.position(docs, 'text')}"
+    same = F.col(ident).cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_digest"))
+    out = rows.join(kept.where("_n = 1"), same, "left_semi")
+    if not kept.where("_n > 1").isEmpty():  # only such rows are shuffled whole
+        out = out.unionByName(rows.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates([ident, text]))
+    return out.toDF(*docs.columns)

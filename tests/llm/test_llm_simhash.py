@@ -86,6 +86,15 @@ def test_large_bucket_is_walked_without_its_pairs():
     assert len(edges) == len(np.unique(fps)) - 1  # one component: 3 + 3 bits over 12 are linked in steps
 
 
+def test_one_row_of_each_component_where_ids_repeat(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(80)) for k in "abcd")
+    # 5 is the smallest id of a's component and, in b's, a copy of 3; c: rows equal in id and text; d: no id
+    rows = [(5, a), (9, a), (3, b), (5, b), (7, c), (7, c), (7, c), (8, c), (7, c.upper()), (None, d), (None, d), (None, a)]
+    kept = [(r["doc_id"], r["text"].lower()) for r in simhash.keep_first(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (7, c), (None, d)], key=str)
+
+
 def test_edges(spark):
     df = edge(spark)
     rows = simhash.simhash_duplicates(df).collect()
