@@ -136,6 +136,17 @@ def test_rules_name_only_earlier_symbols_and_compress():
         repair.Grammar(b"nope" + data[4:])
 
 
+def test_rules_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(7)
+    passage = rng.integers(0, 5000, 701).astype(np.uint32)
+    noise = [rng.integers(0, 5000, n).astype(np.uint32) for n in rng.integers(1, 40, 200)]
+    for seq in (np.tile(passage, 200), np.concatenate([x for n in noise for x in (n, passage)]), np.zeros(5000, np.uint32)):
+        grammar = repair.Grammar(repair.compress(seq))
+        assert (grammar.ids(0, len(seq)) == seq).all() and grammar.size.max() >= 256 and len(grammar.symbols) < len(seq) / 10
+        pairs = np.stack([grammar.symbols[:-1], grammar.symbols[1:]])
+        assert len(pairs.T) == 0 or np.unique(pairs, axis=1, return_counts=True)[1].max() < repair.MIN_COUNT
+
+
 def test_token_files(spark):
     df = edge(spark)
     path = repair.scratch_path(spark, "test-ids")
