@@ -17,9 +17,10 @@ The strings of the vocabulary's added tokens (``<|endoftext|>``) get that token'
 wherever they stand, as in the library. It takes them out of a text before anything
 else and encodes what lies between them on its own, and so does ``Encoder``.
 
-The first kind is cut, hashed and looked up in vectorised steps over many texts:
-pieces are named by two 64-bit hashes, and the ids of all that were met lie in one
-array. The second kind goes through a dictionary.
+The first kind is cut, hashed and looked up in vectorised steps over many texts. A
+64-bit hash only finds the piece that may be meant: its bytes, kept beside its ids,
+are compared before the ids are used, and a text with a piece that differs is encoded
+whole by the library. The second kind goes through a dictionary.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .hashing import Prefix
 
 PART_BYTES = 1 << 20  # text handled in one step, and where longer texts are cut
 MEMO_PIECES = 1_000_000  # about 40 bytes each
+MEMO_BYTES = 32 << 20  # of the pieces themselves
+WORD_BYTES = 64  # pieces are compared by words of 8 bytes as far as this
 MEMO_OTHERS = 100_000
 CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
@@ -46,6 +49,14 @@ OTHER = (_ALL == 0x27) | (_ALL == 0xC2) | (_ALL >= 0xCA)
 BETWEEN = [(0xC3, 0x97, 0x97), (0xC3, 0xB7, 0xB7), (0xC4, 0xB0, 0xB0), (0xC9, 0x90, 0xBF)]
 
 
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def words8(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one little-endian number; the last 7 places have none."""
+    return np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
+
+
 def spaced_pieces(text: str) -> list[str]:
     """Cut before each single space that has non-white-space on both sides."""
     parts = text.split(" ")
@@ -112,7 +123,8 @@ class Encoder:
     def forget(self) -> None:
         self.keys = np.empty(0, np.uint64)  # first hash, ascending
         self.slots = np.empty(0, np.int64)  # number of the piece by key
-        self.checks = np.empty(0, np.uint64)  # second hash by number
+        self.raw = np.zeros(8, np.uint8)  # the pieces' bytes one after the other, 8 zeros last
+        self.cuts = np.zeros(1, np.int64)  # end of its bytes by number + 1
         self.ends = np.zeros(1, np.int64)  # end of its ids by number + 1
         self.ids = np.empty(0, np.uint32)
 
@@ -134,13 +146,11 @@ class Encoder:
             self.others[p] = np.array(ids, dtype="<u4").tobytes()
         return b"".join([self.others[p] for p in cut])
 
-    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of each piece; new ones are encoded first."""
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each piece, whether its bytes are those of that number); new ones are encoded first."""
         hashes = Prefix(data).of(start, end)
         keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        second = Prefix(data, 1).of(start, end)
-        checks = second[at]
-        if len(self.keys) + len(keys) > MEMO_PIECES:
+        if len(self.keys) + len(keys) > MEMO_PIECES or len(self.raw) > MEMO_BYTES:
             self.forget()
         place = np.searchsorted(self.keys, keys)
         known = place < len(self.keys)
@@ -148,19 +158,35 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             a, b, raw = start[at[new]].tolist(), end[at[new]].tolist(), data.tobytes()
-            ids = self.library([raw[x:y].decode() for x, y in zip(a, b)])
+            pieces = [raw[x:y] for x, y in zip(a, b)]
+            ids = self.library([x.decode() for x in pieces])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
-            number = len(self.checks) + np.arange(len(new))
-            self.checks = np.concatenate((self.checks, checks[new]))
+            number = len(self.keys) + np.arange(len(new))
+            self.raw = np.concatenate((self.raw[:-8], np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)))
+            self.cuts = np.concatenate((self.cuts, self.cuts[-1] + np.cumsum((end - start)[at[new]])))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, flat))
             self.keys = np.insert(self.keys, place[new], keys[new])
             self.slots = np.insert(self.slots, place[new], number)
         slot = self.slots[np.searchsorted(self.keys, keys)][inverse]
-        if (self.checks[slot] != second).any():
-            raise HashClash
-        return slot
+        return slot, self.same(data, start, end - start, slot)
+
+    def same(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each piece's bytes equal the kept bytes of its number."""
+        first = self.cuts[slot]
+        out = size == self.cuts[slot + 1] - first
+        mine, kept = words8(np.concatenate((data, np.zeros(8, np.uint8)))), words8(self.raw)
+        at, left = np.flatnonzero(out), size[out]
+        for k in range(0, WORD_BYTES, 8):
+            differs = (mine[start[at] + k] ^ kept[first[at] + k]) & LOW_BYTES[np.minimum(left, 8)]
+            out[at[differs != 0]] = False
+            more = (differs == 0) & (left > 8)
+            at, left = at[more], left[more] - 8
+        for i in at.tolist():
+            a, b, n = int(start[i]), int(first[i]), int(size[i])
+            out[i] = np.array_equal(data[a : a + n], self.raw[b : b + n])
+        return out
 
     def plain(self, texts: list[bytes]) -> list[bytes]:
         """Texts of the first kind, not empty."""
@@ -171,15 +197,15 @@ class Encoder:
         end = np.concatenate((start[1:], [len(data)]))
         mark = np.searchsorted(start, starts[1:] - 1)
         start, end = np.delete(start, mark), np.delete(end, mark)
-        try:
-            slot = self.numbers(data, start, end)
-        except HashClash:
-            return [self.whole(t.decode()) for t in texts]
+        slot, same = self.numbers(data, start, end)
         lens = self.ends[slot + 1] - self.ends[slot]
         ends = np.cumsum(lens)
         out = self.ids[np.repeat(self.ends[slot] - ends + lens, lens) + np.arange(int(ends[-1]))].astype("<u4").tobytes()
         cuts = [*(4 * (ends - lens)[np.searchsorted(start, starts)]).tolist(), len(out)]
-        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+        found = [out[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.unique(np.searchsorted(starts, start[~same], side="right") - 1).tolist():
+            found[k] = self.whole(texts[k].decode())
+        return found
 
     def step(self, texts: list[bytes]) -> list[bytes]:
         """Some texts of either kind, not empty."""
@@ -215,10 +241,6 @@ class Encoder:
         return [b"".join(x) for x in out]
 
 
-class HashClash(Exception):
-    """Two different pieces have one hash."""
-
-
 def parts(text: str) -> list[bytes]:
     """A very long text, cut between words."""
     out, at = [], 0
