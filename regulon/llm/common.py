@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -67,6 +67,20 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_offsets(df: DataFrame, part: str, size: str, start: str) -> DataFrame:
+    """``df`` with ``start``, counted inside its ``part``, counted over all parts in ascending order.
+
+    The totals are one number a part, and parts are the partitions of the job that
+    wrote ``df``: a few hundred thousand rows at most, summed up in one window and
+    broadcast.
+    """
+    totals = df.groupBy(F.col(part).alias("_part")).agg(F.sum(size).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = df.join(F.broadcast(totals), F.col(part) == F.col("_part"))
+    return joined.withColumn(start, F.col(start) + F.col("_before")).drop("_part", "_before")
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: sized by the user with the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,8 +13,9 @@ of its symbols find any range of ids, and only the symbols that cover the range
 are expanded.
 
 File format: Parquet rows, written and read by Spark alone, so any store that
-Spark reaches will do: ``shard``, ``block``, ``doc_ids`` and ``sizes`` (ids of
-each document, end id included) and ``grammar``, a binary value with
+Spark reaches will do: ``shard``, ``block``, ``start`` (ids of the shard before the
+block), ``n_ids``, ``doc_ids`` and ``sizes`` (ids of each document, end id included)
+and ``grammar``, a binary value with
 
     b"RPG1" | base u4 | n_rules u4 | n_symbols u4 | width u4
     left u4[n_rules] | right u4[n_rules] | expansion u4[n_rules]
@@ -48,46 +49,49 @@ END_ID = 0
 BLOCK_IDS = 1 << 20
 MIN_COUNT = 24
 HASH_BITS = 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCK_SCHEMA = pa.schema(
     [
         ("shard", pa.int32()),
         ("block", pa.int32()),
+        ("start", pa.int64()),
         ("n_ids", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())),
         ("sizes", pa.list_(pa.int64())),
         ("grammar", pa.binary()),
     ]
 )
-BLOCK_DDL = "shard int, block int, n_ids long, doc_ids array<long>, sizes array<long>, grammar binary"
+BLOCK_DDL = "shard int, block int, start long, n_ids long, doc_ids array<long>, sizes array<long>, grammar binary"
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of the frequent pairs, ascending; positions that start one; rank of each position's pair).
+def frequent_pairs(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of the frequent pairs, ascending; the rank of each; positions of ``at`` that start one; which each starts).
 
-    Ranks follow the counts, equal counts a hash of the pair.
-
-    A table of hashed counts sorts out the pairs that cannot be frequent; the
-    rest are counted exactly.
+    Ranks follow the counts, equal counts a hash of the pair. Of many positions a
+    table of hashed counts first sorts out those whose pair cannot be frequent;
+    the rest are counted exactly.
     """
-    left, right = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
-    code = (left << np.uint64(32)) | right
-    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-    often = np.bincount(slot, minlength=1 << HASH_BITS) >= least
-    at = np.flatnonzero(often[slot])
-    codes, counts = np.unique(code[at], return_counts=True)
-    codes, counts = codes[counts >= least], counts[counts >= least]
-    if not len(codes):
-        return codes, at[:0], at[:0]
-    spot = np.minimum(np.searchsorted(codes, code[at]), len(codes) - 1)
-    hit = codes[spot] == code[at]
+    code = pair_codes(seq, at)
+    if len(at) >= 1 << HASH_BITS - 4:
+        slot = ((code * MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        often = np.flatnonzero((np.bincount(slot, minlength=1 << HASH_BITS) >= least)[slot])
+        at, code = at[often], code[often]
+    codes, pair, counts = np.unique(code, return_inverse=True, return_counts=True)
+    frequent = counts >= least
+    codes, counts = codes[frequent], counts[frequent]
     rank = np.empty(len(codes), np.int64)
-    rank[np.lexsort((codes * np.uint64(0x9E3779B97F4A7C15), counts))] = np.arange(len(codes))
-    return codes, at[hit], rank[spot[hit]]
+    rank[np.lexsort((codes * MIX, counts))] = np.arange(len(codes))
+    hit = frequent[pair]
+    return codes, rank, at[hit], (np.cumsum(frequent) - 1)[pair[hit]]
+
+
+def pair_codes(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
 
 
 def chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Of ascending positions those whose pair ranks above the pairs that overlap it; of a
+    """Which of the ascending positions: those whose pair ranks above the pairs that overlap it; of a
     pair that overlaps itself (a run of one symbol) every second, from the left."""
     linked = np.diff(at) == 1
     new = np.concatenate(([True], ~linked | (np.diff(rank) != 0)))
@@ -98,36 +102,43 @@ def chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     top = np.ones(len(first), bool)
     top[1:] &= ~joined | (r[1:] > r[:-1])
     top[:-1] &= ~joined | (r[:-1] > r[1:])
-    return at[top[stretch] & ((np.arange(len(at)) - first[stretch]) % 2 == 0)]
+    return top[stretch] & ((np.arange(len(at)) - first[stretch]) % 2 == 0)
 
 
 def compress(ids: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT) -> bytes:
     """The grammar of one block of ids, as bytes.
 
     The pair of the highest rank is replaced in every round, so the rounds end;
-    ``rounds`` ends them sooner.
+    ``rounds`` ends them sooner. The first round counts all pairs. A later one
+    counts only where a frequent pair stood or a symbol is new: no other pair can
+    have become frequent, as a replacement adds no occurrence of an older pair.
     """
     seq = ids.astype(np.uint32)
+    open_at = np.arange(max(len(seq) - 1, 0))  # positions whose pair may be frequent
     base = int(seq.max()) + 1 if len(seq) else 0
     left, right, size = [], [], np.ones(0, np.uint32)
     for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
-        codes, at, rank = frequent_pairs(seq, min_count)
+        codes, rank, open_at, pair = frequent_pairs(seq, open_at, min_count)
         if not len(codes):
             break
-        at = chosen(at, rank)
-        code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        take = chosen(open_at, rank[pair])
         # a pair that mostly lost to others waits for a later round (half: it may overlap itself)
-        codes, uses = np.unique(code, return_counts=True)
-        codes = codes[2 * uses >= min_count]
-        stays = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
-        at, code = at[stays], code[stays]
-        first = base + len(size)
-        seq[at] = first + np.searchsorted(codes, code)
+        rules = 2 * np.bincount(pair[take], minlength=len(codes)) >= min_count
+        take &= rules[pair]
+        at, first = open_at[take], base + len(size)
+        seq[at] = first + (np.cumsum(rules) - 1)[pair[take]]
+        codes = codes[rules]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        changed = np.zeros(len(seq), bool)
+        changed[open_at] = changed[at] = True
+        changed = changed[stay]
         seq = seq[stay]
+        new = at - np.arange(len(at))  # where the new symbols stand now
+        changed[new[new > 0] - 1] = True
+        open_at = np.flatnonzero(changed[:-1])
         a, b = (codes >> np.uint64(32)).astype(np.uint32), codes.astype(np.uint32)
         left.append(a), right.append(b)
         lengths = lambda s: np.where(s < base, 1, size[np.maximum(s, base) - base] if len(size) else 1)
@@ -151,31 +162,35 @@ class Grammar:
         lengths = np.ones(m, np.int64)
         lengths[rule] = self.size[self.symbols[rule] - self.base]
         self.ends = np.cumsum(lengths)
-        self._flat: np.ndarray | None = None
 
     def __len__(self) -> int:
         return int(self.ends[-1]) if len(self.ends) else 0
 
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All rules expanded one after the other, and where each starts."""
-        if self._flat is None:
-            self._starts = np.concatenate(([0], np.cumsum(self.size, dtype=np.int64)))
-            flat = np.empty(self._starts[-1], np.uint32)
-            for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
-                at, end = self._starts[k], self._starts[k + 1]
-                if a < self.base:
-                    flat[at] = a
-                    at += 1
-                else:
-                    n = self.size[a - self.base]
-                    flat[at : at + n] = flat[self._starts[a - self.base] :][:n]
-                    at += n
-                flat[at:end] = b if b < self.base else flat[self._starts[b - self.base] :][: end - at]
-            self._flat = flat
-        return self._flat, self._starts
+    def _expansions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rules that ``symbols`` need, ascending; their expansions one after the other; where each starts."""
+        needed = np.zeros(len(self.size), bool)
+        front = symbols
+        while len(front := np.unique(front[front >= self.base]) - self.base):
+            front = front[~needed[front]]
+            needed[front] = True
+            front = np.concatenate((self.left[front], self.right[front])).astype(np.int64)
+        rules = np.flatnonzero(needed)
+        starts = np.concatenate(([0], np.cumsum(self.size[rules], dtype=np.int64)))
+        place = dict(zip((rules + self.base).tolist(), zip(starts.tolist(), starts[1:].tolist())))
+        flat = np.empty(starts[-1], np.uint32)
+        for (at, end), a, b in zip(place.values(), self.left[rules].tolist(), self.right[rules].tolist()):
+            if a < self.base:
+                flat[at] = a
+                at += 1
+            else:
+                x, y = place[a]
+                flat[at : at + y - x] = flat[x:y]
+                at += y - x
+            flat[at:end] = b if b < self.base else flat[slice(*place[b])]
+        return rules, flat, starts
 
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids ``[start, stop)`` of the block; only the symbols that cover them are expanded."""
+        """Ids ``[start, stop)`` of the block; only the symbols that cover them, and the rules that those need, are expanded."""
         if start >= stop:
             return np.empty(0, np.uint32)
         a = int(np.searchsorted(self.ends, start, "right"))
@@ -183,10 +198,11 @@ class Grammar:
         part = self.symbols[a:b]
         before = int(self.ends[a - 1]) if a else 0
         lengths = np.diff(np.concatenate(([before], self.ends[a:b])))
-        flat, starts = self._expansions()
+        rules, flat, starts = self._expansions(part)
         source = np.concatenate((flat, part.astype(np.uint32)))  # ids stand for themselves
-        rule = part >= self.base
-        origin = np.where(rule, starts[np.where(rule, part - self.base, 0)], len(flat) + np.arange(len(part)))
+        origin = len(flat) + np.arange(len(part))
+        rule = np.flatnonzero(part >= self.base)
+        origin[rule] = starts[np.searchsorted(rules, part[rule] - self.base)]
         at = np.cumsum(lengths) - lengths
         out = source[np.repeat(origin - at, lengths) + np.arange(int(lengths.sum()))]
         return out[start - before : stop - before]
@@ -198,14 +214,14 @@ def blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokens.vocabulary(vocabulary))
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, block, start = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         sizes: list[int] = []
         data: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(data), "<u4")
-            return common.batch_of(BLOCK_SCHEMA, [[shard], [block], [len(ids)], [names], [sizes], [compress(ids)]])
+            return common.batch_of(BLOCK_SCHEMA, [[shard], [block], [start], [len(ids)], [names], [sizes], [compress(ids)]])
 
         held = 0
         for batch in common.slices(batches):
@@ -213,7 +229,7 @@ def blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
                 ids += end
                 if held and held + len(ids) // 4 > block_ids:
                     yield flush()
-                    names, sizes, data, held, block = [], [], [], 0, block + 1
+                    names, sizes, data, held, block, start = [], [], [], 0, block + 1, start + held
                 names.append(doc_id), sizes.append(len(ids) // 4), data.append(ids)
                 held += len(ids) // 4
         if names:
@@ -231,20 +247,21 @@ def write_ids(docs: DataFrame, path: str, **options) -> None:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files; ``start`` counts all ids before."""
     files = spark.read.schema(BLOCK_DDL).parquet(path)
-    # one number a block, in file order
-    totals = files.select("shard", "block", "n_ids").orderBy("shard", "block").collect()
-    offsets = dict(zip(((r[0], r[1]) for r in totals), accumulate((r[2] for r in totals), initial=0)))
+    placed = common.with_offsets(files, "shard", "n_ids", "start")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, block, names, sizes, data in common.rows_of(batch, "shard", "block", "doc_ids", "sizes", "grammar"):
+            for first, names, sizes, data in common.rows_of(batch, "start", "doc_ids", "sizes", "grammar"):
                 grammar, at = Grammar(data), list(accumulate(sizes, initial=0))
-                first = offsets[shard, block]
-                ids = [grammar.ids(a, b).astype("<u4").tobytes() for a, b in zip(at, at[1:])]
-                yield common.batch_of(schema, [names, [first + a for a in at[:-1]], sizes, ids])
-
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+                ids = grammar.ids(0, len(grammar)).astype("<u4").tobytes()  # all documents of the block are asked for
+                for a in range(0, len(names), 1000):
+                    cut = at[a : a + 1001]
+                    yield common.batch_of(
+                        schema, [names[a : a + 1000], [first + x for x in cut[:-1]], sizes[a : a + 1000], [ids[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]]
+                    )
+
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:

@@ -36,6 +36,7 @@ from .hashing import Prefix
 PART_BYTES = 1 << 20  # text handled in one step, and where longer texts are cut
 MEMO_PIECES = 1_000_000  # about 40 bytes each
 MEMO_BYTES = 32 << 20  # of the pieces themselves
+JOINED = 100  # new words in one call of the library
 WORD_BYTES = 64  # pieces are compared by words of 8 bytes as far as this
 MEMO_OTHERS = 100_000
 CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
@@ -146,6 +147,20 @@ class Encoder:
             self.others[p] = np.array(ids, dtype="<u4").tobytes()
         return b"".join([self.others[p] for p in cut])
 
+    def encoded(self, pieces: list[str], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids). The first ``n_words`` are runs of letters with the space before
+        them: many go to the library as one text, which it cuts at the spaces; the others go one by one."""
+        sizes, flat = [], []
+        for k in range(0, n_words, JOINED):
+            part = pieces[k : min(k + JOINED, n_words)]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            sizes.append(np.bincount(found.word_ids, minlength=len(part)))
+            flat.append(found.ids)
+        others = self.library(pieces[n_words:])
+        sizes.append([len(x) for x in others])
+        flat += others
+        return np.concatenate(sizes).astype(np.int64), np.fromiter((x for one in flat for x in one), np.uint32)
+
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of each piece, whether its bytes are those of that number); new ones are encoded first."""
         hashes = Prefix(data).of(start, end)
@@ -157,14 +172,15 @@ class Encoder:
         known[known] = self.keys[place[known]] == keys[known]
         new = np.flatnonzero(~known)
         if len(new):
-            a, b, raw = start[at[new]].tolist(), end[at[new]].tolist(), data.tobytes()
-            pieces = [raw[x:y] for x, y in zip(a, b)]
-            ids = self.library([x.decode() for x in pieces])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
-            number = len(self.keys) + np.arange(len(new))
+            a, b, raw = start[at[new]], end[at[new]], data.tobytes()
+            word = (data[a] == 32) & LETTER[data[b - 1]]
+            order = np.argsort(~word, kind="stable")  # words first
+            pieces = [raw[x:y] for x, y in zip(a[order].tolist(), b[order].tolist())]
+            sizes, flat = self.encoded([x.decode() for x in pieces], int(word.sum()))
+            number = np.empty(len(new), np.int64)
+            number[order] = len(self.keys) + np.arange(len(new))
             self.raw = np.concatenate((self.raw[:-8], np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)))
-            self.cuts = np.concatenate((self.cuts, self.cuts[-1] + np.cumsum((end - start)[at[new]])))
+            self.cuts = np.concatenate((self.cuts, self.cuts[-1] + np.cumsum((b - a)[order])))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, flat))
             self.keys = np.insert(self.keys, place[new], keys[new])
