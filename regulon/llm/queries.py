@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, licenses, packing, quality, repair, simhash, suffix_index, warczip
+from . import bestfit, chat, decontam, infill, laesa, langid, licenses, packing, quality, repair, simhash, suffix_index, warczip
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,72 @@ FROM p LEFT JOIN f USING (g)
 @query("op6_warc_packages", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.warc_packages(table(spark, sf_dir, "pages"))
+
+
+def laesa_sql(shape: laesa.Shape = laesa.Shape()) -> str:
+    """Full search in every round, one table of assignments and one of entries a round."""
+    k = shape.entries
+    assign = f"""AS MATERIALIZED (
+  SELECT r, part, min(dist * {k} + entry) AS m FROM (
+    SELECT r, part, entry, CAST(sum((x.val - c.val) * (x.val - c.val)) AS BIGINT) AS dist
+    FROM x JOIN {{c}} c USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part)"""
+    move = f"""AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce(n.val, c.val) AS val FROM {{c}} c LEFT JOIN (
+    SELECT part, m % {k} AS entry, pos, (s - (((s % q) + q) % q)) // q AS val FROM (
+      SELECT x.part, m, pos, CAST(sum(val) AS BIGINT) AS s, count(*) AS q FROM x JOIN
+        (SELECT r, part, m % {k} AS m FROM {{a}}) USING (r, part) GROUP BY x.part, m, pos)) n USING (part, entry, pos))"""
+    rounds = ""
+    for i in range(shape.rounds + 1):
+        rounds += f",\na{i} " + assign.format(c=f"c{i}")
+        if i < shape.rounds:
+            rounds += f",\nc{i + 1} " + move.format(c=f"c{i}", a=f"a{i}")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+x AS MATERIALIZED (
+  SELECT r, i // w AS part, i % w AS pos, CAST(floor({shape.scale} * CAST(e[i + 1] AS DOUBLE)) AS BIGINT) AS val
+  FROM (SELECT r, e, len(e) // {shape.parts} AS w, unnest(range(len(e))) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, val FROM x WHERE r <= {k}){rounds},
+f AS (SELECT r, string_agg(format('{{:02x}}', m % {k}), '' ORDER BY part) AS code, CAST(sum(m // {k}) AS BIGINT) AS error FROM a{shape.rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(CAST(val AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{shape.rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN f USING (r) CROSS JOIN s
+"""
+
+
+@query("op11_vector_codes", laesa_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+e AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (
+  SELECT *, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m,
+         array_to_string(list_slice(u, b + 1, n), '') AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM g
+"""
+
+
+@query("op12_infill", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill(table(spark, sf_dir, "documents"))
+
+
+@query("op13_best_fit")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pieces(table(spark, sf_dir, "documents"))
