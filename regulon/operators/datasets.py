@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import row_numbers
 from .topk import top_k, top_k_by_column
 
 # ── Fixed values ─────────────────────────────────────────────────────────
@@ -54,12 +55,47 @@ def sql_split_of(pct: str, shares: tuple[int, int, int]) -> str:
     return f"(CASE WHEN {pct} < {a} THEN 'train' WHEN {pct} < {a + b} THEN 'val' ELSE 'test' END)"
 
 
+def hash_place(key: Column) -> Column:
+    """Where a key stands in the shuffled order of all keys: its md5, then itself."""
+    return F.struct(F.md5(key.cast("string")).alias("h"), key.cast("string").alias("k"))
+
+
+def axis_split(keys: DataFrame, key: str, shares: tuple[int, int, int]) -> Column:
+    """The split of ``key``: shares of all distinct keys, exact to one key.
+
+    Keys are ranked by ``hash_place`` over range partitions, and the last key of the
+    first and of the second share is looked up. Only these two leave the cluster: the
+    split of a row is then a comparison with them, without a join.
+    """
+    place = hash_place(F.col(key))
+    ranked = row_numbers(keys.select(key).distinct().select(place.alias("place")), [], ["place"])
+    n = ranked.count()
+    ends = [share_end(n, x) for x in (shares[0], shares[0] + shares[1])]
+    found = {r["rank"]: r["place"] for r in ranked.where(F.col("rank").isin(ends)).collect()}
+
+    def among(end: int) -> Column:
+        last = found.get(end)
+        return F.lit(False) if last is None else place <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).alias("k"))
+
+    return F.when(among(ends[0]), F.lit(SPLITS[0])).when(among(ends[1]), F.lit(SPLITS[1])).otherwise(F.lit(SPLITS[2]))
+
+
+def share_end(n: int, percent: int) -> int:
+    """``percent`` of ``n`` keys, half a key rounded up."""
+    return (2 * n * percent + 100) // 200
+
+
+def sql_axis_split(table: str, key: str, shares: tuple[int, int, int]) -> str:
+    a, b = shares[0], shares[0] + shares[1]
+    return f"""SELECT {key}, CASE WHEN r <= (2 * n * {a} + 100) // 200 THEN 'train' WHEN r <= (2 * n * {b} + 100) // 200 THEN 'val' ELSE 'test' END AS split
+FROM (SELECT {key}, row_number() OVER (ORDER BY md5(CAST({key} AS VARCHAR)), {key}) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM {table}))"""
+
+
 def two_axis_split(pairs: DataFrame) -> DataFrame:
-    """DSC-2: perturbations and genes get independent hash splits; a pair is
-    kept only when both fall in the same split (so splits are disjoint on
-    both axes). Adds ``split``."""
-    ps = _split_of(hash_pct(F.col("pert")), PERT_SPLIT)
-    gs = _split_of(hash_pct(F.col("gene")), GENE_SPLIT)
+    """DSC-2: perturbations and genes get independent splits of exact shares, by the order
+    of their hashes; a pair is kept only when both fall in the same split (so splits
+    are disjoint on both axes). Adds ``split``."""
+    ps, gs = axis_split(pairs, "pert", PERT_SPLIT), axis_split(pairs, "gene", GENE_SPLIT)
     return (
         pairs.withColumn("_ps", ps).withColumn("_gs", gs)
         .where(F.col("_ps") == F.col("_gs"))
@@ -150,16 +186,11 @@ def split_leakage(assigned: DataFrame) -> DataFrame:
     return one("pert", "pert").unionByName(one("gene", "gene"))
 
 
-def dataset_profile(assigned: DataFrame, approx: bool = False) -> DataFrame:
-    """AGG-14: per split: perturbations, unique genes, rows, label counts.
-
-    ``approx=True`` swaps the exact distinct counts for HyperLogLog sketches
-    (one pass, no Expand), the choice at cluster scale.
-    """
-    dc = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
+def dataset_profile(assigned: DataFrame) -> DataFrame:
+    """AGG-14: per split: perturbations, unique genes, rows, label counts (exact)."""
     return assigned.groupBy("split").agg(
-        dc("pert").alias("n_perts"),
-        dc("gene").alias("n_genes"),
+        F.countDistinct("pert").alias("n_perts"),
+        F.countDistinct("gene").alias("n_genes"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("label") == "up").alias("n_up"),
         F.count_if(F.col("label") == "down").alias("n_down"),
@@ -167,6 +198,33 @@ def dataset_profile(assigned: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+SKETCH_LOG = 14  # 2**14 registers: a relative standard error of about 0.8 %
+
+
+def profile_sketch(assigned: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """AGG-14, mergeable: per split (and ``by``) HyperLogLog sketches of the perturbations and
+    genes and the plain counts. One pass with partial sums, no sort of distinct values.
+
+    Kept beside each batch of a growing dataset, these rows make the profile of all
+    batches (:func:`merged_profile`) without reading the old ones again.
+    """
+    return assigned.groupBy(*(by or []), "split").agg(
+        F.hll_sketch_agg("pert", SKETCH_LOG).alias("perts"),
+        F.hll_sketch_agg("gene", SKETCH_LOG).alias("genes"),
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in ("up", "down", "none")],
+    )
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """The profile per split of all batches whose sketches these are; distinct counts are estimates."""
+    return sketches.groupBy("split").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("perts")).alias("n_perts"),
+        F.hll_sketch_estimate(F.hll_union_agg("genes")).alias("n_genes"),
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_up", "n_down", "n_none")],
+    )
+
+
 def head_rows(df: DataFrame, n: int, order: str = "id") -> DataFrame:
     """LIM-1: first ``n`` rows by an explicit key (tables have no file order)."""
     return df.orderBy(order).limit(n)

@@ -8,9 +8,10 @@ text assembled with native string functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import row_numbers
 from .topk import top_k
 
 # ── Fixed values: wording of the lookup answers ──────────────────────────
@@ -59,19 +60,17 @@ def pert_evidence(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFra
     """AGG-7: per queried perturbation (any case): totals, per-label counts,
     the first 30 genes per label (gene order) and the summary text.
 
-    One join. One window pass gives each row its label's count and its rank, and
-    one aggregate over the first ranks gives counts and listed genes.
+    Counts are a plain aggregate and the listed genes a top-k, both limited map-side,
+    so a perturbation with any share of the pairs is spread over all tasks.
     """
     hits = queries.select(q).distinct().join(
         train.select(F.lower("pert").alias("_k"), "gene", F.lower(F.col("label").cast("string")).alias("lab")),
         F.lower(F.col(q)) == F.col("_k"), "inner").drop("_k")
-    by_label = Window.partitionBy(q, "lab")
-    ranked = hits.withColumns({"n_lab": F.count(F.lit(1)).over(by_label), "rank": F.row_number().over(by_label.orderBy("gene"))})
-    known = F.col("lab").isin(*PERT_LIST_HEAD)
-    g = ranked.where(F.col("rank") <= MAX_GENES_LISTED).groupBy(q).agg(
-        F.sum(F.when(F.col("rank") == 1, F.col("n_lab"))).alias("n"),
-        *[F.coalesce(F.max(F.when(F.col("lab") == k, F.col("n_lab"))), F.lit(0)).alias(f"n_{k}") for k in PERT_LIST_HEAD],
-        F.array_sort(F.collect_list(F.when(known, F.struct("lab", "rank", "gene")))).alias("l"))
+    counts = hits.groupBy(q).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("lab") == k).alias(f"n_{k}") for k in PERT_LIST_HEAD])
+    listed = top_k(hits.where(F.col("lab").isin(*PERT_LIST_HEAD)), [q, "lab"], [F.col("gene")], MAX_GENES_LISTED)
+    lists = listed.groupBy(q).agg(F.array_sort(F.collect_list(F.struct("lab", "rank", "gene"))).alias("l"))
+    g = counts.join(lists, q, "left")
     j = queries.select(q).distinct().join(g, q, "left")
 
     def genes(k: str) -> Column:
@@ -89,14 +88,14 @@ def pert_evidence(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFra
 def _answers(queries: DataFrame, key: str, hits: DataFrame, order: list[str], head: Column, none: Column) -> DataFrame:
     """``queries`` + matching lines -> (key, n_examples, part, text).
 
-    Lines are ranked by a window, which spills, and gathered ``PART_LINES`` at a
-    time, so a key with any number of matches gives bounded rows and no line is
-    dropped. The head stands in the first part.
+    Lines are numbered over ranges of (key, order) and gathered ``PART_LINES`` at a
+    time, so a key with any number of matches gives bounded rows, meets in no task,
+    and no line is dropped. The head stands in the first part.
     """
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    ranked = row_numbers(hits.select(key, *order, "line"), [key], [*order, "line"])
     part = F.floor((F.col("rank") - 1) / PART_LINES).cast("int")
     parts = ranked.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
-    counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = parts.groupBy(key).agg(F.sum(F.size("l")).alias("n"))
     j = queries.join(counts, key, "left").join(parts, key, "left")
     lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     text = F.when(F.col("n").isNull(), none).when(F.col("part") == 0, F.concat_ws("\n", head, lines)).otherwise(lines)
@@ -125,19 +124,18 @@ def lookup_ci(train: DataFrame, queries: DataFrame) -> DataFrame:
     """JOI-9: case-insensitive lookup by pert and/or gene for a whole query
     table ``(qid, pert, gene)``.
 
-    Each training row stands under its pert, its gene and both, each query under
-    what it gives (null marks the absent key), so all kinds are one null-safe
-    equi-join and the training table is read once. A query with neither key
-    matches nothing.
+    Queries are of three kinds by what they give (null or empty marks an absent key),
+    and each kind is an equi-join on its keys, so a training row goes to a join once. A
+    query with neither key matches nothing.
     """
-    p, g, absent = F.lower("pert"), F.lower("gene"), F.lit(None).cast("string")
-    t = train.select(
-        F.inline(F.array(*[F.struct(x.alias("kp"), y.alias("kg")) for x, y in ((p, g), (p, absent), (absent, g))])),
-        F.col("pert").alias("t_pert"), F.col("gene").alias("t_gene"), F.col("label").alias("t_label"))
+    t = train.select(F.lower("pert").alias("kp"), F.lower("gene").alias("kg"), F.col("pert").alias("t_pert"),
+                     F.col("gene").alias("t_gene"), F.col("label").alias("t_label"))
     asked = queries.select("qid", F.lower(_given(F.col("pert"))).alias("qp"), F.lower(_given(F.col("gene"))).alias("qg"))
-    asked = asked.where(F.col("qp").isNotNull() | F.col("qg").isNotNull())
-    return asked.join(t, F.col("qp").eqNullSafe(F.col("kp")) & F.col("qg").eqNullSafe(F.col("kg"))).select(
-        "qid", "t_pert", "t_gene", "t_label")
+    p, g = F.col("qp"), F.col("qg")
+    same_p, same_g = p == F.col("kp"), g == F.col("kg")
+    kinds = [(p.isNotNull() & g.isNotNull(), same_p & same_g), (p.isNotNull() & g.isNull(), same_p), (p.isNull() & g.isNotNull(), same_g)]
+    found = [asked.where(kind).join(t, same).select("qid", "t_pert", "t_gene", "t_label") for kind, same in kinds]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def pair_evidence(train: DataFrame, queries: DataFrame) -> DataFrame:

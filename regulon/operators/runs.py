@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parsing import DEFAULT_DOWN, DEFAULT_UP
 
@@ -182,6 +183,17 @@ def assemble_enum(test: DataFrame, results: DataFrame, model_name: str, seeds: l
 
 # ── UDF-1: batch scoring through a user callable ─────────────────────────
 
+CALL_ROWS = 256  # rows of one step: their calls are all back before the first of them leaves
+
+
+class StopScoring(Exception):
+    """Raised by a scorer when no call can succeed (the server is gone, the quota is spent).
+
+    It is not retried and marks no row as failed: the task fails, and with it the
+    job, once Spark has tried the task again as often as it may.
+    """
+
+
 def batch_complete(
     pending: DataFrame,
     scorer: Callable[[str, int], str],
@@ -199,15 +211,20 @@ def batch_complete(
     in. Each call is tried ``1 + max_retries`` times; only the call that failed
     waits. After the last failure the row is kept with empty text and
     ``status='failed'`` so a later run can retry it (the default prediction
-    applies meanwhile). Input: ``id, seed, prompt``; output adds ``text, status,
-    attempts``.
+    applies meanwhile); ``StopScoring`` ends the job instead. Rows leave a task
+    ``CALL_ROWS`` at a time. Input: ``id, seed, prompt``; output adds ``text, status,
+    attempts``. A job that stops loses what it has scored: ``streaming.scoring`` stores
+    batch after batch.
     """
-    schema = pending.schema.simpleString()[len("struct<"):-1] + ",text:string,status:string,attempts:int"
+    schema = T.StructType([*pending.schema.fields, T.StructField("text", T.StringType()),
+                           T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType())])
 
     def call(prompt: str, seed: int) -> tuple[str, str, int]:
         for attempt in range(max_retries + 1):
             try:
                 return scorer(prompt, seed), "ok", attempt + 1
+            except StopScoring:
+                raise
             except Exception:  # noqa: BLE001 - any scorer failure is retried
                 if attempt < max_retries:
                     time.sleep(backoff(attempt))
@@ -215,9 +232,9 @@ def batch_complete(
 
     def run(batches: Iterator) -> Iterator:
         with ThreadPoolExecutor(concurrency) as pool:
-            for pdf in batches:
+            for pdf in (batch.iloc[k : k + CALL_ROWS] for batch in batches for k in range(0, len(batch), CALL_ROWS)):
                 out = list(pool.map(call, pdf["prompt"], map(int, pdf["seed"])))
-                texts, status, attempts = zip(*out) if out else ((), (), ())
+                texts, status, attempts = zip(*out)
                 yield pdf.assign(text=list(texts), status=list(status), attempts=list(attempts))
 
     spread = pending.repartition(tasks) if tasks else pending

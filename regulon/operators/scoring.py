@@ -1,14 +1,14 @@
 """Scoring: exact tie-aware AUROC, the DE/DIR metric, validation and limits.
 
-AUROC design (no global sort on one task):
+AUROC design (a distributed ranking, no global sort on one task):
   1. ``groupBy(keys, score)`` -> positives ``p`` and negatives ``n`` per
      distinct score (map-side combine, ties collapse here).
-  2. Bucket ``b`` = number of quantile boundaries below the score. It is a pure
-     function of the score, so ties share a bucket; the boundaries come from
-     ``percentile_approx`` over the distinct scores (one small row per key).
-  3. Negatives per bucket -> prefix sum over the bucket table (at most
-     ``num_buckets`` rows per key).
-  4. Prefix sum of negatives inside each bucket (window per (key, bucket)).
+  2. The distinct scores are sorted into range partitions of (keys, score), as
+     many as the shuffle gives. Ties are one row by now, so they cannot be torn.
+  3. Inside each partition a window gives every score the negatives below it
+     there; one aggregate leaves a row per (keys, partition): its sums.
+  4. A prefix sum over these rows, one a partition, adds the negatives of all
+     partitions before.
   5. ``U2 = sum(p * (2 * neg_below + n))`` as an exact decimal;
      ``AUROC = U2 / (2 * P * N)``.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import range_parts
 
 DEC = "decimal(38,0)"
 
@@ -47,60 +48,28 @@ class SubmissionError(ValueError):
     """A submission the metric rejects (message shown to participants)."""
 
 
-def auroc(
-    df: DataFrame,
-    label_col: str,
-    score_col: str,
-    keys: list[str] | None = None,
-    num_buckets: int = 256,
-    accuracy: int = 10000,
-    materialize: bool = True,
-) -> DataFrame:
+def auroc(df: DataFrame, label_col: str, score_col: str, keys: list[str] | None = None) -> DataFrame:
     """Exact tie-aware ROC area per group of ``keys``.
 
-    ``label_col`` is 1 for positives and 0 for negatives. ``keys`` must be of
-    low cardinality (components, splits): the boundaries table holds
-    ``num_buckets`` values a key group. Returns ``keys + [auroc, n_pos, n_neg]``.
+    ``label_col`` is 1 for positives and 0 for negatives; a null score is below all
+    others. Work is spread by (keys, score), so one key may hold nearly all rows and
+    there may be many keys. Returns ``keys + [auroc, n_pos, n_neg]``.
     """
     keys = list(keys or [])
     y = F.col(label_col).cast("long")
     g = df.groupBy(*keys, F.col(score_col).alias("score")).agg(
         F.sum(y).alias("p"), F.sum(F.lit(1) - y).alias("n")
     )
-    if materialize:
-        # One row per distinct score: small next to the input, and read by
-        # three branches below. A reliable checkpoint (shared folder) runs
-        # the upstream plan once and cuts its lineage.
-        g = g.checkpoint(eager=True)
-    qs = [i / num_buckets for i in range(1, num_buckets)]
-    bounds = g.groupBy(*keys).agg(
-        F.percentile_approx("score", qs, accuracy).alias("bounds")
-    )
-    if keys:
-        # one row per key group; AQE turns this into a broadcast from the
-        # measured size of the aggregate.
-        gb = g.join(bounds, keys, "inner")
-    else:
-        gb = g.withColumn("bounds", bounds.select("bounds").scalar())
-    gb = gb.withColumn("b", F.size(F.filter("bounds", lambda x: x < F.col("score")))).drop("bounds")
-
-    bt = gb.groupBy(*keys, "b").agg(F.sum("n").alias("bn"))
-    w_bucket = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*keys, "b", F.coalesce(F.sum("bn").over(w_bucket), F.lit(0)).alias("neg_before_bucket"))
-
-    w_in = Window.partitionBy(*keys, "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    gw = gb.withColumn("neg_in_bucket", F.coalesce(F.sum("n").over(w_in), F.lit(0)))
-    # at most num_buckets rows per key group: broadcast at runtime by AQE
-    joined = gw.join(bt, keys + ["b"], "inner")
-    return _u_statistic(joined, keys, F.col("neg_before_bucket") + F.col("neg_in_bucket"))
-
-
-def _u_statistic(scored: DataFrame, keys: list[str], neg_below: Column) -> DataFrame:
-    """Exact ``U2 = sum(p * (2 * neg_below + n))`` and ``AUROC = U2 / (2 P N)``."""
-    u2 = F.col("p").cast(DEC) * (F.lit(2).cast(DEC) * neg_below.cast(DEC) + F.col("n").cast(DEC))
-    agg = scored.groupBy(*keys).agg(
-        F.sum(u2).alias("u2"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg")
-    )
+    below = Window.partitionBy(*keys, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = range_parts(g, [*keys, "score"]).withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    inside = F.col("p").cast(DEC) * (F.lit(2).cast(DEC) * F.col("below").cast(DEC) + F.col("n").cast(DEC))
+    # the window has brought a partition's rows of a key together, so this needs no shuffle
+    parts = ranked.groupBy(*keys, "part").agg(F.sum(inside).alias("inside"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    # one row a partition and key
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    u2 = F.col("inside") + F.lit(2).cast(DEC) * F.col("p").cast(DEC) * F.col("before").cast(DEC)
+    agg = parts.groupBy(*keys).agg(F.sum(u2).alias("u2"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     denom = F.lit(2).cast(DEC) * F.col("n_pos").cast(DEC) * F.col("n_neg").cast(DEC)
     return agg.select(
         *keys,
@@ -148,15 +117,14 @@ def score_components(merged: DataFrame, keys: list[str] | None = None) -> DataFr
     return merged.select(*keys, F.inline(comps))
 
 
-def de_dir_score(merged: DataFrame, keys: list[str] | None = None, num_buckets: int = 256,
-                 track: str = "generic") -> DataFrame:
+def de_dir_score(merged: DataFrame, keys: list[str] | None = None, track: str = "generic") -> DataFrame:
     """AGG-4: DE and DIR AUROC and their mean, per group of ``keys``.
 
     ``merged`` holds ``label, prediction_up, prediction_down`` (after JOI-1).
     A group with one class only raises, as the metric does.
     """
     keys = list(keys or [])
-    a = auroc(score_components(merged, keys), "y", "s", keys + ["component"], num_buckets)
+    a = auroc(score_components(merged, keys), "y", "s", keys + ["component"])
     r = a.groupBy(*keys).agg(
         F.max(F.when(F.col("component") == "de", F.col("auroc"))).alias("de_auroc"),
         F.max(F.when(F.col("component") == "dir", F.col("auroc"))).alias("dir_auroc"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import datasets as D
+from ..session import scratch_path
 from . import standins as S
 from .registry import query
 
@@ -13,10 +14,10 @@ HEAD_N = 10
 SAMPLE_N = 10
 SAMPLE_SEED = 7
 
-_PS = D.sql_split_of(D.sql_hash_pct("pert"), D.PERT_SPLIT)
-_GS = D.sql_split_of(D.sql_hash_pct("gene"), D.GENE_SPLIT)
-S.register("assigned", None, f"SELECT * FROM (SELECT *, {_PS} AS split, {_GS} AS gsplit FROM pairs) WHERE split = gsplit",
-           ["pairs"])
+S.register("pert_split", None, D.sql_axis_split("pairs", "pert", D.PERT_SPLIT), ["pairs"])
+S.register("gene_split", None, D.sql_axis_split("pairs", "gene", D.GENE_SPLIT), ["pairs"])
+S.register("assigned", None, """SELECT p.*, s.split FROM pairs p JOIN pert_split s ON s.pert = p.pert
+JOIN gene_split g ON g.gene = p.gene AND g.split = s.split""", ["pairs", "pert_split", "gene_split"])
 S.register("eligible", None, f"""SELECT pert, count(*) FILTER (WHERE label IN ('up', 'down')) AS n_degs
 FROM pairs GROUP BY pert HAVING count(*) FILTER (WHERE label IN ('up', 'down')) >= {D.MIN_DEGS}""", ["pairs"])
 S.register("positives", None, f"""SELECT * FROM (
@@ -50,7 +51,7 @@ def ternary_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("two_axis_split", S.with_ctes("SELECT id, split FROM assigned", "assigned"))
 def two_axis_split(spark: SparkSession, sf: str) -> DataFrame:
-    """DSC-2: hash splits on both axes; only split-consistent pairs kept."""
+    """DSC-2: splits of exact shares on both axes; only split-consistent pairs kept."""
     return D.two_axis_split(_pairs(spark, sf)).select("id", "split")
 
 
@@ -110,6 +111,33 @@ def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
     return D.dataset_profile(D.two_axis_split(_pairs(spark, sf)))
 
 
+N_BATCHES = 4
+SKETCH_ERROR = 0.04  # five standard errors of the sketches
+
+
+@query("profile_sketches", S.with_ctes("""SELECT split, count(DISTINCT pert) AS n_perts, count(DISTINCT gene) AS n_genes,
+  count(*) AS n_rows, count(*) FILTER (WHERE label = 'up') AS n_up, count(*) FILTER (WHERE label = 'down') AS n_down,
+  count(*) FILTER (WHERE label = 'none') AS n_none, true AS perts_close, true AS genes_close, true AS union_is_whole
+FROM assigned GROUP BY split""", "assigned"))
+def profile_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-14: pairs come in four batches; each leaves its sketches in a store, and the profile
+    is merged from them. The estimates are within the stated error of the exact counts
+    and equal those of a sketch of the whole."""
+    path = scratch_path(spark, "profile-sketches")
+    assigned = D.two_axis_split(_pairs(spark, sf)).withColumn("batch", F.pmod("gene_key", F.lit(N_BATCHES)))
+    D.profile_sketch(assigned, ["batch"]).write.partitionBy("batch").parquet(path)
+    merged = D.merged_profile(spark.read.parquet(path)).withColumnsRenamed({"n_perts": "est_perts", "n_genes": "est_genes"})
+    whole = D.merged_profile(D.profile_sketch(assigned)).select("split", F.col("n_perts").alias("all_perts"), F.col("n_genes").alias("all_genes"))
+    rows = D.dataset_profile(assigned).select("split", "n_perts", "n_genes").join(merged, "split").join(whole, "split")
+
+    def close(c: str) -> Column:
+        return F.abs(F.col(f"est_{c}") - F.col(f"n_{c}")) <= F.lit(SKETCH_ERROR) * F.col(f"n_{c}")
+
+    same = (F.col("est_perts") == F.col("all_perts")) & (F.col("est_genes") == F.col("all_genes"))
+    return rows.select("split", "n_perts", "n_genes", "n_rows", "n_up", "n_down", "n_none",
+                       close("perts").alias("perts_close"), close("genes").alias("genes_close"), same.alias("union_is_whole"))
+
+
 @query("head_rows", S.with_ctes(f"SELECT id, pert, gene, label FROM pairs ORDER BY id LIMIT {HEAD_N}", "pairs"))
 def head_rows(spark: SparkSession, sf: str) -> DataFrame:
     """LIM-1: the first rows by id (an explicit order; tables have none)."""

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts as PR
+from ..operators import runs as R
+from ..operators.ranking import row_numbers
 from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
+from ..sources import split_text as ST
 from . import q_prompts as QPR
 from . import q_runs as QR
 from . import standins as S
@@ -99,6 +102,27 @@ def write_submission_csv(spark: SparkSession, sf: str) -> DataFrame:
             .option("escape", '"').csv(path))
 
 
+@query("submission_in_order", S.with_ctes("""SELECT CAST(row_number() OVER (ORDER BY h, id) AS BIGINT) AS place, id,
+  CAST(coalesce(prediction_up, 0.333) AS VARCHAR) AS prediction_up, CAST(coalesce(prediction_down, 0.333) AS VARCHAR) AS prediction_down
+FROM (SELECT p.id, md5(p.id) AS h, e.prediction_up, e.prediction_down FROM pairs p LEFT JOIN (
+  SELECT id, max(prediction_up) AS prediction_up, max(prediction_down) AS prediction_down FROM stored WHERE seed = 42 GROUP BY id) e USING (id))""",
+    "pairs", "stored"))
+def submission_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1: a test file in an order of its own is read with the position of every row, its
+    submission is written in that order, and the part files, one after the other, give
+    the rows back at the places that they have in the test file."""
+    test, out = (scratch_path(spark, n) for n in ("test-csv", "submission-csv"))
+    h = F.md5("id")
+    rows = S.pairs(spark, sf).select("id", "pert", "gene").repartitionByRange(h, "id").sortWithinPartitions(h, "id")
+    rows.write.option("header", True).option("escape", '"').csv(test)
+    results = QR.stored(spark, sf).where(F.col("seed") == S.SEEDS[0]).select("id", "prediction_up", "prediction_down")
+    sub = RD.read_pairs(spark, test, labelled=False, position=True).select("position", "id").join(results, "id", "left")
+    sub = sub.select("position", "id", *[F.coalesce(c, F.lit(R.DEFAULT_UP)).alias(c) for c in ("prediction_up", "prediction_down")])
+    SK.write_submission(sub, out, order=["position"])
+    back = ST.read_csv(spark, out, ["id", "prediction_up", "prediction_down"], check_header=True, one_header=True)
+    return row_numbers(back, [], ["file", "offset"], "place").select(F.col("place").cast("long").alias("place"), "id", "prediction_up", "prediction_down")
+
+
 @query("append_responses", S.with_ctes(
     "SELECT id, seed, text, prediction_up, prediction_down FROM stored", "stored"))
 def append_responses(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from ..functions import parsing as P
 from ..functions import prompts as PR
 from ..functions.text import is_blank, sql_strip
 from ..operators import runs as R
+from ..session import scratch_path
+from ..streaming import scoring as SCO
 from . import q_parsing as QP
 from . import standins as S
 from .registry import query
@@ -251,3 +254,47 @@ def batch_complete_failures(spark: SparkSession, sf: str) -> DataFrame:
     pend = pend.select("id", "seed", PR.append_answer_tag(PR.zero_shot_prompt(F.col("pert"), F.col("gene"))).alias("prompt"))
     out = R.batch_complete(pend, R.failing_scorer, max_retries=2, backoff=lambda a: 0.0, tasks=_tasks(spark))
     return out.select("id", "seed", "text", "status", "attempts")
+
+
+# ── UDF-1 that survives a stop ───────────────────────────────────────────
+
+LATE = "\n\n(second delivery)"
+
+
+def stopping_scorer(prompt: str, seed: int) -> str:
+    """A stand-in whose server is gone when the second delivery comes."""
+    if prompt.endswith(LATE):
+        raise R.StopScoring("the server is gone")
+    return R.stub_scorer(prompt, seed)
+
+
+@query("resumable_scoring", S.with_ctes(f"""SELECT id, seed,
+  '<answer>' || substr('ABC', CAST((length(prompt) + seed) % 3 AS INTEGER) + 1, 1) || '</answer>' AS text, 'ok' AS status,
+  CAST(1 AS BIGINT) AS n_stored, false AS scored_again
+FROM (SELECT id, seed, {PR.sql_append_answer_tag(PR.sql_zero_shot_prompt('pert', 'gene'))}
+        || CASE WHEN seed % 2 = 1 THEN '{LATE}' ELSE '' END AS prompt FROM pending)""", "pending"))
+def resumable_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """UDF-1: pending work comes in two deliveries and is scored batch by batch. The second
+    run stops in the second delivery and a third goes on from its checkpoint: every (id,
+    seed) is stored once, and rows stored before the stop still lie in the files they were
+    written to then (``scored_again`` is false)."""
+    run = SCO.ScoringRun(spark, scratch_path(spark, "scoring"))
+    pend = R.pending_work(expected(spark, sf), stored(spark, sf), keys=S.PAIR_KEYS + ["seed"])
+    late = F.col("seed") % 2 == 1
+    prompt = PR.append_answer_tag(PR.zero_shot_prompt(F.col("pert"), F.col("gene")))
+    pend = pend.select("id", "seed", F.concat(prompt, F.when(late, LATE).otherwise("")).alias("prompt"))
+    options = {"max_retries": 1, "backoff": lambda a: 0.0, "tasks": _tasks(spark)}
+    run.deliver(pend.where(~late))
+    run.score(stopping_scorer, **options)
+    run.deliver(pend.where(late))
+    try:
+        run.score(stopping_scorer, **options)
+    except StreamingQueryException:
+        pass  # the stop; any other cause comes again in the next run
+    before = run.stored().select("batch", "file").distinct().checkpoint()
+    run.score(R.stub_scorer, **options)
+    rows = run.stored().join(before.withColumn("kept", F.lit(True)), ["batch", "file"], "left").join(
+        before.select("batch", F.lit(True).alias("early")).distinct(), "batch", "left")
+    again = F.coalesce(F.col("early") & F.col("kept").isNull(), F.lit(False))
+    return rows.groupBy("id", "seed").agg(
+        F.max("text").alias("text"), F.max("status").alias("status"), F.count("*").alias("n_stored"), F.max(again).alias("scored_again"))

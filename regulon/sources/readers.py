@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.topk import top_k
+from . import split_text as ST
 
 PAIRS = StructType([StructField(c, StringType()) for c in ("id", "pert", "gene", "label")])
 PROMPTS_REQUIRED = ("id", "prompt")
 
 
-def read_pairs(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, labelled: bool = True, position: bool = False) -> DataFrame:
     """SRC-1: pairs CSV with a header; quoted commas and newlines allowed.
 
-    The schema is fixed (no inference). ``multiLine`` files are not
-    splittable, so convert large inputs to Parquet once and read that.
+    The schema is fixed (no inference) and a file with other headers fails the job.
+    One large file is read in many tasks (``split_text``). With ``position`` there is a
+    column of that name, ``(file, offset)``, by which rows can be put in file order.
     """
-    schema = PAIRS if labelled else StructType(PAIRS.fields[:3])
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("enforceSchema", False).csv(path))
+    names = (PAIRS if labelled else StructType(PAIRS.fields[:3])).names
+    rows = ST.read_csv(spark, path, names, check_header=True)
+    return rows.select(*names, *([F.struct("file", "offset").alias("position")] if position else []))
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -38,10 +40,11 @@ def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, order_c
     """SRC-2: (id, prompt) from CSV or JSONL; blank lines skipped; both columns
     cast to string; of duplicate ids the last one stays.
 
-    "Last" is the position: file path, then place in the file. With
-    ``order_col`` that column decides first. JSONL has a fixed schema (no
-    inference pass); CSV fields may hold quoted newlines, so a CSV file is one
-    split by format.
+    "Last" is the position: file path, then place in the file (CSV: the byte at
+    which the record starts). With ``order_col`` that column decides first. JSONL has
+    a fixed schema (no inference pass). CSV fields may hold quoted newlines; the names
+    are those of the first file's header, and one large file is read in many tasks
+    (``split_text``).
     """
     fmt = fmt or ("json" if path.rstrip("/").endswith((".jsonl", ".ndjson")) else "csv")
     if fmt == "json":
@@ -59,7 +62,7 @@ def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, order_c
         if missing:
             raise ValueError(f"{path} is missing required column(s): {set(missing)}. Expected columns: id, prompt")
         order_col = order_col if order_col in raw.columns else None
-        df = _placed(raw)
+        df = ST.read_csv(spark, path, raw.columns).withColumn("_place", F.struct("file", "offset"))
     order = F.col(order_col).try_cast("long") if order_col else F.lit(None).cast("long")
     df = df.select(F.col("id").cast("string").alias("id"), F.col("prompt").cast("string").alias("prompt"),
                    order.alias("_ord"), "_place")
@@ -79,12 +82,11 @@ def read_response_cache(spark: SparkSession, path: str, seeds=(42, 43, 44), line
 
     A row with columns per seed gives a row per seed that has a prediction; a row
     without (agentic and fine-tuned runs) gives one with a null seed. A document
-    is one record by format: a file each, or a line each with ``lines``, and a
-    folder of either is read in parallel. An unreadable document or a missing
-    path gives no rows.
+    is a file, of which one large one is read in many tasks (``split_text``), or a
+    line each with ``lines``. An unreadable document or a missing path gives no rows.
     """
     try:
-        raw = spark.read.text(path, wholetext=not lines)
+        raw = spark.read.text(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -92,8 +94,11 @@ def read_response_cache(spark: SparkSession, path: str, seeds=(42, 43, 44), line
     fields = ", ".join(["prediction_up double", "prediction_down double", "reasoning_trace string", "effect string", "tokens_used double"]
                        + [f"{c}_seed{s} {'double' if c in ('prediction_up', 'prediction_down', 'tokens') else 'string'}"
                           for s in seeds for c in SEED_FIELDS])
-    doc = raw.select(F.from_json("value", f"rows map<string,struct<{fields.replace(' double', ':double').replace(' string', ':string')}>>").alias("d"))
-    rows = doc.select(F.explode("d.rows").alias("id", "r"))
+    entry = f"struct<{fields.replace(' double', ':double').replace(' string', ':string')}>"
+    if lines:
+        rows = raw.select(F.from_json("value", f"rows map<string,{entry}>").alias("d")).select(F.explode("d.rows").alias("id", "r"))
+    else:
+        rows = ST.json_entries(spark, path, "rows", entry).select(F.col("key").alias("id"), F.col("entry").alias("r"))
     forms = [F.struct(F.lit(s).cast("int").alias("seed"), *[F.col(f"r.{c}_seed{s}").alias(c) for c in SEED_FIELDS]) for s in seeds]
     forms.append(F.struct(F.lit(None).cast("int").alias("seed"), *[F.col(f"r.{c}").alias(d) for c, d in zip(ROW_FIELDS, SEED_FIELDS)]))
     per_seed = F.array(*forms[:-1])
@@ -103,12 +108,13 @@ def read_response_cache(spark: SparkSession, path: str, seeds=(42, 43, 44), line
 
 
 def write_de_shards(de: DataFrame, path: str) -> None:
-    """Write a DE table as Parquet shards, each with a range of drugs in order.
+    """Write a DE table as Parquet shards, each with a range of (drug, gene) in order.
 
-    The shards need no key column: a drug filter skips all files and row groups
-    whose statistics exclude the drug.
+    A drug with many rows spans tasks and shards, while a filter on the drug still
+    skips all files and row groups whose statistics exclude it. The shards need no key
+    column.
     """
-    de.repartitionByRange("drug").sortWithinPartitions("drug").write.mode("overwrite").parquet(path)
+    de.repartitionByRange("drug", "gene").sortWithinPartitions("drug", "gene").write.mode("overwrite").parquet(path)
 
 
 def scan_de(spark: SparkSession, path: str, drug: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import parsing as P
 from ..operators import cells as CE
@@ -71,8 +72,9 @@ def run_batches(df: DataFrame, each, checkpoint: str) -> None:
     df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all available input, then stop (``availableNow``)."""
+def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream over all available input, then stop (``availableNow``). Returns the ended
+    query, for its progress (rows read, rows of state)."""
     if mode == "complete":
         def sink(batch: DataFrame, _id: int) -> None:
             batch.write.mode("overwrite").parquet(out)
@@ -80,4 +82,6 @@ def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append
         q = df.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint)
     else:
         q = df.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    q.trigger(availableNow=True).start().awaitTermination()
+    done = q.trigger(availableNow=True).start()
+    done.awaitTermination()
+    return done

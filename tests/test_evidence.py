@@ -1,6 +1,7 @@
 """Golden texts for the evidence lookups on a small labelled table."""
 
 from regulon.operators import evidence as EV
+from regulon.operators.ranking import range_parts, row_numbers
 
 
 def _train(spark):
@@ -59,3 +60,45 @@ def test_lookups_without_keys_and_in_parts(spark, monkeypatch):
                     "  - pert=Irf1, gene=Cd14, label=down (down-regulated)"),
         ("p", 4, 1, "  - pert=Irf1, gene=Zeb, label=Odd (odd)\n  - pert=irf1, gene=Gapdh, label=none (no significant effect)"),
     ]
+
+
+def test_a_hot_key_is_spread_over_the_tasks(spark):
+    """One perturbation and one gene hold a third of all pairs each: answers equal a plain version, and no range is large."""
+    import random
+
+    rnd = random.Random(6)
+    rows = [("Hot", f"g{i}", rnd.choice(["up", "down", "none", "odd"])) for i in range(6000)]
+    rows += [(f"p{i}", "Top", rnd.choice(["up", "down", "none"])) for i in range(6000)]
+    rows += [(f"p{rnd.randrange(300)}", f"g{rnd.randrange(300)}", "none") for _ in range(6000)]
+    train = spark.createDataFrame(rows, "pert string, gene string, label string").repartition(8)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = [r["count"] for r in range_parts(train.select("gene", "pert", "label"), ["gene", "pert"]).groupBy("part").count().collect()]
+        assert max(sizes) < 4 * sum(sizes) / 40  # a third of the rows would be 13 shares
+        ranked = row_numbers(train, ["gene"], ["pert", "label"]).collect()
+        texts = EV.gene_evidence(train, spark.createDataFrame([("top",), ("g5",)], "q string")).collect()
+        pert = EV.pert_evidence(train, spark.createDataFrame([("hot",)], "q string")).first()
+        pair = EV.pair_evidence(train, spark.createDataFrame([("a", "hot", None), ("b", "P7", "top")], "qid string, pert string, gene string")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    by_gene = {}
+    for r in ranked:
+        by_gene.setdefault(r["gene"], []).append((r["rank"], r["pert"], r["label"]))
+    assert sum(map(len, by_gene.values())) == len(rows)
+    for gene, got in by_gene.items():
+        want = sorted((p, lab) for p, g, lab in rows if g == gene)
+        assert sorted(got) == [(k + 1, *x) for k, x in enumerate(want)]
+    lines = {}
+    for r in sorted(texts, key=lambda r: r["part"]):
+        lines.setdefault(r["q"], []).extend(r["text"].splitlines()[1 if r["part"] == 0 else 0 :])
+        assert r["n_examples"] == sum(g.lower() == r["q"] for _, g, _ in rows)
+    assert lines["top"] == [f"  - pert={p}: {EV.LABEL_STR[lab]}" for p, lab in sorted((p, lab) for p, g, lab in rows if g == "Top")]
+    genes = {lab: sorted(g for p, g, x in rows if p == "Hot" and x == lab) for lab in ("up", "down", "none")}
+    assert pert["n_examples"] == 6000 and pert["text"].splitlines()[1] == EV.PERT_SUMMARY % tuple(len(genes[k]) for k in ("up", "down", "none"))
+    assert pert["text"].splitlines()[2] == EV.PERT_LIST_HEAD["up"] + ", ".join(genes["up"][:30])
+    assert {r["qid"]: r["n_examples"] for r in pair} == {"a": 6000, "b": 1}
+    assert max(r["part"] for r in pair) == 5

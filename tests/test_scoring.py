@@ -1,6 +1,7 @@
 """Scoring: golden metric case, AUROC vs brute force, invariance, errors."""
 
 import random
+from contextlib import contextmanager
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regulon.operators import scoring as SC
+from regulon.operators.ranking import range_parts
 
 
 def brute_auroc(ys, ss):
@@ -17,6 +19,33 @@ def brute_auroc(ys, ss):
     return wins / (len(pos) * len(neg))
 
 
+@contextmanager
+def settings_of(spark, **conf):
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def exact_auroc(rows):
+    """U statistic in whole numbers: sort once, ties together."""
+    by_score = {}
+    for y, s in rows:
+        p, n = by_score.get(s, (0, 0))
+        by_score[s] = (p + y, n + 1 - y)
+    u2 = below = 0
+    for s in sorted(by_score):
+        p, n = by_score[s]
+        u2 += p * (2 * below + n)
+        below += n
+    pos = sum(p for p, _ in by_score.values())
+    return u2 / (2 * pos * below)
+
+
 def test_metric_golden(spark):
     sol = spark.createDataFrame(
         list(zip(["A_X", "A_Y", "B_X", "B_Y", "C_X", "C_Y"], ["up", "none", "down", "none", "up", "down"], ["Public"] * 6)),
@@ -36,7 +65,7 @@ def test_auroc_matches_brute_force(spark, rows):
         return
     ss = [s / 6.0 for _, s in rows]
     df = spark.createDataFrame(list(zip(ys, ss)), "y int, s double")
-    got = SC.auroc(df, "y", "s", num_buckets=4).first()["auroc"]
+    got = SC.auroc(df, "y", "s").first()["auroc"]
     assert got == pytest.approx(brute_auroc(ys, ss), abs=1e-12)
 
 
@@ -45,11 +74,49 @@ def test_auroc_partition_invariance(spark):
     data = [(rnd.randint(0, 1), rnd.random()) for _ in range(3000)]
     df = spark.createDataFrame(data, "y int, s double")
     a = SC.auroc(df.repartition(1), "y", "s").first()["auroc"]
-    b = SC.auroc(df.repartition(13), "y", "s", num_buckets=16).first()["auroc"]
-    c = SC.auroc(df, "y", "s", materialize=False).first()["auroc"]
+    b = SC.auroc(df.repartition(13), "y", "s").first()["auroc"]
+    with settings_of(spark, **{"spark.sql.shuffle.partitions": "1"}):
+        c = SC.auroc(df, "y", "s").first()["auroc"]
     assert a == b == c == pytest.approx(brute_auroc(*zip(*data)), abs=1e-12)
 
 
+MANY = {"spark.sql.shuffle.partitions": "300", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def test_auroc_over_hundreds_of_ranges_with_a_hot_key(spark):
+    """More range partitions than 256, most rows in one key, half of its rows in one score."""
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(40_000):
+        k = "hot" if rnd.random() < 0.9 else f"k{rnd.randrange(50)}"
+        s = 0.5 if rnd.random() < 0.5 else rnd.gauss(0.5, 0.001)  # a narrow range of scores
+        rows.append((k, int(rnd.random() < s), s))
+    df = spark.createDataFrame(rows, "k string, y int, s double")
+    with settings_of(spark, **MANY):
+        counts = df.groupBy("k", F.col("s").alias("score")).agg(F.count("*").alias("n"))
+        sizes = [r["count"] for r in range_parts(counts, ["k", "score"]).groupBy("part").count().collect()]
+        assert len(sizes) > 256 and max(sizes) < 8 * sum(sizes) / len(sizes)
+        got = {r["k"]: r for r in SC.auroc(df, "y", "s", ["k"]).collect()}
+        whole = SC.auroc(df, "y", "s").first()
+    by_key = {}
+    for k, y, s in rows:
+        by_key.setdefault(k, []).append((y, s))
+    assert set(got) == set(by_key)
+    for k, part in by_key.items():
+        assert got[k]["auroc"] == exact_auroc(part)
+        assert got[k]["n_pos"] + got[k]["n_neg"] == len(part)
+    assert whole["auroc"] == exact_auroc([(y, s) for _, y, s in rows])
+
+
+def test_ranges_are_in_order_of_their_numbers(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).cast("double").alias("score"), F.lit(1).alias("n"))
+    with settings_of(spark, **{"spark.sql.shuffle.partitions": "40"}):
+        for coalesced in ("true", "false"):
+            with settings_of(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": coalesced}):
+                ends = range_parts(df, ["score"]).groupBy("part").agg(F.min("score"), F.max("score")).orderBy("part").collect()
+            assert all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
+
+
 def test_one_class_raises(spark):
     df = spark.createDataFrame([("a", "none", 0.1, 0.2), ("b", "none", 0.3, 0.1)],
                                "id string, label string, prediction_up double, prediction_down double")
