@@ -248,6 +248,16 @@ def failing_scorer(prompt: str, seed: int) -> str:
     return stub_scorer(prompt, seed)
 
 
+LATE = "\n\n(second delivery)"
+
+
+def stopping_scorer(prompt: str, seed: int) -> str:
+    """A stand-in whose server is gone when the second delivery comes."""
+    if prompt.endswith(LATE):
+        raise StopScoring("the server is gone")
+    return stub_scorer(prompt, seed)
+
+
 def stub_scorer(prompt: str, seed: int) -> str:
     """Deterministic stand-in for a model: a tagged letter from the prompt."""
     letter = "ABC"[(len(prompt) + seed) % 3]

@@ -77,6 +77,15 @@ FROM stored WHERE pert_key % 2 = 1 AND seed = 42""", "stored"))
 def read_response_cache(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-4: cache documents, one a perturbation: even ones with columns per
     seed, odd ones (agentic runs) without."""
+    rows = _cache_rows(spark, sf)
+    path = scratch_path(spark, "caches")
+    docs = rows.groupBy("pert_key").agg(F.map_from_entries(F.collect_list(F.struct("id", "r"))).alias("rows"))
+    docs.select(F.to_json(F.struct("rows")).alias("value")).write.text(path)
+    return RD.read_response_cache(spark, path, lines=True)
+
+
+def _cache_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(pert_key, id, r): cache entries, of even perturbations with columns per seed, of odd ones without."""
     st = QR.stored(spark, sf)
     seeded = F.pmod("pert_key", F.lit(2)) == 0
     fields = {"prediction_up": "prediction_up", "prediction_down": "prediction_down", "reasoning_trace": "text",
@@ -86,10 +95,21 @@ def read_response_cache(spark: SparkSession, sf: str) -> DataFrame:
                                                            F.col("total_tokens").alias("tokens_used")))
     rows = st.groupBy("pert_key", "id").agg(*per_seed, F.max(plain).alias("_p"))
     row = F.struct(*[f"{d}_seed{s}" for s in S.SEEDS for d in fields], "_p.*")
-    path = scratch_path(spark, "caches")
-    docs = rows.select("pert_key", "id", row.alias("r")).groupBy("pert_key").agg(F.map_from_entries(F.collect_list(F.struct("id", "r"))).alias("rows"))
-    docs.select(F.to_json(F.struct("rows")).alias("value")).write.text(path)
-    return RD.read_response_cache(spark, path, lines=True)
+    return rows.select("pert_key", "id", row.alias("r"))
+
+
+@query("read_response_cache_document", ORACLE["read_response_cache"])
+def read_response_cache_document(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-4: the same rows as one large JSON document, after other objects, read in as many tasks
+    as its size asks for."""
+    path = scratch_path(spark, "cache-document")
+    entry = F.concat(F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(": "), F.to_json("r"))
+    numbered = row_numbers(_cache_rows(spark, sf).select("id", entry.alias("entry")), [], ["id", "entry"], "n")
+    lines = numbered.select("n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), F.lit("\n"), F.col("entry")).alias("value"))
+    ends = spark.createDataFrame([(0, '{"config": {"seeds": [42, 43, 44], "rows": {"x": {}}}, "rows": {'), (1 << 62, "\n}}")], "n long, value string")
+    # the stand-in is a single file by intent, so one task writes it
+    ends.unionByName(lines.withColumn("n", F.col("n").cast("long"))).coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", " ").text(path)
+    return RD.read_response_cache(spark, path)
 
 
 @query("write_submission_csv", ORACLE.get("submission_track_a"))

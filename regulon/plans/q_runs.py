@@ -258,14 +258,7 @@ def batch_complete_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 # ── UDF-1 that survives a stop ───────────────────────────────────────────
 
-LATE = "\n\n(second delivery)"
-
-
-def stopping_scorer(prompt: str, seed: int) -> str:
-    """A stand-in whose server is gone when the second delivery comes."""
-    if prompt.endswith(LATE):
-        raise R.StopScoring("the server is gone")
-    return R.stub_scorer(prompt, seed)
+LATE = R.LATE
 
 
 @query("resumable_scoring", S.with_ctes(f"""SELECT id, seed,
@@ -285,12 +278,13 @@ def resumable_scoring(spark: SparkSession, sf: str) -> DataFrame:
     pend = pend.select("id", "seed", F.concat(prompt, F.when(late, LATE).otherwise("")).alias("prompt"))
     options = {"max_retries": 1, "backoff": lambda a: 0.0, "tasks": _tasks(spark)}
     run.deliver(pend.where(~late))
-    run.score(stopping_scorer, **options)
+    run.score(R.stopping_scorer, **options)
     run.deliver(pend.where(late))
     try:
-        run.score(stopping_scorer, **options)
-    except StreamingQueryException:
-        pass  # the stop; any other cause comes again in the next run
+        run.score(R.stopping_scorer, **options)
+    except StreamingQueryException as e:
+        if "StopScoring" not in str(e):
+            raise
     before = run.stored().select("batch", "file").distinct().checkpoint()
     run.score(R.stub_scorer, **options)
     rows = run.stored().join(before.withColumn("kept", F.lit(True)), ["batch", "file"], "left").join(
