@@ -169,24 +169,38 @@ class Grammar:
     def _expansions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The rules that ``symbols`` need, ascending; their expansions one after the other; where each starts."""
         needed = np.zeros(len(self.size), bool)
-        front = symbols
-        while len(front := np.unique(front[front >= self.base]) - self.base):
-            front = front[~needed[front]]
+        while len(symbols):
+            named = np.zeros(len(self.size), bool)
+            named[symbols[symbols >= self.base] - self.base] = True
+            front = np.flatnonzero(named & ~needed)
             needed[front] = True
-            front = np.concatenate((self.left[front], self.right[front])).astype(np.int64)
+            symbols = np.concatenate((self.left[front], self.right[front])).astype(np.int64)
         rules = np.flatnonzero(needed)
         starts = np.concatenate(([0], np.cumsum(self.size[rules], dtype=np.int64)))
-        place = dict(zip((rules + self.base).tolist(), zip(starts.tolist(), starts[1:].tolist())))
         flat = np.empty(starts[-1], np.uint32)
-        for (at, end), a, b in zip(place.values(), self.left[rules].tolist(), self.right[rules].tolist()):
-            if a < self.base:
-                flat[at] = a
-                at += 1
-            else:
-                x, y = place[a]
-                flat[at : at + y - x] = flat[x:y]
-                at += y - x
-            flat[at:end] = b if b < self.base else flat[slice(*place[b])]
+        place = np.zeros(len(self.size), np.int64)
+        place[rules] = starts[:-1]
+        # a rule's height is one more than that of the higher of its two symbols; rules of one height at a time
+        height = np.zeros(len(self.size) + 1, np.int64)
+        sides = [np.where(x[rules] >= self.base, x[rules].astype(np.int64) - self.base, len(self.size)) for x in (self.left, self.right)]
+        while True:
+            higher = 1 + np.maximum(height[sides[0]], height[sides[1]])
+            if (higher == height[rules]).all():
+                break
+            height[rules] = higher
+        sizes = np.concatenate((self.size, [1])).astype(np.int64)
+        for level in range(1, int(height.max(initial=0)) + 1):
+            at = np.flatnonzero(height[rules] == level)
+            to = starts[at]
+            for side, symbol in zip(sides, (self.left, self.right)):
+                child = side[at]
+                ids = child == len(self.size)
+                flat[to[ids]] = symbol[rules[at[ids]]]
+                n = np.where(ids, 0, sizes[child])
+                shift = np.repeat(np.cumsum(n) - n, n)
+                step = np.arange(len(shift)) - shift
+                flat[np.repeat(to, n) + step] = flat[np.repeat(place[np.where(ids, 0, child)], n) + step]
+                to = to + sizes[child]
         return rules, flat, starts
 
     def ids(self, start: int, stop: int) -> np.ndarray:

@@ -36,6 +36,7 @@ from .hashing import Prefix
 PART_BYTES = 1 << 20  # text handled in one step, and where longer texts are cut
 MEMO_PIECES = 1_000_000  # about 40 bytes each
 MEMO_BYTES = 32 << 20  # of the pieces themselves
+TABLE_BITS = 21
 JOINED = 100  # new words in one call of the library
 WORD_BYTES = 64  # pieces are compared by words of 8 bytes as far as this
 MEMO_OTHERS = 100_000
@@ -122,7 +123,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)  # first hash, ascending
+        self.table = np.zeros(1 << TABLE_BITS, np.int32)  # number of a piece by the first bits of its hash
+        self.keys = np.empty(0, np.uint64)  # hash, ascending
         self.slots = np.empty(0, np.int64)  # number of the piece by key
         self.raw = np.zeros(8, np.uint8)  # the pieces' bytes one after the other, 8 zeros last
         self.cuts = np.zeros(1, np.int64)  # end of its bytes by number + 1
@@ -163,13 +165,26 @@ class Encoder:
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of each piece, whether its bytes are those of that number); new ones are encoded first."""
+        size = end - start
         hashes = Prefix(data).of(start, end)
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > MEMO_PIECES or len(self.raw) > MEMO_BYTES:
+        if len(self.keys) > MEMO_PIECES or len(self.raw) > MEMO_BYTES:
             self.forget()
-        place = np.searchsorted(self.keys, keys)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == keys[known]
+        place = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slot = self.table[place].astype(np.int64)  # the piece last met with these first bits
+        known = self.same(data, start, size, slot)
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            slot[rest] = self.looked_up(data, start[rest], end[rest], hashes[rest])
+            self.table[place[rest]] = slot[rest]
+            known[rest] = self.same(data, start[rest], size[rest], slot[rest])
+        return slot, known
+
+    def looked_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number under each piece's hash; pieces with a hash of their own are encoded first."""
+        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.keys, keys)
+        known = where < len(self.keys)
+        known[known] = self.keys[where[known]] == keys[known]
         new = np.flatnonzero(~known)
         if len(new):
             a, b, raw = start[at[new]], end[at[new]], data.tobytes()
@@ -183,13 +198,14 @@ class Encoder:
             self.cuts = np.concatenate((self.cuts, self.cuts[-1] + np.cumsum((b - a)[order])))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, flat))
-            self.keys = np.insert(self.keys, place[new], keys[new])
-            self.slots = np.insert(self.slots, place[new], number)
-        slot = self.slots[np.searchsorted(self.keys, keys)][inverse]
-        return slot, self.same(data, start, end - start, slot)
+            self.keys = np.insert(self.keys, where[new], keys[new])
+            self.slots = np.insert(self.slots, where[new], number)
+        return self.slots[np.searchsorted(self.keys, keys)][inverse]
 
     def same(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Whether each piece's bytes equal the kept bytes of its number."""
+        if not len(self.keys):
+            return np.zeros(len(slot), bool)
         first = self.cuts[slot]
         out = size == self.cuts[slot + 1] - first
         mine, kept = words8(np.concatenate((data, np.zeros(8, np.uint8)))), words8(self.raw)
