@@ -3,11 +3,12 @@
 A document is normalised to plain words joined by single spaces (see ``common``)
 and scanned by several hundred regular expressions. The families below are
 written by hand; each gives a rule for every way of naming it that is listed
-(an SPDX tag, a grant notice, a title, a metadata field, its own phrases).
+(an SPDX tag, a grant notice, a title, a metadata field, "X licensed", its own phrases),
+and identifiers with a number and names that mean nothing else stand for themselves.
 
 1. Gate: a rule runs only on a text that holds the words every match of it must
-   hold, which plain substring searches find out. They are read off the rule's own
-   pattern, so a gate hides no match. Most texts run no rule at all.
+   hold, which one Aho-Corasick pass over the text finds out. They are read off the
+   rule's own pattern, so a gate hides no match. Most texts run no rule at all.
 2. Order: detections rank by priority, then length, then place in the list.
 3. Suppression: a detection whose interval lies inside that of a better one goes.
    So "licensed under the apache license version 2 0" is one detection and the
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from re import _parser
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,23 +55,26 @@ x11 | x11 | x11 | x consortium
 apache-1.0 | apache 1 0 | apache(?: software)?(?: L)?(?: version| v)? ?1 0 | apache org licenses license 1 0
 apache-1.1 | apache 1 1 | apache(?: software)?(?: L)?(?: version| v)? ?1 1 | apache org licenses license 1 1
 apache-2.0 | apache 2 0 | (?:apache|asl)(?: software)?(?: L)?(?: version| v)? ?2(?: 0)? | apache org licenses license 2 0; opensource org licenses apache 2 0
-gpl-1.0 | gpl 1 0(?: only| or later)? | (?:gnu )?gpl ?v?1(?: 0)? | gnu org licenses(?: old licenses)? gpl 1 0
-gpl-2.0 | gpl 2 0(?: only| or later)? | (?:gnu )?gpl ?v?2(?: 0)? | gnu org licenses(?: old licenses)? gpl 2 0
-gpl-3.0 | gpl 3 0(?: only| or later)? | (?:gnu )?gpl ?v?3(?: 0)? | gnu org licenses gpl(?: 3 0)?(?: html)?
+gpl-1.0 | gpl 1 0(?: only| or later)? | (?:gnu )?gpl(?: version| v)? ?v?1(?: 0)? | gnu org licenses(?: old licenses)? gpl 1 0
+gpl-2.0 | gpl 2 0(?: only| or later)? | (?:gnu )?gpl(?: version| v)? ?v?2(?: 0)? | gnu org licenses(?: old licenses)? gpl 2 0
+gpl-3.0 | gpl 3 0(?: only| or later)? | (?:gnu )?gpl(?: version| v)? ?v?3(?: 0)? | gnu org licenses gpl(?: 3 0)?(?: html)?
 gpl-1.0 | gpl 1 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?1(?: 0)? | -
 gpl-2.0 | gpl 2 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?2(?: 0)? | -
 gpl-3.0 | gpl 3 | (?:gnu )?general public L(?: gpl)?(?: as published by the free software foundation(?: either)?)?(?: version| v) ?3(?: 0)? | -
-gpl | gpl | gnu(?: gpl| general public(?: L)?) | this program is free software you can redistribute it and or modify it under the terms of the gnu general public L
-lgpl-2.0 | lgpl 2 0(?: only| or later)? | (?:gnu )?lgpl ?v?2(?: 0)? | gnu org licenses(?: old licenses)? lgpl 2 0
-lgpl-2.1 | lgpl 2 1(?: only| or later)? | (?:gnu )?lgpl ?v?2 1 | gnu org licenses(?: old licenses)? lgpl 2 1
-lgpl-3.0 | lgpl 3 0(?: only| or later)? | (?:gnu )?lgpl ?v?3(?: 0)? | gnu org licenses lgpl(?: 3 0)?
+gpl | - | (?:gnu )?gpl | -
+gpl | gpl | gnu general public(?: L)? | this program is free software you can redistribute it and or modify it under the terms of the gnu general public L
+lgpl-2.0 | lgpl 2 0(?: only| or later)? | (?:gnu )?lgpl(?: version| v)? ?v?2(?: 0)? | gnu org licenses(?: old licenses)? lgpl 2 0
+lgpl-2.1 | lgpl 2 1(?: only| or later)? | (?:gnu )?lgpl(?: version| v)? ?v?2 1 | gnu org licenses(?: old licenses)? lgpl 2 1
+lgpl-3.0 | lgpl 3 0(?: only| or later)? | (?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)? | gnu org licenses lgpl(?: 3 0)?
 lgpl-2.0 | lgpl 2 | (?:gnu )?library general public L(?: version| v) ?2(?: 0)? | -
 lgpl-2.1 | lgpl 21 | (?:gnu )?lesser general public L(?: version| v) ?2 1 | -
 lgpl-3.0 | lgpl 3 | (?:gnu )?lesser general public L(?: version| v) ?3(?: 0)? | -
+lgpl | - | (?:gnu )?lgpl | -
 lgpl | lgpl | (?:gnu )?(?:lesser|library) general public(?: L)? | -
 agpl-1.0 | agpl 1 0(?: only| or later)? | affero general public L(?: version| v) ?1(?: 0)? | affero org oagpl
 agpl-3.0 | agpl 3 0(?: only| or later)? | (?:gnu )?affero general public L(?: version| v) ?3(?: 0)? | gnu org licenses agpl 3 0
-agpl-3.0 | agpl 3 | (?:gnu )?agpl ?v?3(?: 0)? | gnu org licenses agpl(?: 3 0)?
+agpl-3.0 | agpl 3 | (?:gnu )?(?:agpl|affero gpl)(?: version| v)? ?v?3(?: 0)? | gnu org licenses agpl(?: 3 0)?
+agpl | - | (?:gnu )?(?:agpl|affero gpl) | -
 agpl | agpl | (?:gnu )?affero general public(?: L)? | -
 gfdl | gfdl 1 [123](?: only| or later)? | (?:gnu )?free documentation(?: L)?(?: version 1 [123])? | gnu org (?:copyleft|licenses) fdl
 bsd-1-clause | bsd 1 clause | (?:bsd 1 clause|1 clause bsd|one clause bsd) | opensource org licenses bsd 1 clause
@@ -83,6 +88,17 @@ mpl-1.0 | mpl 1 0 | mozilla public L(?: version| v)? ?1 0 | mozilla org mpl 1 0
 mpl-1.1 | mpl 1 1 | mozilla public L(?: version| v)? ?1 1 | mozilla org mpl 1 1
 mpl-2.0 | mpl 2 0 | mozilla public L(?: version| v)? ?2(?: 0)? | mozilla org mpl 2 0
 mpl | mpl | mpl(?: v?[12](?: [01])?)? | mozilla org mpl
+mpl | - | mozilla public L | -
+epl | epl | epl(?: v?[12](?: 0)?)? | -
+epl | - | eclipse public L | -
+cddl | cddl | cddl(?: v?1(?: [01])?)? | -
+cddl | - | common development and distribution L | -
+cpl | - | common public L | -
+eupl | eupl | eupl(?: v?1 [12])? | -
+eupl | - | european union public L | -
+bsl-1.0 | - | boost software L | -
+busl-1.1 | - | business source L | -
+apache | - | apache(?: software)? L | -
 epl-1.0 | epl 1 0 | eclipse public L(?: version| v)? ?1(?: 0)? | eclipse org legal epl v10
 epl-2.0 | epl 2 0 | eclipse public L(?: version| v)? ?2(?: 0)? | eclipse org legal epl 2 0
 edl-1.0 | edl 1 0 | eclipse distribution L(?: version| v)? ?1(?: 0)? | eclipse org org documents edl v10
@@ -129,6 +145,51 @@ proprietary | - | end user L agreement eula | -
 public-domain | - | - | (?:dedicated to|released (?:in)?to|placed in|is in|in) the public domain
 """
 
+# Names that stand for a licence by themselves, without a word of grant or licence: identifiers
+# with a number, and names that mean nothing else.
+ALONE = r"""
+gpl-1.0 | (?:gnu )?gpl(?: version| v)? ?v?1(?: 0)?(?: only| or later| or any later version| or newer)?
+gpl-2.0 | (?:gnu )?gpl(?: version| v)? ?v?2(?: 0)?(?: only| or later| or any later version| or newer)?
+gpl-3.0 | (?:gnu )?gpl(?: version| v)? ?v?3(?: 0)?(?: only| or later| or any later version| or newer)?
+lgpl-2.0 | (?:gnu )?lgpl(?: version| v)? ?v?2(?: 0)?(?: only| or later| or any later version| or newer)?
+lgpl-2.1 | (?:gnu )?lgpl(?: version| v)? ?v?2 1(?: only| or later| or any later version| or newer)?
+lgpl-3.0 | (?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)?(?: only| or later| or any later version| or newer)?
+agpl-3.0 | (?:gnu )?(?:agpl|affero gpl)(?: version| v)? ?v?3(?: 0)?(?: only| or later| or any later version| or newer)?
+apache-1.1 | apache 1 1
+apache-2.0 | (?:apache 2 0|asl 2 0)
+bsd-1-clause | bsd 1 clause
+bsd-2-clause | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)
+bsd-3-clause | (?:bsd 3 clause|3 clause bsd|three clause bsd|modified bsd|revised bsd)
+bsd-4-clause | (?:bsd 4 clause|4 clause bsd|four clause bsd)
+0bsd | (?:0bsd|zero clause bsd)
+mit-0 | mit 0
+mpl-1.0 | mpl(?: version| v)? ?1 0
+mpl-1.1 | mpl(?: version| v)? ?1 1
+mpl-2.0 | mpl(?: version| v)? ?2 0
+epl-1.0 | epl(?: version| v)? ?1 0
+epl-2.0 | epl(?: version| v)? ?2 0
+edl-1.0 | edl(?: version| v)? ?1 0
+cddl-1.0 | cddl(?: version| v)? ?1 0
+cddl-1.1 | cddl(?: version| v)? ?1 1
+cpl-1.0 | cpl(?: version| v)? ?1 0
+eupl-1.1 | eupl(?: version| v)? ?1 1
+eupl-1.2 | eupl(?: version| v)? ?1 2
+artistic-1.0 | artistic 1 0
+artistic-2.0 | artistic 2 0
+bsl-1.0 | bsl 1 0
+busl-1.1 | busl 1 1
+sspl-1.0 | sspl(?: v)? ?1(?: 0)?
+ofl-1.1 | (?:sil )?ofl(?: v)? ?1 1
+upl-1.0 | upl 1 0
+odbl-1.0 | odbl(?: v)? ?1 0
+pddl-1.0 | pddl(?: v)? ?1 0
+cc0-1.0 | (?:cc0(?: 1 0)?|cc zero)
+wtfpl | wtfpl
+unlicense | the unlicense
+mulan-psl-2.0 | mulanpsl 2 0
+openrail | openrail(?: m)?
+"""
+
 # Creative Commons: attribution terms x versions, written in short and in full.
 CC_TERMS = {
     "by": "attribution",
@@ -176,8 +237,12 @@ def families() -> Iterator[tuple[str, str, str, list[str]]]:
             yield f"cc-{terms}-{version}", short, short, []
             place = f"creativecommons org licenses {terms.replace('-', ' ')} {number}"
             yield f"cc-{terms}-{version}", "-", "-", [place]
-            long = f"creative commons {full}(?: {number}| version {number}| v {number})(?: international| unported| generic)?"
-            yield f"cc-{terms}-{version}", "-", long, []
+            kind = "(?: international| unported| generic)?"
+            long = f"creative commons {full}(?: L)?(?: {number}| version {number}| v ?{number}){kind}"
+            after = f"creative commons {full} {number}{kind}"
+            yield f"cc-{terms}-{version}", "-", long, [after]
+        yield f"cc-{terms}", f"cc {terms.replace('-', ' ')}", f"creative commons {full}", []
+        yield f"cc-{terms}", "-", f"cc {terms.replace('-', ' ')}", []
 
 
 def _rest(line: str) -> list[str]:
@@ -256,6 +321,16 @@ def rules() -> dict[Gate, list[tuple[int, Rule]]]:
             title = names if re.search(r"\bL\b", names) else f"(?:{names}) L"  # some names hold the word
             add(label, 65, (title, "L") if label in ORDINARY else (title,), f"(?:the )?(?:{title})")
             add(label, 60, (FIELD, names), f"{FIELD}(?:{names})")
+    for label, spdx, names, _ in families():
+        if names != "-":
+            add(label, 62, (names, "licen[sc]ed"), f"(?:{names}) licen[sc]ed")
+    for line in ALONE.strip().splitlines():
+        label, pattern = (x.strip() for x in line.split("|", 1))
+        add(label, 55, (pattern,), pattern)
+    for terms in CC_TERMS:
+        for version in CC_VERSIONS:
+            short = f"cc {terms.replace('-', ' ')} {version.replace('.', ' ')}"
+            add(f"cc-{terms}-{version}", 55, (short,), short)
     add("unknown", 20, ("L",), f"{GRANT}(?:following )?L")
     add("unknown", 15, ("(?:L|copying)",), "(?:see|read) (?:the )?(?:L|copying)(?: file| txt| md)?(?: for (?:more )?(?:details|information|terms))")
     add("unknown", 15, ("L",), "(?:this|the) (?:work|software|file|code|document|text|book|image|program) is (?:free )?licen[sc]ed")
@@ -263,6 +338,28 @@ def rules() -> dict[Gate, list[tuple[int, Rule]]]:
     return found
 
 
+@lru_cache(maxsize=1)
+def gate_words() -> tuple[ahocorasick.Automaton, dict[bytes, list[Gate]]]:
+    """(one automaton over all words of gates, the gates that each word may open: by their best group)."""
+    words = ahocorasick.Automaton()
+    opens: dict[bytes, list[Gate]] = {}
+    for gate in rules():
+        for word in best([set(group) for group in gate]):
+            opens.setdefault(word, []).append(gate)
+        for word in {w for group in gate for w in group}:
+            words.add_word(word.decode("latin-1"), word)
+    words.make_automaton()
+    return words, opens
+
+
+def open_gates(norm: bytes) -> list[Gate]:
+    """The gates that the text opens. One pass over it finds every gate word that it holds."""
+    words, opens = gate_words()
+    present = {word for _, word in words.iter(norm.decode("latin-1"))}
+    gates = {gate for word in present for gate in opens.get(word, ())}
+    return [gate for gate in gates if all(any(w in present for w in group) for group in gate)]
+
+
 def detections(norm: bytes) -> list[tuple[int, int, Rule]]:
     """Kept (start, end, rule) of a normalised text, by start.
 
@@ -271,18 +368,10 @@ def detections(norm: bytes) -> list[tuple[int, int, Rule]]:
     a better one does. Being inside one that went is being inside what that one
     is inside of.
     """
-    present: dict[bytes, bool] = {}
-
-    def holds(keyword: bytes) -> bool:
-        if keyword not in present:
-            present[keyword] = keyword in norm
-        return present[keyword]
-
     found = [
         (m.start(), -m.end(), -rule.priority, k, rule)
-        for gate, group in rules().items()
-        if all(any(map(holds, group)) for group in gate)
-        for k, rule in group
+        for gate in open_gates(norm)
+        for k, rule in rules()[gate]
         for m in rule.pattern.finditer(norm)
     ]
     found.sort(key=lambda d: d[:4])

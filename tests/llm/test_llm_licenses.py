@@ -1,6 +1,7 @@
 import random
 import re
 
+import license_notices
 import pytest
 from llm_cases import docs, edge, empty
 
@@ -34,7 +35,7 @@ def test_rules_are_many_and_gated():
 NAMED = {
     "Released under the GNU GPL": "gpl",
     "released under the GNU GPL v2": "gpl-2.0",
-    "Distributed under the GNU LGPL 2.1, or the GNU AGPLv3": "lgpl-2.1",
+    "Distributed under the GNU LGPL 2.1, or the GNU AGPLv3": "agpl-3.0,lgpl-2.1",  # an identifier with a number needs no grant
     "License: GNU AGPLv3": "agpl-3.0",
     "The Expat License": "mit",
     "Licensed under MIT-0.": "mit-0",
@@ -54,6 +55,28 @@ def test_names_are_found_without_other_words(text):
     assert licenses.scan(text)[5] == NAMED[text]
 
 
+def test_notices_get_their_labels():
+    notices = license_notices.notices()
+    assert len(notices) >= 200
+    wrong = [(text, licenses.scan(text)[5], label) for text, label in notices if licenses.scan(text)[5] != label]
+    assert not wrong
+
+
+def test_ordinary_texts_get_none():
+    texts = license_notices.ordinary()
+    assert len(texts) >= 50
+    assert [(t, licenses.scan(t)[5]) for t in texts if licenses.scan(t)[5]] == []
+
+
+def test_one_pass_opens_the_gates_that_searches_open():
+    rng = random.Random(2)
+    words = [w for gate in licenses.rules() for group in gate for w in group]
+    for text in [*(t for t, _ in license_notices.notices()), *(b" ".join(rng.choices(words, k=8)).decode() for _ in range(300))]:
+        norm = licenses.decontam.normalise(text)
+        want = {gate for gate in licenses.rules() if all(any(w in norm for w in group) for group in gate)}
+        assert set(licenses.open_gates(norm)) == want
+
+
 def sample(parsed, rng):
     """A text that the parsed pattern matches."""
     out = ""
