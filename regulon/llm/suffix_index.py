@@ -172,6 +172,12 @@ def dealt(rows: np.ndarray, buckets: int) -> np.ndarray:
     return (rows["h"] % np.uint64(buckets)).astype(np.int64)
 
 
+def claim_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by a hash of the document: ids may share a factor with the number of buckets, or be null."""
+    key = mixed(mixed(rows["d"].astype(np.uint64)) ^ rows["sub"].astype(np.uint64))
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def extract(batches: Iterator[pa.RecordBatch], window: int, anchor: int, buckets: int, contexts: int) -> Iterator[pa.RecordBatch]:
     """Documents (d, sub, text) -> rows for the buckets."""
     held: list[np.ndarray] = []
@@ -196,7 +202,7 @@ def extract(batches: Iterator[pa.RecordBatch], window: int, anchor: int, buckets
         kept, removed, hot = combined(np.concatenate(held), contexts)
         out = [*sent(kept, dealt(kept, buckets), ENTRY)]
         for rows, kind in ((removed, CLAIM), (hot, HOT)):
-            out += sent(rows, rows["d"] % buckets, kind)
+            out += sent(rows, claim_bucket(rows, buckets), kind)
         keys = np.unique(hot["h"])
         out += [(int(k % np.uint64(buckets)), KEYS, k.tobytes()) for k in keys]
         return common.batch_of(SENT_SCHEMA, [list(c) for c in zip(*out)] or [[]] * 3)
@@ -385,7 +391,7 @@ def extract_doubts(batches: Iterator[pa.RecordBatch], window: int, anchor: int,
             rows, new = firsts(np.concatenate(windows))
             out += sent(rows[new], dealt(rows[new], buckets), ENTRY)
             rest = rows[~new]
-            out += sent(rest, rest["d"] % buckets, CLAIM)
+            out += sent(rest, claim_bucket(rest, buckets), CLAIM)
         return common.batch_of(SENT_SCHEMA, [list(c) for c in zip(*out)] or [[]] * 3)
 
     for batch in common.slices(batches):
