@@ -32,14 +32,13 @@ gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import common, tokens
@@ -77,13 +76,21 @@ def frequent_pairs(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndar
         slot = ((code * MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
         often = np.flatnonzero((np.bincount(slot, minlength=1 << HASH_BITS) >= least)[slot])
         at, code = at[often], code[often]
-    codes, pair, counts = np.unique(code, return_inverse=True, return_counts=True)
-    frequent = counts >= least
-    codes, counts = codes[frequent], counts[frequent]
+    codes, counts = np.unique(code, return_counts=True)
+    codes, counts = codes[counts >= least], counts[counts >= least]
     rank = np.empty(len(codes), np.int64)
     rank[np.lexsort((codes * MIX, counts))] = np.arange(len(codes))
-    hit = frequent[pair]
-    return codes, rank, at[hit], (np.cumsum(frequent) - 1)[pair[hit]]
+    if not len(codes):
+        return codes, rank, at[:0], at[:0]
+    # a pair's number by the hash of its code; those that share a slot with another are searched for
+    table = np.zeros(1 << HASH_BITS, np.int32)
+    table[((codes * MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int64)] = np.arange(len(codes))
+    pair = table[((code * MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int64)].astype(np.int64)
+    other = np.flatnonzero(codes[pair] != code)
+    pair[other] = np.minimum(np.searchsorted(codes, code[other]), len(codes) - 1)
+    hit = np.ones(len(code), bool)
+    hit[other] = codes[pair[other]] == code[other]
+    return codes, rank, at[hit], pair[hit]
 
 
 def pair_codes(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -260,22 +267,30 @@ def write_ids(docs: DataFrame, path: str, **options) -> None:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files; ``start`` counts all ids before."""
+    return _read(spark, path, "ids", pa.binary(), bytes)
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32): as ``read_ids``, with the crc32 of the ids that were read in their place."""
+    return _read(spark, path, "ids_crc32", pa.int64(), zlib.crc32)
+
+
+def _read(spark: SparkSession, path: str, name: str, kind: pa.DataType, value: Callable[[bytes], object]) -> DataFrame:
     files = spark.read.schema(BLOCK_DDL).parquet(path)
     placed = common.with_offsets(files, "shard", "n_ids", "start")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, names, sizes, data in common.rows_of(batch, "start", "doc_ids", "sizes", "grammar"):
                 grammar, at = Grammar(data), list(accumulate(sizes, initial=0))
-                ids = grammar.ids(0, len(grammar)).astype("<u4").tobytes()  # all documents of the block are asked for
+                ids = memoryview(grammar.ids(0, len(grammar)).astype("<u4").tobytes())  # all documents of the block are asked for
                 for a in range(0, len(names), 1000):
                     cut = at[a : a + 1001]
-                    yield common.batch_of(
-                        schema, [names[a : a + 1000], [first + x for x in cut[:-1]], sizes[a : a + 1000], [ids[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]]
-                    )
+                    values = [value(ids[4 * x : 4 * y]) for x, y in zip(cut, cut[1:])]
+                    yield common.batch_of(schema, [names[a : a + 1000], [first + x for x in cut[:-1]], sizes[a : a + 1000], values])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if kind == pa.int64() else 'binary'}")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:
@@ -283,4 +298,4 @@ def token_files(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "token-ids")
     write_ids(docs, path, **options)
-    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_checksums(spark, path)
