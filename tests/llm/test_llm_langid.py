@@ -66,3 +66,59 @@ def test_edges(spark):
     assert len(got) == 47 and [by[i]["lang_pred"] for i in (100, 101, 102, 104)] == ["und"] * 3 + ["fr"]
     assert by[None]["lang_pred"] == "fr" and by[None]["held_out"] is False
     assert langid.language_id(empty(spark)).count() == 0 and set(DOCS.names) >= {"doc_id", "text", "lang"}
+
+
+def plainly(rows, n_max=4, smoothing=0.5, evidence=20):
+    """Fit and predict with dictionaries of single numbers. ``rows``: (doc_id, text, lang)."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    learned = [(t, x) for i, t, x in rows if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and x is not None]
+    langs = sorted({x for _, x in learned})
+    count = Counter()
+    for text, lang in learned:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            count[lang, 0, word] += 1
+            for n in range(1, n_max + 1):
+                for k in range(len(word) + 3 - n):
+                    count[lang, n, ("<" + word + ">")[k : k + n]] += 1
+    items = {(n, x) for _, n, x in count}
+    total = {(lang, n): sum(c for (a, b, _), c in count.items() if (a, b) == (lang, n)) for lang in langs for n in range(n_max + 1)}
+    kinds = Counter(n for n, _ in items)
+
+    def log(lang, n, x):
+        return math.log((count[lang, n, x] + smoothing) / (total[lang, n] + smoothing * kinds[n]))
+
+    def word_score(lang, word):
+        if (0, word) in items:
+            return log(lang, 0, word)
+        for n in range(n_max, 0, -1):
+            known = [g for k in range(len(word) + 3 - n) if (n, g := ("<" + word + ">")[k : k + n]) in items]
+            if known:
+                return sum(log(lang, n, g) for g in known) / len(known)
+        return 0.0
+
+    out = []
+    for i, text, _ in rows:
+        words = re.findall(r"[^\\W\\d_]+".replace("\\\\", "\\"), (text or "").lower())
+        if not words or not langs:
+            out.append((i, "und", 0.0))
+            continue
+        scores = [sum(word_score(lang, w) for w in words) * min(1.0, evidence / len(words)) for lang in langs]
+        best = max(range(len(langs)), key=lambda k: (scores[k], -k))
+        out.append((i, langs[best], 1 / sum(math.exp(s - scores[best]) for s in scores)))
+    return out
+
+
+def test_every_prediction_equals_a_plain_version(spark):
+    table = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").limit(60)
+    rows = [tuple(r) for r in table.collect()]
+    rows = [(i, t[:600] if t else t, x) for i, t, x in rows] + [(-1, None, "en"), (-2, "12 !", None), (-3, "zzqj häuser", None), (None, "la casa", "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language_id(df).collect()}
+    want = plainly(rows)
+    assert len(got) == len(rows)
+    for i, lang, score in want:
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, i
