@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import largest_match, left_over
 from .ranking import row_numbers
 from .topk import top_k, top_k_by_column
 
@@ -174,6 +175,41 @@ def negative_pairs(pairs: DataFrame) -> DataFrame:
     return pass1.withColumn("pass", F.lit(1)).unionByName(pass2.withColumn("pass", F.lit(2))).drop("_h")
 
 
+def matched_negative_pairs(pairs: DataFrame) -> DataFrame:
+    """DSC-5 as a degree-constrained match: negatives that keep the per-gene match while topping up.
+
+    Candidates are those of :func:`negative_pairs`. First as many perturbations' needs
+    as can be are met from genes within their quotas (``pass`` 1, a largest match: a
+    perturbation needs as many negatives as it has positives, a gene may give as many as
+    it has). Then genes still below their quota take more candidates (2), and only what
+    perturbations still lack is taken beyond quotas (3): by no more pairs than any
+    choice must. ``shortfall`` is what a perturbation lacks for want of candidates;
+    one without any negative has a row with a null gene.
+    """
+    is_cand = (F.col("label") == "none") & (F.abs(F.col("lfc")) < NEG_ABS_LFC_MAX)
+    kept = eligible_pairs(pairs).where(is_deg(F.col("label")) | is_cand).checkpoint(eager=True)
+    positives = top_degs_per_pert(kept).select("pert", "gene").checkpoint(eager=True)
+    edges = kept.where(is_cand).select(F.col("pert").alias("left"), F.col("gene").alias("right"), F.md5("id").alias("h"), "split")
+    need, room = (positives.groupBy(F.col(c).alias(side)).agg(F.count(F.lit(1)).alias("k")) for c, side in (("pert", "left"), ("gene", "right")))
+    rows = _match_in_passes(edges, need, room)
+    got = rows.groupBy("left").agg(F.count(F.lit(1)).alias("got"))
+    lack = need.join(got, "left", "left").select("left", F.greatest(F.col("k") - F.coalesce("got", F.lit(0)), F.lit(0)).alias("shortfall"))
+    out = lack.join(rows, "left", "full").join(edges.select("left", "right", "split"), ["left", "right"], "left")
+    return out.select(F.col("left").alias("pert"), F.col("right").alias("gene"), "split", "pass", F.coalesce("shortfall", F.lit(0)).alias("shortfall"))
+
+
+def _match_in_passes(edges: DataFrame, need: DataFrame, room: DataFrame) -> DataFrame:
+    """(left, right, pass): a largest match, then what fills ``room``, then what fills ``need``."""
+    order = [F.col("h"), F.col("left"), F.col("right")]
+    edges = edges.select("left", "right", "h")
+    rows = largest_match(edges, need, room).withColumn("pass", F.lit(1))
+    for number, side, limits in ((2, "right", room), (3, "left", need)):
+        free = edges.join(rows, ["left", "right"], "left_anti")
+        more = top_k_by_column(free, left_over(limits, side, rows), [side], order, "k").select("left", "right", "h")
+        rows = rows.unionByName(more.withColumn("pass", F.lit(number))).checkpoint(eager=True)
+    return rows.drop("h")
+
+
 def split_leakage(assigned: DataFrame) -> DataFrame:
     """DSC-6 / SET-3: perturbations or genes present in more than one split."""
     def one(kind: str, col: str) -> DataFrame:

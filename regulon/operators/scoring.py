@@ -204,8 +204,9 @@ def check_submission(
     NaN/inf. Tracks a/b/c: required columns before the join, then the track's
     per-row caps (a: prompt tokens; b: tool calls, prompt tokens, distinct
     tools), then presence and nulls per column, then NaN/inf per column.
-    One action for the caps and one for the counts; class checks happen
-    lazily in :func:`de_dir_score`.
+    The merged table is stored once (reliable checkpoint), so that the caps, the
+    counts and the score that follows read it instead of joining again; class checks
+    happen lazily in :func:`de_dir_score`.
     """
     req = list(required) if required is not None else TRACK_REQUIRED[track]
     miss = missing_columns(submission, req)
@@ -214,7 +215,7 @@ def check_submission(
             f"Submission is missing required column(s): {', '.join(miss)}. "
             "See the sample submission file for the expected format."
         )
-    merged = score_join(solution, submission, on)
+    merged = score_join(solution, submission, on).checkpoint(eager=True)
     if track in ("a", "b"):
         row = check_limits(merged, on=on, track=track).first()
         if row["error"]:
