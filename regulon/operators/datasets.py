@@ -198,6 +198,18 @@ def matched_negative_pairs(pairs: DataFrame) -> DataFrame:
     return out.select(F.col("left").alias("pert"), F.col("right").alias("gene"), "split", "pass", F.coalesce("shortfall", F.lit(0)).alias("shortfall"))
 
 
+def match_balance(negatives: DataFrame, positives: DataFrame) -> DataFrame:
+    """(kind, key, wanted, shortfall) of every perturbation and gene with positives: as many
+    negatives are wanted, and ``shortfall`` is how many are not there."""
+    def axis(kind: str) -> DataFrame:
+        wanted = positives.groupBy(F.col(kind).alias("key")).agg(F.count(F.lit(1)).alias("wanted"))
+        got = negatives.where(F.col("gene").isNotNull()).groupBy(F.col(kind).alias("key")).agg(F.count(F.lit(1)).alias("got"))
+        lack = F.greatest(F.col("wanted") - F.coalesce("got", F.lit(0)), F.lit(0))
+        return wanted.join(got, "key", "left").select(F.lit(kind).alias("kind"), "key", "wanted", lack.alias("shortfall"))
+
+    return axis("pert").unionByName(axis("gene"))
+
+
 def _match_in_passes(edges: DataFrame, need: DataFrame, room: DataFrame) -> DataFrame:
     """(left, right, pass): a largest match, then what fills ``room``, then what fills ``need``."""
     order = [F.col("h"), F.col("left"), F.col("right")]

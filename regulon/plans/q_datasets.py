@@ -82,11 +82,15 @@ def negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return D.negative_pairs(_pairs(spark, sf)).select("pert", "gene", "split", "pass")
 
 
-@query("matched_negative_pairs")
-def matched_negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """DSC-5: negatives by a largest match within the genes' quotas, then topped up; SQL
-    cannot express the match (tests hold it against augmenting paths)."""
-    return D.matched_negative_pairs(_pairs(spark, sf))
+@query("negative_match_balance", S.with_ctes("\nUNION ALL ".join(f"""SELECT '{k}' AS kind, w.{k} AS key, w.n AS wanted, greatest(w.n - coalesce(c.n, 0), 0) AS shortfall
+FROM (SELECT {k}, count(*) AS n FROM positives GROUP BY {k}) w LEFT JOIN (SELECT {k}, count(*) AS n FROM neg_cand GROUP BY {k}) c USING ({k})"""
+    for k in ("pert", "gene")), "positives", "neg_cand"))
+def negative_match_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-5: negatives by a largest match within the genes' quotas, then topped up. What each
+    perturbation and gene lacks in the result is what it lacks in candidates, which SQL
+    can tell; that no more pairs than must be go beyond quotas is held in the tests
+    against augmenting paths."""
+    return D.match_balance(D.matched_negative_pairs(_pairs(spark, sf)), D.positive_pairs(_pairs(spark, sf)))
 
 
 def _leak_sql(src: str) -> str:

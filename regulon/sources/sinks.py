@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_submission(sub: DataFrame, path: str, order: list[str] | None = None) -> None:
+def write_submission(sub: DataFrame, path: str, single_file: bool = False, order: list[str] | None = None) -> None:
     """SNK-1: submission table to CSV with a header (quotes doubled).
 
     One DataFrame, so column lengths cannot differ. Without ``order`` every part file
-    has the header. With it the columns ``order`` (such as the ``position`` of
+    has the header, and ``single_file`` funnels the rows through one task; use that only
+    for small, final files. With it the columns ``order`` (such as the ``position`` of
     ``read_pairs``) are left out and give the order of the rows: each part file holds a
     range of them, and the part files one after the other, by name, are one CSV file
     with one header.
     """
     if order is None:
-        sub.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        out = sub.coalesce(1) if single_file else sub
+        out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
         return
     names = [c for c in sub.columns if c not in order]
     rows = sub.select(F.lit(1).alias("_row"), *order, *[F.col(c).cast("string").alias(c) for c in names])
