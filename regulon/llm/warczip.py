@@ -14,10 +14,19 @@ gives the members, a member's local header its first byte. The index member is
 read, and each record by the range the index names. Everything goes through
 ``read(offset, size)``, so a package may as well lie in an object store.
 
+``read_archives`` reads ZIP files that lie at paths, whoever wrote them: the files are
+listed by Spark, a task reads a file's directory and its indexes (``indexes/*``: CDXJ
+lines, or the own form) by seeking in it, and gives out the ranges of the records of
+all ``archive/*`` members; the ranges are dealt out over all tasks, each of which seeks
+and reads its records. So one large archive is read by many tasks, and neither it nor
+a member is held whole. Members without an index are walked record by record; records
+of ``.gz`` members are unpacked on their own.
+
 Defined cases: null html is an empty payload, a null url has no target header;
 of rows with the same smallest id and payload each is a response; a null
-``page_id`` counts as the largest and has no page header; an empty table gives no
-rows and no package.
+``page_id`` counts as the largest and its record is named by its payload's digest; an
+empty table gives no rows and no package. Pages have no time of their own, so all
+records of a package carry the date that the writer is given (``date``).
 """
 
 from __future__ import annotations
@@ -40,6 +49,7 @@ PACKAGE_BYTES = 8 << 20
 DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
+DATE = "1970-01-01T00:00:00Z"
 
 Read = Callable[[int, int], bytes]
 
@@ -47,12 +57,13 @@ Read = Callable[[int, int], bytes]
 # ── WARC records ──────────────────────────────────────────────────────────
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One record; a revisit holds the headers alone."""
     revisit = refers_to is not None
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": None if page_id is None else f"<{URN}{page_id}>",
+        "WARC-Record-ID": f"<urn:sha256:{digest}>" if page_id is None else f"<{URN}{page_id}>",
+        "WARC-Date": date,
         "WARC-Target-URI": None if url is None else "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "WARC-Payload-Length": len(payload),
@@ -71,8 +82,8 @@ class Record:
     payload: bytes
 
     def page(self, name: str) -> int | None:
-        value = self.headers.get(name)
-        return int(value[len(URN) + 1 : -1]) if value else None
+        value = self.headers.get(name, "")
+        return int(value[len(URN) + 1 : -1]) if value.startswith(f"<{URN}") else None
 
 
 def parse_record(data: bytes) -> Record:
@@ -231,7 +242,7 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
     return narrow.join(shared, "digest").where("page_id is null or page_id > refers_to").distinct()
 
 
-def write_packages(pages: DataFrame, path: str, least: int = MIN_REVISIT, package_bytes: int = PACKAGE_BYTES) -> None:
+def write_packages(pages: DataFrame, path: str, least: int = MIN_REVISIT, package_bytes: int = PACKAGE_BYTES, date: str = DATE) -> None:
     """Pages (page_id, url, html) -> packages in Parquet files at ``path``."""
     rows = common.pick(pages, page_id="long", url="string", html="string")
     rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha2("html", 256))
@@ -248,7 +259,7 @@ def write_packages(pages: DataFrame, path: str, least: int = MIN_REVISIT, packag
 
         for batch in batches:
             for page_id, url, html, digest, refers_to in common.rows_of(batch, "page_id", "url", "html", "digest", "refers_to"):
-                one = record(page_id, url, html.encode(), digest, refers_to)
+                one = record(page_id, url, html.encode(), digest, refers_to, date)
                 if index and len(data) + len(one) > package_bytes:
                     yield flush()
                     data, index = bytearray(), []
@@ -285,3 +296,145 @@ def warc_packages(pages: DataFrame, **options) -> DataFrame:
     path = scratch_path(pages.sparkSession, "warc")
     write_packages(pages, path, **options)
     return read_packages(pages.sparkSession, path)
+
+
+# ── archives that lie at paths ────────────────────────────────────────────
+
+STEP = 1 << 20  # bytes of an index read at once
+RANGES_SCHEMA = pa.schema([("path", pa.string()), ("member", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("gz", pa.bool_())])
+ARCHIVE_SCHEMA = pa.schema(
+    [
+        ("path", pa.string()),
+        ("member", pa.string()),
+        ("record_id", pa.string()),
+        ("record_type", pa.string()),
+        ("target_uri", pa.string()),
+        ("date", pa.string()),
+        ("content_bytes", pa.int64()),
+        ("content_sha256", pa.string()),
+        ("content", pa.binary()),
+    ]
+)
+
+
+def opened(path: str):
+    """A file of any file system that Arrow knows, for reading by ranges."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri("file:///" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path)
+    return system.open_input_file(name)
+
+
+def reads(file) -> Read:
+    return lambda at, n: file.read_at(n, at)
+
+
+def lines_of(read: Read, start: int, size: int) -> Iterator[bytes]:
+    """Lines of a stored member, a step at a time."""
+    rest = b""
+    for at in range(0, size, STEP):
+        *whole, rest = (rest + read(start + at, min(STEP, size - at))).split(b"\n")
+        yield from whole
+    if rest:
+        yield rest
+
+
+def indexed(line: bytes, members: dict[str, Member]) -> tuple[str, int, int] | None:
+    """(member, offset, length) that an index line names: an own line, or CDXJ (key, time, JSON)."""
+    start = line.find(b"{")
+    if start < 0:
+        return None
+    entry = json.loads(line[start:])
+    if "range" in entry:
+        return DATA, *entry["range"]
+    name = f"archive/{entry.get('filename', '')}"
+    if name not in members or "offset" not in entry or "length" not in entry:
+        return None
+    return name, int(entry["offset"]), int(entry["length"])
+
+
+def walked(read: Read, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of a plain member without an index, header after header."""
+    at = 0
+    while at < size:
+        head = read(start + at, min(1 << 16, size - at))
+        end = head.find(b"\r\n\r\n")
+        length = next((int(x.split(b":")[1]) for x in head[: max(end, 0)].split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+        if length is None:
+            raise ValueError("not a WARC record")
+        n = end + 4 + length + 4
+        yield at, n
+        at += n
+
+
+def archive_ranges(read: Read, size: int) -> Iterator[tuple[str, int, int, bool]]:
+    """(member, first byte in the file, length, whether packed) of every record of an archive."""
+    members = directory(read, size)
+    data = {m.name: first_byte(read, m) for m in members.values() if m.name.startswith("archive/") and m.size}
+    seen: set[str] = set()
+    for index in (m for m in members.values() if m.name.startswith("indexes/") and m.method == 0):
+        if index.name.endswith((".gz", ".idx")):
+            continue  # packed indexes: the members are walked
+        for line in lines_of(read, first_byte(read, index), index.size):
+            if found := indexed(line, members):
+                name, at, n = found
+                seen.add(name)
+                yield name, data[name] + at, n, name.endswith(".gz")
+    for name in sorted(data.keys() - seen):
+        if name.endswith(".gz"):
+            yield name, data[name], members[name].size, True  # one range: its records follow each other
+        else:
+            for at, n in walked(read, data[name], members[name].size):
+                yield name, data[name] + at, n, False
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The records of packed bytes, each a stream of its own."""
+    while data:
+        stream = zlib.decompressobj(31)
+        yield stream.decompress(data) + stream.flush()
+        data = stream.unused_data
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """One row a record of the ZIP packages at ``path`` (a file, a folder or a pattern), with its content.
+
+    Columns: path, member, record_id, record_type, target_uri, date, content_bytes,
+    content_sha256 (taken anew), content.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the contents are not read here
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in common.rows_of(batch, "path", "length"):
+                out = []
+                with opened(name) as file:
+                    for row in archive_ranges(reads(file), size):
+                        out.append((name, *row))
+                        if len(out) == 10_000:
+                            yield common.batch_of(RANGES_SCHEMA, [list(c) for c in zip(*out)])
+                            out = []
+                if out:
+                    yield common.batch_of(RANGES_SCHEMA, [list(c) for c in zip(*out)])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
+        for batch in common.slices(batches, 100):
+            out = []
+            for path, member, at, n, packed in common.rows_of(batch, "path", "member", "at", "n", "gz"):
+                if path != name:
+                    name, file = path, opened(path)
+                data = file.read_at(n, at)
+                for one in unpacked(data) if packed else (data,):
+                    r = parse_record(one)
+                    get = r.headers.get
+                    out.append((path, member, get("WARC-Record-ID"), get("WARC-Type"), get("WARC-Target-URI"), get("WARC-Date"),
+                                len(r.payload), common.sha256_hex(r.payload), r.payload))
+            if out:
+                yield common.batch_of(ARCHIVE_SCHEMA, [list(c) for c in zip(*out)])
+
+    dealt = files.repartition(common.partitions(spark), "path").mapInArrow(ranges, "path string, member string, at long, n long, gz boolean")
+    dealt = dealt.repartitionByRange(common.partitions(spark), "path", "at").sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(
+        contents, "path string, member string, record_id string, record_type string, target_uri string, date string, "
+        "content_bytes long, content_sha256 string, content binary")

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
@@ -98,3 +100,60 @@ def test_pages_against_brute_force(spark):
     got = warczip.warc_packages(df, package_bytes=1000).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
     assert warczip.warc_packages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def warc(k, body, kind="response"):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nWARC-Date: 2024-01-0{k % 9 + 1}T00:00:00Z\r\n"
+    return (head + f"WARC-Target-URI: http://x/{k}\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def foreign(path, plain, packed, unlisted):
+    """A package as other tools write it: several archive members, a CDXJ index, other files, ZIP64 members."""
+    members, lines = {}, []
+    for name, rows, pack in (("one.warc", plain, False), ("two.warc.gz", packed, True), ("three.warc", unlisted, False), ("four.warc.gz", unlisted[:1], True)):
+        data = b""
+        for k, body in rows:
+            one = gzip.compress(warc(k, body)) if pack else warc(k, body)
+            if name in ("one.warc", "two.warc.gz"):
+                entry = {"url": f"http://x/{k}", "filename": name, "offset": str(len(data)), "length": str(len(one))}
+                lines.append(f"x)/{k} 20240101000000 {json.dumps(entry)}\n")
+            data += one
+        members[f"archive/{name}"] = data
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("datapackage.json", "{}", compress_type=zipfile.ZIP_DEFLATED)
+        for name, data in members.items():
+            with z.open(name, "w", force_zip64=True) as f:
+                f.write(data)
+        z.writestr("indexes/index.cdxj", "".join(lines))
+        z.writestr("pages/pages.jsonl", "{}\n")
+    return [*plain, *packed, *unlisted, unlisted[0]]
+
+
+def test_foreign_packages_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warczip, "STEP", 37)  # index lines lie over several steps
+    want = []
+    for n in range(3):
+        bodies = [(100 * n + k, f"body {k} é\r\n\r\n".encode() * (k + 1)) for k in range(12)]
+        want += [(f"{n}.wacz", k, b) for k, b in foreign(tmp_path / f"{n}.wacz", bodies[:4], bodies[4:8], bodies[8:])]
+    got = warczip.read_archives(spark, str(tmp_path / "*.wacz")).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["record_id"], bytes(r["content"])) for r in got) == sorted((p, f"<urn:uuid:{k}>", b) for p, k, b in want)
+    for r in got:
+        assert r["content_sha256"] == hashlib.sha256(r["content"]).hexdigest() and r["content_bytes"] == len(r["content"])
+        assert r["record_type"] == "response" and r["date"].startswith("2024-01-0") and r["target_uri"].startswith("http://x/")
+
+
+def test_own_packages_as_files(spark, tmp_path):
+    path = warczip.scratch_path(spark, "test-warc")
+    rows = [(k, f"u{k}", f"page {k % 5} " * 30) for k in range(40)] + [(None, None, "x")]
+    warczip.write_packages(spark.createDataFrame(rows, PAGES), path, package_bytes=2000, date="2024-05-06T07:08:09Z")
+    for k, r in enumerate(spark.read.parquet(path).collect()):
+        (tmp_path / f"{k}.zip").write_bytes(r["package"])
+    got = warczip.read_archives(spark, str(tmp_path)).collect()
+    assert len(got) == 41 and {r["date"] for r in got} == {"2024-05-06T07:08:09Z"} and all(r["record_id"] for r in got)
+    assert sorted(bytes(r["content"]).decode() for r in got if r["record_type"] == "response") == sorted([*(f"page {k} " * 30 for k in range(5)), "x"])
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(warczip.package([("archive/data.warc", b"no record at all")]))
+    with pytest.raises(Exception, match="not a WARC record"):
+        warczip.read_archives(spark, str(tmp_path)).collect()
