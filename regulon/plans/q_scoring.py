@@ -251,11 +251,14 @@ def _spoilt(spark: SparkSession, sf: str, value: float | None) -> DataFrame:
 _MISSING = f"(SELECT 'Submission is missing prediction_up values for ' || CAST(count(*) AS VARCHAR) || ' rows.' FROM pairs WHERE gene_key % {ODD_GENE} = 0)"
 
 
+_INF = {q: f"(SELECT CASE WHEN count(*) > 0 THEN 'Submission contains NaN or Inf in {q}.' END FROM pairs WHERE gene_key % {ODD_GENE} = 0)"
+        for q in ("prediction_up", "''prediction_up''")}
+
+
 @query("submission_errors", S.with_ctes(f"""SELECT * FROM (VALUES
   ('a', 'nan', {_MISSING}), ('b', 'nan', {_MISSING}), ('c', 'nan', {_MISSING}), ('a', 'null', {_MISSING}), ('generic', 'nan', {_MISSING}),
-  ('a', 'inf', 'Submission contains NaN or Inf in prediction_up.'), ('b', 'inf', 'Submission contains NaN or Inf in prediction_up.'),
-  ('c', 'inf', 'Submission contains NaN or Inf in prediction_up.'),
-  ('generic', 'inf', 'Submission contains NaN or Inf in ''prediction_up''.'),
+  ('a', 'inf', {_INF["prediction_up"]}), ('b', 'inf', {_INF["prediction_up"]}), ('c', 'inf', {_INF["prediction_up"]}),
+  ('generic', 'inf', {_INF["''prediction_up''"]}),
   ('a', 'column', 'Submission is missing required column(s): model_name. See the sample submission file for the expected format.'),
   ('b', 'column', 'Submission is missing required column(s): model_name. See the sample submission file for the expected format.'),
   ('c', 'column', 'Submission is missing required column(s): model_name. See the sample submission file for the expected format.')
