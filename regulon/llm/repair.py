@@ -281,7 +281,7 @@ def _read(spark: SparkSession, path: str, name: str, kind: pa.DataType, value: C
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):  # a block may hold a million documents
             for first, names, sizes, data in common.rows_of(batch, "start", "doc_ids", "sizes", "grammar"):
                 grammar, at = Grammar(data), list(accumulate(sizes, initial=0))
                 ids = memoryview(grammar.ids(0, len(grammar)).astype("<u4").tobytes())  # all documents of the block are asked for
