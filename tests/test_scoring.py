@@ -169,3 +169,20 @@ def test_tool_call_limit_names_rows(spark):
     row = SC.check_limits(df).first()
     assert row["max_tool_calls"] == 300 and row["first_ids"] == "r0, r1"
     assert row["error"].startswith("Tool-call limit exceeded: max 250 per row, but found 300 (rows: r0, r1)")
+
+
+def test_checks_of_a_bad_submission_store_nothing(spark, monkeypatch):
+    """A check that fails is read from aggregates: it stores no merged table."""
+    sol = spark.createDataFrame([("a", "up"), ("b", "none")], "id string, label string")
+    rows = spark.createDataFrame([("a", 0.5, 0.2, "251", "1", "1"), ("b", None, 0.1, "3", "x", "2")],
+                                 "id string, prediction_up double, prediction_down double, num_tool_calls string, prompt_tokens string, num_distinct_tools string")
+    sub = rows.withColumns({c: F.lit("m") for c in ("reasoning_trace", "tokens_used", "model_name")})
+
+    def kept(*_, eager=True):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(type(sol), "checkpoint", kept)
+    with pytest.raises(SC.SubmissionError, match=r"Tool-call limit exceeded: max 250 per row, but found 251 \(rows: a\)"):
+        SC.check_submission(sol, sub, track="b")
+    with pytest.raises(SC.SubmissionError, match="missing prediction_up values for 1 rows"):
+        SC.check_submission(sol, sub, track="c")
