@@ -1,5 +1,8 @@
 """Golden cases for response parsing (docstring examples and reading of the reference)."""
 
+from functools import reduce
+from operator import and_
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,15 @@ def test_patterns_equal_plain_re(spark):
         assert r["portion"] == (cut[-1].strip() if len(cut) > 1 else lines[-1].strip() if lines else t), repr(t)
         tag = re.search(P.ANSWER_TAG, t)
         assert r["tag"] == (tag[1].upper() if tag else None), repr(t)
+
+
+def test_flags_with_needed_strings_equal_the_whole_regexes(spark):
+    """ASCII text is decided that lacks the strings of a class skips its regex, any other text does not: one answer."""
+    bits = ["A)", "b)", "**C)**", "x", "_", "9", " ", "\n", "\t", "answer:", "ANSWER: b", "Increase", "İncrease", "ıncrease", "decreaſe", "No.", "no",
+            "a", "Not ", "result in differential", "K", "̇"]
+    texts = [a + b + c for a in bits for b in bits for c in ("", "\n", "c", ")", ".")] + ["", "not all\nsignificantly affect", "not all significantly affect"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    flags = P.pattern_flags(F.col("t"))
+    whole = {k: F.col("t").rlike(P.JAVA_FLAGS_IM + rx) for k, rx in P.CLASS_REGEX.items()}
+    assert set(P.NEEDED) == set(whole)
+    assert df.where(~reduce(and_, [flags[k].eqNullSafe(whole[k]) for k in whole])).collect() == []
