@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as PR
@@ -98,17 +98,23 @@ def _cache_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pert_key", "id", row.alias("r"))
 
 
+DOCUMENT_ROWS = 1_000_000  # pairs of one cache document
+
+
 @query("read_response_cache_document", ORACLE["read_response_cache"])
 def read_response_cache_document(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-4: the same rows as one large JSON document, after other objects, read in as many tasks
-    as its size asks for."""
+    """SRC-4: the same rows in large JSON documents, each after other objects, read in as many
+    tasks as their size asks for: one document, or one for each ``DOCUMENT_ROWS`` pairs."""
     path = scratch_path(spark, "cache-document")
     entry = F.concat(F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(": "), F.to_json("r"))
-    numbered = row_numbers(_cache_rows(spark, sf).select("id", entry.alias("entry")), [], ["id", "entry"], "n")
-    lines = numbered.select("n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), F.lit("\n"), F.col("entry")).alias("value"))
-    ends = spark.createDataFrame([(0, '{"config": {"seeds": [42, 43, 44], "rows": {"x": {}}}, "rows": {'), (1 << 62, "\n}}")], "n long, value string")
-    # the stand-in is a single file by intent, so one task writes it
-    ends.unionByName(lines.withColumn("n", F.col("n").cast("long"))).coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", " ").text(path)
+    documents = -(-S.pairs(spark, sf).count() // DOCUMENT_ROWS) or 1
+    rows = _cache_rows(spark, sf).select("id", entry.alias("entry"), F.pmod(F.xxhash64("pert_key", "id"), F.lit(documents)).alias("doc"))
+    # a document is a file, so one task writes it, in the order of the window
+    order = Window.partitionBy("doc").orderBy("id", "entry")
+    start = F.when(F.row_number().over(order) > 1, ",").otherwise('{"config": {"seeds": [42, 43, 44], "rows": {"x": {}}}, "rows": { ')
+    end = F.when(F.lead(F.lit(1)).over(order).isNull(), " \n}}").otherwise("")
+    lines = rows.select("doc", F.concat(start, F.lit("\n"), F.col("entry"), end).alias("value"))
+    lines.write.partitionBy("doc").option("lineSep", " ").text(path)
     return RD.read_response_cache(spark, path)
 
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from regulon.session import scratch_path
 from regulon.sources import readers as RD
@@ -135,3 +136,25 @@ def test_a_hot_drug_spans_shards_that_a_filter_still_skips(spark, tmp_path):
     hot = [r for r in ranges if r[0] <= "hot" <= r[1]]
     assert len(hot) > 2 and sum(r[0] <= "d08" <= r[1] for r in ranges) < len(ranges) / 2
     assert RD.scan_de(spark, str(tmp_path / "shards"), drug="hot").count() == 10_000
+
+
+def test_cache_documents_are_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    """Beyond ``DOCUMENT_ROWS`` pairs there are more documents, each whole and read back."""
+    from pathlib import Path
+
+    from regulon.plans.registry import load_all
+
+    load_all()
+    from regulon.plans import q_io
+
+    rows = [(k, f"S{k}_G{k}", 0.5 + k, 0.25, f"a }} \"{k}\"", 7.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "pert_key long, id string, prediction_up double, prediction_down double, reasoning_trace string, tokens_used double")
+    made = df.select("pert_key", "id", F.struct("prediction_up", "prediction_down", "reasoning_trace", "tokens_used").alias("r"))
+    monkeypatch.setattr(q_io, "DOCUMENT_ROWS", 10)
+    monkeypatch.setattr(q_io, "_cache_rows", lambda *_: made)
+    monkeypatch.setattr(q_io.S, "pairs", lambda *_: df)
+    monkeypatch.setattr(q_io, "scratch_path", lambda *_: str(tmp_path / "docs"))
+    back = q_io.read_response_cache_document(spark, "").select("id", "seed", "prediction_up", "reasoning_trace", "tokens").collect()
+    assert {tuple(r) for r in back} == {(i, None, up, trace, tokens) for _, i, up, _, trace, tokens in rows} and len(back) == 40
+    files = [p for p in Path(tmp_path / "docs").rglob("*.txt")]
+    assert len(files) > 1 and sum(len(json.loads(p.read_text())["rows"]) for p in files) == 40
