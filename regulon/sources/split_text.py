@@ -14,11 +14,15 @@ flips it, or sets it. So
 3. every piece then picks what holds for the state its split really starts in.
 
 Only whole records that span pieces are gathered, one group a record.
+
+For CSV no text is shuffled in steps 1 and 3: a task walks its splits in order, once for
+the row a split of step 2 and once, told how its splits start, to join the lines of
+records. Only records cut by the end of a split are gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +50,23 @@ def _composed(then: list[Column], window, state: Column) -> Column:
     return F.coalesce(anchor, state).bitwiseXOR(flips)
 
 
+def _starts(splits: DataFrame, names: list[str]) -> DataFrame:
+    """(file, block, _start, _end, _base_<name>): the state before and after every split, and the
+    totals of the splits of the file before it.
+
+    ``splits`` holds one row a split: ``_t0`` and ``_t1``, the state after the split begun in 0
+    and in 1, and ``_total_<name>_0`` and ``_1``, what it adds.
+    """
+    t = [F.col("_t0"), F.col("_t1")]
+    line = Window.partitionBy("file").orderBy("block")  # one row a split
+    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_flips", F.sum((t[0] > t[1]).cast("int")).over(upto) % 2)
+    splits = splits.withColumn("_start", _composed(t, before, F.lit(0)))
+    total = {n: F.when(F.col("_start") == 0, F.col(f"_total_{n}_0")).otherwise(F.col(f"_total_{n}_1")) for n in names}
+    end = F.when(F.col("_start") == 0, t[0]).otherwise(t[1])
+    return splits.select(*SPLIT, "_start", end.alias("_end"), *[F.coalesce(F.sum(total[n]).over(before), F.lit(0)).alias(f"_base_{n}") for n in names])
+
+
 def carried(df: DataFrame, then: tuple[Column, Column], steps: Callable[[Column], dict[str, Column]]) -> DataFrame:
     """Adds ``state``, the state before each piece, and for every name of ``steps`` the sum of
     that step over all pieces of the file before this one and ``<name>_here``, its own step.
@@ -68,13 +89,7 @@ def carried(df: DataFrame, then: tuple[Column, Column], steps: Callable[[Column]
     after = [F.when(F.col(f"_s{s}") == 0, t[0]).otherwise(t[1]) for s in (0, 1)]
     ends = {f"_t{s}": F.max_by(after[s], "row") for s in (0, 1)}
     splits = df.groupBy(*SPLIT).agg(*[c.alias(n) for n, c in ends.items()], *[F.sum(f"_own_{n}").alias(f"_total_{n}") for n in both])
-    line = Window.partitionBy("file").orderBy("block")  # one row a split
-    line_upto, line_before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_flips", F.sum((t[0] > t[1]).cast("int")).over(line_upto) % 2)
-    splits = splits.withColumn("_start", _composed(t, line_before, F.lit(0)))
-    total = {n: F.when(F.col("_start") == 0, F.col(f"_total_{n}_0")).otherwise(F.col(f"_total_{n}_1")) for n in names}
-    splits = splits.select(*SPLIT, "_start", *[F.coalesce(F.sum(total[n]).over(line_before), F.lit(0)).alias(f"_base_{n}") for n in names])
-    splits = splits.checkpoint(eager=True)  # one row a split; this pass moves no text
+    splits = _starts(splits, names).checkpoint(eager=True)  # one row a split; this pass moves no text
 
     def pick(prefix: str, suffix: str = "") -> Column:
         return F.when(F.col("_start") == 0, F.col(f"{prefix}0{suffix}")).otherwise(F.col(f"{prefix}1{suffix}"))
@@ -89,18 +104,160 @@ def carried(df: DataFrame, then: tuple[Column, Column], steps: Callable[[Column]
 
 # ── CSV ──────────────────────────────────────────────────────────────────
 
-def _csv_after(value: Column, state: int) -> Column:
-    """State (0: outside quotes) after a line begun in ``state``.
+def _walk_lines(assemble: bool) -> Callable[[Iterator], Iterator]:
+    """A pass over the lines of a task's splits, in order.
 
-    Doubled quotes change nothing. Of the others one inside quotes closes; one
-    outside opens at the start of a field, and is a plain character elsewhere.
+    Without ``assemble`` it gives one row a split: what the split does to both states. With it
+    the splits' starts are known (``start``, ``number`` and ``offset``), and it gives
+    (split, offset, number, record, torn): the lines of each record, joined. ``torn`` are the
+    parts of a record that began in an earlier split or goes on in a later one.
     """
-    parts = F.split(F.replace(value, F.lit('""'), F.lit("")), '"', -1)
-    at_start = lambda part, k: part.endswith(",") | ((k == 0) & (part == "") & F.lit(state == 0))
-    opens = F.transform(parts, lambda part, k: at_start(part, k))
-    quotes = F.slice(opens, 1, F.size(opens) - 1)  # one entry a quote: may it open?
-    walk = F.aggregate(quotes, F.lit(state), lambda s, may: F.when(s == 1, 0).when(may, 1).otherwise(0))
-    return F.when(F.contains(value, F.lit('"')), walk).otherwise(F.lit(state))
+
+    def afters(lines):
+        """State (0: outside quotes) after each line begun in 0 and in 1.
+
+        Doubled quotes change nothing. Of the others one inside quotes closes; one
+        outside opens at the start of a field, and is a plain character elsewhere. So
+        one at the start of a field flips the state, and one elsewhere sets it to 0.
+        """
+        import numpy as np
+
+        column = lines.column("value")
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        text = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        quote = ends[0] + np.flatnonzero(text[ends[0] :] == ord('"'))
+        line = np.searchsorted(ends, quote, "right") - 1
+        first = np.ones(len(quote), bool)  # of a run of quotes in a line
+        first[1:] = (np.diff(quote) > 1) | (np.diff(line) > 0)
+        run = np.flatnonzero(first)
+        odd = np.diff(np.append(run, len(quote))) % 2 == 1  # one is left when doubled ones are gone
+        quote, line = quote[run][odd], line[run][odd]
+        flips = (quote == ends[line]) | (text[np.maximum(quote - 1, 0)] == ord(","))
+        # flips of a line behind its last quote that sets the state
+        rows = np.arange(len(quote))
+        upto = np.concatenate(([0], np.cumsum(flips)))
+        last = np.full(len(column), -1)
+        np.maximum.at(last, line[~flips], rows[~flips])
+        bounds = np.searchsorted(line, np.arange(len(column) + 1))
+        odd = (upto[bounds[1:]] - upto[np.maximum(bounds[:-1], last + 1)]) % 2
+        return odd, np.where(last >= 0, odd, 1 - odd)
+
+    def states(after0, after1, start):
+        """State before each line, and after the last."""
+        import numpy as np
+
+        rows = np.arange(len(after0))
+        sets = after0 == after1
+        flips = np.cumsum(after0 > after1) % 2
+        last = np.maximum.accumulate(np.where(sets, rows, -1))
+        after = np.where(last >= 0, after0[last] ^ flips[last], start) ^ flips
+        return np.concatenate(([start], after[:-1])), int(after[-1])
+
+    def runs(batches):
+        """(key, is the split new, its lines of one batch)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [pc.run_end_encode(c).run_ends.to_numpy() for c in (batch.column(0), batch.column(1))]
+            ends = np.unique(np.concatenate(ids))
+            for begin, end in zip([0, *ends[:-1]], ends):
+                lines = batch.slice(begin, end - begin)
+                found = (lines.column(0)[0].as_py(), lines.column(1)[0].as_py())
+                yield found, found != key, lines
+                key = found
+
+    def numbers(lines, name):
+        return lines.column(name).to_numpy(zero_copy_only=False)
+
+    def split_rows(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["file", "block", "_t0", "_t1", "_total_starts_0", "_total_starts_1", "_total_offset_0", "_total_offset_1"]
+        row = None
+        for key, new, lines in runs(batches):
+            if new:
+                if row:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, row))], schema)
+                row = [*key, 0, 1, 0, 0, 0, 0]
+            after0, after1 = afters(lines)
+            text, size = ~numbers(lines, "blank"), int(numbers(lines, "bytes").sum())
+            for s in (0, 1):
+                state, row[2 + s] = states(after0, after1, row[2 + s])
+                row[4 + s] += int(((state == 0) & text).sum())
+                row[6 + s] += size
+        if row:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row))], schema)
+
+    def record_rows(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def out(split, offsets, firsts, texts, torn):
+            n = len(offsets)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(n, split), pa.int64()), pa.array(offsets, pa.int64()), pa.array(firsts, pa.int64()), texts,
+                pa.array(np.full(n, torn), pa.bool_())], names=["split", "offset", "number", "record", "torn"])
+
+        def part(key, of):  # a record that is not, or not known to be, whole in its lines
+            return out(key[0], [of["offset"]], [of["number"]], pa.array([b"\n".join(of["lines"])], pa.binary()), of["torn"])
+
+        at = None  # of the split: state, number of the next record, offset of the next line
+        held = None  # the record that is open behind the last line
+        was = None
+        for key, new, lines in runs(batches):
+            if new:
+                if held:
+                    yield part(was, held | {"torn": held["torn"] or at[0] == 1})
+                held, was = None, key
+                at = [lines.column(c)[0].as_py() for c in ("start", "number", "offset")]
+                if None in at:
+                    raise ValueError("the file was split in another way when it was read again")
+                if at[0] == 1:
+                    held = {"offset": at[2], "number": at[1] - 1, "lines": [], "torn": True}
+            after0, after1 = afters(lines)
+            state, end = states(after0, after1, at[0])
+            size = numbers(lines, "bytes")
+            offset = at[2] + np.cumsum(size) - size
+            at[0], at[2] = end, at[2] + int(size.sum())
+            keep = np.flatnonzero((state == 1) | ~numbers(lines, "blank"))
+            if not len(keep):
+                continue
+            value, state, offset = lines.column("value").take(pa.array(keep)), state[keep], offset[keep]
+            begin = np.flatnonzero(state == 0)
+            head = int(begin[0]) if len(begin) else len(keep)
+            if head:
+                held["lines"] += value.slice(0, head).to_pylist()
+            if not len(begin):
+                continue
+            if held:
+                yield part(key, held)
+                held = None
+            number = at[1] + np.arange(len(begin))
+            at[1] += len(begin)
+            if end == 1:  # the last record goes on
+                held = {"offset": int(offset[begin[-1]]), "number": int(number[-1]), "lines": value.slice(int(begin[-1])).to_pylist(), "torn": False}
+                bounds, begin, number = begin, begin[:-1], number[:-1]
+            else:
+                bounds = np.append(begin, len(keep))
+            if len(begin):
+                groups = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), value)
+                yield out(key[0], offset[begin], number, pc.binary_join(groups, b"\n"), False)
+        if held:
+            yield part(was, held | {"torn": held["torn"] or at[0] == 1})
+
+    if assemble:
+        return record_rows
+    import pyarrow as pa
+
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("_t0", pa.int32()), ("_t1", pa.int32())]
+                       + [(f"_total_{n}_{s}", pa.int64()) for n in ("starts", "offset") for s in (0, 1)])
+    return split_rows
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -109,21 +266,31 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     ``offset`` is the byte at which a record starts, ``number`` counts the records of
     a file from 0 (the header). Quotes inside quoted fields are doubled.
     """
-    lines = pieces(spark, path, "\n").withColumns({f"after{s}": _csv_after(F.col("value"), s) for s in (0, 1)})
-    blank = F.trim(F.rtrim("value", F.lit("\r"))) == ""
-    bytes_here = F.octet_length("value") + 1
-    placed = carried(
-        lines, (F.col("after0"), F.col("after1")),
-        lambda state: {"starts": ((state == 0) & ~blank).cast("int"), "offset": bytes_here})
-    placed = placed.where((F.col("state") == 1) | ~blank).withColumn("number", F.col("starts") + F.col("starts_here") - 1)
-    open_after = F.when(F.col("state") == 0, F.col("after0")).otherwise(F.col("after1"))
-    alone = (F.col("state") == 0) & (open_after == 0)
-    record = F.regexp_replace("record", "\r$", "")
-    single = placed.where(alone).select("file", "offset", "number", F.col("value").alias("record"))
-    lines_of = F.array_sort(F.collect_list(F.struct("offset", "value")))
-    spread = placed.where(~alone).groupBy("file", "number").agg(lines_of.alias("l")).select(
-        "file", F.col("l")[0]["offset"].alias("offset"), "number", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("record"))
-    return single.unionByName(spread).withColumn("record", record)
+    lines = pieces(spark, path, "\n")
+    lines = lines.withColumn("blank", F.trim(F.rtrim("value", F.lit("\r"))) == "").withColumn("bytes", (F.octet_length("value") + 1).cast("long")).withColumn(
+        "value", F.col("value").cast("binary"))
+    sums = ", ".join(f"_total_{n}_{s} long" for n in ("starts", "offset") for s in (0, 1))
+    splits = lines.select(*SPLIT, "blank", "bytes", "value").mapInArrow(
+        _walk_lines(assemble=False), f"file string, block long, _t0 int, _t1 int, {sums}")
+    splits = _starts(splits, ["starts", "offset"])
+    # one row a split: it is broadcast, so the lines stay where and in the order in which they are read
+    splits = splits.withColumn("split", F.monotonically_increasing_id()).checkpoint(eager=True)
+
+    begun = splits.select(*SPLIT, "split", "_end", F.col("_start").alias("start"), F.col("_base_starts").alias("number"), F.col("_base_offset").alias("offset"))
+
+    def records(begun: DataFrame, how: str) -> DataFrame:
+        told = lines.join(F.broadcast(begun), SPLIT, how).select(
+            "split", "block", "start", "number", "offset", "blank", "bytes", "value")
+        rows = told.mapInArrow(_walk_lines(assemble=True), "split long, offset long, number long, record binary, torn boolean")
+        return rows.withColumn("record", F.col("record").cast("string")).join(F.broadcast(begun.select("split", "file")), "split")
+
+    single = records(begun, "left").where(~F.col("torn")).select("file", "offset", "number", "record")
+    # a second look at the splits that cut a record
+    cut = records(begun.where((F.col("start") == 1) | (F.col("_end") == 1)), "inner").where("torn")
+    parts = F.array_sort(F.collect_list(F.struct("offset", "record")))
+    spread = cut.groupBy("file", "number").agg(parts.alias("l")).select(
+        "file", F.col("l")[0]["offset"].alias("offset"), "number", F.array_join(F.transform("l", lambda x: x["record"]), "\n").alias("record"))
+    return single.unionByName(spread).withColumn("record", F.regexp_replace("record", "\r$", ""))
 
 
 def read_csv(spark: SparkSession, path: str, names: list[str], check_header: bool = False, one_header: bool = False) -> DataFrame:

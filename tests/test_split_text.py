@@ -84,6 +84,35 @@ def test_last_record_wins_by_byte_offset(spark, tmp_path, small_splits):
     assert got == {i: p for p, i in rows[1:]}
 
 
+def test_csv_lines_are_not_shuffled(spark, tmp_path, small_splits):
+    """Lines stay in the task that reads them; only parts of records cut by a split are grouped."""
+    rows = [["id", "text"]] + [[f"k{i}", f'said "{i}",\nthen more'] for i in range(400)]
+    (tmp_path / "a.csv").write_text(csv_text(rows))
+    df = ST.csv_records(spark, str(tmp_path / "a.csv"))
+    assert tasks(ST.pieces(spark, str(tmp_path / "a.csv"), "\n")) > 5
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    assert sorted(df.select("number").toPandas()["number"]) == list(range(401))
+
+
+def test_quotes_decide_as_the_rule_says(spark, tmp_path, small_splits):
+    """Random lines of quotes and commas, against the rule walked character by character."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choices('ab,,""""', k=rng.randint(1, 14))) for _ in range(700)]
+    (tmp_path / "q.csv").write_text("\n".join(lines) + "\n")
+    want, state = [], 0
+    for line in lines:
+        if state:
+            want[-1] += "\n" + line
+        else:
+            want.append(line)
+        parts = line.replace('""', "").split('"')
+        for k, part in enumerate(parts[:-1]):
+            state = 0 if state else int(part.endswith(",") or (k == 0 and part == ""))
+    got = ST.csv_records(spark, str(tmp_path / "q.csv")).orderBy("offset").collect()
+    assert [r["record"] for r in got] == want and [r["number"] for r in got] == list(range(len(want)))
+
+
 def test_empty_csv(spark, tmp_path):
     (tmp_path / "e.csv").write_text("id,pert,gene,label\n")
     (tmp_path / "n.csv").write_text("")
