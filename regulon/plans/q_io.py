@@ -36,8 +36,8 @@ def read_prompts_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     p = S.pairs(spark, sf)
     first = p.select("id", PR.zero_shot_prompt(F.col("pert"), F.col("gene")).alias("prompt"), F.lit(1).alias("ord"))
     second = QPR.overrides(spark, sf).withColumn("ord", F.lit(2))
-    first.write.json(path)
-    second.write.mode("append").json(path)
+    for batch in (first, second):  # prompts repeat their template: written plainly they are most of what the job writes
+        batch.write.mode("append").option("compression", "gzip").json(path)
     return RD.read_prompts(spark, path, fmt="json", order_col="ord")
 
 
