@@ -80,7 +80,8 @@ def read_response_cache(spark: SparkSession, sf: str) -> DataFrame:
     rows = _cache_rows(spark, sf)
     path = scratch_path(spark, "caches")
     docs = rows.groupBy("pert_key").agg(F.map_from_entries(F.collect_list(F.struct("id", "r"))).alias("rows"))
-    docs.select(F.to_json(F.struct("rows")).alias("value")).write.text(path)
+    # field names and traces repeat: written plainly the documents are most of what the job writes
+    docs.select(F.to_json(F.struct("rows")).alias("value")).write.option("compression", "gzip").text(path)
     return RD.read_response_cache(spark, path, lines=True)
 
 

@@ -158,3 +158,29 @@ def test_cache_documents_are_written_by_several_tasks(spark, monkeypatch, tmp_pa
     assert {tuple(r) for r in back} == {(i, None, up, trace, tokens) for _, i, up, _, trace, tokens in rows} and len(back) == 40
     files = [p for p in Path(tmp_path / "docs").rglob("*.txt")]
     assert len(files) > 1 and sum(len(json.loads(p.read_text())["rows"]) for p in files) == 40
+
+
+@pytest.mark.parametrize("name", ["read_prompts_jsonl", "read_response_cache"])
+def test_files_of_repeated_text_are_compressed(spark, monkeypatch, tmp_path, name):
+    """The files a query writes and reads back are a small part of their text, and every row comes back."""
+    import gzip
+
+    from regulon.plans.registry import QUERIES, load_all
+
+    load_all()
+    from regulon.plans import q_io
+
+    pairs = [(k % 5, k, f"S{k % 5}_G{k}", f"S{k % 5}", f"G{k}", "none", 0.0, 0.5) for k in range(1000)]
+    df = spark.createDataFrame(pairs, "pert_key long, gene_key long, id string, pert string, gene string, label string, lfc double, fdr double")
+    monkeypatch.setattr(q_io.S, "pairs", lambda *_: df)
+    monkeypatch.setattr(q_io, "scratch_path", lambda *_: str(tmp_path / "out"))
+    back = QUERIES[name](spark, "").collect()
+    if name == "read_prompts_jsonl":
+        assert sorted(r["id"] for r in back) == sorted(p[2] for p in pairs)
+    else:  # odd perturbations have the row of seed 42 only
+        want = q_io.QR.stored(spark, "").where("pert_key % 2 = 0 OR seed = 42").select("id", "prediction_up").collect()
+        got = {(r["id"], r["prediction_up"]) for r in back}
+        assert got == {tuple(r) for r in want} and len(back) == len(want)
+    files = [p for p in tmp_path.rglob("part-*")]
+    assert files and all(p.suffix == ".gz" for p in files)
+    assert sum(p.stat().st_size for p in files) * 4 < sum(len(gzip.decompress(p.read_bytes())) for p in files)
