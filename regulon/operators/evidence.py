@@ -8,7 +8,7 @@ text assembled with native string functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import row_numbers
@@ -43,6 +43,7 @@ MAX_PARTNERS = 50
 # ──────────────────────────────────────────────────────────────────────────
 
 PART_LINES = 1000  # lines of one text part
+ASK_BINS = 64  # tasks that answer the lookups of one question
 
 
 def _say(wording: str, *values: Column) -> Column:
@@ -86,7 +87,12 @@ def pert_evidence(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFra
 
 
 def _answers(queries: DataFrame, key: str, hits: DataFrame, order: list[str], head: Column, none: Column) -> DataFrame:
-    """``queries`` + matching lines -> (key, n_examples, part, text).
+    """``queries`` + matching lines -> (key, n_examples, part, text)."""
+    return _worded(queries.join(_gathered(hits, key, order, head), key, "left"), key, none)
+
+
+def _gathered(hits: DataFrame, key: str, order: list[str], head: Column) -> DataFrame:
+    """Matching lines -> (key, n, part, text).
 
     Lines are numbered over ranges of (key, order) and gathered ``PART_LINES`` at a
     time, so a key with any number of matches gives bounded rows, meets in no task,
@@ -96,10 +102,15 @@ def _answers(queries: DataFrame, key: str, hits: DataFrame, order: list[str], he
     part = F.floor((F.col("rank") - 1) / PART_LINES).cast("int")
     parts = ranked.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
     counts = parts.groupBy(key).agg(F.sum(F.size("l")).alias("n"))
-    j = queries.join(counts, key, "left").join(parts, key, "left")
     lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    text = F.when(F.col("n").isNull(), none).when(F.col("part") == 0, F.concat_ws("\n", head, lines)).otherwise(lines)
-    return j.select(key, F.coalesce("n", F.lit(0)).alias("n_examples"), F.coalesce("part", F.lit(0)).alias("part"), text.alias("text"))
+    text = F.when(F.col("part") == 0, F.concat_ws("\n", head, lines)).otherwise(lines)
+    return parts.join(counts, key).select(key, "n", "part", text.alias("text"))
+
+
+def _worded(answered: DataFrame, key: str, none: Column) -> DataFrame:
+    """Lookups with their texts, or without one: then they say ``none``."""
+    text = F.when(F.col("n").isNull(), none).otherwise(F.col("text"))
+    return answered.select(key, F.coalesce("n", F.lit(0)).alias("n_examples"), F.coalesce("part", F.lit(0)).alias("part"), text.alias("text"))
 
 
 def gene_lines(train: DataFrame, queries: DataFrame, q: str = "q") -> DataFrame:
@@ -141,14 +152,29 @@ def lookup_ci(train: DataFrame, queries: DataFrame) -> DataFrame:
 def pair_evidence(train: DataFrame, queries: DataFrame) -> DataFrame:
     """AGG-9: count and listing of matching rows per query, in parts; "none" is
     worded "no significant effect", any other label lower-cased; rows by (pert,
-    gene). A lookup without a key is answered with the error sentence."""
+    gene). A lookup without a key is answered with the error sentence.
+
+    Lookups that ask the same have the same lines, so these are found, numbered and
+    gathered once for each different question; then every lookup gets its answer. Of
+    lookups with one qid the lines are listed together: the qid is their question.
+    """
     desc = _map_label(F.col("t_label"), LOOKUP_DESC, F.lower("t_label"))
-    hits = lookup_ci(train, queries).withColumn(
-        "line", _say(LOOKUP_LINE, F.col("t_pert"), F.col("t_gene"), F.col("t_label"), desc))
     pert, gene = _given(F.col("pert")), _given(F.col("gene"))
+    asked = queries.withColumn("_own", F.count(F.lit(1)).over(Window.partitionBy("qid")) > 1).withColumn("_p", F.lower(pert)).withColumn(
+        "_g", F.lower(gene)).withColumn("_bin", F.pmod(F.xxhash64("qid"), F.lit(ASK_BINS)))
+    own, shared = (lambda c: F.when(F.col("_own"), c)), (lambda c: F.when(~F.col("_own"), c))
+    question = F.to_json(F.struct(own(F.col("qid").cast("string")).alias("qid"), shared(F.col("_p")).alias("pert"), shared(F.col("_g")).alias("gene")))
+    asked = asked.withColumn("_ask", F.when(F.col("qid").isNotNull(), question))
+    questions = asked.where(F.col("_ask").isNotNull()).select("_own", F.col("_ask").alias("qid"), F.col("_p").alias("pert"), F.col("_g").alias("gene"))
+    questions = questions.where(~F.col("_own")).distinct().unionByName(questions.where("_own"))
+    hits = lookup_ci(train, questions).withColumn(
+        "line", _say(LOOKUP_LINE, F.col("t_pert"), F.col("t_gene"), F.col("t_label"), desc)).withColumnRenamed("qid", "_ask")
+    texts = _gathered(hits, "_ask", ["t_pert", "t_gene"], _say(LOOKUP_HEAD, F.col("n")))
+    # a question that very many lookups ask is answered in as many tasks as it has bins
+    texts = texts.join(asked.select("_ask", "_bin").distinct(), "_ask")
     keys = F.concat_ws(", ", F.concat(F.lit("pert="), pert), F.concat(F.lit("gene="), gene))
     none = F.when(pert.isNull() & gene.isNull(), F.lit(LOOKUP_ERROR)).otherwise(_say(LOOKUP_NONE, keys))
-    return _answers(queries, "qid", hits, ["t_pert", "t_gene"], _say(LOOKUP_HEAD, F.col("n")), none)
+    return _worded(asked.join(texts, ["_ask", "_bin"], "left"), "qid", none)
 
 
 def annotation_hits(raw: DataFrame, json: str = "json") -> DataFrame:

@@ -102,3 +102,24 @@ def test_a_hot_key_is_spread_over_the_tasks(spark):
     assert pert["text"].splitlines()[2] == EV.PERT_LIST_HEAD["up"] + ", ".join(genes["up"][:30])
     assert {r["qid"]: r["n_examples"] for r in pair} == {"a": 6000, "b": 1}
     assert max(r["part"] for r in pair) == 5
+
+
+def test_lookups_that_ask_the_same_are_found_once(spark, monkeypatch):
+    asked, real = [], EV.lookup_ci
+    monkeypatch.setattr(EV, "lookup_ci", lambda train, queries: (asked.append(queries.count()), real(train, queries))[1])
+    q = spark.createDataFrame([(f"q{i}", "IRF1" if i % 2 else "irf1", "" if i % 3 else None) for i in range(40)]
+                              + [("two", "stat1", None), ("two", "Irf1", "cd14"), (None, "Irf1", None), ("none", "x", None)],
+                              "qid string, pert string, gene string")
+    rows = EV.pair_evidence(_train(spark), q).collect()
+    assert asked == [4]  # one question of the forty, the two of "two", and "none"
+    line = "  - pert=%s, gene=%s, label=%s (%s)"
+    lines = [line % x for x in [("Irf1", "Actb", "up", "up-regulated"), ("Irf1", "Cd14", "down", "down-regulated"),
+                                ("irf1", "Gapdh", "none", "no significant effect")]]
+    got = {}
+    for r in rows:
+        got.setdefault(r["qid"], []).append((r["n_examples"], r["part"], r["text"]))
+    assert all(got[f"q{i}"] == [(3, 0, "\n".join(["Found 3 training example(s):", *lines]))] for i in range(40))
+    both = "\n".join(["Found 2 training example(s):", lines[1], line % ("Stat1", "Actb", "none", "no significant effect")])
+    assert got["two"] == [(2, 0, both)] * 2
+    assert got[None] == [(0, 0, "No training examples found for pert=Irf1.")]
+    assert got["none"] == [(0, 0, "No training examples found for pert=x.")]
