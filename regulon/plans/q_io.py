@@ -150,6 +150,9 @@ def submission_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return row_numbers(back, [], ["file", "offset"], "place").select(F.col("place").cast("long").alias("place"), "id", "prediction_up", "prediction_down")
 
 
+ROWS_PER_TASK = 2_000_000  # of the response store
+
+
 @query("append_responses", S.with_ctes(
     "SELECT id, seed, text, prediction_up, prediction_down FROM stored", "stored"))
 def append_responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,9 +160,10 @@ def append_responses(spark: SparkSession, sf: str) -> DataFrame:
     of the same keys besides, read back as one table (latest batch per key)."""
     path = scratch_path(spark, "responses-store")
     st = QR.stored(spark, sf).select("id", "seed", "text", "prediction_up", "prediction_down")
-    # the run once, then an older batch of the same keys: the latest wins
+    # the run once, then an older batch of the same keys, as the store has them: the latest wins
     SK.append_responses(st.withColumn("batch", F.col("seed") - S.SEEDS[0] + 1), path)
-    SK.append_responses(S.responses(spark, sf).select("id", "seed", F.lit("stale").alias("text"), F.lit(0.0).alias("prediction_up"),
-                                                      F.lit(0.0).alias("prediction_down"), F.lit(0).alias("batch"))
-                        .join(st.select("id", "seed"), ["id", "seed"], "left_semi"), path)
-    return SK.latest_responses(spark.read.parquet(path)).select("id", "seed", "text", "prediction_up", "prediction_down")
+    SK.append_responses(spark.read.parquet(path).select("id", "seed", F.lit("stale").alias("text"), F.lit(0.0).alias("prediction_up"),
+                                                        F.lit(0.0).alias("prediction_down"), F.lit(0).alias("batch")), path)
+    store = spark.read.parquet(path)
+    tasks = -(-store.count() // ROWS_PER_TASK) or 1  # the rows are counted from the files' footers
+    return SK.latest_responses(store, tasks=max(tasks, QR._tasks(spark))).select("id", "seed", "text", "prediction_up", "prediction_down")

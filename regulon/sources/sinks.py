@@ -31,12 +31,19 @@ def write_submission(sub: DataFrame, path: str, single_file: bool = False, order
 def append_responses(batch: DataFrame, path: str) -> None:
     """SNK-2: append one batch of scored rows to the long Parquet store;
     the store is never rewritten as a whole."""
-    batch.write.mode("append").parquet(path)
+    batch.write.mode("append").option("compression", "zstd").parquet(path)
 
 
-def latest_responses(store: DataFrame, keys=("id", "seed"), order: str = "batch") -> DataFrame:
+def latest_responses(store: DataFrame, keys=("id", "seed"), order: str = "batch", tasks: int | None = None) -> DataFrame:
     """Read side of SNK-2: one row per key, the latest batch winning (a
-    one-row top-k per key, limited map-side before the shuffle)."""
+    one-row top-k per key, limited map-side before the shuffle).
+
+    With ``tasks`` the store is dealt out by key over so many tasks and each sorts its
+    rows once: the form for a large store whose batches hold different keys or lie in
+    different files, of which a limit before the shuffle drops nothing.
+    """
     from ..operators.topk import top_k
 
+    if tasks:
+        store = store.repartition(tasks, *keys)
     return top_k(store, list(keys), [F.col(order).desc()], 1).drop("rank")

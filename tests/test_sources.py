@@ -79,6 +79,16 @@ def test_append_store_latest(spark):
     assert len(r) == 1 and r[0]["text"] == "y"
 
 
+def test_large_store_is_dealt_out_by_key(spark):
+    path = scratch_path(spark, "store-test")
+    for b in (1, 0):
+        SK.append_responses(spark.range(50).selectExpr("'r' || id AS id", "42 AS seed", f"'t{b}' AS text", f"{b} AS batch"), path)
+    latest = SK.latest_responses(spark.read.parquet(path), tasks=3)
+    assert latest.rdd.getNumPartitions() == 3
+    assert sorted((r["id"], r["text"]) for r in latest.collect()) == sorted((f"r{i}", "t1") for i in range(50))
+    assert all(".zstd." in f for f in spark.read.parquet(path).inputFiles())
+
+
 def test_read_prompts_order_beats_file_name(spark, tmp_path):
     d = tmp_path / "prompts"
     d.mkdir()
