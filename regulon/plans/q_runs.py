@@ -115,6 +115,16 @@ def _sql_mean(side: str) -> str:
     return f"(({terms}) / CAST(3.0 AS DOUBLE))"
 
 
+PAIRS_PER_TASK = 500_000  # of a submission
+
+
+def _pair_tasks(spark: SparkSession, sf: str) -> int | None:
+    """Parts of a submission, where the session's shuffle partitions would hold more pairs than
+    that each (the stored pair table's row count is in its files' footers); else None."""
+    tasks = -(-S.pairs(spark, sf).count() // PAIRS_PER_TASK)
+    return tasks if tasks > _tasks(spark) else None
+
+
 @query("submission_track_a", S.with_ctes(f"""SELECT p.id, {_sql_mean('up')} AS prediction_up, {_sql_mean('down')} AS prediction_down,
   {", ".join(_SEEDCOLS)},
   {", ".join(f"coalesce(nullif(w.reasoning_trace_seed{s}, ''), 'none') AS reasoning_trace_seed{s}" for s in S.SEEDS)},
@@ -125,7 +135,7 @@ def submission_track_a(spark: SparkSession, sf: str) -> DataFrame:
     """JOI-6 (A): every test row, per-seed columns with defaults, traces, usage."""
     keys = S.PAIR_KEYS
     test = S.pairs(spark, sf).select(*keys, "id", _tagged_tokens_col().alias("prompt_tokens"))
-    out = R.assemble_track_a(test, stored(spark, sf).drop("id"), MODEL, on=keys)
+    out = R.assemble_track_a(test, stored(spark, sf).drop("id"), MODEL, on=keys, tasks=_pair_tasks(spark, sf))
     return out.drop(*keys)
 
 
@@ -149,7 +159,7 @@ def submission_enum(spark: SparkSession, sf: str) -> DataFrame:
     keys = S.PAIR_KEYS
     r = r.select(*keys, "seed", "effect", pred["prediction_up"].alias("prediction_up"),
                  pred["prediction_down"].alias("prediction_down"))
-    return R.assemble_enum(S.pairs(spark, sf).select(*keys, "id"), r, MODEL, on=keys).drop(*keys)
+    return R.assemble_enum(S.pairs(spark, sf).select(*keys, "id"), r, MODEL, on=keys, tasks=_pair_tasks(spark, sf)).drop(*keys)
 
 
 S.register("agent_rows", None, f"""SELECT 'conv' || CAST(t.conv_id AS VARCHAR) AS id,
