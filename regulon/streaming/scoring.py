@@ -9,6 +9,9 @@ remembers which files belong to which batch, so
 * a batch that runs twice replaces its own folder, so nothing is stored twice;
 * calls of marked batches are never repeated: a stop costs at most one batch.
 
+A batch has a cost of its own (a job, two writes, the log), so its files grow with what is
+delivered: ``FILES_PER_BATCH``, or a ``MAX_BATCHES``-th of all files if that is more.
+
 All folders lie in the shared folder (or any store that Spark reaches). Work that
 arrives later is simply delivered to the same folder and scored by the next run.
 """
@@ -26,6 +29,7 @@ from .jobs import run_batches
 
 ROWS_PER_FILE = 20_000
 FILES_PER_BATCH = 8
+MAX_BATCHES = 32
 
 
 class ScoringRun:
@@ -39,12 +43,14 @@ class ScoringRun:
         """Add pending work ``(id, seed, prompt, ...)``; a file holds at most ``rows_per_file`` rows."""
         pending.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(self.work)
 
-    def score(self, scorer: Callable[[str, int], str], files_per_batch: int = FILES_PER_BATCH, **options) -> None:
+    def score(self, scorer: Callable[[str, int], str], files_per_batch: int | None = None, **options) -> None:
         """Score all delivered work that no finished batch holds; ``options`` are those of ``batch_complete``.
 
         Run again after a failure, it takes up where the last run stopped.
         """
         work = self.spark.read.parquet(self.work)
+        if files_per_batch is None:
+            files_per_batch = max(FILES_PER_BATCH, -(-len(work.inputFiles()) // MAX_BATCHES))
 
         def each(batch: DataFrame, batch_id: int) -> None:
             scored = R.batch_complete(batch, scorer, **options)

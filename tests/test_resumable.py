@@ -7,6 +7,7 @@ from pyspark.errors import StreamingQueryException
 
 from regulon.operators import runs as R
 from regulon.session import scratch_path
+from regulon.streaming import scoring
 from regulon.streaming.scoring import ScoringRun
 
 
@@ -88,3 +89,13 @@ def test_odd_column_names_pass_through(spark):
     df = spark.createDataFrame([("a", 42, "p", 1)], "id string, seed int, prompt string, `odd: name, <x>` int")
     assert R.batch_complete(df, R.stub_scorer).columns == ["id", "seed", "prompt", "odd: name, <x>", "text", "status", "attempts"]
     assert R.batch_complete(df, R.stub_scorer).first()["odd: name, <x>"] == 1
+
+
+def test_batches_grow_with_the_work(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "FILES_PER_BATCH", 1)
+    monkeypatch.setattr(scoring, "MAX_BATCHES", 3)
+    run = ScoringRun(spark, scratch_path(spark, "test-scoring"))
+    run.deliver(pending(spark, 0, 10).coalesce(1), rows_per_file=1)  # 10 files
+    run.score(lambda prompt, seed: f"{prompt}:{seed}", **OPTIONS)
+    assert run.finished().count() == 3
+    assert sorted(r["text"] for r in run.stored().collect()) == sorted(f"p{i}:42" for i in range(10))
