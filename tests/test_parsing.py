@@ -123,3 +123,15 @@ def test_flags_with_needed_strings_equal_the_whole_regexes(spark):
     whole = {k: F.col("t").rlike(P.JAVA_FLAGS_IM + rx) for k, rx in P.CLASS_REGEX.items()}
     assert set(P.NEEDED) == set(whole)
     assert df.where(~reduce(and_, [flags[k].eqNullSafe(whole[k]) for k in whole])).collect() == []
+
+
+def test_right_strip_and_portion_are_those_of_python(spark):
+    from regulon.functions.text import is_blank, rstrip
+
+    texts = ["", " ", "a", "a ", "a\n", "~", "!", "\x7f", "a\x1f", "é", "é\u3000", "\u00a0", "a\u0085", "x\n\n y \n", "y\n\u2003", "answer b", "b Answer : c "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("t", rstrip(F.col("t")).alias("r"), is_blank(F.col("t")).alias("b"), P.answer_portion(F.col("t")).alias("p")).collect()
+    for x in rows:
+        lines = [y.strip() for y in x["t"].split("\n") if y.strip()]
+        assert (x["r"], x["b"]) == (x["t"].rstrip(), not x["t"].strip())
+        assert x["p"] == ("c" if ":" in x["t"] else lines[-1] if lines else x["t"])
