@@ -21,14 +21,21 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col:
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def largest_limit(limits: DataFrame, k_col: str) -> int:
+    return int(limits.agg(F.max(k_col)).first()[0] or 0)
+
+
 def top_k_by_column(
-    df: DataFrame, limits: DataFrame, keys: list[str], order: list[Column], k_col: str, rank_col: str = "rank"
+    df: DataFrame, limits: DataFrame, keys: list[str], order: list[Column], k_col: str, rank_col: str = "rank",
+    most: int | None = None,
 ) -> DataFrame:
     """Rows ranked 1..``k_col`` per ``keys``, where ``limits`` holds ``keys + [k_col]``.
 
     Groups without a limit are dropped. One number, the largest limit, is
-    collected to bound the partial limit before the shuffle.
+    collected to bound the partial limit before the shuffle, unless the caller
+    knows that no limit is above ``most``.
     """
-    most = limits.agg(F.max(k_col)).first()[0] or 0
-    ranked = top_k(df.join(limits, keys), keys, order, int(most), rank_col)
+    if most is None:
+        most = largest_limit(limits, k_col)
+    ranked = top_k(df.join(limits, keys), keys, order, most, rank_col)
     return ranked.where(F.col(rank_col) <= F.col(k_col))

@@ -90,7 +90,9 @@ def negative_match_balance(spark: SparkSession, sf: str) -> DataFrame:
     perturbation and gene lacks in the result is what it lacks in candidates, which SQL
     can tell; that no more pairs than must be go beyond quotas is held in the tests
     against augmenting paths."""
-    return D.match_balance(D.matched_negative_pairs(_pairs(spark, sf)), D.positive_pairs(_pairs(spark, sf)))
+    pairs = _pairs(spark, sf)
+    eligible = D.match_input(pairs)
+    return D.match_balance(D.matched_negative_pairs(pairs, eligible), D.positive_pairs(pairs, eligible))
 
 
 def _leak_sql(src: str) -> str:

@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from regulon.operators import datasets as D
+from regulon.operators import matching as M
 from regulon.operators.matching import largest_match
 
 
@@ -86,3 +87,32 @@ def test_nothing_to_match(spark):
     n = spark.createDataFrame([("a", 2)], "left string, k long")
     r = spark.createDataFrame([("b", 1)], "right string, k long")
     assert largest_match(e, n, r).count() == 0
+
+
+def tables(spark, edges, need, room):
+    e = spark.createDataFrame(edges, "left string, right string").withColumn("h", F.md5(F.concat("left", "right"))).repartition(4)
+    n, r = (spark.createDataFrame(list(x.items()), f"{c} string, k long") for x, c in ((need, "left"), (room, "right")))
+    return e, n, r
+
+
+def test_exchanges_alone_reach_the_largest_match(spark, monkeypatch):
+    """From an empty matching, with unions of tables written after every step."""
+    edges, need, room = graphs(10)
+    monkeypatch.setattr(M, "_proposed", lambda edges, need, room, most: edges.where("false"))
+    monkeypatch.setattr(M, "FOLD", 1)
+    got = [(x["left"], x["right"]) for x in largest_match(*tables(spark, edges, need, room)).collect()]
+    assert len(set(got)) == len(got) == largest(edges, need, room) and set(got) <= set(edges)
+    assert all(k <= need[x] for x, k in Counter(x for x, _ in got).items())
+    assert all(k <= room[x] for x, k in Counter(x for _, x in got).items())
+
+
+def test_proposals_leave_little_to_exchange(spark, monkeypatch):
+    """Needs and rooms are nearly equal, and edges few: taken in the order of h alone they need many exchanges."""
+    rng = random.Random(3)
+    need = {f"l{i}": 9 for i in range(100)}
+    room = {f"r{j}": rng.choice([1, 1, 1, 2]) for j in range(700)}
+    edges = sorted({(f"l{rng.randrange(100)}", f"r{rng.randrange(700)}") for _ in range(1650)})
+    passes, exchanged = [], M._exchanged
+    monkeypatch.setattr(M, "_exchanged", lambda *a: passes.append(1) or exchanged(*a))
+    assert largest_match(*tables(spark, edges, need, room)).count() == largest(edges, need, room)
+    assert not passes
