@@ -49,3 +49,13 @@ def test_profiles_merge_without_the_old_rows(spark):
                                       F.lit("train").alias("split"), (F.col("id") % 5).alias("batch"))
     a, b = D.merged_profile(D.profile_sketch(big, ["batch"])).first(), D.merged_profile(D.profile_sketch(big)).first()
     assert a == b and abs(a["n_perts"] - 400_000) < 0.04 * 400_000
+
+
+def test_splits_of_some_rows_are_those_of_all_pairs(spark):
+    """Shares are of the keys of all pairs, also where only some rows are wanted."""
+    pairs = spark.range(600).select(
+        F.concat(F.lit("P"), F.col("id") % 20).alias("pert"), F.concat(F.lit("G"), F.col("id") % 37).alias("gene"), "id")
+    some = pairs.where("id % 5 = 0 and pert <> 'P0'")
+    got = {tuple(r) for r in D.two_axis_split(pairs, some).select("id", "split").collect()}
+    whole = {tuple(r) for r in D.two_axis_split(pairs).where("id % 5 = 0 and pert <> 'P0'").select("id", "split").collect()}
+    assert got == whole and got
