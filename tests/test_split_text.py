@@ -190,3 +190,31 @@ def test_cache_of_one_large_file(spark, tmp_path, small_splits):
     assert set(got) == {(k, s) for k in rows for s in (42, 43)}
     assert all(got[k, 42]["reasoning_trace"] == v["reasoning_trace_seed42"] for k, v in rows.items())
     assert all(got[k, s]["prediction_up"] == v[f"prediction_up_seed{s}"] for k, v in rows.items() for s in (42, 43))
+
+
+def test_json_text_is_not_shuffled(spark, tmp_path, small_splits):
+    """Pieces stay in the task that reads them, and neighbours are parsed together."""
+    p = tmp_path / "a.json"
+    p.write_text(json.dumps({"meta": {"a": {"t": "x"}}, "rows": {f"k{i}": {"a": float(i), "t": f'}} "{i}" \\'} for i in range(400)}}))
+    df = ST.json_entries(spark, str(p), "rows", ENTRY)
+    assert tasks(ST.pieces(spark, str(p), "}")) > 5
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    assert sorted((r["key"], r["entry"]["a"]) for r in df.collect()) == sorted((f"k{i}", float(i)) for i in range(400))
+
+
+def test_cuttings_over_small_batches_and_chunks(spark, tmp_path, small_splits, monkeypatch):
+    rng = random.Random(11)
+    doc = {"config": {f"c{i}": {"a": 1} for i in range(30)}, "rows": {f"k{i}": random_entry(rng) for i in range(150)}}
+    for name, text in {"good": json.dumps(doc), "indented": json.dumps(doc, indent=20), "elsewhere": json.dumps(doc).replace(', "c20"', ' "c20"', 1),
+                       "word": json.dumps(doc).replace('"k70": {', '"k70": 5 {', 1)}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    monkeypatch.setattr(ST, "CHUNK_BYTES", 300)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        got = entries(spark, tmp_path)
+    finally:
+        spark.conf.set(key, old)
+    assert got == {"good.json": wanted(doc), "indented.json": wanted(doc)}
