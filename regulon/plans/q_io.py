@@ -52,12 +52,17 @@ FROM pairs p LEFT JOIN (SELECT id, 'Custom question about ' || id AS prompt FROM
 USING (id)""", "pairs")
 
 
+# of a compressed file, which one task reads whole; a multiple of the drafts of an id, so that all lie in one file
+LINES_PER_FILE = 60_000
+
+
 @query("read_prompts_last_jsonl", _LAST_SQL)
 def read_prompts_last_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-2: JSONL without an order column: the last line of an id stays."""
     path = scratch_path(spark, "prompts-last")
-    _versions(spark, sf).write.json(f"{path}/0")
-    QPR.overrides(spark, sf).select("id", "prompt").write.json(f"{path}/1")
+    for k, df in enumerate((_versions(spark, sf), QPR.overrides(spark, sf).select("id", "prompt"))):
+        # drafts repeat their template: written plainly they are most of what the job writes
+        df.write.option("compression", "gzip").option("maxRecordsPerFile", LINES_PER_FILE).json(f"{path}/{k}")
     return RD.read_prompts(spark, path, fmt="json")
 
 

@@ -194,3 +194,29 @@ def test_files_of_repeated_text_are_compressed(spark, monkeypatch, tmp_path, nam
     files = [p for p in tmp_path.rglob("part-*")]
     assert files and all(p.suffix == ".gz" for p in files)
     assert sum(p.stat().st_size for p in files) * 4 < sum(len(gzip.decompress(p.read_bytes())) for p in files)
+
+
+def test_drafts_are_compressed_in_files_of_bounded_size(spark, monkeypatch, tmp_path):
+    """The drafts of many ids are written to several small files, no id's drafts to two, and the last line of an id is read back."""
+    import gzip
+
+    from regulon.plans.registry import QUERIES, load_all
+
+    load_all()
+    from regulon.plans import q_io
+
+    pairs = [(k % 5, k, f"S{k % 5}_G{k}", f"S{k % 5}", f"G{k}", "none", 0.0, k % 10 / 10) for k in range(1000)]
+    df = spark.createDataFrame(pairs, "pert_key long, gene_key long, id string, pert string, gene string, label string, lfc double, fdr double").coalesce(2)
+    monkeypatch.setattr(q_io.S, "pairs", lambda *_: df)
+    monkeypatch.setattr(q_io, "scratch_path", lambda *_: str(tmp_path / "out"))
+    monkeypatch.setattr(q_io, "LINES_PER_FILE", 300)
+    back = {r["id"]: r["prompt"] for r in QUERIES["read_prompts_last_jsonl"](spark, "").collect()}
+    over = {p[2] for p in pairs if p[7] < q_io.QPR.OVERRIDE_FDR}
+    assert 0 < len(over) < 1000
+    assert back == {p[2]: f"Custom question about {p[2]}" if p[2] in over else f'draft 2 about {p[2]},\n "quoted"' for p in pairs}
+    files = sorted((tmp_path / "out" / "0").glob("part-*"))
+    texts = [gzip.decompress(f.read_bytes()).decode() for f in files]
+    assert len(files) >= 10 and all(f.suffix == ".gz" for f in files)
+    ids = [{json.loads(line)["id"] for line in t.splitlines()} for t in texts]
+    assert sum(map(len, ids)) == 1000 and sum(t.count("\n") for t in texts) == 3000
+    assert sum(f.stat().st_size for f in files) * 4 < sum(map(len, texts))
