@@ -186,3 +186,31 @@ def test_checks_of_a_bad_submission_store_nothing(spark, monkeypatch):
         SC.check_submission(sol, sub, track="b")
     with pytest.raises(SC.SubmissionError, match="missing prediction_up values for 1 rows"):
         SC.check_submission(sol, sub, track="c")
+
+
+def test_checks_share_one_partitioning_by_id(spark, monkeypatch):
+    """Submission and solution are stored by id: a check's join shuffles and sorts neither, and adaptive execution is on again."""
+    from regulon.plans.registry import load_all
+
+    load_all()
+    from regulon.plans import q_scoring as Q
+
+    pairs = [(k % 5, k, f"S{k % 5}_G{k}", f"S{k % 5}", f"G{k}", "up" if k % 3 else "none", 1.0, 0.01) for k in range(300)]
+    df = spark.createDataFrame(pairs, "pert_key long, gene_key long, id string, pert string, gene string, label string, lfc double, fdr double")
+    monkeypatch.setattr(Q.S, "pairs", lambda *_: df)
+    check, plans = SC.check_submission, []
+
+    def checked(sol, sub, **options):
+        plans.append(SC.score_join(sol, sub, "id")._jdf.queryExecution().executedPlan().toString())
+        return check(sol, sub, **options)
+
+    monkeypatch.setattr(SC, "check_submission", checked)
+    with settings_of(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true"}):
+        got = {(r["track"], r["spoilt"]): r["error"] for r in Q.submission_errors(spark, "").collect()}
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert len(plans) == len(got) == 12
+    assert all("SortMergeJoin" in p and "Exchange" not in p and "Sort [" not in p for p in plans)
+    spoilt = sum(p[1] % Q.ODD_GENE == 0 for p in pairs)
+    assert got["a", "null"] == got["generic", "nan"] == got["b", "nan"] == f"Submission is missing prediction_up values for {spoilt} rows."
+    assert got["c", "inf"] == "Submission contains NaN or Inf in prediction_up."
+    assert got["b", "column"].startswith("Submission is missing required column(s): model_name.")
